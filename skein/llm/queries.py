@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import table
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +22,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def public_tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op2_exact_dedup, op4_pii)
+    found = (op2_exact_dedup, op4_pii, op8_packing)
     return {f.__name__: f for f in found}
 
 
