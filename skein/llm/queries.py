@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import table
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.jaccard_join import near_duplicates
 from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op2_exact_dedup, op4_pii, op8_packing)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op4_pii, op8_packing)
     return {f.__name__: f for f in found}
 
 
@@ -43,6 +48,16 @@ def queries() -> dict[str, Query]:
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({FOLDED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x)
+        SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, s.sh
+    """,
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({FOLDED}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
