@@ -27,7 +27,7 @@ from skein.llm.textops import by_size, hash_spans, lowered, text_bytes, word_spa
 LIMIT = 4096
 END = 2
 SALTS = 512  # parts of one length in which ranks are counted apart
-CACHE = 3_000_000  # words whose ids a worker keeps
+CACHE = 1_500_000  # words whose ids a worker keeps
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
