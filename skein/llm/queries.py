@@ -11,6 +11,7 @@ from skein.llm.exact_dedup import exact_dedup
 from skein.llm.jaccard_join import near_duplicates
 from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
+from skein.llm import quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def public_tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -38,9 +43,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op4_pii, op8_packing)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op4_pii, op5_quality, op8_packing, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
