@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BATCH_BYTES = 8 << 20  # of the rows that pass to Python at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +46,17 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle that this code deals out itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by bytes, so that long texts don't add up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all rows, whatever else the table holds."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions
+from skein.llm.common import cut, partitions, texts
 from skein.llm.textops import LOWER, by_size, text_bytes
 
 SLOTS = 4  # of a bucket
@@ -151,7 +151,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digest, "doc_id long, digest binary")
+    return texts(docs).mapInArrow(_digest, "doc_id long, digest binary")
 
 
 def groups(digested: DataFrame) -> DataFrame:

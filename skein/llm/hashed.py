@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import texts
 from skein.llm.textops import hash_spans, text_bytes, word_spans
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,8 +87,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     rows = rows.where(remainder(5) != 0)
     picked = [rows.where(F.col("label") == k).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts(docs).join(F.broadcast(chosen), "doc_id")
 
 
 def held_out(ids: np.ndarray, modulus: int = 5, value: int = 0) -> np.ndarray:

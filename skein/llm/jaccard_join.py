@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions
+from skein.llm.common import cut, partitions, texts
 from skein.llm.components import components
 from skein.llm.textops import by_size, mix, shingles, words
 
@@ -74,7 +74,7 @@ def _profile(width: int):
     """Rows (0, doc_id, set id, size) of texts and (1, shingle, texts of the batch, 0) of frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 32 << 20):
+        for b in by_size(batches, "text", 8 << 20):
             sets = text_sets(b.column(1), width)
             node = set_ids(sets)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -102,7 +102,7 @@ def _prefixes(width: int, percent: int, tokens: np.ndarray, counts: np.ndarray,
     """Prefix entries of all distinct sets of a batch, as one block for each bucket of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 32 << 20):
+        for b in by_size(batches, "text", 8 << 20):
             sets = text_sets(b.column(0), width)
             node = set_ids(sets)
             _, first = np.unique(node, return_index=True)
@@ -289,7 +289,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80) -> None:
         self.spark: SparkSession = docs.sparkSession
         self.width, self.percent = width, percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = texts(docs)
         profile = cut(self.docs.mapInArrow(_profile(width), "kind int, x long, y long, n long"), "sets")
         self.rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("node"), "n")
         often = profile.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).where("y >= 16").orderBy(F.desc("y"), "x").limit(FREQUENT)
@@ -299,10 +299,11 @@ class JaccardJoin:
         self.tokens, self.counts = tokens[order], counts[order]
 
     def _sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, block) of the sets of given nodes, one row each."""
+        """(node, block) of the sets of given nodes."""
         one = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        texts = self.docs.join(one, "doc_id", "left_semi").select("text")
-        return texts.mapInArrow(_set_blocks(self.width), "node long, block binary").dropDuplicates(["node"])
+        # repeated rows of a doc_id bring further sets or the same ones again; neither changes which links hold
+        found = self.docs.join(one, "doc_id", "left_semi").select("text")
+        return found.mapInArrow(_set_blocks(self.width), "node long, block binary")
 
     def _verified(self, pairs: DataFrame, what: str) -> DataFrame:
         pairs = cut(pairs.dropDuplicates(["a", "b"]), "pairs")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut
+from skein.llm.common import cut, texts
 from skein.llm.textops import by_size, hash_spans, lowered, text_bytes, word_spans
 
 LIMIT = 4096
@@ -141,7 +141,7 @@ def _pieces(path: str, limit: int, end: int):
 
 def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(_pieces(tokenizer, limit, end), PIECES)
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import texts
 from skein.llm.textops import by_size
 
 BASE = ("email", "ip", "card", "phone")
@@ -143,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id and found: an array of (kind, start, end, score), base kinds first."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(_scan, "doc_id long, found array<struct<kind: string, start: long, end: long, score: double>>")
 
 

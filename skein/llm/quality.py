@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import texts
 from skein.llm.hashed import gram_ids, labelled_sample, padded_bytes, remainder, row_sums, word_ids
 from skein.llm.textops import by_size
 
@@ -137,7 +138,7 @@ def _score(projection: np.ndarray, offset: float):
 
 def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(_score(model.projection, model.offset), "doc_id long, score double")
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import texts
 from skein.llm.hashed import distinct_rows, gram_ids, labelled_sample, padded_bytes, remainder, row_sums
 from skein.llm.textops import LOWER, SPACE, by_size
 
@@ -117,7 +118,7 @@ def _score(weights: np.ndarray, bias: float):
 
 def score(docs: DataFrame, model: RatioModel) -> DataFrame:
     """doc_id and score (0 to 1, higher: label 1 likelier) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs)
     return rows.mapInArrow(_score(model.weights, model.bias), "doc_id long, score double")
 
 
