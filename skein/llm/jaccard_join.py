@@ -40,6 +40,7 @@ LOCAL = 3  # texts of one batch that make a shingle a candidate for it
 SHORT = 16  # entries of a list that is joined at once
 SALTED = 4096  # entries of a list that one task takes
 BLOCK = 64  # entries of a block
+BROADCAST_IDS = 1_000_000  # doc_ids (8 bytes each) that may be broadcast
 
 
 def text_sets(col: pa.Array, width: int) -> list[np.ndarray]:
@@ -302,7 +303,9 @@ class JaccardJoin:
         """(node, block) of the sets of given nodes."""
         one = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
         # repeated rows of a doc_id bring further sets or the same ones again; neither changes which links hold
-        found = self.docs.join(one, "doc_id", "left_semi").select("text")
+        one = cut(one, "ids")
+        small = one.count() <= BROADCAST_IDS  # beyond it both sides are shuffled by doc_id
+        found = self.docs.join(F.broadcast(one) if small else one, "doc_id", "left_semi").select("text")
         return found.mapInArrow(_set_blocks(self.width), "node long, block binary")
 
     def _verified(self, pairs: DataFrame, what: str) -> DataFrame:
