@@ -11,7 +11,7 @@ from skein.llm.exact_dedup import exact_dedup
 from skein.llm.jaccard_join import near_duplicates
 from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
-from skein.llm import quality, toxicity
+from skein.llm import html_text, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
 
@@ -49,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op4_pii, op5_quality, op8_packing, op9_toxicity)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op4_pii, op5_quality, op7_html_text, op8_packing, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
