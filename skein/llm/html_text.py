@@ -207,7 +207,7 @@ class Page:
         return np.column_stack([
             one_hot, np.minimum(kinds, 2), np.minimum(above[:, : kinds.shape[1]], 1), above[:, kinds.shape[1] : kinds.shape[1] + 6],
             np.array(self.depth), np.array(self.hidden), np.log1p(own), np.log1p(chars), linked / np.maximum(1, chars), stops / np.maximum(1, chars),
-            np.log1p(chars / tags), np.log1p(paragraphs), children, order, children[up], chars / np.maximum(1, chars[up]), chars / total, before / total,
+            np.log1p(chars / tags), np.log1p(paragraphs), children, order, children[up], before / total,
         ])
 
     def decode(self, odds: np.ndarray) -> np.ndarray:
