@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import table
+from skein.llm.decontaminate import contaminated
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.jaccard_join import near_duplicates
 from skein.llm.packing import pack
@@ -24,6 +25,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(find_pii(table(spark, sf_dir, "documents")))
 
@@ -53,7 +58,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op4_pii, op5_quality, op7_html_text, op8_packing, op9_toxicity)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op7_html_text, op8_packing, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
