@@ -71,6 +71,12 @@ def set_ids(sets: list[np.ndarray]) -> np.ndarray:
     return mix(total + size.astype(np.uint64)).view(np.int64)
 
 
+def sketch(x: np.ndarray) -> bytes | None:
+    """Shingles of a set by the first byte of their hash; None when a count passes a byte."""
+    n = np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256)
+    return None if n.max() > 255 else n.astype(np.uint8).tobytes()
+
+
 def _profile(width: int):
     """Rows (0, doc_id, set id, size) of texts and (1, shingle, texts of the batch, 0) of frequent shingles."""
 
@@ -79,14 +85,15 @@ def _profile(width: int):
             sets = text_sets(b.column(1), width)
             node = set_ids(sets)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), b.column(0), pa.array(node), pa.array(size)], ["kind", "x", "y", "n"])
+            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), b.column(0), pa.array(node), pa.array(size), pa.array([sketch(x) for x in sets], pa.binary())], ["kind", "x", "y", "n", "sketch"])
             _, first = np.unique(node, return_index=True)
             if len(first) >= LOCAL:
                 flat = np.sort(np.concatenate([sets[k] for k in first]))
                 edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
                 n = np.diff(np.concatenate([edge, [len(flat)]]))
                 often = n >= LOCAL
-                yield pa.record_batch([pa.array(np.ones(int(often.sum()), np.int32)), pa.array(flat[edge[often]].view(np.int64)), pa.array(n[often]), pa.array(np.zeros(int(often.sum()), np.int64))], ["kind", "x", "y", "n"])
+                k = int(often.sum())
+                yield pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(flat[edge[often]].view(np.int64)), pa.array(n[often]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], ["kind", "x", "y", "n", "sketch"])
 
     return run
 
@@ -268,6 +275,23 @@ def _set_blocks(width: int):
     return run
 
 
+def _possible(percent: int):
+    """Pairs (a, b) whose sketches allow the needed overlap: it is at most the sum of the smaller counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            ok = np.ones(b.num_rows, bool)
+            rows = [k for k, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())) if x is not None and y is not None]
+            if rows:
+                p, q = (np.frombuffer(b"".join(b.column(c).take(pa.array(rows)).to_pylist()), np.uint8).reshape(-1, 256) for c in (4, 5))
+                ok[rows] = np.minimum(p, q).sum(1, dtype=np.int64) >= need(n[rows], m[rows], percent)
+            keep = pa.array(ok)
+            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,8 +315,9 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.width, self.percent = width, percent
         self.docs = texts(docs)
-        profile = cut(self.docs.mapInArrow(_profile(width), "kind int, x long, y long, n long"), "sets")
+        profile = cut(self.docs.mapInArrow(_profile(width), "kind int, x long, y long, n long, sketch binary"), "sets")
         self.rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("node"), "n")
+        self.sketches = profile.where("kind = 0").select(F.col("y").alias("node"), "n", "sketch")
         often = profile.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).where("y >= 16").orderBy(F.desc("y"), "x").limit(FREQUENT)
         frame = often.toArrow()
         tokens, counts = frame["x"].to_numpy().view(np.uint64), frame["y"].to_numpy()
@@ -310,6 +335,12 @@ class JaccardJoin:
 
     def _verified(self, pairs: DataFrame, what: str) -> DataFrame:
         pairs = cut(pairs.dropDuplicates(["a", "b"]), "pairs")
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = cut(self.sketches.join(asked, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        one = known.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
+        two = known.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+        met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "n", "m", "x", "y")
+        pairs = cut(met.mapInArrow(_possible(self.percent), "a long, b long"), "pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = cut(self._sets(nodes), "blocks")
         left = sets.select(F.col("node").alias("a"), F.col("block").alias("x"))
