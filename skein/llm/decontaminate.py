@@ -152,8 +152,13 @@ class ItemIndex:
         self.first, self.holders = np.concatenate([first, [len(flat)]]), holder[order]
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(self.triples >> np.uint64(42)).astype(np.int64)] = True
-        zero = np.zeros(1, np.int64)
-        self.keys = [[window_keys(x, zero, walk(x, zero, len(x), int(REACH * len(x)) + 1, seed), len(x), seed)[:, 0] for seed in range(WALKS)] for _, x in self.items]
+        self.keys = np.zeros((len(self.items), WALKS, KEYS), np.uint64)
+        for size in self.sizes:  # the items of one size walk together
+            own = [k for k, (_, x) in enumerate(self.items) if len(x) == size]
+            h = np.concatenate([self.items[k][1] for k in own])
+            starts = np.arange(len(own)) * size
+            for seed in range(WALKS):
+                self.keys[own, seed] = window_keys(h, starts, walk(h, starts, size, int(REACH * size) + 1, seed), size, seed).T
 
     def least(self, size: int) -> int:
         """Triples that a window of this size within the bound keeps at least."""
@@ -204,10 +209,10 @@ class ItemIndex:
 
 
 def _scan(ids: list[int], item_texts: list[str], percent: int, min_words: int):
+    index = ItemIndex(ids, item_texts, percent, min_words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for b in by_size(batches, "text"):
-            index = index or ItemIndex(ids, item_texts, percent, min_words)
             if not index.sizes:
                 continue
             h, ptr = symbols(b.column(1))
