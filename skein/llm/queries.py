@@ -10,6 +10,7 @@ from skein.llm.common import table
 from skein.llm.decontaminate import contaminated
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.jaccard_join import near_duplicates
+from skein.llm.line_dedup import line_report
 from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
 from skein.llm import html_text, quality, toxicity
@@ -44,6 +45,10 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -58,7 +63,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op7_html_text, op8_packing, op9_toxicity)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity)
     return {f.__name__: f for f in found}
 
 
@@ -85,6 +90,26 @@ ORACLES: dict[str, str] = {
 }
 
 
+ORACLES["op6_line_dedup"] = """
+    WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM w),
+    d AS (SELECT line, length(line) AS n, min(doc_id * 10000000 + no) AS ord FROM l WHERE line <> '' GROUP BY line),
+    h AS (SELECT line, n, ord, unnest([n, n - 1, n, n - 1]) AS m, unnest([0, 0, 1, 1]) AS side FROM d WHERE n >= 16),
+    k AS (SELECT line, n, ord, m, side, CASE WHEN side = 0 THEN left(line, m // 2) ELSE right(line, m // 2) END AS half FROM h),
+    p AS (SELECT DISTINCT a.line AS x, b.line AS y, a.n AS n, b.n AS m FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.ord < a.ord),
+    g AS (SELECT DISTINCT x FROM p WHERE CASE
+        WHEN n = m THEN list_sum(list_transform(range(1, n + 1), lambda i: (substr(x, i, 1) <> substr(y, i, 1))::INT)) <= 1
+        WHEN n = m + 1 THEN list_bool_or(list_transform(range(0, n), lambda i: left(x, i) || substr(x, i + 2) = y))
+        WHEN m = n + 1 THEN list_bool_or(list_transform(range(0, m), lambda i: left(y, i) || substr(y, i + 2) = x))
+        ELSE false END),
+    r AS (SELECT l.doc_id, l.no, l.line = '' OR (d.ord = l.doc_id * 10000000 + l.no AND g.x IS NULL) AS kept
+          FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN g ON l.line = g.x)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE kept) AS n_kept,
+           coalesce(string_agg(CASE WHEN NOT kept THEN no::VARCHAR END, ',' ORDER BY no), '') AS dropped_lines
+    FROM r GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return dict(ORACLES)
