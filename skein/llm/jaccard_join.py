@@ -36,7 +36,9 @@ from skein.llm.components import components
 from skein.llm.textops import by_size, mix, shingles, words
 
 FREQUENT = 200_000  # entries of the table of frequent shingles, at most
-LOCAL = 3  # texts of one batch that make a shingle a candidate for it
+BATCH = 2 << 20  # bytes of text in memory at once
+COUNTED = 2_000_000  # shingles counted together
+LOCAL = 3  # texts of those counted together that make a shingle a candidate for it
 SHORT = 16  # entries of a list that is joined at once
 SALTED = 4096  # entries of a list that one task takes
 BLOCK = 64  # entries of a block
@@ -80,20 +82,30 @@ def sketch(x: np.ndarray) -> bytes | None:
 def _profile(width: int):
     """Rows (0, doc_id, set id, size) of texts and (1, shingle, texts of the batch, 0) of frequent shingles."""
 
+    def often(sets: list[np.ndarray], node: np.ndarray) -> pa.RecordBatch:
+        _, first = np.unique(node, return_index=True)
+        flat = np.sort(np.concatenate([sets[k] for k in first]))
+        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([edge, [len(flat)]]))
+        keep = n >= LOCAL
+        k = int(keep.sum())
+        return pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(flat[edge[keep]].view(np.int64)), pa.array(n[keep]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], ["kind", "x", "y", "n", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 8 << 20):
+        held: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+        for b in by_size(batches, "text", BATCH):
             sets = text_sets(b.column(1), width)
             node = set_ids(sets)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), b.column(0), pa.array(node), pa.array(size), pa.array([sketch(x) for x in sets], pa.binary())], ["kind", "x", "y", "n", "sketch"])
-            _, first = np.unique(node, return_index=True)
-            if len(first) >= LOCAL:
-                flat = np.sort(np.concatenate([sets[k] for k in first]))
-                edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-                n = np.diff(np.concatenate([edge, [len(flat)]]))
-                often = n >= LOCAL
-                k = int(often.sum())
-                yield pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(flat[edge[often]].view(np.int64)), pa.array(n[often]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], ["kind", "x", "y", "n", "sketch"])
+            held += sets
+            ids.append(node)
+            if sum(map(len, held)) > COUNTED:
+                yield often(held, np.concatenate(ids))
+                held, ids = [], []
+        if held:
+            yield often(held, np.concatenate(ids))
 
     return run
 
@@ -110,7 +122,7 @@ def _prefixes(width: int, percent: int, tokens: np.ndarray, counts: np.ndarray,
     """Prefix entries of all distinct sets of a batch, as one block for each bucket of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 8 << 20):
+        for b in by_size(batches, "text", BATCH):
             sets = text_sets(b.column(0), width)
             node = set_ids(sets)
             _, first = np.unique(node, return_index=True)
@@ -268,7 +280,7 @@ def _between(percent: int):
 
 def _set_blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text"):
+        for b in by_size(batches, "text", BATCH):
             sets = text_sets(b.column(0), width)
             yield pa.record_batch([pa.array(set_ids(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "block"])
 
