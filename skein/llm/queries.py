@@ -11,6 +11,7 @@ from skein.llm.decontaminate import contaminated
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.jaccard_join import near_duplicates
 from skein.llm.line_dedup import line_report
+from skein.llm.lm_score import lm_scores
 from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
 from skein.llm import html_text, quality, toxicity
@@ -61,9 +62,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity, op10_lm_score)
     return {f.__name__: f for f in found}
 
 
