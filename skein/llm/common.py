@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_IDS = 1_000_000  # ids of a list that may be broadcast; a longer one is shuffled
 BATCH_BYTES = 8 << 20  # of the rows that pass to Python at once
 
 
@@ -60,3 +64,24 @@ def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text of all rows, whatever else the table holds."""
     bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def keep_rows(docs: DataFrame, mask: Callable[[pa.Array], np.ndarray], limit: int = 2 << 20) -> DataFrame:
+    """The rows of a table, all columns, whose text ``mask`` keeps; nothing is shuffled."""
+    from skein.llm.textops import by_size
+
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_size(batches, "text", limit):
+            yield b.filter(pa.array(mask(b.column(b.schema.get_field_index("text"))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a table whose (doc_id, xxhash64 of the text) isn't in ``gone`` (columns id, raw)."""
+    gone = cut(gone.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), "raw").distinct(), "gone")
+    small = gone.count() <= BROADCAST_IDS
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
+    return docs.join(F.broadcast(gone) if small else gone, (own == gone["id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["raw"]), "left_anti")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import texts
+from skein.llm.common import keep_rows, texts
 from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, word_spans
 
 WALKS = 8
@@ -208,28 +208,32 @@ class ItemIndex:
         return best
 
 
-def _scan(ids: list[int], item_texts: list[str], percent: int, min_words: int):
-    index = ItemIndex(ids, item_texts, percent, min_words)
-
+    def matches(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
+        """(row, item, start, distance) of the best window of each item in each text of a column."""
+        if not self.sizes:
+            return []
+        h, ptr = symbols(col)
+        t = triples(h)
+        some = np.flatnonzero(self.sieve[(t >> np.uint64(42)).astype(np.int64)])
+        spot = np.minimum(np.searchsorted(self.triples, t[some]), len(self.triples) - 1)
+        real = self.triples[spot] == t[some]
+        at, which = some[real], spot[real]
+        doc = np.searchsorted(ptr, at, "right") - 1
+        inner = at + Q <= ptr[doc + 1]  # not across two texts
+        at, which, doc = at[inner], which[inner], doc[inner]
+        need = min(self.least(s) for s in self.sizes)
+        edge = np.searchsorted(doc, np.arange(len(ptr)))
+        rows = []
+        for k in np.flatnonzero(np.diff(edge) >= need).tolist():
+            a, z = edge[k], edge[k + 1]
+            rows += [(k, *r) for r in self.search(h[ptr[k] : ptr[k + 1]], at[a:z] - ptr[k], which[a:z])]
+        return rows
+
+
+def _scan(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, "text"):
-            if not index.sizes:
-                continue
-            h, ptr = symbols(b.column(1))
-            t = triples(h)
-            some = np.flatnonzero(index.sieve[(t >> np.uint64(42)).astype(np.int64)])
-            spot = np.minimum(np.searchsorted(index.triples, t[some]), len(index.triples) - 1)
-            real = index.triples[spot] == t[some]
-            at, which = some[real], spot[real]
-            doc = np.searchsorted(ptr, at, "right") - 1
-            inner = at + Q <= ptr[doc + 1]  # not across two texts
-            at, which, doc = at[inner], which[inner], doc[inner]
-            need = min(index.least(s) for s in index.sizes)
-            edge = np.searchsorted(doc, np.arange(len(ptr)))
-            rows = []
-            for k in np.flatnonzero(np.diff(edge) >= need).tolist():
-                a, z = edge[k], edge[k + 1]
-                rows += [(k, *r) for r in index.search(h[ptr[k] : ptr[k + 1]], at[a:z] - ptr[k], which[a:z])]
+            rows = index.matches(b.column(1))
             if rows:
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.record_batch([b.column(0).take(at), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3))], ["doc_id", "item_id", "start_word", "distance"])
@@ -237,13 +241,34 @@ def _scan(ids: list[int], item_texts: list[str], percent: int, min_words: int):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, start_word, distance): the best window of each item in each document that has one."""
-    rows = texts(docs)
+def _indexes(items: DataFrame, percent: int, min_words: int) -> list[ItemIndex]:
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
-    found = []
+    out = []
     for k in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found.append(rows.mapInArrow(_scan([r["item_id"] for r in own], [r["text"] for r in own], percent, min_words), "doc_id long, item_id long, start_word long, distance long"))
+        out.append(ItemIndex([r["item_id"] for r in own], [r["text"] for r in own], percent, min_words))
+    return out
+
+
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, item_id, start_word, distance): the best window of each item in each document that has one."""
+    rows = texts(docs)
+    found = [rows.mapInArrow(_scan(index), "doc_id long, item_id long, start_word long, distance long") for index in _indexes(items, percent, min_words)]
     return reduce(DataFrame.unionByName, found)
+
+
+def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows, all columns, of documents without any item's passage."""
+
+    def without_matches(index: ItemIndex):
+        def mask(col: pa.Array) -> np.ndarray:
+            ok = np.ones(len(col), bool)
+            ok[[r[0] for r in index.matches(col)]] = False
+            return ok
+
+        return mask
+
+    for index in _indexes(items, percent, min_words):
+        docs = keep_rows(docs, without_matches(index))
+    return docs

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, texts
+from skein.llm.common import cut, partitions, texts, without
 from skein.llm.textops import LOWER, by_size, text_bytes
 
 SLOTS = 4  # of a bucket
@@ -126,7 +126,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.take(LOWER, raw).tobytes()
         at = offs.tolist()
         found = [hashlib.sha256(low[at[k] : at[k + 1]]).digest() for k in range(b.num_rows)]
-        yield pa.record_batch([b.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
+        yield pa.record_batch([b.column(0), pa.array(found, pa.binary()), b.column(2)], ["doc_id", "digest", "raw"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) of every row."""
-    return texts(docs).mapInArrow(_digest, "doc_id long, digest binary")
+    """(doc_id, digest, xxhash64 of the text as it stands) of every row."""
+    return texts(docs).withColumn("raw", F.xxhash64("text")).mapInArrow(_digest, "doc_id long, digest binary, raw long")
 
 
 def groups(digested: DataFrame) -> DataFrame:
@@ -168,14 +168,17 @@ def groups(digested: DataFrame) -> DataFrame:
     return local.repartition(n, "digest").mapInArrow(_index, schema)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _decided(docs: DataFrame) -> DataFrame:
     seen = cut(digests(docs), "digests")
     # one digest may hold a third of the rows: both sides are plain exchanges, so that a skewed partition is split
-    return seen.join(groups(seen).hint("merge"), "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return seen.join(groups(seen).hint("merge"), "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
+
+
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _decided(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """The rows, all columns, that stay (rows repeated with doc_id and text stay together)."""
+    return without(docs, _decided(docs).where("not kept").select(F.col("doc_id").alias("id"), "raw"))

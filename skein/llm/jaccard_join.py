@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, texts
+from skein.llm.common import BROADCAST_IDS, cut, partitions, texts, without
 from skein.llm.components import components
 from skein.llm.textops import by_size, mix, shingles, words
 
@@ -42,7 +42,6 @@ LOCAL = 3  # texts of those counted together that make a shingle a candidate for
 SHORT = 16  # entries of a list that is joined at once
 SALTED = 4096  # entries of a list that one task takes
 BLOCK = 64  # entries of a block
-BROADCAST_IDS = 1_000_000  # doc_ids (8 bytes each) that may be broadcast
 
 
 def text_sets(col: pa.Array, width: int) -> list[np.ndarray]:
@@ -89,7 +88,7 @@ def _profile(width: int):
         n = np.diff(np.concatenate([edge, [len(flat)]]))
         keep = n >= LOCAL
         k = int(keep.sum())
-        return pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(flat[edge[keep]].view(np.int64)), pa.array(n[keep]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], ["kind", "x", "y", "n", "sketch"])
+        return pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(flat[edge[keep]].view(np.int64)), pa.array(n[keep]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], ["kind", "x", "y", "n", "sketch", "raw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,7 +97,7 @@ def _profile(width: int):
             sets = text_sets(b.column(1), width)
             node = set_ids(sets)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), b.column(0), pa.array(node), pa.array(size), pa.array([sketch(x) for x in sets], pa.binary())], ["kind", "x", "y", "n", "sketch"])
+            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), b.column(0), pa.array(node), pa.array(size), pa.array([sketch(x) for x in sets], pa.binary()), b.column(2)], ["kind", "x", "y", "n", "sketch", "raw"])
             held += sets
             ids.append(node)
             if sum(map(len, held)) > COUNTED:
@@ -327,8 +326,8 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.width, self.percent = width, percent
         self.docs = texts(docs)
-        profile = cut(self.docs.mapInArrow(_profile(width), "kind int, x long, y long, n long, sketch binary"), "sets")
-        self.rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("node"), "n")
+        profile = cut(self.docs.withColumn("raw", F.xxhash64("text")).mapInArrow(_profile(width), "kind int, x long, y long, n long, sketch binary, raw long"), "sets")
+        self.rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("node"), "n", "raw")
         self.sketches = profile.where("kind = 0").select(F.col("y").alias("node"), "n", "sketch")
         often = profile.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).where("y >= 16").orderBy(F.desc("y"), "x").limit(FREQUENT)
         frame = often.toArrow()
@@ -382,14 +381,20 @@ class JaccardJoin:
         return first.unionByName(second)
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
+        """doc_id, n_shingles, component_id and xxhash64 of the text (raw) for every row."""
         label = components(self.links())
         rows = self.rows.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
         least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
         found = rows.join(least.hint("merge"), "label", "left")
-        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "raw")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
-    return JaccardJoin(docs, width, percent).classes()
+    return JaccardJoin(docs, width, percent).classes().drop("raw")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, all columns, of the document with the least doc_id of each component."""
+    found = JaccardJoin(docs, width, percent).classes()
+    return without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "raw"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import texts
+from skein.llm.common import keep_rows, texts
 from skein.llm.hashed import gram_ids, labelled_sample, padded_bytes, remainder, row_sums, word_ids
 from skein.llm.textops import by_size
 
@@ -123,15 +123,20 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> SubwordM
     return train(rows, got["label"].to_pylist(), 0.5 if n is None else float(n))
 
 
+def scores(col: pa.Array, projection: np.ndarray, offset: float) -> np.ndarray:
+    """The score of each text of a column."""
+    total, count = np.zeros(len(col)), np.zeros(len(col), np.int64)
+    for ids, ptr in features(col):
+        total += row_sums(projection[ids], ptr)
+        count += np.diff(ptr)
+    z = total / np.maximum(count, 1) + offset
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _score(projection: np.ndarray, offset: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, "text", BATCH):
-            total, count = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for ids, ptr in features(b.column(1)):
-                total += row_sums(projection[ids], ptr)
-                count += np.diff(ptr)
-            z = total / np.maximum(count, 1) + offset
-            yield pa.record_batch([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+            yield pa.record_batch([b.column(0), pa.array(scores(b.column(1), projection, offset))], ["doc_id", "score"])
 
     return run
 
@@ -146,3 +151,10 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Da
     """doc_id, held_out, score, predicted of every row."""
     found = score(docs, fit(docs, labels))
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows, all columns, that the classifier accepts."""
+    model = fit(docs, labels)
+    projection, offset = model.projection, model.offset
+    return keep_rows(docs, lambda col: scores(col, projection, offset) >= threshold)
