@@ -231,7 +231,11 @@ def _lists(percent: int):
             ok = (100 * np.minimum(n, n[top]) >= percent * np.maximum(n, n[top])) & (np.arange(len(n)) != top)
             xs.append(part["node"][ok])
             ys.append(np.full(int(ok.sum()), part["node"][top]))
-            late.append(part)
+            # entries whose position rules out every size of partner in the list go no further
+            partner = np.maximum(n.min(), -(-percent * n // 100))
+            able = part[n - pos >= need(n, partner, percent)]
+            if len(able) > 1:
+                late.append(able)
         x, y = np.concatenate(xs), np.concatenate(ys)
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         for first in range(0, len(pair), 100_000):
