@@ -27,6 +27,7 @@ from skein.llm.textops import by_size, hash_spans, lowered, text_bytes, word_spa
 LIMIT = 4096
 END = 2
 SALTS = 512  # parts of one length in which ranks are counted apart
+TOGETHER = 20_000  # words that the tokenizer reads at once
 CACHE = 1_500_000  # words whose ids a worker keeps
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -60,16 +61,16 @@ class WordIds:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE and len(self.keys):
-            self.clear()
-        found = self._ids(texts)
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
-        first = len(self.flat) + np.concatenate([[0], np.cumsum(count)[:-1]])
-        self.flat = np.concatenate([self.flat, flat])
-        keys, first, count = np.concatenate([self.keys, keys]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.count = keys[order], first[order], count[order]
+        counts, flats = [], [self.flat]
+        for k in range(0, len(texts), TOGETHER):  # the tokenizer's own records of a word are large
+            found = self._ids(texts[k : k + TOGETHER])
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flats.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(counts[-1].sum())))
+        count = np.concatenate(counts)
+        first = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate(flats)
+        spot = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.count = (np.insert(a, spot, b) for a, b in ((self.keys, keys), (self.first, first), (self.count, count)))
 
     def of(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each closed with ``end``, and the row pointer."""
@@ -124,7 +125,7 @@ def _words_of(path: str) -> WordIds:
 def _pieces(path: str, limit: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _words_of(path)
-        for b in by_size(batches, "text"):
+        for b in by_size(batches, "text", 4 << 20):
             ids, ptr = coder.of(b.column(1), end)
             data, step = memoryview(ids.astype("<u4").tobytes()), 4
             sizes = np.diff(ptr)
