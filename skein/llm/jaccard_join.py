@@ -9,8 +9,10 @@ and post only their prefix, so that any linked pair meets in some index list.
 * Index level: the entries of a list are sorted by position and cut into blocks;
   a pair of blocks whose best positions can't give the needed overlap is skipped
   whole, and a pair of entries is checked by size and position before it counts.
-* Answer level: in a long list each set is first compared with the list's most
-  typical set only.  The links found make families of highly similar sets, and
+* Sets in long lists are posted a second time among themselves, in the exact
+  order of their shingles' frequency, so that what a group shares comes last.
+* Answer level: in a list that is still long each set is first compared with the
+  most typical set only.  The links found make families of highly similar sets, and
   the answers within a family follow from them; the list is then joined only
   between families, since a link inside one can't change the components.
 All candidate pairs are verified on whole sets, so components are exact (up to
@@ -198,8 +200,13 @@ def _pairs_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.zeros(len(low), np.int32)), pa.array(low), pa.array(high), zero, zero], ["kind", "a", "b", "n", "pos"])
 
 
-def _lists(percent: int):
-    """Rows (0, a, b) of candidate pairs and (1, shingle, node, size, position) of entries of long lists."""
+def _lists(percent: int, last: bool):
+    """Rows (0, a, b) of candidate pairs of short lists, and what is left of long lists.
+
+    At first that is (1, 0, node): the sets in them are ordered anew.  At last it
+    is their pairs with the most typical set, and (1, shingle, node, size,
+    position) of entries that may still have a partner.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a bucket's share of the entries is bounded by the number of buckets, which follows the input
@@ -227,6 +234,9 @@ def _lists(percent: int):
                 xs.append(part["node"][i])
                 ys.append(part["node"][j])
                 continue
+            if not last:
+                late.append(part["node"])
+                continue
             top = np.lexsort((part["node"], part["rare"]))[0]  # the set with the fewest shingles of its own
             ok = (100 * np.minimum(n, n[top]) >= percent * np.maximum(n, n[top])) & (np.arange(len(n)) != top)
             xs.append(part["node"][ok])
@@ -240,6 +250,11 @@ def _lists(percent: int):
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         for first in range(0, len(pair), 100_000):
             yield _pairs_batch(pair[first : first + 100_000, 0], pair[first : first + 100_000, 1])
+        if not last:
+            again = np.unique(np.concatenate([*late, np.zeros(0, np.int64)]))
+            zero = pa.array(np.zeros(len(again), np.int32))
+            yield pa.record_batch([pa.array(np.ones(len(again), np.int32)), pa.array(np.zeros(len(again), np.int64)), pa.array(again), zero, zero], ["kind", "a", "b", "n", "pos"])
+            return
         for part in late:
             yield pa.record_batch([pa.array(np.ones(len(part), np.int32)), pa.array(part["token"].view(np.int64)), pa.array(part["node"]), pa.array(part["n"]), pa.array(part["pos"])], ["kind", "a", "b", "n", "pos"])
 
@@ -281,6 +296,48 @@ def _between(percent: int):
     return run
 
 
+def _shingle_blocks(width: int, buckets: int):
+    """All shingles of the distinct sets of a batch, as one block for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_size(batches, "text", BATCH):
+            sets = text_sets(b.column(0), width)
+            _, first = np.unique(set_ids(sets), return_index=True)
+            flat = np.concatenate([sets[k] for k in first])
+            bucket = (mix(flat) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            flat, bucket = flat[order], bucket[order]
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+            ends = [*edge[1:].tolist(), len(bucket)]
+            yield pa.record_batch([pa.array(bucket[edge]), pa.array([flat[a:z].tobytes() for a, z in zip(edge.tolist(), ends)], pa.binary())], ["bucket", "block"])
+
+    return run
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y): shingles held by more than half of SHORT sets, and how many hold them."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def merge() -> None:
+        nonlocal keys, counts
+        own, n = np.unique(np.concatenate(held), return_counts=True)
+        all_keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, n]), len(all_keys)).astype(np.int64)
+        keys = all_keys
+        held.clear()
+
+    for b in batches:
+        for x in b.column(1).to_pylist():
+            held.append(np.frombuffer(x, "<u8"))
+            if sum(map(len, held)) > COUNTED:
+                merge()
+    if held:
+        merge()
+    keep = counts > SHORT // 2
+    yield pa.record_batch([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["x", "y"])
+
+
 def _set_blocks(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, "text", BATCH):
@@ -333,20 +390,28 @@ class JaccardJoin:
         profile = cut(self.docs.withColumn("raw", F.xxhash64("text")).mapInArrow(_profile(width), "kind int, x long, y long, n long, sketch binary, raw long"), "sets")
         self.rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("node"), "n", "raw")
         self.sketches = profile.where("kind = 0").select(F.col("y").alias("node"), "n", "sketch")
-        often = profile.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).where("y >= 16").orderBy(F.desc("y"), "x").limit(FREQUENT)
-        frame = often.toArrow()
+        self.tokens, self.counts = self._table(profile.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).where("y >= 16"))
+
+    @staticmethod
+    def _table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The most frequent shingles (FREQUENT at most) in order, and their counts."""
+        frame = counted.orderBy(F.desc("y"), "x").limit(FREQUENT).toArrow()
         tokens, counts = frame["x"].to_numpy().view(np.uint64), frame["y"].to_numpy()
         order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], counts[order]
+        return tokens[order], counts[order]
 
-    def _sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, block) of the sets of given nodes."""
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """Texts that have the given sets."""
         one = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
         # repeated rows of a doc_id bring further sets or the same ones again; neither changes which links hold
         one = cut(one, "ids")
         small = one.count() <= BROADCAST_IDS  # beyond it both sides are shuffled by doc_id
-        found = self.docs.join(F.broadcast(one) if small else one, "doc_id", "left_semi").select("text")
-        return found.mapInArrow(_set_blocks(self.width), "node long, block binary")
+        return self.docs.join(F.broadcast(one) if small else one, "doc_id", "left_semi").select("text")
+
+    def _joined(self, some: DataFrame, table: tuple[np.ndarray, np.ndarray], last: bool) -> DataFrame:
+        n = partitions(self.spark)
+        blocks = some.mapInArrow(_prefixes(self.width, self.percent, *table, 4 * n), "bucket int, block binary")
+        return cut(blocks.repartition(n, "bucket").mapInArrow(_lists(self.percent, last), "kind int, a long, b long, n int, pos int"), "lists")
 
     def _verified(self, pairs: DataFrame, what: str) -> DataFrame:
         pairs = cut(pairs.dropDuplicates(["a", "b"]), "pairs")
@@ -357,7 +422,7 @@ class JaccardJoin:
         met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "n", "m", "x", "y")
         pairs = cut(met.mapInArrow(_possible(self.percent), "a long, b long"), "pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(self._sets(nodes), "blocks")
+        sets = cut(self._texts(nodes).mapInArrow(_set_blocks(self.width), "node long, block binary"), "blocks")
         left = sets.select(F.col("node").alias("a"), F.col("block").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("block").alias("y"))
         both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
@@ -366,9 +431,12 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Verified links (a, b) of sets that give all components."""
         n = partitions(self.spark)
-        blocks = self.docs.select("text").mapInArrow(_prefixes(self.width, self.percent, self.tokens, self.counts, 4 * n), "bucket int, block binary")
-        found = cut(blocks.repartition(n, "bucket").mapInArrow(_lists(self.percent), "kind int, a long, b long, n int, pos int"), "lists")
-        first = self._verified(found.where("kind = 0").select("a", "b"), "links")
+        early = self._joined(self.docs.select("text"), (self.tokens, self.counts), False)
+        # sets that met in long lists go again by themselves, in the exact order of their shingles' frequency
+        some = cut(self._texts(early.where("kind = 1").select(F.col("b").alias("node")).distinct()), "again")
+        counted = some.mapInArrow(_shingle_blocks(self.width, 4 * n), "bucket int, block binary").repartition(n, "bucket").mapInArrow(_often, "x long, y long")
+        found = self._joined(some, self._table(cut(counted, "often")), True)
+        first = self._verified(early.where("kind = 0").select("a", "b").unionByName(found.where("kind = 0").select("a", "b")), "links")
         late = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "pos")
         family = components(first)
         late = late.join(family.hint("merge"), "node", "left").withColumn("family", F.coalesce("component", "node"))
