@@ -28,7 +28,7 @@ LIMIT = 4096
 END = 2
 SALTS = 512  # parts of one length in which ranks are counted apart
 TOGETHER = 20_000  # words that the tokenizer reads at once
-CACHE = 1_500_000  # words whose ids a worker keeps
+CACHE = 350_000  # words whose ids a worker keeps
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -58,8 +58,18 @@ class WordIds:
         self.keys = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _thin(self) -> None:
+        """Keeps the more used half of the words."""
+        keep = np.zeros(len(self.keys), bool)
+        keep[np.argsort(-self.uses, kind="stable")[: CACHE // 2]] = True
+        count = self.count[keep]
+        first = np.cumsum(count) - count
+        self.flat = self.flat[np.repeat(self.first[keep] - first, count) + np.arange(int(count.sum()))]
+        self.keys, self.first, self.count, self.uses = self.keys[keep], first, count, self.uses[keep] // 2
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         counts, flats = [], [self.flat]
         for k in range(0, len(texts), TOGETHER):  # the tokenizer's own records of a word are large
@@ -70,7 +80,7 @@ class WordIds:
         first = len(self.flat) + np.cumsum(count) - count
         self.flat = np.concatenate(flats)
         spot = np.searchsorted(self.keys, keys)
-        self.keys, self.first, self.count = (np.insert(a, spot, b) for a, b in ((self.keys, keys), (self.first, first), (self.count, count)))
+        self.keys, self.first, self.count, self.uses = (np.insert(a, spot, b) for a, b in ((self.keys, keys), (self.first, first), (self.count, count), (self.uses, 0)))
 
     def of(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each closed with ``end``, and the row pointer."""
@@ -82,18 +92,18 @@ class WordIds:
         e = e - stop
         h = hash_spans(low, s, e)
         keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:  # between batches only, so that a batch finds all its words
+            self._thin()
         spot = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inside = spot < len(self.keys)
         known[inside] = self.keys[spot[inside]] == keys[inside]
         if not known.all():
             data = low.tobytes()
-            if len(self.keys) + int((~known).sum()) > CACHE:
-                self.clear()
-                known[:] = False
             new = np.flatnonzero(~known)
             self._learn(keys[new], [data[a:b].decode() for a, b in zip(s[at[new]].tolist(), e[at[new]].tolist())])
             spot = np.searchsorted(self.keys, keys)
+        self.uses[spot] += 1
         first, count = self.first[spot][inverse], self.count[spot][inverse]
         total = count + stop
         # the end id takes one place behind each text
@@ -125,7 +135,7 @@ def _words_of(path: str) -> WordIds:
 def _pieces(path: str, limit: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _words_of(path)
-        for b in by_size(batches, "text", 4 << 20):
+        for b in by_size(batches, "text", 2 << 20):
             ids, ptr = coder.of(b.column(1), end)
             data, step = memoryview(ids.astype("<u4").tobytes()), 4
             sizes = np.diff(ptr)

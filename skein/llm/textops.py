@@ -8,11 +8,13 @@ equality of hashes stands for equality of words throughout the subpackage
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+RELEASE_EVERY = 8 << 20  # bytes of text
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -115,8 +117,18 @@ def shingles(h: np.ndarray, ptr: np.ndarray, width: int) -> tuple[np.ndarray, np
     return out, out_ptr
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, so that workers which live on stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``limit`` bytes of text (one row at least)."""
+    passed = 0
     for b in batches:
         if b.num_rows == 0:
             continue
@@ -127,7 +139,12 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20
             last = int(np.searchsorted(offs, offs[first] + limit, "right")) - 1
             last = min(max(last, first + 1), b.num_rows)
             yield b.slice(first, last - first)
+            passed += int(offs[last] - offs[first])
+            if passed > RELEASE_EVERY:
+                release_memory()
+                passed = 0
             first = last
+    release_memory()
 
 
 def crc_fold(ids: np.ndarray, modulus: int) -> np.ndarray:
