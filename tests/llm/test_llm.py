@@ -1,0 +1,421 @@
+"""The ten operators against brute force on small fixtures, with nulls, empty and long texts, ties and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from skein.llm import decontaminate, exact_dedup, gru, html_text, jaccard_join, line_dedup, lm_score, packing, pii, quality, toxicity
+from skein.llm.components import components
+from skein.llm.textops import hash_spans, lowered, shingles, words
+
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# columns with the names that the operators use inside
+SCHEMA = "doc_id long, text string, lang string, node long, digest string, kind int, row long, score double"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", 1, "d", 2, 3, 0.5) for i, t in rows], SCHEMA)
+
+
+def low(text):
+    return (text or "").translate(UPPER)
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", low(text))
+
+
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+ODD = [(900, None), (901, ""), (902, " \n\t "), (903, "one"), (904, "One"), (905, "a b c"), (906, "é\x0bİ ñ Ñ"), (907, "x" * 70000), (908, "long " * 9000)]
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("aB é\n\tÑ\x0b.x😀"), max_size=40), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_words_and_shingles(texts):
+    data, s, e, ptr, h = words(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        own = tokens(t)
+        assert [bytes(data[a:b]).decode() for a, b in zip(s[ptr[k] : ptr[k + 1]], e[ptr[k] : ptr[k + 1]])] == own
+        one = [lowered(np.frombuffer(w.encode(), np.uint8)) for w in own]
+        assert [int(hash_spans(x, np.array([0]), np.array([len(x) - 8]))[0]) for x in one] == h[ptr[k] : ptr[k + 1]].tolist()
+    sh, sp = shingles(h, ptr, 3)
+    for k, t in enumerate(texts):
+        n = len(tokens(t))
+        assert sp[k + 1] - sp[k] == (0 if n == 0 else max(1, n - 2))
+
+
+def brute_components(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = tokens(t)
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = list(sets)
+    for x in range(len(ids)):
+        for y in range(x):
+            a, b = sets[ids[x]], sets[ids[y]]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = root(ids[x]), root(ids[y])
+                label[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def near_copies(rng):
+    rows = [(k, prose(rng, rng.randrange(1, 60))) for k in range(40)]
+    for base, copies, most in ((100, 45, 9), (200, 30, 5)):  # groups that make long lists, links at any distance
+        text = prose(rng, 120, 10**6).split()
+        for k in range(copies):
+            own = text[:]
+            for _ in range(rng.randrange(most)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.2:
+                own = own[: -rng.randrange(1, 30)]
+            rows.append((base + k, " ".join(own)))
+    passage = prose(rng, 20, 10**6)
+    rows += [(300 + k, f"{prose(rng, rng.randrange(2, 30), 10**6)} {passage} {prose(rng, 4, 10**6)}") for k in range(40)]
+    rows += [(400 + k, rows[45][1].upper()) for k in range(5)]
+    return rows
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_components(spark, width, percent):
+    rows = near_copies(random.Random(width)) + ODD
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(table(spark, rows), width, percent).collect()}
+    assert got == brute_components(rows, width, percent)
+
+
+def test_block_pairs_lose_nothing():
+    rng = np.random.default_rng(4)
+    n, pos = rng.integers(20, 60, 300), rng.integers(0, 12, 300)
+    i, j = jaccard_join.block_pairs(n, pos, 85)
+    want = {(x, y) for x in range(300) for y in range(x) if min(n[x] - pos[x], n[y] - pos[y]) >= -(-85 * (n[x] + n[y]) // 185) and 100 * min(n[x], n[y]) >= 85 * max(n[x], n[y])}
+    assert {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(k, k + 1) for k in range(1, 60)] + [(1000, 1000 + k) for k in range(1, 90)] + [(5, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in range(1, 61)}, **{1000 + k: 1000 for k in range(90)}}
+
+
+def test_exact_dedup(spark):
+    rows = ODD + [(k, "Same Text") for k in range(30)] + [(31, "same text"), (31, "same text"), (32, "É"), (33, "é"), (None, "null id")]
+    got = exact_dedup.exact_dedup(table(spark, rows)).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[low(t)].append(i)
+    want = Counter()
+    for i, t in rows:
+        ids = [x for x in groups[low(t)] if x is not None]
+        keep = max(ids) if ids else None
+        want[(i, keep, len(groups[low(t)]), i is not None and i == keep, hashlib.sha256(low(t).encode()).hexdigest())] += 1
+    assert Counter(tuple(r) for r in got) == want
+    stay = exact_dedup.unique_documents(table(spark, rows))
+    assert stay.columns == table(spark, []).columns and sorted(r["doc_id"] for r in stay.collect() if r["text"] and low(r["text"]) == "same text") == [31, 31]
+
+
+def test_cuckoo_index():
+    index = exact_dedup.CuckooIndex(2)
+    keys = [hashlib.sha256(str(k).encode()).digest() for k in range(3000)]
+    for k, key in enumerate(keys):
+        assert index.find(key) is None
+        index.insert(key, k)
+    assert index.resizes > 3 and index.size == 3000
+    for key in keys[::2]:
+        assert index.delete(key)
+    assert not index.delete(keys[0])
+    assert [index.find(k) for k in keys] == [None if k % 2 == 0 else k for k in range(3000)]
+    assert sorted(v for _, v in index.items()) == list(range(1, 3000, 2))
+
+
+def test_decontamination(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, rng.randrange(8, 30), 3000).capitalize() + ".") for k in range(20)] + [(50, None), (51, "too short")]
+    docs = list(ODD)
+    for k in range(80):
+        w = items[k % 20][1].split()
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(9999)}"
+        docs.append((k, " ".join([prose(rng, rng.randrange(30), 3000), *w, prose(rng, rng.randrange(30), 3000)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(table(spark, docs), bench).collect()}
+    strip = lambda t: [w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w for w in tokens(t)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for i, t in docs:
+        if i in (907, 908):
+            continue
+        w = strip(t)
+        for k, s in items[:20]:
+            x = strip(s)
+            d = min((distance(x, w[a : a + len(x)]) for a in range(len(w) - len(x) + 1)), default=99)
+            if d <= len(x) // 5:
+                want[i, k] = d
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(want) > 40
+    assert all(got[k] == want[k] for k in got if want[k] == 0)
+    kept = {r["doc_id"] for r in decontaminate.clean(table(spark, docs), bench).collect()}
+    assert kept == {i for i, _ in docs} - {i for i, _ in got}
+
+
+@given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    assert decontaminate.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), 50) == row[-1]
+
+
+PII_TEXT = st.text(alphabet=st.sampled_from("ab@.-+0123456789 ()%é_"), max_size=60)
+
+
+@given(PII_TEXT)
+@settings(max_examples=600, deadline=None)
+def test_pii_base_spans(text):
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(digits) <= 19 and pii.luhn(digits):
+            found.append(("card", *m.span()))
+    found += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    assert pii.base_spans(text) == found
+
+
+def test_pii_rows(spark):
+    texts = [(1, "mail a.b@c.de or +1 (988) 555-2485, card 4111 1111 1111 1111 at 10.0.0.1"), (2, "my IBAN: GB82 WEST 1234 5698 7654 32"), (3, "iban GB82 WEST 1234 5698 7654 33"), (4, "phone: 555-123-4567"), (5, "555-123-4567"), (6, "password=ab12cd34ef")]
+    got = {r["doc_id"]: r for r in pii.pii_digest(pii.find_pii(table(spark, texts + ODD))).collect()}
+    assert [got[1][f"n_{k}"] for k in pii.BASE] == [1, 1, 1, 1]
+    assert got[1]["base_sha256"] == hashlib.sha256(b"email:5:13,ip:64:72,card:41:60,phone:17:34").hexdigest()
+    assert got[2]["spans"] == "iban:9:36" and got[3]["spans"] == "" and got[4]["spans"] == "local_phone:7:19" and got[5]["spans"] == ""
+    assert got[6]["spans"] == "secret:9:19" and got[900]["spans"] == "" and len(got) == len(texts) + len(ODD)
+
+
+def test_luhn_and_mod97():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
+
+
+def auc(labels, scores):
+    pairs = [(s, y) for s, y in zip(scores, labels)]
+    pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    return sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+
+
+@pytest.mark.parametrize(("module", "target"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_held_out_rows(spark, module, target):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(500):
+        w = prose(rng, rng.randrange(20, 80)).split()
+        y = int(rng.random() < 0.4)
+        if target == "quality" and not y:
+            w = [x.upper() + "!!" for x in w]
+        if target == "toxic" and y:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(["idiot", "scum", "pathetic"]))
+        rows.append((k, " ".join(w)))
+        labels.append((k, y, y))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in module.classified(table(spark, rows + ODD), marks).collect()}
+    held = [k for k in range(500) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(got[k]["held_out"] == (k in set(held)) for k in range(500))
+    assert auc([labels[k][1] for k in held], [got[k]["score"] for k in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= (0.3 if target == "quality" else 0.5)) for r in got.values())
+    assert len(got) == 500 + len(ODD) and got[900]["score"] == got[901]["score"]
+    none = module.classified(table(spark, rows[:3]), marks.limit(0)).collect()
+    assert [r["score"] for r in none] == [0.5] * 3
+
+
+def within_one(x, y):
+    if abs(len(x) - len(y)) > 1:
+        return False
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y)) <= 1
+    a, b = sorted((x, y), key=len)
+    return any(a == b[:k] + b[k + 1 :] for k in range(len(b)))
+
+
+def test_line_dedup(spark):
+    rng = random.Random(2)
+    base = [prose(rng, 4) + " some line" for _ in range(12)] + ["aaaaaaaaaaaaaaaaaaaa", "", "short", "é" * 20]
+
+    def changed(x):
+        k = rng.randrange(len(x) + 1)
+        return rng.choice([x, x[:k] + "z" + x[k:], x[:k] + x[k + 1 :], x[:k] + "q" + x[k + 1 :], x[:k] + "q" + x[k + 2 :]])
+
+    rows = [(k, "\n".join(changed(rng.choice(base)) for _ in range(rng.randrange(1, 9)))) for k in range(60)] + ODD[:-2]
+    got = {r["doc_id"]: r for r in line_dedup.line_report(table(spark, rows)).collect()}
+    seen: list[str] = []
+    for i, t in sorted(rows):
+        ls = (t or "").split("\n")
+        drop = []
+        for k, x in enumerate(ls):
+            if x and any(x == y or len(x) >= 16 and len(y) >= 16 and within_one(x, y) for y in seen):
+                drop.append(k)
+            if x:
+                seen.append(x)
+        assert (got[i]["n_lines"], got[i]["dropped_lines"]) == (len(ls), ",".join(map(str, drop))), (i, ls)
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(table(spark, rows)).collect()}
+    for i, t in rows:
+        gone = {int(x) for x in got[i]["dropped_lines"].split(",") if x}
+        assert clean[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+
+
+def test_html_text(spark):
+    page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="ad">Buy now, please.</div><article><h1>Big &amp; bold</h1><p><b>First  text\nhere, and more of it.<br><p>Second &eacute; paragraph of words, quite long.</p></article><div id="comments"><p>nice one, I say.</p></div><footer>&copy; someone</footer>'
+    rows = [(1, "u", page, 5), (2, "u", None, 5), (3, "u", "", 5), (4, "u", "<p", 5), (5, None, "<div>" * 3000, 5), (1, "u", page, 5)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
+    assert len(got) == 6
+    assert [r["text"] for r in got if r["page_id"] == 1] == ["Big & bold\nFirst text here, and more of it.\nSecond é paragraph of words, quite long."] * 2
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3, 5)] == ["", "", ""]
+
+
+def test_html_decoding_never_contradicts():
+    rng = np.random.default_rng(77)
+    model = html_text.trained()
+    right = 0
+    for _ in range(60):
+        page = html_text.Page(html_text.compose_page(rng))
+        label = page.decode(model.log_odds(page.features()))
+        assert all(label[page.parent[k]] for k in range(1, len(label)) if label[k])
+        want = [t for _, t in page.blocks if "\x01" in t]
+        right += [t for n, t in page.blocks if label[n]] == want
+    assert right >= 55
+
+
+def test_packing_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    rng = random.Random(1)
+    rows = [(k, prose(rng, rng.randrange(1, 300)) + rng.choice(["", ".", ", x.", " don't. it's", " <|endoftext|> É́a.", " 12,5."])) for k in range(80)] + ODD + [(5, "twice"), (5, "twice")]
+    got = packing.pack(table(spark, rows), path, limit=512).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    for i, t in rows:
+        ids = np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        if i == 5:
+            continue
+        pieces = sorted(by[i], key=lambda r: r["start"])
+        assert [p["start"] for p in pieces] == list(range(0, len(ids), 512)) and all(p["doc_tokens"] == len(ids) for p in pieces)
+        for p in pieces:
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+    assert sum(r["doc_tokens"] < 6 for r in by[5]) == 2
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert sorted(sequences) == list(range(len(sequences)))
+
+
+@given(st.dictionaries(st.integers(1, 64), st.integers(0, 40), max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_histogram_packing(counts):
+    patterns = packing.pack_histogram(counts, 64)
+    placed = Counter()
+    for n, items in patterns:
+        assert sum(k * r for k, r in items) <= 64
+        for k, r in items:
+            placed[k] += n * r
+    assert placed == Counter({k: n for k, n in counts.items() if n})
+
+
+def test_lm_scores(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"w{rng.randrange(12)} x{rng.randrange(12)}" for _ in range(rng.randrange(1, 60)))) for k in range(150)] + ODD + [(7, "unseen once")]
+    got = lm_score.lm_scores(table(spark, rows), epochs=3).collect()
+    count = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update([*tokens(t), None])
+    n, v = sum(count.values()), len(count)
+    want = Counter()
+    for i, t in rows:
+        w = [*tokens(t), None]
+        want[(i, zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6))] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_gru_probabilities_and_state():
+    model = gru.create(64, 4, 6)
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 68, 400)
+    ptr = np.array([0, 150, 150, 151, 400])
+    one = model.score(ids, ptr, streams=3)
+    for k in range(4):
+        h, total = np.zeros((1, 6), np.float32), 0.0
+        for x in ids[ptr[k] : ptr[k + 1]]:
+            total += float(model.log_probs(h, np.array([x]))[0])
+            h = model.step(np.array([x]), h)[0]
+        assert abs(total - one[k]) < 1e-3 * max(1, abs(total))
+    h = rng.standard_normal((1, 6)).astype(np.float32)
+    assert abs(np.exp(model.log_probs(np.repeat(h, 68, 0), np.arange(68))).sum() - 1) < 1e-5
+    assert abs(model.log_probs(h, np.array([3]))[0] - model.log_probs(np.repeat(h, 2, 0), np.array([3, 60]))[0]) < 1e-6
+
+
+def test_gru_learns():
+    rng = np.random.default_rng(1)
+    docs = [np.tile([1, 40, 65, 7], 30)[: rng.integers(40, 120)] for _ in range(60)]
+    flat, ptr = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    before = gru.create(64, 4, 8)
+    start = before.score(flat, ptr).sum()
+    after = gru.fit(gru.create(64, 4, 8), docs, streams=8, epochs=8).score(flat, ptr).sum()
+    assert after > 0.3 * start
+
+
+def test_empty_tables(spark):
+    docs = table(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    import public_tokenizers
+
+    assert jaccard_join.near_duplicates(docs).count() == 0
+    assert exact_dedup.exact_dedup(docs).count() == 0
+    assert decontaminate.contaminated(docs, bench).count() == 0
+    assert decontaminate.contaminated(table(spark, ODD), bench).count() == 0
+    assert pii.find_pii(docs).count() == 0
+    assert quality.classified(docs, labels).count() == 0 and toxicity.classified(docs, labels).count() == 0
+    assert line_dedup.line_report(docs).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert lm_score.lm_scores(docs).count() == 0
