@@ -39,8 +39,8 @@ from skein.llm.textops import by_size, mix, shingles, words
 
 FREQUENT = 200_000  # entries of the table of frequent shingles, at most
 BATCH = 2 << 20  # bytes of text in memory at once
-COUNTED = 2_000_000  # shingles counted together
-LOCAL = 3  # texts of those counted together that make a shingle a candidate for it
+COUNTED = 4_000_000  # shingles counted together
+LOCAL = 2  # texts of those counted together that make a shingle a candidate for it
 SHORT = 16  # entries of a list that is joined at once
 SALTED = 4096  # entries of a list that one task takes
 BLOCK = 64  # entries of a block
