@@ -153,10 +153,13 @@ def _without(text: Column, pattern: str) -> Column:
     return F.array_join(F.filter(T.lines(text), lambda x: ~x.rlike(pattern)), "\n")
 
 
-def compress(text: Column, about: Column, command: Column, failed: Column, config: Config = Config()) -> Column:
-    """The first summary that takes the command; null if none does or nothing may be summarised."""
+def compress(text: Column, about: Column, command: Column, failed: Column, config: Config = Config(), bad_text: Column | None = None) -> Column:
+    """The first summary that takes the command; null if none does or nothing may be summarised.
+
+    ``bad_text`` says whether the text holds failure records, where that is known already.
+    """
     filtered, _ = custom(text, command, config)
-    failure = failed | T.has_failure(text)
+    failure = failed | (T.has_failure(text) if bad_text is None else bad_text)
     chosen = F.coalesce(F.when(~failure, F.coalesce(git(text, about), packages(text, about), tests(text, about))), F.when(~failed, linters(text, about)), F.when(~failure, containers(text, about)))
     return F.when(about["binary"].isNotNull(), F.coalesce(filtered, chosen))
 

@@ -28,10 +28,11 @@ def first_occurrences(rows: DataFrame, exempt: str | None = "--") -> DataFrame:
 
 
 def dedup_lines(lines: Column, exempt: str = "--") -> Column:
-    """The same on an array of lines, without a shuffle, in one pass over positions."""
-    # the first position of each line comes from a map built once per text
-    firsts = F.map_from_entries(F.transform(F.array_distinct(lines), lambda x: F.struct(x, F.array_position(lines, x))))
-    return F.filter(lines, lambda x, i: (x == exempt) | (F.try_element_at(firsts, x) == i + 1))
+    """The same on an array of lines: no shuffle, one hash pass over each text."""
+    # exempt lines get a number of their own for the while, so that the distinct pass keeps them all
+    mark = exempt + "\x00"
+    numbered = F.transform(lines, lambda x, i: F.when(x == exempt, F.concat(F.lit(mark), i.cast("string"))).otherwise(x))
+    return F.transform(F.array_distinct(numbered), lambda x: F.when(x.startswith(mark), F.lit(exempt)).otherwise(x))
 
 
 def collapse_matches(rows: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ _failing = folds.text_udf(folds.failing_summary)
 _traces = folds.text_udf(folds.dedup_traces)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A metrics node: what is computed up to here is computed once, the optimiser doesn't copy it into later uses."""
+    return df.observe(f"settled-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def generic_chain(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``reduced`` and ``rules``: escapes, progress, similar runs, test runs, traces, long texts; ends with the near-empty guard."""
     steps = [("stripAnsi", T.strip_ansi), ("stripProgressNoise", T.strip_progress), ("collapseRepeatedLines", _collapse)]
@@ -26,9 +31,11 @@ def generic_chain(df: DataFrame, text: str = "text") -> DataFrame:
     for k, (_, step) in enumerate(steps):
         df = df.withColumn(f"_{k + 1}", step(F.col(f"_{k}")))
     runner, bad = T.is_test_output(F.col("_3")), T.has_fail_line(F.col("_3"))
-    df = df.withColumn("_runner", runner).withColumn("_bad", bad).withColumn("_f", _failing(F.when(F.col("_runner") & F.col("_bad"), F.col("_3"))))
+    df = settled(settled(df).withColumn("_runner", runner).withColumn("_bad", bad)).withColumn("_f", _failing(F.when(F.col("_runner") & F.col("_bad"), F.col("_3"))))
     df = df.withColumn("_4", F.when(~F.col("_runner"), F.col("_3")).when(F.col("_bad"), F.col("_f")).otherwise(T.passing_summary(F.col("_3"))))
+    df = settled(df)
     df = df.withColumn("_5", _traces(F.col("_4"))).withColumn("_6", T.head_tail(F.col("_5")))
+    df = settled(df)
     names = [n for n, _ in steps] + ["summarizeTestRunners", "dedupStackTraces", "headTailTruncate"]
     changed = [F.col(f"_{k}") != F.col(f"_{k + 1}") for k in range(6)]
     # a summary of a test run that dropped the folded runs takes their rule with it
@@ -50,10 +57,10 @@ def size_gate(text: Column, config: Config = Config()) -> Column:
     return T.units(text) >= config.min_chars
 
 
-def observed_failure(exit_code: Column, stdout: Column, stderr: Column, binary: Column) -> Column:
+def observed_failure(exit_code: Column, bad_out: Column, bad_err: Column, binary: Column) -> Column:
     """The exit code where one was seen; else failure records on stderr or, but for linters, stdout."""
     linter = F.coalesce(binary.isin(K.LINTERS), F.lit(False))
-    return F.coalesce(exit_code != 0, T.has_failure(stderr) | (~linter & T.has_failure(stdout)))
+    return F.coalesce(exit_code != 0, bad_err | (~linter & bad_out))
 
 
 def bash_results(events: DataFrame, config: Config = Config()) -> DataFrame:
@@ -64,7 +71,8 @@ def bash_results(events: DataFrame, config: Config = Config()) -> DataFrame:
     """
     df = described(events, "command", config)
     df = df.withColumn("stdout", F.coalesce("stdout", F.lit(""))).withColumn("stderr", F.coalesce("stderr", F.lit("")))
-    failed = observed_failure(F.col("exit_code"), F.col("stdout"), F.col("stderr"), F.col("about.binary"))
+    df = settled(df.withColumn("_bad_out", T.has_failure(F.col("stdout"))).withColumn("_bad_err", T.has_failure(F.col("stderr"))))
+    failed = observed_failure(F.col("exit_code"), F.col("_bad_out"), F.col("_bad_err"), F.col("about.binary"))
     gate = (
         F.when(F.lit(config.disabled("Bash")), F.lit("disabled"))
         .when(F.coalesce(F.col("is_image"), F.lit(False)), F.lit("skippedImage"))
@@ -73,17 +81,18 @@ def bash_results(events: DataFrame, config: Config = Config()) -> DataFrame:
     )
     df = df.withColumn("gate", gate)
     # UDFs run before a CASE decides, so rows that a gate stopped give them nothing to do
+    df = settled(df)
     df = df.withColumn("_in", F.when(F.col("gate").isNull(), F.col("stdout")))
-    df = df.withColumn("_special", compress(F.col("_in"), F.col("about"), F.col("command"), F.lit(False), config))
-    # a metrics node: the optimiser doesn't copy the summaries, and the folds in them, into what follows
-    df = df.observe(f"summaries-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
-    df = generic_chain(df.withColumn("_plain", F.when(F.col("_special").isNull(), F.col("_in"))), "_plain")
+    df = df.withColumn("_special", compress(F.col("_in"), F.col("about"), F.col("command"), F.lit(False), config, F.col("_bad_out")))
+    df = generic_chain(settled(df).withColumn("_plain", F.when(F.col("_special").isNull(), F.col("_in"))), "_plain")
     text = F.coalesce(F.col("_special.text"), F.col("reduced"))
     rules = F.when(F.col("_special").isNotNull(), F.array(F.col("_special.rule"))).otherwise(F.col("rules"))
     df = df.withColumn("_text", text).withColumn("_rules", rules)
     err = T.strip_progress(T.strip_ansi(F.col("stderr")), True)
     err_rules = F.array_compact(F.array(F.when(T.strip_ansi(F.col("stderr")) != F.col("stderr"), F.lit("stripAnsi")), F.when(err != T.strip_ansi(F.col("stderr")), F.lit("stripProgressNoise"))))
+    df = settled(df)
     df = df.withColumn("_out", with_marker(F.col("_text"), F.col("_rules"))).withColumn("_err", with_marker(err, err_rules))
+    df = settled(df)
     n_in = F.octet_length("stdout") + F.octet_length("stderr")
     n_out = F.octet_length("_out") + F.octet_length("_err")
     df = df.withColumn("outcome", F.coalesce(F.col("gate"), F.when(T.poor_ratio(n_in, n_out), F.lit("skippedPoorRatio")).otherwise(F.lit("compressed"))))

@@ -31,6 +31,13 @@ def test_grep_chain(spark):
     assert got == "a:1:x\na:2:y\na:3:z\n... [skein: 2 more at a:4, a:5]\n--\nb:1:x\n--\nplain\n... [skein: 1 duplicate match lines omitted]"
 
 
+def test_array_dedup_equals_rows(spark):
+    ls = ["a", "--", "b", "a", "--", "", "", "b", "c"]
+    out = spark.createDataFrame([("\n".join(ls),)], "t string").select(R.dedup_lines(F.split("t", "\n")).alias("x")).first()["x"]
+    kept = R.first_occurrences(rows(spark, *ls)).where("kept").orderBy("pos").collect()
+    assert out == [r["line"] for r in kept] == ["a", "--", "b", "--", "", "c"]
+
+
 def test_glob_groups_cap(spark):
     names = spark.createDataFrame([(1, k, f"d/f{k}") for k in range(60)] + [(1, 60, "top")], "id long, pos int, name string")
     first, second = text_of(R.glob_groups(names)).split("\n")
