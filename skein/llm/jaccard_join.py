@@ -9,8 +9,8 @@ and post only their prefix, so that any linked pair meets in some index list.
 * Index level: the entries of a list are sorted by position and cut into blocks;
   a pair of blocks whose best positions can't give the needed overlap is skipped
   whole, and a pair of entries is checked by size and position before it counts.
-* Sets in long lists are posted a second time among themselves, in the exact
-  order of their shingles' frequency, so that what a group shares comes last.
+* Sets in long lists are posted a second time among themselves, in the order of
+  their own shingles' frequency, so that what a group shares comes last.
 * Answer level: in a list that is still long each set is first compared with the
   most typical set only.  The links found make families of highly similar sets, and
   the answers within a family follow from them; the list is then joined only
@@ -18,8 +18,8 @@ and post only their prefix, so that any linked pair meets in some index list.
 All candidate pairs are verified on whole sets, so components are exact (up to
 64-bit hashes of shingles and sets: about n * n / 4e19 odds for n sets).
 
-Only shingles known to be frequent (a bounded table of ``FREQUENT`` entries)
-steer the order; any order is right.  Null texts count as empty; repeated rows
+Counts of all shingles are taken; the ``FREQUENT`` most frequent (8 bytes each)
+are broadcast and steer the order, and any order is right.  Null texts count as empty; repeated rows
 share their set; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -40,7 +40,6 @@ from skein.llm.textops import by_size, mix, shingles, words
 FREQUENT = 200_000  # entries of the table of frequent shingles, at most
 BATCH = 2 << 20  # bytes of text in memory at once
 COUNTED = 4_000_000  # shingles counted together
-LOCAL = 2  # texts of those counted together that make a shingle a candidate for it
 SHORT = 16  # entries of a list that is joined at once
 SALTED = 4096  # entries of a list that one task takes
 BLOCK = 64  # entries of a block
@@ -81,32 +80,13 @@ def sketch(x: np.ndarray) -> bytes | None:
 
 
 def _profile(width: int):
-    """Rows (0, doc_id, set id, size) of texts and (1, shingle, texts of the batch, 0) of frequent shingles."""
-
-    def often(sets: list[np.ndarray], node: np.ndarray) -> pa.RecordBatch:
-        _, first = np.unique(node, return_index=True)
-        flat = np.sort(np.concatenate([sets[k] for k in first]))
-        edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-        n = np.diff(np.concatenate([edge, [len(flat)]]))
-        keep = n >= LOCAL
-        k = int(keep.sum())
-        return pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(flat[edge[keep]].view(np.int64)), pa.array(n[keep]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], ["kind", "x", "y", "n", "sketch", "raw"])
+    """(doc_id, set id, size, sketch, xxhash64 of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
         for b in by_size(batches, "text", BATCH):
             sets = text_sets(b.column(1), width)
-            node = set_ids(sets)
             size = np.fromiter(map(len, sets), np.int64, len(sets))
-            yield pa.record_batch([pa.array(np.zeros(len(size), np.int32)), b.column(0), pa.array(node), pa.array(size), pa.array([sketch(x) for x in sets], pa.binary()), b.column(2)], ["kind", "x", "y", "n", "sketch", "raw"])
-            held += sets
-            ids.append(node)
-            if sum(map(len, held)) > COUNTED:
-                yield often(held, np.concatenate(ids))
-                held, ids = [], []
-        if held:
-            yield often(held, np.concatenate(ids))
+            yield pa.record_batch([b.column(0), pa.array(set_ids(sets)), pa.array(size), pa.array([sketch(x) for x in sets], pa.binary()), b.column(2)], ["doc_id", "node", "n", "sketch", "raw"])
 
     return run
 
@@ -135,8 +115,9 @@ def _prefixes(width: int, percent: int, tokens: np.ndarray, counts: np.ndarray,
                     continue
                 weight = np.zeros(n, np.int64)
                 if len(tokens):
-                    spot = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-                    weight = np.where(tokens[spot] == x, counts[spot], 0)
+                    key = (x >> np.uint64(32)).astype(np.uint32)
+                    spot = np.minimum(np.searchsorted(tokens, key), len(tokens) - 1)
+                    weight = np.where(tokens[spot] == key, counts[spot], 0)
                 long = n - -(-percent * n // 100) + 1
                 rare = int((weight == 0).sum())
                 order = np.lexsort((x, weight)) if rare < long else np.flatnonzero(weight == 0)[:long]
@@ -303,8 +284,9 @@ def _shingle_blocks(width: int, buckets: int):
         for b in by_size(batches, "text", BATCH):
             sets = text_sets(b.column(0), width)
             _, first = np.unique(set_ids(sets), return_index=True)
-            flat = np.concatenate([sets[k] for k in first])
-            bucket = (mix(flat) % np.uint64(buckets)).astype(np.int32)
+            # the upper half of a hash is enough for an order
+            flat = (np.concatenate([sets[k] for k in first]) >> np.uint64(32)).astype(np.uint32)
+            bucket = (flat % np.uint32(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             flat, bucket = flat[order], bucket[order]
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -315,8 +297,8 @@ def _shingle_blocks(width: int, buckets: int):
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y): shingles held by more than half of SHORT sets, and how many hold them."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    """(x, y): keys of shingles held by more than half of SHORT sets, and how many hold them."""
+    keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
     held: list[np.ndarray] = []
 
     def merge() -> None:
@@ -329,13 +311,13 @@ def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for x in b.column(1).to_pylist():
-            held.append(np.frombuffer(x, "<u8"))
+            held.append(np.frombuffer(x, "<u4"))
             if sum(map(len, held)) > COUNTED:
                 merge()
     if held:
         merge()
     keep = counts > SHORT // 2
-    yield pa.record_batch([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["x", "y"])
+    yield pa.record_batch([pa.array(keys[keep].astype(np.int64)), pa.array(counts[keep])], ["x", "y"])
 
 
 def _set_blocks(width: int):
@@ -387,18 +369,19 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.width, self.percent = width, percent
         self.docs = texts(docs)
-        profile = cut(self.docs.withColumn("raw", F.xxhash64("text")).mapInArrow(_profile(width), "kind int, x long, y long, n long, sketch binary, raw long"), "sets")
-        self.rows = profile.where("kind = 0").select(F.col("x").alias("doc_id"), F.col("y").alias("node"), "n", "raw")
-        self.sketches = profile.where("kind = 0").select(F.col("y").alias("node"), "n", "sketch")
-        self.tokens, self.counts = self._table(profile.where("kind = 1").groupBy("x").agg(F.sum("y").alias("y")).where("y >= 16"))
-
-    @staticmethod
-    def _table(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent shingles (FREQUENT at most) in order, and their counts."""
+        profile = cut(self.docs.withColumn("raw", F.xxhash64("text")).mapInArrow(_profile(width), "doc_id long, node long, n long, sketch binary, raw long"), "sets")
+        self.rows = profile.select("doc_id", "node", "n", "raw")
+        self.sketches = profile.select("node", "n", "sketch")
+
+    def _table(self, some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (the upper half) of the most frequent shingles of some texts, FREQUENT at most, in order, and their counts."""
+        n = partitions(self.spark)
+        blocks = some.mapInArrow(_shingle_blocks(self.width, 4 * n), "bucket int, block binary")
+        counted = cut(blocks.repartition(n, "bucket").mapInArrow(_often, "x long, y long"), "often")
         frame = counted.orderBy(F.desc("y"), "x").limit(FREQUENT).toArrow()
-        tokens, counts = frame["x"].to_numpy().view(np.uint64), frame["y"].to_numpy()
-        order = np.argsort(tokens)
-        return tokens[order], counts[order]
+        keys, counts = frame["x"].to_numpy().astype(np.uint32), frame["y"].to_numpy()
+        order = np.argsort(keys)
+        return keys[order], counts[order]
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """Texts that have the given sets."""
@@ -416,7 +399,9 @@ class JaccardJoin:
     def _verified(self, pairs: DataFrame, what: str) -> DataFrame:
         pairs = cut(pairs.dropDuplicates(["a", "b"]), "pairs")
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = cut(self.sketches.join(asked, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+        asked = cut(asked, "asked")
+        few = asked.count() <= BROADCAST_IDS
+        known = cut(self.sketches.join(F.broadcast(asked) if few else asked, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
         one = known.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x"))
         two = known.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
         met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "n", "m", "x", "y")
@@ -431,11 +416,11 @@ class JaccardJoin:
     def links(self) -> DataFrame:
         """Verified links (a, b) of sets that give all components."""
         n = partitions(self.spark)
-        early = self._joined(self.docs.select("text"), (self.tokens, self.counts), False)
-        # sets that met in long lists go again by themselves, in the exact order of their shingles' frequency
+        whole = self.docs.select("text")
+        early = self._joined(whole, self._table(whole), False)
+        # sets that met in long lists go again by themselves, in the order of their own shingles' frequency
         some = cut(self._texts(early.where("kind = 1").select(F.col("b").alias("node")).distinct()), "again")
-        counted = some.mapInArrow(_shingle_blocks(self.width, 4 * n), "bucket int, block binary").repartition(n, "bucket").mapInArrow(_often, "x long, y long")
-        found = self._joined(some, self._table(cut(counted, "often")), True)
+        found = self._joined(some, self._table(some), True)
         first = self._verified(early.where("kind = 0").select("a", "b").unionByName(found.where("kind = 0").select("a", "b")), "links")
         late = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "pos")
         family = components(first)
