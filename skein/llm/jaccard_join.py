@@ -441,7 +441,9 @@ class JaccardJoin:
         """doc_id, n_shingles, component_id and xxhash64 of the text (raw) for every row."""
         label = components(self.links())
         rows = self.rows.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
-        least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+        rows = cut(rows, "labels")
+        # written first, so that the join below has plain exchanges and a label with very many rows can be split
+        least = cut(rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
         found = rows.join(least.hint("merge"), "label", "left")
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "raw")
 
