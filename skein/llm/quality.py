@@ -33,7 +33,7 @@ DIM = 8
 PER_CLASS = 1500
 EPOCHS = 12
 RATE = 20.0
-BATCH = 2 << 20  # bytes of text in memory at once
+BATCH = 1 << 20  # bytes of text in memory at once
 
 
 def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-RELEASE_EVERY = 8 << 20  # bytes of text
+RELEASE_EVERY = 4 << 20  # bytes of text
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)

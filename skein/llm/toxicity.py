@@ -33,7 +33,7 @@ SMOOTH = 1.0
 EPOCHS = 8
 RATE = 0.05
 DECAY = 1e-4
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 #: Lower case, and every white space a plain space.
 PLAIN = LOWER.copy()
