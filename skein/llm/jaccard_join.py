@@ -91,7 +91,7 @@ def _profile(width: int):
     return run
 
 
-ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("rare", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("rare", "<i4"), ("dealt", "u1")])
 
 
 def need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -127,9 +127,10 @@ def _prefixes(width: int, percent: int, tokens: np.ndarray, counts: np.ndarray,
             if not rows:
                 continue
             entries, weight = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            # a list too long for one task is dealt out in parts by node
+            # a list that may be too long for one task is dealt out in parts, anew for each shingle
             parts = np.maximum(1, weight // SALTED).astype(np.uint64)
-            salt = mix(entries["node"].view(np.uint64)) % parts
+            entries["dealt"] = parts > 1
+            salt = mix(entries["node"].view(np.uint64) ^ mix(entries["token"])) % parts
             bucket = (mix(entries["token"] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             entries, bucket = entries[order], bucket[order]
@@ -186,7 +187,8 @@ def _lists(percent: int, last: bool):
 
     At first that is (1, 0, node): the sets in them are ordered anew.  At last it
     is their pairs with the most typical set, and (1, shingle, node, size,
-    position) of entries that may still have a partner.
+    position) of entries that may still have a partner.  A part of a list that is
+    dealt out counts as long whatever its size, as partners may be in other parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +204,16 @@ def _lists(percent: int, last: bool):
         edge = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
         size = np.diff(np.concatenate([edge, [len(e)]]))
         xs, ys, late = [], [], []
-        two = edge[size == 2]
+        dealt = e["dealt"][edge] > 0
+        two = edge[(size == 2) & ~dealt]
         p, q = e[two], e[two + 1]
         ok = np.minimum(p["n"] - p["pos"], q["n"] - q["pos"]) >= need(p["n"].astype(np.int64), q["n"].astype(np.int64), percent)
         xs.append(p["node"][ok])
         ys.append(q["node"][ok])
-        for k in np.flatnonzero(size > 2).tolist():
+        for k in np.flatnonzero((size > 2) | dealt).tolist():
             part = e[edge[k] : edge[k] + size[k]]
             n, pos = part["n"].astype(np.int64), part["pos"].astype(np.int64)
-            if size[k] <= SHORT:
+            if size[k] <= SHORT and not dealt[k]:
                 i, j = block_pairs(n, pos, percent)
                 xs.append(part["node"][i])
                 ys.append(part["node"][j])
@@ -223,9 +226,10 @@ def _lists(percent: int, last: bool):
             xs.append(part["node"][ok])
             ys.append(np.full(int(ok.sum()), part["node"][top]))
             # entries whose position rules out every size of partner in the list go no further
-            partner = np.maximum(n.min(), -(-percent * n // 100))
+            least = 0 if dealt[k] else n.min()
+            partner = np.maximum(least, -(-percent * n // 100))
             able = part[n - pos >= need(n, partner, percent)]
-            if len(able) > 1:
+            if len(able) > 1 or dealt[k]:
                 late.append(able)
         x, y = np.concatenate(xs), np.concatenate(ys)
         pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)

@@ -103,6 +103,20 @@ def test_jaccard_components(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize(("salted", "short"), [(3, 16), (4, 4)])
+def test_jaccard_lists_dealt_out(spark, monkeypatch, salted, short):
+    monkeypatch.setattr(jaccard_join, "SALTED", salted)
+    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    rng = random.Random(salted)
+    rows = near_copies(rng)
+    # shingles that occur often in exact copies and in few sets besides
+    for base in range(500, 1000, 50):
+        text = prose(rng, 30, 10**6)
+        rows += [(base + k, text) for k in range(40)] + [(base + 40, f"{text} end"), (base + 41, f"start {text}")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(table(spark, rows).repartition(40)).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_block_pairs_lose_nothing():
     rng = np.random.default_rng(4)
     n, pos = rng.integers(20, 60, 300), rng.integers(0, 12, 300)
