@@ -35,6 +35,18 @@ class Gru:
     def groups(self) -> int:
         return self.head // GROUP
 
+    def packed(self) -> np.ndarray:
+        """All weights in one row."""
+        return np.concatenate([a.ravel() for a in (self.entry, self.state, self.classes, self.words)])
+
+    def unpacked(self, row: np.ndarray) -> Gru:
+        """A model of this shape with such weights."""
+        out, at = [], 0
+        for a in (self.entry, self.state, self.classes, self.words):
+            out.append(row[at : at + a.size].reshape(a.shape).astype(np.float32))
+            at += a.size
+        return Gru(self.head, self.tails, *out)
+
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.head, ids // GROUP, self.groups + ids - self.head)
 
@@ -141,7 +153,7 @@ class Adam:
 
 
 def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2, rate: float = 0.01) -> Gru:
-    """Truncated backpropagation through windows of WINDOW steps over rows of documents."""
+    """Truncated backpropagation through windows of WINDOW steps over rows of documents, every token of them."""
     docs = [d for d in docs if len(d)]
     if not docs:
         return model
@@ -149,14 +161,16 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
     start = np.zeros(len(flat), bool)
     start[np.cumsum([0, *map(len, docs[:-1])])] = True
     streams = int(max(1, min(streams, len(flat) // WINDOW)))
-    steps = len(flat) // streams
-    grid, fresh = flat[: steps * streams].reshape(streams, steps).T, start[: steps * streams].reshape(streams, steps).T
+    steps = -(-len(flat) // streams)
+    real = np.arange(steps * streams).reshape(streams, steps).T < len(flat)  # what pads the last rows counts nothing
+    pad = steps * streams - len(flat)
+    grid, fresh = np.pad(flat, (0, pad)).reshape(streams, steps).T, np.pad(start, (0, pad)).reshape(streams, steps).T
     width = model.state.shape[0]
     arrays = [model.entry, model.state, model.classes, model.words]
     adam = Adam(arrays, rate)
     for epoch in range(epochs):
         h = np.zeros((streams, width), np.float32)
-        for first in range(0, steps - 1, WINDOW):
+        for first in range(0, steps, WINDOW):
             adam.rate = rate * (1 - (epoch + first / steps) / epochs) + 1e-4
             span = range(first, min(first + WINDOW, steps))
             kept, states = [], []
@@ -168,7 +182,9 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
                 h = nxt
             ids = grid[span.start : span.stop].reshape(-1)
             top = np.stack(states).reshape(-1, width)
-            back, g_classes, g_words = _output_grad(model, top, ids)
+            live = real[span.start : span.stop].reshape(-1)
+            back = np.zeros_like(top)
+            back[live], g_classes, g_words = _output_grad(model, top[live], ids[live])
             scale = np.float32(1 / streams / WINDOW)
             back = (back * scale).reshape(len(span), streams, width)
             g_entry, g_state = np.zeros_like(model.entry), np.zeros_like(model.state)

@@ -11,9 +11,10 @@ those whose crc32(doc_id as text) modulo 7 is not 2.
   class, (c + 1) / (sum of c + 1 over the class, and 1 for unseen words).  Each
   text is scored whole, with the state carried from window to window.
 
-Network weights are learned on a sample of at most ``SAMPLE_DOCS`` training texts
-and ``SAMPLE_TOKENS`` of their tokens (documented bound); counts, and with them
-all word probabilities of the tail, come from the whole corpus.  Counts of the
+Network weights are learned on all training texts.  They begin with what whole
+texts of a hashed sample (``SAMPLE_DOCS``, ``SAMPLE_TOKENS``) teach; then each of
+``ROUNDS`` hashed shares of all texts is learned in its partitions, and the weights
+of the partitions are averaged by their tokens.  Counts of the
 ``FREQUENT`` most frequent words (12 bytes each) are broadcast, all others meet
 their words in a shuffle.
 
@@ -42,6 +43,10 @@ WIDTH = 24
 FREQUENT = 1 << 18
 SAMPLE_DOCS = 2000
 SAMPLE_TOKENS = 1_200_000
+ROUNDS = 2
+RATE = 0.003  # of the rounds
+STREAMS = 128
+SUMS = 8  # partial sums of weights that reach the driver
 END_KEY = np.uint64(1)
 COUNTED = 3_000_000  # tokens counted together in a worker
 ENTRY = np.dtype([("word", "<u8"), ("row", "<i8")])
@@ -114,6 +119,47 @@ def _encode(lexicon: Lexicon):
     return run
 
 
+def _learn(lexicon: Lexicon, model: gru.Gru):
+    """(tokens, weights) of a partition that goes on from the given weights over all its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = model.unpacked(model.packed()), 0
+        for b in by_size(batches, "text", 2 << 20):
+            w, t, ptr = tokens(b.column(0))
+            _, ids = lexicon.find(w, t)
+            gru.fit(own, np.split(ids, ptr[1:-1]), streams=STREAMS, epochs=1, rate=RATE)
+            n += len(ids)
+        if n:
+            yield pa.record_batch([pa.array([n]), pa.array([own.packed().tobytes()], pa.binary())], ["n", "block"])
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tokens, sum of weights times tokens) of a partition."""
+    n, total = 0, None
+    for b in batches:
+        for k, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            own = np.frombuffer(block, "<f4").astype(np.float64) * k
+            n, total = n + k, own if total is None else total + own
+    if n:
+        yield pa.record_batch([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "block"])
+
+
+def learned(training: DataFrame, lexicon: Lexicon, model: gru.Gru) -> tuple[gru.Gru, int]:
+    """The model after all training texts, each once, and how many tokens it has learned from."""
+    seen = 0
+    for r in range(ROUNDS):
+        share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r).select("text")
+        parts = cut(share.mapInArrow(_learn(lexicon, model), "n long, block binary"), "weights")
+        sums = parts.coalesce(SUMS).mapInArrow(_sums, "n long, block binary").toArrow()
+        n = sum(sums["n"].to_pylist())
+        if n:
+            model = model.unpacked(sum(np.frombuffer(x, "<f8") for x in sums["block"].to_pylist()) / n)
+        seen += n
+    return model, seen
+
+
 def _score(lexicon: Lexicon, model: gru.Gru, buckets: int, unit: float):
     """Rows (0, row, doc_id, tokens, known, base, score) with all but rare words, and blocks of rare words (1, bucket, ...)."""
     schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "block"]
@@ -204,14 +250,15 @@ def lm_scores(docs: DataFrame, epochs: int = 2) -> DataFrame:
     np.subtract.at(mass, tail[:HEAD], c[:HEAD] + 1)
     lexicon = Lexicon(words, c, mass)
     chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = training.join(F.broadcast(chosen), "doc_id").mapInArrow(_encode(lexicon), "doc_id long, ids array<int>").toArrow().sort_by("doc_id")
+    sample = training.join(F.broadcast(chosen), "doc_id").mapInArrow(_encode(lexicon), "doc_id long, ids array<int>")
+    sample = sample.where(F.size("ids") <= SAMPLE_TOKENS // 16).withColumn("spot", F.xxhash64("doc_id")).toArrow().sort_by([("spot", "ascending"), ("doc_id", "ascending")])
     streams, held = [], 0
     for ids in sample["ids"]:
-        if held >= SAMPLE_TOKENS:
-            break
-        streams.append(np.asarray(ids.values, np.int64)[: SAMPLE_TOKENS - held])
-        held += len(streams[-1])
+        if held + len(ids.values) <= SAMPLE_TOKENS:
+            streams.append(np.asarray(ids.values, np.int64))
+            held += len(streams[-1])
     model = gru.fit(gru.create(HEAD, TAILS, WIDTH), streams, epochs=epochs)
+    model, _ = learned(training, lexicon, model)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     unit = float(np.log10(total + distinct + 1))
     found = cut(numbered.mapInArrow(_score(lexicon, model, 4 * n, unit), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, block binary"), "scores")

@@ -390,6 +390,20 @@ def test_lm_scores(spark):
     assert all(r["score"] < 0 for r in got)
 
 
+def test_lm_learns_from_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 1)
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{(k + j) % 12}" for j in range(rng.randrange(20, 60)))) for k in range(120)] + [(200, "long " * 3000)]
+    seen = []
+    whole = lm_score.learned
+    monkeypatch.setattr(lm_score, "learned", lambda *a: seen.append(whole(*a)) or seen[-1])
+    got = lm_score.lm_scores(table(spark, rows)).collect()
+    assert seen[0][1] == got[0]["train_tokens"] == sum(len(tokens(t)) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    monkeypatch.setattr(lm_score, "learned", lambda training, lexicon, model: (model, 0))
+    sample_only = lm_score.lm_scores(table(spark, rows)).collect()
+    assert sum(r["score"] for r in got) > sum(r["score"] for r in sample_only)
+
+
 def test_gru_probabilities_and_state():
     model = gru.create(64, 4, 6)
     rng = np.random.default_rng(0)
