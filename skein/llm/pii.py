@@ -96,6 +96,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Spans with a right checksum; words that follow an IBAN may look like more of it, so each shorter end is tried."""
+    out, at = [], 0
+    while (m := _IBAN.search(text, at)) is not None:
+        end = m.end()
+        while end > 0 and not (_IBAN.fullmatch(text, m.start(), end) and mod97(text[m.start() : end])):
+            end = text.rfind(" ", m.start(), end)
+        if end > 0:
+            out.append((m.start(), end))
+        at = max(end, m.start() + 1)
+    return out
+
+
 def _score(kind: str, text: str, start: int, end: int) -> float:
     near = text[max(0, start - REACH) : start].lower() + " " + text[end : end + REACH].lower()
     bonus = 0.3 if any(w in near for w in CONTEXT[kind]) else 0.0
@@ -113,9 +126,8 @@ def more_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
                 found.append((kind, start, end, score))
 
     if _DIGIT.search(text):
-        for m in _IBAN.finditer(text):
-            if mod97(m.group()):
-                propose("iban", m.start(), m.end())
+        for start, end in ibans(text):
+            propose("iban", start, end)
         for m in _SSN.finditer(text):
             if m.group()[:3] not in ("000", "666") and m.group()[0] != "9" and m.group()[4:6] != "00" and m.group()[7:] != "0000":
                 propose("ssn", m.start(), m.end())

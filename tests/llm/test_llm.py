@@ -234,6 +234,13 @@ def test_pii_rows(spark):
     assert got[6]["spans"] == "secret:9:19" and got[900]["spans"] == "" and len(got) == len(texts) + len(ODD)
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 12", " A B C", " GB82 WEST 1234 5698 7654 32", " Bic"])
+def test_iban_before_other_words(after):
+    text = f"iban DE89 3704 0044 0532 0130 00{after}"
+    found = [text[s:e] for k, s, e, _ in pii.more_spans(text, []) if k == "iban"]
+    assert found == ["DE89 3704 0044 0532 0130 00"] + ([after[1:]] if after.startswith(" GB82") else [])
+
+
 def test_luhn_and_mod97():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
