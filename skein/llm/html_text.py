@@ -30,6 +30,7 @@ from skein.llm.textops import by_size
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math select button object canvas audio video".split())
+WHOLE = frozenset("script style textarea title".split())  # without an end tag they hold the rest of the page
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 # what a start tag closes while it is the nearest open one of these
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -116,6 +117,7 @@ class Page:
             del stack[k:]
 
         at = 0
+        endless: set[str] = set()
         in_head = False
         while (m := _TAG.search(html, at)) is not None:
             if m.start() > at and not in_head:
@@ -137,9 +139,16 @@ class Page:
                     del stack[k]
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
                 own.append(" ")
+                if name not in WHOLE and (name in endless or html.endswith("/>", 0, at)):
+                    continue
+                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif name in WHOLE:
+                    at = len(html)
+                else:
+                    endless.add(name)  # no end tag ahead: the tag alone is dropped
                 continue
             if name in VOID:
                 if name == "hr":

@@ -321,6 +321,12 @@ def test_html_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got) and [r["text"] for r in got if r["page_id"] in (2, 3, 5)] == ["", "", ""]
 
 
+@pytest.mark.parametrize(("tag", "kept"), [("<button>", True), ("<iframe src='x'/>", True), ("<svg width='1'/>", True), ("<video>", True), ("<script>", False), ("<svg><path></svg>", True)])
+def test_html_elements_without_end(tag, kept):
+    texts = [t for _, t in html_text.Page(f"<body><p>before</p>{tag}<p>behind</p><svg>in</svg><p>last</p></body>").blocks]
+    assert texts == (["before", "behind", "last"] if kept else ["before"])
+
+
 def test_html_decoding_never_contradicts():
     rng = np.random.default_rng(77)
     model = html_text.trained()
