@@ -1,11 +1,15 @@
 """Quality classifier by supervised subword embeddings.
 
-Hashed words and byte n-grams of a text each have a learned vector; a text is
-the average of its vectors, a softmax layer gives the score.  Training is plain
-stochastic gradient descent in numpy on a bounded sample of labelled rows
-(``PER_CLASS`` of each label, whole texts).  As the output layer is linear, a
-text's score needs only each feature's projection on it, so scoring reads one
-number per feature.
+Hashed words and character n-grams of words (with the white space at their
+edges) each have a learned vector; a text is the average of its vectors, a
+softmax layer gives the score.  Training is plain stochastic gradient descent in
+numpy on a bounded sample of labelled rows: ``PER_CLASS`` of each label and
+``SAMPLE_BYTES`` of feature ids at most, whole texts.  As the output layer is
+linear, a text's score needs only each feature's projection on it, so scoring
+reads one number per feature.
+
+Held-out rows (crc32 of the doc_id modulo 5 is 0) are never learned from, nor
+counted in the share of label 1.  A doc_id with both labels is left out.
 
 Only the text is an input of the score.  Null counts as empty; a text without
 features gets the score of the bias alone; without labelled rows every score is
@@ -24,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import keep_rows, texts
-from skein.llm.hashed import gram_ids, labelled_sample, padded_bytes, remainder, row_sums, word_ids
+from skein.llm.hashed import fetched, gram_ids, labelled_sample, padded_bytes, remainder, row_sums, word_ids
 from skein.llm.textops import by_size
 
 BITS = 16  # of the ids of each kind of feature
 GRAMS = (3, 5)
 DIM = 8
 PER_CLASS = 1500
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 12
 RATE = 20.0
 BATCH = 1 << 20  # bytes of text in memory at once
@@ -41,7 +46,7 @@ def features(col: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     padded, offs = padded_bytes(col)
     out = [word_ids(padded, offs, BITS)]
     for k, n in enumerate(GRAMS, 1):
-        ids, ptr = gram_ids(padded, offs, n, BITS)
+        ids, ptr = gram_ids(padded, offs, n, BITS, in_words=True)
         out.append((ids + (k << BITS), ptr))
     return out
 
@@ -116,11 +121,10 @@ def _features_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> SubwordModel:
     """Trains on the bounded sample; features are made by the executors."""
-    sample = labelled_sample(docs, labels, target, PER_CLASS).select("doc_id", "text", "label")
-    got = sample.mapInArrow(_features_batch, "doc_id long, label int, ids array<int>, share array<float>").toArrow().sort_by("doc_id")
-    n = labels.where(F.col(target).isin(0, 1)).agg(F.avg(F.col(target).cast("double"))).first()[0]
+    sample, share = labelled_sample(docs, labels, target, PER_CLASS)
+    got = fetched(sample.mapInArrow(_features_batch, "doc_id long, label int, ids array<int>, share array<float>"), SAMPLE_BYTES)
     rows = [(np.asarray(i.values, np.int32), np.asarray(s.values, np.float32)) for i, s in zip(got["ids"], got["share"])]
-    return train(rows, got["label"].to_pylist(), 0.5 if n is None else float(n))
+    return train(rows, got["label"].to_pylist(), share)
 
 
 def scores(col: pa.Array, projection: np.ndarray, offset: float) -> np.ndarray:

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, gru, html_text, jaccard_join, line_dedup, lm_score, packing, pii, quality, toxicity
+from skein.llm import decontaminate, exact_dedup, gru, hashed, html_text, jaccard_join, line_dedup, lm_score, packing, pii, quality, toxicity
 from skein.llm.components import components
 from skein.llm.textops import hash_spans, lowered, shingles, words
 
@@ -277,6 +277,96 @@ def test_classifiers_on_held_out_rows(spark, module, target):
     assert [r["score"] for r in none] == [0.5] * 3
 
 
+@pytest.mark.parametrize(("module", "target"), [(quality, "quality"), (toxicity, "toxic")])
+def test_held_out_labels_reach_no_score(spark, module, target):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, rng.randrange(5, 40))) for k in range(120)]
+    marks = [(k, int(rng.random() < 0.4)) for k in range(120)]
+    held = {k for k in range(120) if zlib.crc32(str(k).encode()) % 5 == 0}
+    # a doc_id with both labels and one without a document change nothing either
+    extra = [(3, 1 - marks[3][1]), (5000, 1)] if 3 not in held else [(5000, 1)]
+
+    def scored(labels):
+        return sorted((r["doc_id"], r["score"]) for r in module.classified(table(spark, rows), spark.createDataFrame([(k, y, y) for k, y in labels], "doc_id long, quality int, toxic int")).collect())
+
+    flipped = [(k, 1 - y if k in held else y) for k, y in marks]
+    assert scored(marks) == scored(flipped) == scored([m for m in marks if m[0] not in held])
+    assert len(scored(marks + extra)) == 120
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    rows = [(k % 50, f"text {k} " + "word " * 40) for k in range(200)] + [(7, "again")] * 500
+    marks = spark.createDataFrame([(k, k % 2, k % 2) for k in range(50)], "doc_id long, quality int, toxic int")
+    sample, share = hashed.labelled_sample(table(spark, rows), marks, "quality", 6)
+    got = sample.collect()
+    want = [k for k in range(50) if zlib.crc32(str(k).encode()) % 5]
+    assert len(got) == 12 == len({r["doc_id"] for r in got}) and abs(share - sum(k % 2 for k in want) / len(want)) < 1e-9
+    features = spark.createDataFrame([(k, 0, [1] * 10) for k in range(20)], "doc_id long, label int, ids array<int>")
+    assert hashed.fetched(features, 4 * 10 * 7).num_rows == 7 and hashed.fetched(features, 10**6).num_rows == 20
+
+
+def test_quality_training_is_plain_sgd():
+    rows = [([1, 5], [0.25, 0.75]), ([5, 9, 2], [0.5, 0.25, 0.25]), ([2], [1.0])] * 4
+    labels = [1, 0, 1] * 4
+    prior = 0.4
+    model = quality.train([(np.array(i, np.int32), np.array(w, np.float32)) for i, w in rows], labels, prior)
+    rng = np.random.default_rng(7)
+    dim, share = quality.DIM, sum(labels) / len(labels)
+    vec = rng.uniform(-1 / dim, 1 / dim, ((len(quality.GRAMS) + 1) << quality.BITS, dim)).tolist()
+    out, bias = [[0.0] * dim, [0.0] * dim], [0.0, 0.0]
+    step, steps = 0, quality.EPOCHS * len(rows)
+    for _ in range(quality.EPOCHS):
+        for k in rng.permutation(len(rows)):
+            ids, part = rows[k]
+            fall = 1 - step / steps
+            step += 1
+            hidden = [sum(p * vec[i][d] for i, p in zip(ids, part)) for d in range(dim)]
+            z = [sum(o * x for o, x in zip(out[c], hidden)) + bias[c] for c in (0, 1)]
+            e = [math.exp(v - max(z)) for v in z]
+            weight = min(3.0, prior / share if labels[k] else (1 - prior) / (1 - share))
+            p = [weight * (e[c] / sum(e) - (c == labels[k])) for c in (0, 1)]
+            back = [sum(p[c] * out[c][d] for c in (0, 1)) for d in range(dim)]
+            for c in (0, 1):
+                out[c] = [o - 0.05 * fall * p[c] * x for o, x in zip(out[c], hidden)]
+                bias[c] -= 0.01 * fall * p[c]
+            for i, w in zip(ids, part):
+                vec[i] = [v - quality.RATE * fall * w * b for v, b in zip(vec[i], back)]
+    assert np.allclose(model.output, out, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-4)
+    assert all(np.allclose(model.vectors[i], vec[i], atol=1e-3) for i in (1, 2, 5, 9))
+
+
+def test_toxicity_ratios_and_sum():
+    col = pa.array(["Ab cd", "zz ab", "", None, "é ab"], pa.string())
+    w = np.random.default_rng(0).standard_normal(len(toxicity.GRAMS) << toxicity.BITS).astype(np.float32)
+    z = np.zeros(5)
+    for ids, ptr in toxicity.features(col):
+        z += hashed.row_sums(w[ids], ptr)
+    for k, t in enumerate(col.to_pylist()):
+        text = low(t)
+        own = 0.0
+        for j, n in enumerate(toxicity.GRAMS):
+            grams = {text[i : i + n] for i in range(len(text) - n + 1)}
+            one = [hashed.gram_ids(*hashed.padded_bytes(pa.array([g])), n, toxicity.BITS)[0] for g in grams]
+            assert all(len(i) == 1 for i in one)
+            own += sum(float(w[int(i[0]) + (j << toxicity.BITS)]) for i in one)
+        assert abs(own - z[k]) < 1e-4
+    rare, common = np.array([1]), np.array([2])
+    model = toxicity.train([rare] * 3 + [common] * 30 + [common] * 30, [1] * 33 + [0] * 30, 0.5)
+    assert model.weights[1] > 0 and model.weights[2] == 0
+
+
+@given(st.lists(st.text(alphabet=st.sampled_from("aB é😀\n"), max_size=12), max_size=4), st.integers(1, 6))
+@settings(max_examples=100, deadline=None)
+def test_character_grams(texts, n):
+    ids, ptr = hashed.gram_ids(*hashed.padded_bytes(pa.array(texts, pa.string())), n, 18)
+    inner, at = hashed.gram_ids(*hashed.padded_bytes(pa.array(texts, pa.string())), n, 18, in_words=True)
+    for k, t in enumerate(texts):
+        grams = [t[i : i + n] for i in range(len(t) - n + 1)]
+        own = [hashed.gram_ids(*hashed.padded_bytes(pa.array([g])), n, 18)[0].tolist()[0] for g in grams]
+        assert ids[ptr[k] : ptr[k + 1]].tolist() == own
+        assert inner[at[k] : at[k + 1]].tolist() == [x for g, x in zip(grams, own) if not re.search(r"\s", g[1:-1])]
+
+
 def within_one(x, y):
     if abs(len(x) - len(y)) > 1:
         return False
