@@ -351,7 +351,7 @@ def test_toxicity_ratios_and_sum():
             own += sum(float(w[int(i[0]) + (j << toxicity.BITS)]) for i in one)
         assert abs(own - z[k]) < 1e-4
     rare, common = np.array([1]), np.array([2])
-    model = toxicity.train([rare] * 20 + [common] * 30 + [common] * 50, [1] * 50 + [0] * 50, 0.5)
+    model = toxicity.train([rare] * 20 + [common] * 30 + [common] * 35 + [np.array([3])] * 15, [1] * 50 + [0] * 50, 0.5)
     assert model.weights[1] > 0 and model.weights[2] == 0
 
 
