@@ -1,30 +1,36 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
 
 Symbols are words: lower-cased (A-Z), without ASCII punctuation at their ends.
-A document is contaminated by an item of L words when some window of L words has
-word edit distance of at most L * (100 - percent) // 100 to it.
-
-1. Windows.  Each start of an item-sized window is considered.  By the q-gram
-   lemma a window within the bound keeps at least L - 2 - 3 * bound of the item's
-   word triples, so windows with fewer of them fall out; no window within the
-   bound is lost.
-2. CGK.  For each remaining start ``WALKS`` random walks read the window; a
-   random function of step and word says whether the walk moves on.  Small edit
-   distance becomes small Hamming distance between what the walks read.
-3. LSH.  ``KEYS`` keys a walk sample ``BITS`` steps each; a window and an item of
-   its size that share a key become candidates.
-4. Candidates are verified by exact edit distance.
-
-Items with fewer than ``min_words`` words are no evidence of a leak and are left
-out (a parameter).  The benchmark is the stated query set: it is taken in blocks
-of ``BLOCK_ITEMS`` items, each broadcast.  Null texts count as empty and match
-nothing; repeated rows give repeated results; empty tables give an empty result;
-extra columns are ignored.
+A document is contaminated by an item of L words when some stretch of it has word
+edit distance of at most L * (100 - percent) // 100 to the item.
+
+1. CGK.  Random walks read the words of a window: at each step a random function
+   of step and word says whether the walk moves on.  Small edit distance becomes
+   small Hamming distance between what two walks read.  In an item-sized window a
+   walk begins anew every ``Shape.stride`` words and takes ``Shape.steps`` steps, so an
+   edit spoils the walks around it only.  A walk from some word of a document is
+   part of all windows that hold it, whatever their size, so it is made once.
+2. LSH.  ``KEYS`` keys of a walk sample some of its steps each; ``WALKS`` walks
+   repeat that.  All words of all documents send keys; a key that an item's window
+   has too makes a candidate (document, item, place).  Nothing else selects
+   candidates.  Items of fewer than five words must occur as they are: their key
+   is the whole window.
+3. Candidates of one document and item whose windows overlap are verified together
+   by exact edit distance, over the window and as many words around it as the
+   bound allows.
+
+The benchmark is the stated query set: it is taken in blocks (``BLOCK_ITEMS``
+items, ``BLOCK_BYTES`` of text), one at a time, each broadcast.  ``min_words``
+leaves out shorter items (1: none).  Null texts count as empty and match nothing,
+as do items without words, text or id; equal items share their keys and each get
+their rows; repeated rows give repeated results; empty tables give an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -32,21 +38,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import keep_rows, texts
+from skein.llm.common import cut, keep_rows, texts, without
 from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, word_spans
 
-WALKS = 8
-KEYS = 6
-BITS = 2
-REACH = 1.7  # steps that are sampled, in window sizes
-BLOCK_ITEMS = 20_000
-MIN_WORDS = 8
+WALKS = 6
+KEYS = 4
+CHUNK = 1 << 15  # words from which walks are made together
+BLOCK_ITEMS = 10_000
+BLOCK_BYTES = 4 << 20
+MIN_WORDS = 1
 PERCENT = 80
-Q = 3
 
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
-_PAD = np.uint64(0x5DEECE66D1234567)
+_ODD = 0x9E3779B97F4A7C15
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Walks for items of ``least`` to ``most`` words: their steps, how many of them a key samples (0: all words of the
+    window), and the words from one walk of a window to the next."""
+
+    least: int
+    most: int
+    steps: int
+    bits: int
+    stride: int
+
+
+SHAPES = (*(Shape(n, n, n, 0, 1) for n in range(1, 5)), Shape(5, 9, 6, 3, 1), Shape(10, 1 << 40, 18, 6, 2))
 
 
 def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,208 +87,208 @@ def symbols(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(low, np.where(bare, first, s), np.where(bare, last, e)), ptr
 
 
-def triples(h: np.ndarray) -> np.ndarray:
-    """Hashes of the word triples at each position but the last two."""
-    k = np.uint64(0x9E3779B97F4A7C15)
-    return mix(mix(h[:-2] * k + h[1:-1]) * k + h[2:]) if len(h) >= Q else np.zeros(0, np.uint64)
-
-
 def bound(size: int, percent: int) -> int:
     """Greatest edit distance that counts."""
     return size * (100 - percent) // 100
 
 
-def walk(h: np.ndarray, starts: np.ndarray, limit: int, steps: int, seed: int) -> np.ndarray:
-    """Positions read by one CGK walk at each step, relative to each start (at most ``limit``)."""
-    at = np.zeros(len(starts), np.int64)
-    out = np.empty((steps, len(starts)), np.int32)
-    last = len(h) - 1
-    for j in range(steps):
-        out[j] = at
-        word = h[np.minimum(starts + at, last)]
-        moves = (mix(word + np.uint64((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(63)).astype(np.int64)
-        at = np.minimum(at + moves, limit)
-    return out
-
-
-def sampled_steps(size: int, seed: int) -> np.ndarray:
-    """The steps of each key for windows of one size: KEYS rows of BITS steps."""
-    rng = np.random.default_rng(1000 * size + seed)
-    return np.sort(rng.integers(0, max(1, int(REACH * size)), (KEYS, BITS)), 1)
-
-
-def window_keys(h: np.ndarray, starts: np.ndarray, read: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """LSH keys (KEYS by windows) of the windows of one size from the positions a walk has read."""
-    steps = sampled_steps(size, seed)
-    last = len(h) - 1
-    out = np.empty((KEYS, len(starts)), np.uint64)
-    for k in range(KEYS):
-        key = np.full(len(starts), (size << 20) + (seed << 8) + k, np.uint64)
-        for j in steps[k]:
-            at = read[j].astype(np.int64)
-            word = np.where(at < size, h[np.minimum(starts + at, last)], _PAD)
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
-        out[k] = key
-    return out
-
-
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Levenshtein distance of two sequences by bit vectors; ``most + 1`` stands for more."""
+def sampled_steps(shape: Shape, seed: int) -> np.ndarray:
+    """The steps that each key of a walk samples, one from each equal part of the walk: KEYS rows of ``bits`` steps."""
+    rng = np.random.default_rng(1000 * shape.least + seed)
+    edge = np.linspace(0, shape.steps, shape.bits + 1).astype(int)
+    return np.stack([rng.integers(a, z, KEYS) for a, z in zip(edge[:-1], edge[1:])], 1)
+
+
+def walk_keys(h: np.ndarray, first: int, last: int, shape: Shape) -> Iterator[np.ndarray]:
+    """Keys of all walks that begin at words first to last - 1, one row of keys at a time; words behind the end are like no other."""
+    near = h[first : last + shape.steps]
+    near = np.concatenate([near, np.arange(last + shape.steps - first - len(near)).astype(np.uint64) * np.uint64(_ODD)])
+    n = last - first
+    if not shape.bits:
+        key = np.full(n, shape.least, np.uint64)
+        for j in range(shape.steps):
+            key = mix(key * np.uint64(_ODD) + near[j : j + n])
+        yield key
+        return
+    for seed in range(WALKS):
+        steps = sampled_steps(shape, seed)
+        odd = np.random.default_rng(seed).integers(0, 2**63, steps.shape).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        # bit j of a word's hash says whether the walk moves on from it at step j; the hash also stands for the word
+        own = mix(near + np.uint64((seed + 1) * _ODD % 2**64))
+        keys = np.zeros((KEYS, n), np.uint64)
+        at = np.arange(n)
+        for j in range(int(steps.max()) + 1):
+            read = own[at]
+            for k, i in zip(*np.nonzero(steps == j)):
+                keys[k] += read * odd[k, i]
+            at += ((read >> np.uint64(j)) & np.uint64(1)).view(np.int64)
+        for k in range(KEYS):
+            yield keys[k] + np.uint64((shape.least << 16) + (seed << 8) + k)
+
+
+def _scores(item: np.ndarray, text: np.ndarray, anywhere: bool) -> list[int]:
+    """Edit distance of the item to the text up to each of its words, from the text's first word or from anywhere in it, by bit vectors."""
     masks: dict[int, int] = {}
-    for k, x in enumerate(a.tolist()):
+    for k, x in enumerate(item.tolist()):
         masks[x] = masks.get(x, 0) | 1 << k
-    n = len(a)
-    if not n:
-        return min(len(b), most + 1)
+    n = len(item)
     full, top = (1 << n) - 1, 1 << (n - 1)
-    up, down, score = full, 0, n
-    for y in b.tolist():
+    up, down, score, out = full, 0, n, []
+    for y in text.tolist():
         eq = masks.get(y, 0)
         x = (((eq & up) + up) ^ up) | eq | down
         hp = down | ~(x | up) & full
         hn = up & x
         score += bool(hp & top) - bool(hn & top)
-        hp = (hp << 1 | 1) & full
+        out.append(score)
+        hp = (hp << 1 | (not anywhere)) & full
         hn = hn << 1 & full
         v = eq | down
         up = hn | ~(v | hp) & full
         down = hp & v
-    return min(score, most + 1)
+    return out
+
+
+def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
+    """(distance, start) of the stretch of a text nearest to the item, the first of equals; None beyond ``most``."""
+    scores = _scores(item, text, True)
+    d = min(scores, default=most + 1)
+    if d > most:
+        return None
+    end = scores.index(d) + 1
+    return d, end - 1 - _scores(item[::-1], text[:end][::-1], False).index(d)
 
 
 class ItemIndex:
-    """Word triples and LSH keys of one block of items."""
+    """LSH keys of the windows of one block of items."""
 
     def __init__(self, ids: list[int], item_texts: list[str], percent: int, min_words: int) -> None:
         h, ptr = symbols(pa.array(item_texts, pa.string()))
         self.percent = percent
-        self.items = [(i, h[a:b]) for i, a, b in zip(ids, ptr[:-1].tolist(), ptr[1:].tolist()) if b - a >= max(Q, min_words)]
-        self.sizes = sorted({len(x) for _, x in self.items})
-        known = [np.unique(triples(x)) for _, x in self.items]
-        flat = np.concatenate([*known, np.zeros(0, np.uint64)])
-        holder = np.repeat(np.arange(len(known)), [len(x) for x in known])
-        order = np.argsort(flat, kind="stable")
-        self.triples, first = np.unique(flat[order], return_index=True)
-        self.first, self.holders = np.concatenate([first, [len(flat)]]), holder[order]
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[(self.triples >> np.uint64(42)).astype(np.int64)] = True
-        self.keys = np.zeros((len(self.items), WALKS, KEYS), np.uint64)
-        for size in self.sizes:  # the items of one size walk together
-            own = [k for k, (_, x) in enumerate(self.items) if len(x) == size]
-            h = np.concatenate([self.items[k][1] for k in own])
-            starts = np.arange(len(own)) * size
-            for seed in range(WALKS):
-                self.keys[own, seed] = window_keys(h, starts, walk(h, starts, size, int(REACH * size) + 1, seed), size, seed).T
-
-    def least(self, size: int) -> int:
-        """Triples that a window of this size within the bound keeps at least."""
-        return max(1, size - Q + 1 - Q * bound(size, self.percent))
-
-    def search(self, h: np.ndarray, at: np.ndarray, which: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, distance) of the best window of each item found in one text.
-
-        ``at`` are the positions of known triples, ``which`` their numbers.
-        """
-        n = len(h)
-        counts = self.first[which + 1] - self.first[which]
-        pos = np.repeat(at, counts)
-        owner = self.holders[np.repeat(self.first[which] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))]
-        out = []
-        for k in np.flatnonzero(np.bincount(owner, minlength=1) > 0).tolist():
-            size = len(self.items[k][1])
-            own = pos[owner == k]
-            if size > n or len(own) < self.least(size):
-                continue
-            hits = np.zeros(n + 1, np.int64)
-            hits[own + 1] = 1
-            upto = np.cumsum(hits)
-            inside = upto[np.arange(n - size + 1) + size - Q + 1] - upto[: n - size + 1]
-            starts = np.flatnonzero(inside >= self.least(size))
-            if len(starts) and (best := self._best(h, starts, k)):
-                out.append((self.items[k][0], best[1], best[0]))
-        return out
-
-    def _best(self, h: np.ndarray, starts: np.ndarray, k: int) -> tuple[int, int] | None:
-        """(distance, start) of the best verified candidate among an item's windows."""
-        item = self.items[k][1]
-        size, most = len(item), bound(len(item), self.percent)
-        best: tuple[int, int] | None = None
-        seen: set[int] = set()
-        for seed in range(WALKS):
-            keys = window_keys(h, starts, walk(h, starts, size, int(REACH * size) + 1, seed), size, seed)
-            for w in np.flatnonzero((keys == self.keys[k][seed][:, None]).any(0)).tolist():
-                if w in seen:
-                    continue
-                seen.add(w)
-                d = edit_distance(item, h[starts[w] : starts[w] + size], most)
-                if d <= most and (best is None or (d, int(starts[w])) < best):
-                    best = (d, int(starts[w]))
-            if best and best[0] == 0:
-                break
-        return best
-
+        found: dict[bytes, list[int]] = {}
+        for i, a, z in zip(ids, ptr[:-1].tolist(), ptr[1:].tolist()):
+            if z - a >= max(1, min_words):
+                found.setdefault(h[a:z].tobytes(), []).append(i)
+        self.items = [(own, np.frombuffer(x, np.uint64)) for x, own in found.items()]
+        self.sieves: dict[Shape, tuple[np.ndarray, np.uint64]] = {}
+        self.tables: list[tuple[Shape, np.ndarray, np.ndarray, np.ndarray]] = []
+        for shape in SHAPES:
+            keys, holder, offset = [], [], []
+            for k, (_, x) in enumerate(self.items):
+                if shape.least <= len(x) <= shape.most:
+                    starts = np.arange(0, max(1, len(x) - shape.steps // 2 + 1) if shape.bits else 1, shape.stride)  # a walk passes half as many words as it takes steps
+                    for row in walk_keys(x, 0, int(starts[-1]) + 1, shape):
+                        keys.append(row[starts])
+                        holder.append(np.full(len(starts), k, np.int32))
+                        offset.append(starts.astype(np.int32))
+            if keys:
+                key = np.concatenate(keys)
+                order = np.argsort(key, kind="stable")
+                self.tables.append((shape, key[order], np.concatenate(holder)[order], np.concatenate(offset)[order]))
+
+    def _sieve(self, shape: Shape, keys: np.ndarray) -> tuple[np.ndarray, np.uint64]:
+        """Which upper parts of mixed keys occur: most keys of other texts stop here."""
+        if shape not in self.sieves:
+            bits = max(10, min(26, len(keys).bit_length() + 5))
+            shift = np.uint64(64 - bits)
+            out = np.zeros(1 << bits, bool)
+            out[((keys * np.uint64(_ODD)) >> shift).view(np.int64)] = True
+            self.sieves[shape] = out, shift
+        return self.sieves[shape]
+
+    def candidates(self, h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        """Rows (text, item, word at which the window begins) of windows that share a key with an item, sorted, without repeats."""
+        found = [np.zeros((0, 3), np.int64)]
+        for shape, keys, holder, offset in self.tables:
+            sieve, shift = self._sieve(shape, keys)
+            for first in range(0, len(h), CHUNK):
+                last = min(first + CHUNK, len(h))
+                for row in walk_keys(h, first, last, shape):
+                    some = np.flatnonzero(sieve[((row * np.uint64(_ODD)) >> shift).view(np.int64)])
+                    if not len(some):
+                        continue
+                    lo, hi = np.searchsorted(keys, row[some], "left"), np.searchsorted(keys, row[some], "right")
+                    n = hi - lo
+                    spot = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    walk = first + np.repeat(some, n)
+                    found.append(np.stack([np.searchsorted(ptr, walk, "right") - 1, holder[spot], walk - offset[spot]], 1))
+        return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
-        """(row, item, start, distance) of the best window of each item in each text of a column."""
-        if not self.sizes:
+        """(row, item id, start, distance) of the best stretch for each item in each text of a column."""
+        if not self.tables or not len(col):
             return []
         h, ptr = symbols(col)
-        t = triples(h)
-        some = np.flatnonzero(self.sieve[(t >> np.uint64(42)).astype(np.int64)])
-        spot = np.minimum(np.searchsorted(self.triples, t[some]), len(self.triples) - 1)
-        real = self.triples[spot] == t[some]
-        at, which = some[real], spot[real]
-        doc = np.searchsorted(ptr, at, "right") - 1
-        inner = at + Q <= ptr[doc + 1]  # not across two texts
-        at, which, doc = at[inner], which[inner], doc[inner]
-        need = min(self.least(s) for s in self.sizes)
-        edge = np.searchsorted(doc, np.arange(len(ptr)))
-        rows = []
-        for k in np.flatnonzero(np.diff(edge) >= need).tolist():
-            a, z = edge[k], edge[k + 1]
-            rows += [(k, *r) for r in self.search(h[ptr[k] : ptr[k + 1]], at[a:z] - ptr[k], which[a:z])]
-        return rows
+        met = self.candidates(h, ptr)
+        size = np.array([len(x) for _, x in self.items])[met[:, 1]]
+        most = size * (100 - self.percent) // 100
+        lo = np.maximum(met[:, 2] - most, ptr[met[:, 0]]).tolist()
+        hi = np.minimum(met[:, 2] + size + most, ptr[met[:, 0] + 1]).tolist()
+        pairs, most = list(map(tuple, met[:, :2].tolist())), most.tolist()
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        k = 0
+        while k < len(pairs):
+            first, last, pair, bound_ = lo[k], hi[k], pairs[k], most[k]
+            k += 1
+            while k < len(pairs) and pairs[k] == pair and lo[k] <= last:  # windows that overlap are verified together
+                last = max(last, hi[k])
+                k += 1
+            stretch = best_stretch(self.items[pair[1]][1], h[first:last], bound_)
+            if stretch and (pair not in best or stretch[0] < best[pair][0]):
+                best[pair] = stretch[0], first + stretch[1] - int(ptr[pair[0]])
+        return [(row, i, start, d) for (row, item), (d, start) in best.items() for i in self.items[item][0]]
 
 
 def _scan(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text"):
+        for b in by_size(batches, "text", 4 << 20):
             rows = index.matches(b.column(1))
             if rows:
                 at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.record_batch([b.column(0).take(at), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3))], ["doc_id", "item_id", "start_word", "distance"])
+                yield pa.record_batch([b.column(0).take(at), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3)), b.column(2).take(at)], ["doc_id", "item_id", "start_word", "distance", "raw"])
 
     return run
 
 
-def _indexes(items: DataFrame, percent: int, min_words: int) -> list[ItemIndex]:
+def _blocks(items: DataFrame, percent: int, min_words: int) -> tuple[int, Iterator[ItemIndex]]:
+    """The number of blocks of items, and their indexes, made one at a time."""
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    blocks = max(1, -(-asked.count() // BLOCK_ITEMS))
-    out = []
-    for k in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        out.append(ItemIndex([r["item_id"] for r in own], [r["text"] for r in own], percent, min_words))
-    return out
+    size = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_BYTES))
 
+    def made() -> Iterator[ItemIndex]:
+        for k in range(blocks):
+            own = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
+            yield ItemIndex(own["item_id"].to_pylist(), own["text"].to_pylist(), percent, min_words)
 
-def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, start_word, distance): the best window of each item in each document that has one."""
-    rows = texts(docs)
-    found = [rows.mapInArrow(_scan(index), "doc_id long, item_id long, start_word long, distance long") for index in _indexes(items, percent, min_words)]
+    return blocks, made()
+
+
+def _found(docs: DataFrame, items: DataFrame, percent: int, min_words: int) -> DataFrame:
+    rows = texts(docs).withColumn("raw", F.xxhash64("text"))
+    blocks, indexes = _blocks(items, percent, min_words)
+    found = []
+    for index in indexes:
+        one = rows.mapInArrow(_scan(index), "doc_id long, item_id long, start_word long, distance long, raw long")
+        found.append(one if blocks == 1 else cut(one, "leaks"))  # with more blocks each is done before the next is made
     return reduce(DataFrame.unionByName, found)
 
 
+def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, item_id, start_word, distance): the best stretch for each item in each document that has one."""
+    return _found(docs, items, percent, min_words).drop("raw")
+
+
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows, all columns, of documents without any item's passage."""
+    blocks, indexes = _blocks(items, percent, min_words)
+    if blocks > 1:
+        return without(docs, _found(docs, items, percent, min_words).select(F.col("doc_id").alias("id"), "raw"))
+    index = next(indexes)
 
-    def without_matches(index: ItemIndex):
-        def mask(col: pa.Array) -> np.ndarray:
-            ok = np.ones(len(col), bool)
-            ok[[r[0] for r in index.matches(col)]] = False
-            return ok
-
-        return mask
+    def mask(col: pa.Array) -> np.ndarray:
+        ok = np.ones(len(col), bool)
+        ok[[r[0] for r in index.matches(col)]] = False
+        return ok
 
-    for index in _indexes(items, percent, min_words):
-        docs = keep_rows(docs, without_matches(index))
-    return docs
+    return keep_rows(docs, mask)

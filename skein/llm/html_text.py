@@ -6,6 +6,12 @@ Decoding picks the most likely labelling in which whatever lies in a dropped
 element is dropped too, and a kept element lies in kept ones only.  The trees
 are trained on pages that this module composes itself, with known main parts.
 
+Scripts, styles, form parts (buttons, selects, text areas) and what browsers show
+only in place of something else (inside noscript, template, iframe, object,
+canvas, audio, video) or draw (svg, math) is no text.  Such an element that closes
+itself or has no end tag loses its tag alone; script, style, textarea and title
+without an end tag hold the rest of the page, as in browsers.
+
 Blocks of kept elements are joined in page order by one \\n; white space inside
 a block is one space.  Null html counts as empty and gives an empty text; so do
 pages without main text.  Repeated rows are treated alike; an empty table gives
@@ -18,6 +24,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +70,7 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._parse(html)
 
-    def _open(self, tag: str, attrs: str, stack: list[tuple[str, int]]) -> int:
+    def _open(self, tag: str, attrs: str, up: int) -> int:
         kinds, hidden = [0] * len(TOKENS), 0
         for m in _ATTR.finditer(attrs):
             name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
@@ -73,7 +80,6 @@ class Page:
                 for w in _TOKEN.findall(value):
                     if w in _KIND:
                         kinds[_KIND[w]] += 1
-        up = next(n for _, n in reversed(stack) if n >= 0)
         self.tag.append(tag)
         self.parent.append(up)
         self.depth.append(self.depth[up] + 1)
@@ -85,23 +91,23 @@ class Page:
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]  # inline elements have node -1
+        """One pass; every step costs the same whatever is open, so deep and unclosed markup stays linear."""
+        stack: list[tuple[str, int] | None] = [("html", 0)]  # inline elements have node -1; None: closed out of turn
+        open_at: dict[str, list[int]] = {}  # places in the stack by tag, the html element left out
+        solid = [0]  # places of the block elements
         own: list[str] = []
         links = 0
 
-        def node() -> int:
-            return next(n for _, n in reversed(stack) if n >= 0)
-
         def flush() -> None:
             if own:
                 text = _SPACES.sub(" ", unescape("".join(own))).strip()
                 own.clear()
                 if text:
-                    self.blocks.append((node(), text))
+                    self.blocks.append((stack[solid[-1]][1], text))
 
         def add(text: str) -> None:
             if text and not text.isspace():
-                n = node()
+                n = stack[solid[-1]][1]
                 size = len(text)
                 self.chars[n] += size
                 self.stops[n] += text.count(".") + text.count(",")
@@ -109,17 +115,28 @@ class Page:
                     self.linked[n] += size
             own.append(text)
 
+        def push(tag: str, node: int) -> None:
+            open_at.setdefault(tag, []).append(len(stack))
+            if node >= 0:
+                solid.append(len(stack))
+            stack.append((tag, node))
+
         def pop(k: int) -> None:
             nonlocal links
-            if any(n >= 0 for _, n in stack[k:]):
+            if solid[-1] >= k:
                 flush()
-            links -= sum(t == "a" for t, _ in stack[k:])
-            del stack[k:]
-
-        at = 0
+            while len(stack) > k:
+                entry = stack.pop()
+                if entry is not None:
+                    open_at[entry[0]].pop()
+                    links -= entry[0] == "a"
+            while solid[-1] >= k:
+                solid.pop()
+
+        at, last = 0, html.rfind(">") + 1  # behind the last '>' no tag can end
         endless: set[str] = set()
         in_head = False
-        while (m := _TAG.search(html, at)) is not None:
+        while (m := _TAG.search(html, at, last)) is not None:
             if m.start() > at and not in_head:
                 add(html[at : m.start()])
             at = m.end()
@@ -131,18 +148,19 @@ class Page:
                 if name == "head":
                     in_head = False
                     continue
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if k and not (name in INLINE and any(n >= 0 for _, n in stack[k + 1 :])):
-                    pop(k)
-                elif k:
+                k = open_at[name][-1] if open_at.get(name) else 0
+                if k and name in INLINE and solid[-1] > k:  # its block goes on
+                    open_at[name].pop()
                     links -= name == "a"
-                    del stack[k]
+                    stack[k] = None
+                elif k:
+                    pop(k)
                 continue
             if name in RAW:
                 own.append(" ")
                 if name not in WHOLE and (name in endless or html.endswith("/>", 0, at)):
                     continue
-                end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
                 if end:
                     at = end.end()
                 elif name in WHOLE:
@@ -153,7 +171,7 @@ class Page:
             if name in VOID:
                 if name == "hr":
                     flush()
-                self.tags[node()] += 1
+                self.tags[stack[solid[-1]][1]] += 1
                 own.append(" ")
                 continue
             if name == "html":
@@ -162,19 +180,17 @@ class Page:
                 in_head = True
                 continue
             if name in INLINE:
-                self.tags[node()] += 1
+                self.tags[stack[solid[-1]][1]] += 1
                 links += name == "a"
-                stack.append((name, -1))
+                push(name, -1)
                 continue
             in_head = False
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p" or stack[k][0] in CLOSES.get(name, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in BARRIER and stack[k][0] not in CLOSES.get(name, ()):
-                    break
-            stack.append((name, self._open(name, m.group(3) if m.group(2) else m.group(6) or "", stack)))
+            closes = ("p", *CLOSES.get(name, ()))
+            k = max((open_at[t][-1] for t in (*closes, *BARRIER) if open_at.get(t)), default=0)
+            if k and stack[k][0] in closes:
+                pop(k)
+            push(name, self._open(name, m.group(3) if m.group(2) else m.group(6) or "", stack[solid[-1]][1]))
         if not in_head:
             add(html[at:])
         flush()
@@ -247,11 +263,10 @@ _SYLLABLES = "ka lo mi ter an so ve ri du pel sha on ith gra ne bu col tas er il
 
 
 def _words(rng: np.random.Generator, n: int) -> str:
-    ws = ["".join(rng.choice(_SYLLABLES, rng.integers(1, 5))) for _ in range(n)]
-    for k in range(len(ws)):
-        if rng.random() < 0.08:
-            ws[k] += "." if rng.random() < 0.5 else ","
-    return (" ".join(ws)).capitalize() + "."
+    sizes = rng.integers(1, 5, n).tolist()
+    parts = iter([_SYLLABLES[k] for k in rng.integers(0, len(_SYLLABLES), sum(sizes)).tolist()])
+    marks = ["." if x < 0.04 else "," if x < 0.08 else "" for x in rng.random(n).tolist()]
+    return (" ".join("".join(islice(parts, k)) + mark for k, mark in zip(sizes, marks))).capitalize() + "."
 
 
 def compose_page(rng: np.random.Generator) -> str:
