@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line is dropped when an earlier line of the corpus equals it or, for lines of
-at least ``MIN_NEAR`` code points, lies within one edit (a code point inserted,
-deleted or replaced).  Earlier means a smaller (doc_id, row, line number).  Empty
-lines are always kept.
+A line of any length is dropped when an earlier line of the corpus equals it or
+lies within one edit (a code point inserted, deleted or replaced).  Earlier means
+a smaller (doc_id, row, line number).  Empty lines are always kept, and are no
+one's partner.
 
 1. Equal lines fall together first, each with its earliest place.
 2. Two lines within one edit share their first or their last half; lines that
@@ -16,7 +16,8 @@ lines are always kept.
 4. Pairs are verified by exact edit distance.
 
 Null texts count as empty and have one empty line.  Repeated rows count one by
-one, in row order.  A null doc_id comes before all others.  An empty table gives
+one, in row order, whether they share doc_id, text or both.  A null doc_id comes
+before all others.  An empty table gives
 an empty result; extra columns are ignored.  Lines are identified by 128-bit
 hashes.
 """
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, cut, partitions
+from skein.llm.common import cut, partitions, texts
 from skein.llm.textops import by_size, mix, text_bytes
 
-MIN_NEAR = 16
-BROADCAST_ROWS = 200_000  # documents with such lines whose ids may be broadcast
+BROADCAST_LINES = 500_000  # places of lines that may be broadcast
+ENTRIES = 1_000_000  # variants that one task holds
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-ROWS = "row long, doc_id long, line_no int, n int, h1 long, h2 long, halves array<long>"
+ROWS = "row long, doc_id long, raw long, line_no int, n int, h1 long, h2 long, halves array<long>"
 ENTRY = np.dtype([("key", "<u8"), ("kind", "<u1"), ("line", "<i8"), ("doc", "<i8"), ("row", "<i8"), ("no", "<i4")])
 
 
@@ -68,35 +69,63 @@ def code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4"), leads[offs]
 
 
+class Lines:
+    """The lines of all texts of a column: text, number, extent in code points and in bytes, and two hashes."""
+
+    def __init__(self, col: pa.Array) -> None:
+        raw, offs = text_bytes(col)
+        leads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+        breaks = np.flatnonzero(raw == 10)
+        self.per = np.bincount(np.searchsorted(offs, breaks, "right") - 1, minlength=len(col)) + 1
+        self.first = np.cumsum(self.per) - self.per
+        self.doc = np.repeat(np.arange(len(col)), self.per)
+        self.no = np.arange(len(self.doc)) - self.first[self.doc]
+        start, end = np.empty(len(self.doc), np.int64), np.empty(len(self.doc), np.int64)
+        front, back = self.no == 0, self.no == self.per[self.doc] - 1
+        start[front], end[back] = offs[:-1], offs[1:]
+        start[~front], end[~back] = breaks + 1, breaks
+        self.bytes, self.byte_start, self.byte_end = raw, start, end
+        self.start, self.end = leads[start], leads[end]
+        self.n = self.end - self.start
+        self.one, two = Rolling(points, _BASES[0]), Rolling(points, _BASES[1])
+        self.h1 = mix(self.one.of(self.start, self.end) + self.n.astype(np.uint64)).view(np.int64)
+        self.h2 = two.of(self.start, self.end).view(np.int64)
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in by_size(batches, "text", 2 << 20):
-        points, ptr = code_points(b.column(2))
-        breaks = np.flatnonzero(points == 10)
-        doc_of_break = np.searchsorted(ptr, breaks, "right") - 1
-        per = np.bincount(doc_of_break, minlength=b.num_rows) + 1
-        doc = np.repeat(np.arange(b.num_rows), per)
-        no = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        start, end = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
-        first, last = no == 0, no == per[doc] - 1
-        start[first], end[last] = ptr[:-1], ptr[1:]
-        start[~first], end[~last] = breaks + 1, breaks
-        n = end - start
-        one, two = Rolling(points, _BASES[0]), Rolling(points, _BASES[1])
-        h1 = mix(one.of(start, end) + n.astype(np.uint64))
+        found = Lines(b.column(3))
         keys = []
-        for size in (n, n - 1):  # as the shorter (or an equal) and as the longer line of a pair
+        for size in (found.n, found.n - 1):  # as the shorter (or an equal) and as the longer line of a pair
             half = np.maximum(size, 0) // 2
             tag = size.astype(np.uint64) * np.uint64(2)
-            keys += [mix(mix(one.of(start, start + half)) + tag), mix(mix(one.of(end - half, end)) + tag + np.uint64(1))]
-        near = n >= MIN_NEAR
-        halves = np.stack(keys, 1).view(np.int64)[near].reshape(-1)
-        at = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
+            keys += [mix(mix(found.one.of(found.start, found.start + half)) + tag), mix(mix(found.one.of(found.end - half, found.end)) + tag + np.uint64(1))]
+        some = found.n > 0
+        halves = np.stack(keys, 1).view(np.int64)[some].reshape(-1)
+        at = np.concatenate([[0], np.cumsum(np.where(some, 4, 0))]).astype(np.int32)
+        doc = pa.array(found.doc)
         yield pa.record_batch(
-            [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(no.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(two.of(start, end).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(halves))],
-            ["row", "doc_id", "line_no", "n", "h1", "h2", "halves"],
+            [*(b.column(k).take(doc) for k in range(3)), pa.array(found.no.astype(np.int32)), pa.array(found.n.astype(np.int32)), pa.array(found.h1), pa.array(found.h2), pa.ListArray.from_arrays(pa.array(at), pa.array(halves))],
+            ["row", "doc_id", "raw", "line_no", "n", "h1", "h2", "halves"],
         )
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted lines of each text, once its hashes are seen to be right."""
+    for b in by_size(batches, "text", 2 << 20):
+        found = Lines(b.column(0))
+        want = b.column(1)
+        doc = np.repeat(np.arange(b.num_rows), np.diff(want.offsets.to_numpy()))
+        no, row, doc_id, h1, h2 = (want.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        inside = no < found.per[doc]
+        at = np.where(inside, found.first[doc] + no, 0)
+        ok = np.flatnonzero(inside & (found.h1[at] == h1) & (found.h2[at] == h2))
+        data = found.bytes.tobytes()
+        line = [data[a:z].decode() for a, z in zip(found.byte_start[at[ok]].tolist(), found.byte_end[at[ok]].tolist())]
+        yield pa.record_batch([pa.array(h1[ok]), pa.array(doc_id[ok]), pa.array(row[ok]), pa.array(no[ok].astype(np.int32)), pa.array(line, pa.string())], ["h1", "doc", "row", "line_no", "line"])
+
+
 def _variants(buckets: int):
     """Keys of the deletion neighbourhood of each line, as blocks by bucket."""
 
@@ -164,25 +193,26 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """Every line of every row with its hashes."""
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("raw"), "text")
     return rows.mapInArrow(_lines, ROWS)
 
 
 def _dropped(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1 of distinct lines with an earlier line within one edit."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    keys = firsts.where(F.col("n") >= MIN_NEAR).select("h1", F.explode("halves").alias("key"))
+    keys = firsts.select("h1", F.explode("halves").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    alive = cut(firsts.join(keys.join(shared.hint("merge"), "key", "left_semi").select("h1").distinct().hint("merge"), "h1", "left_semi").select("h1", "first"), "alive")
-    wanted = alive.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), F.col("first.row").alias("row"), "h1")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "row", "h1")).alias("want"))
-    few = by_doc.count() <= BROADCAST_ROWS
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = source.join(F.broadcast(by_doc) if few else by_doc, source["doc_id"].eqNullSafe(by_doc["doc_id"])).select(source["doc_id"], F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("want").alias("w"))
-    lines = met.select(F.col("w.h1").alias("h1"), "doc_id", F.col("w.row").alias("row"), F.col("w.line_no").alias("line_no"), F.try_element_at("lines", F.col("w.line_no") + 1).alias("line"))
-    lines = cut(lines.where("line is not null").select("h1", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), "row", "line_no", "line"), "near")
+    alive = cut(firsts.join(keys.join(shared.hint("merge"), "key", "left_semi").select("h1").distinct().hint("merge"), "h1", "left_semi").select("h1", "h2", "n", "first"), "alive")
+    size = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum(2 * F.col("n") + 1), F.lit(0))).first()
+    # an id that several texts share, or none, is told apart by the text's hash
+    own = F.coalesce(F.col("first.doc_id"), F.lit(-(2**63))).cast("long")
+    wanted = alive.select(own.alias("doc"), F.col("first.raw").alias("raw"), F.struct(F.col("first.line_no").alias("line_no"), F.col("first.row").alias("row"), own.alias("doc"), "h1", "h2").alias("place"))
+    by_text = wanted.groupBy("doc", "raw").agg(F.collect_list("place").alias("want"))
+    source = texts(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), F.xxhash64("text").alias("raw"), F.coalesce("text", F.lit("")).alias("text"))
+    met = source.join(F.broadcast(by_text) if size[0] <= BROADCAST_LINES else by_text, ["doc", "raw"]).select("text", "want")
+    # rows that repeat doc_id and text bring the same lines again
+    lines = met.mapInArrow(_asked, "h1 long, doc long, row long, line_no int, line string").dropDuplicates(["h1"])
+    lines = cut(lines, "near")
+    n = max(partitions(docs.sparkSession), size[1] // ENTRIES)
     pairs = lines.mapInArrow(_variants(4 * n), "bucket int, block binary").repartition(n, "bucket").mapInArrow(_partners, "line long, earlier long").distinct()
     mine = lines.select(F.col("h1").alias("line"), F.col("line").alias("x"))
     theirs = lines.select(F.col("h1").alias("earlier"), F.col("line").alias("y"))
@@ -193,12 +223,12 @@ def _dropped(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame) -> DataFrame:
     """row, doc_id, line_no, kept for every line of every row."""
     rows = cut(line_rows(docs), "lines")
-    place = F.struct("doc_id", "row", "line_no")
+    place = F.struct("doc_id", "row", "line_no", "raw")
     firsts = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     firsts = cut(firsts, "firsts")
     gone = _dropped(docs, firsts).withColumn("gone", F.lit(True))
     known = firsts.select("h1", "h2", "first").join(gone.hint("merge"), "h1", "left")
-    met = rows.select("row", "doc_id", "line_no", "n", "h1", "h2").join(known.hint("merge"), ["h1", "h2"], "left")
+    met = rows.select("row", "doc_id", "raw", "line_no", "n", "h1", "h2").join(known.hint("merge"), ["h1", "h2"], "left")
     kept = (F.col("n") == 0) | (F.col("gone").isNull() & F.col("first").eqNullSafe(place))
     return met.select("row", "doc_id", "line_no", kept.alias("kept"))
 

@@ -99,7 +99,7 @@ ORACLES["op6_line_dedup"] = """
     WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
     l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM w),
     d AS (SELECT line, length(line) AS n, min(doc_id * 10000000 + no) AS ord FROM l WHERE line <> '' GROUP BY line),
-    h AS (SELECT line, n, ord, unnest([n, n - 1, n, n - 1]) AS m, unnest([0, 0, 1, 1]) AS side FROM d WHERE n >= 16),
+    h AS (SELECT line, n, ord, unnest([n, n - 1, n, n - 1]) AS m, unnest([0, 0, 1, 1]) AS side FROM d),
     k AS (SELECT line, n, ord, m, side, CASE WHEN side = 0 THEN left(line, m // 2) ELSE right(line, m // 2) END AS half FROM h),
     p AS (SELECT DISTINCT a.line AS x, b.line AS y, a.n AS n, b.n AS m FROM k a JOIN k b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.ord < a.ord),
     g AS (SELECT DISTINCT x FROM p WHERE CASE

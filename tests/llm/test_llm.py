@@ -432,6 +432,7 @@ def test_line_dedup(spark):
         k = rng.randrange(len(x) + 1)
         return rng.choice([x, x[:k] + "z" + x[k:], x[:k] + x[k + 1 :], x[:k] + "q" + x[k + 1 :], x[:k] + "q" + x[k + 2 :]])
 
+    base += ["a", "b", "xy", "abc", "😀é", "12345"]
     rows = [(k, "\n".join(changed(rng.choice(base)) for _ in range(rng.randrange(1, 9)))) for k in range(60)] + ODD[:-2]
     got = {r["doc_id"]: r for r in line_dedup.line_report(table(spark, rows)).collect()}
     seen: list[str] = []
@@ -439,7 +440,7 @@ def test_line_dedup(spark):
         ls = (t or "").split("\n")
         drop = []
         for k, x in enumerate(ls):
-            if x and any(x == y or len(x) >= 16 and len(y) >= 16 and within_one(x, y) for y in seen):
+            if x and any(x == y or within_one(x, y) for y in seen):
                 drop.append(k)
             if x:
                 seen.append(x)
@@ -450,6 +451,14 @@ def test_line_dedup(spark):
         assert clean[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_line_dedup_of_shared_ids(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
+    texts = [(1, "hello world this is text1"), (2, "aaaaaaaaaaaaCCCCCCCCCCCC"), (5, "aaaaaaaaaaaaBBBBBBBBBBBB"), (5, "hello world this is text2"), (None, "some line\nother"), (None, "some lime"), (9, "aaaaaaaaaaaaBBBBBBBBBBBX"), (9, "aaaaaaaaaaaaBBBBBBBBBBBX")]
+    got = Counter((r["doc_id"], r["n_kept"], r["dropped_lines"]) for r in line_dedup.line_report(table(spark, texts).coalesce(1)).collect())
+    assert got == Counter([(1, 1, ""), (2, 1, ""), (5, 1, ""), (5, 0, "0"), (None, 2, ""), (None, 0, "0"), (9, 0, "0"), (9, 0, "0")])
+
+
 def test_html_text(spark):
     page = '<html><head><title>T</title><script>var a="</p>";</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><div class="ad">Buy now, please.</div><article><h1>Big &amp; bold</h1><p><b>First  text\nhere, and more of it.<br><p>Second &eacute; paragraph of words, quite long.</p></article><div id="comments"><p>nice one, I say.</p></div><footer>&copy; someone</footer>'
     rows = [(1, "u", page, 5), (2, "u", None, 5), (3, "u", "", 5), (4, "u", "<p", 5), (5, None, "<div>" * 3000, 5), (1, "u", page, 5)]
