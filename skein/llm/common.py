@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterator
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_IDS = 1_000_000  # ids of a list that may be broadcast; a longer one is shuffled
@@ -24,18 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    Only where it is unset (tests on one machine) a local folder is made.
+    Where it is unset, a session on one machine (tests) gets a local folder; on
+    a cluster that is an error, as executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         ctx = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = ctx.get() if ctx.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "skein-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_written: list[str] = []  # folders that cut() made and tidy() hasn't deleted
+
+
 def cut(df: DataFrame, what: str = "step") -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads them again.
 
@@ -44,14 +51,49 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Deletes the tables that an operator wrote on its way and its result doesn't read.
+
+    What the result reads has been written whole by then, so nothing that is
+    deleted would be needed again if an executor were lost.
+    """
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        before = len(_written)
+        result = operator(*args, **kwargs)
+        own, _written[before:] = _written[before:], []
+        read = {part for file in result.inputFiles() for part in file.split("/")} if own else set()
+        for path in own:
+            if path.rsplit("/", 1)[1] in read:
+                _written.append(path)
+            else:
+                delete(result.sparkSession, path)
+        return result
+
+    return run
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle that this code deals out itself."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions of a shuffle whose tasks hold their rows: about ``most`` each, however many rows there are."""
+    return max(partitions(spark), -(-rows // most))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the batches that go to Python by bytes, so that long texts don't add up in a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -79,9 +121,36 @@ def keep_rows(docs: DataFrame, mask: Callable[[pa.Array], np.ndarray], limit: in
     return docs.mapInArrow(run, docs.schema)
 
 
+NO_ID = -(2**63)  # stands for a null doc_id in joins
+
+
+def text_key(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: doc_id, and xxhash64 of the text."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"].cast("string"))]
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of a table whose (doc_id, xxhash64 of the text) isn't in ``gone`` (columns id, raw)."""
-    gone = cut(gone.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), "raw").distinct(), "gone")
+    gone = cut(gone.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "raw").distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    return docs.join(F.broadcast(gone) if small else gone, (own == gone["id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["raw"]), "left_anti")
+    own, raw = text_key(docs)
+    return docs.join(F.broadcast(gone) if small else gone, (own == gone["id"]) & (raw == gone["raw"]), "left_anti")
+
+
+def one_row_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The table with one row only of each (doc_id, xxhash64 of the text) that ``repeated`` (columns id, raw) names.
+
+    All other rows pass without a shuffle, and where nothing is repeated the table stays as it is.
+    """
+    named = cut(repeated.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "raw").distinct(), "repeated")
+    n = named.count()
+    if not n:
+        return docs
+    own, raw = text_key(docs)
+    side = F.broadcast(named) if n <= BROADCAST_IDS else named
+    same = (own == named["id"]) & (raw == named["raw"])
+    some = docs.join(side, same, "left_semi")
+    # each partition keeps one row of a key before rows meet
+    columns = [F.first(some[c]).alias(c) for c in some.columns]
+    one = some.groupBy(*(k.alias(f"_key{i}") for i, k in enumerate(text_key(some)))).agg(*columns).drop("_key0", "_key1")
+    return docs.join(side, same, "left_anti").unionByName(one.select(*(f"`{c}`" for c in docs.columns)))

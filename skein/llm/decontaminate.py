@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, keep_rows, texts, without
+from skein.llm.common import cut, keep_rows, texts, tidy, without
 from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, word_spans
 
 WALKS = 6
@@ -274,11 +274,13 @@ def _found(docs: DataFrame, items: DataFrame, percent: int, min_words: int) -> D
     return reduce(DataFrame.unionByName, found)
 
 
+@tidy
 def contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, item_id, start_word, distance): the best stretch for each item in each document that has one."""
     return _found(docs, items, percent, min_words).drop("raw")
 
 
+@tidy
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows, all columns, of documents without any item's passage."""
     blocks, indexes = _blocks(items, percent, min_words)

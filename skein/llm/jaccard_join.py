@@ -20,8 +20,9 @@ All candidate pairs are verified on whole sets, so components are exact (up to
 
 Counts of all shingles are taken; the ``FREQUENT`` most frequent (8 bytes each)
 are broadcast and steer the order, and any order is right.  Null texts count as empty; repeated rows
-share their set; an empty table gives an empty result; extra columns are
-ignored.
+share their set; a null doc_id is told apart by its text, is no one's
+component_id where there is another, and its row counts like any; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_IDS, cut, partitions, texts, without
+from skein.llm.common import BROADCAST_IDS, NO_ID, cut, one_row_each, partitions, tasks_for, text_key, texts, tidy, without
 from skein.llm.components import components
 from skein.llm.textops import by_size, mix, shingles, words
 
 FREQUENT = 200_000  # entries of the table of frequent shingles, at most
 BATCH = 2 << 20  # bytes of text in memory at once
 COUNTED = 4_000_000  # shingles counted together
+TOLD = 16_000_000  # shingles (4 bytes each) that a task counts
+LISTED = 2_000_000  # prefix entries (33 bytes each) that a task holds
 SHORT = 16  # entries of a list that is joined at once
 SALTED = 4096  # entries of a list that one task takes
 BLOCK = 64  # entries of a block
@@ -192,7 +195,7 @@ def _lists(percent: int, last: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a bucket's share of the entries is bounded by the number of buckets, which follows the input
+        # there are as many tasks as the entries need (LISTED), and a list that may be long is dealt out over them
         blocks = [np.frombuffer(x, ENTRY) for b in batches for x in (b.column(1).to_pylist())]
         if not blocks:
             return
@@ -376,10 +379,11 @@ class JaccardJoin:
         profile = cut(self.docs.withColumn("raw", F.xxhash64("text")).mapInArrow(_profile(width), "doc_id long, node long, n long, sketch binary, raw long"), "sets")
         self.rows = profile.select("doc_id", "node", "n", "raw")
         self.sketches = profile.select("node", "n", "sketch")
+        self.shingles = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def _table(self, some: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Keys (the upper half) of the most frequent shingles of some texts, FREQUENT at most, in order, and their counts."""
-        n = partitions(self.spark)
+        n = tasks_for(self.spark, self.shingles, TOLD)
         blocks = some.mapInArrow(_shingle_blocks(self.width, 4 * n), "bucket int, block binary")
         counted = cut(blocks.repartition(n, "bucket").mapInArrow(_often, "x long, y long"), "often")
         frame = counted.orderBy(F.desc("y"), "x").limit(FREQUENT).toArrow()
@@ -388,15 +392,17 @@ class JaccardJoin:
         return keys[order], counts[order]
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
-        """Texts that have the given sets."""
-        one = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-        # repeated rows of a doc_id bring further sets or the same ones again; neither changes which links hold
+        """Texts that have the given sets, one for each (rows that repeat doc_id and text bring it again, which changes no link)."""
+        key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("raw").alias("raw"))
+        one = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(key).alias("one")).select("one.id", "one.raw")
         one = cut(one, "ids")
-        small = one.count() <= BROADCAST_IDS  # beyond it both sides are shuffled by doc_id
-        return self.docs.join(F.broadcast(one) if small else one, "doc_id", "left_semi").select("text")
+        small = one.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
+        own, raw = text_key(self.docs)
+        return self.docs.join(F.broadcast(one) if small else one, (own == one["id"]) & (raw == one["raw"]), "left_semi").select("text")
 
     def _joined(self, some: DataFrame, table: tuple[np.ndarray, np.ndarray], last: bool) -> DataFrame:
-        n = partitions(self.spark)
+        # a prefix has (100 - percent) of 100 shingles of its set, and one
+        n = tasks_for(self.spark, self.shingles * (100 - self.percent) // 100 + 1, LISTED)
         blocks = some.mapInArrow(_prefixes(self.width, self.percent, *table, 4 * n), "bucket int, block binary")
         return cut(blocks.repartition(n, "bucket").mapInArrow(_lists(self.percent, last), "kind int, a long, b long, n int, pos int"), "lists")
 
@@ -442,22 +448,30 @@ class JaccardJoin:
         return first.unionByName(second)
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id and xxhash64 of the text (raw) for every row."""
+        """doc_id, n_shingles, component_id, label, and xxhash64 of the text (raw) for every row."""
         label = components(self.links())
         rows = self.rows.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
         rows = cut(rows, "labels")
         # written first, so that the join below has plain exchanges and a label with very many rows can be split
-        least = cut(rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+        least = cut(rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(place()).alias("first")), "least")
         found = rows.join(least.hint("merge"), "label", "left")
-        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "raw")
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "raw", "first")
+
+
+def place() -> Column:
+    """Order of the rows of a component: the least doc_id comes first, none last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("raw").alias("raw"))
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
-    return JaccardJoin(docs, width, percent).classes().drop("raw")
+    return JaccardJoin(docs, width, percent).classes().drop("raw", "first")
 
 
+@tidy
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows, all columns, of the document with the least doc_id of each component."""
-    found = JaccardJoin(docs, width, percent).classes()
-    return without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), "raw"))
+    """The rows, all columns, of the document with the least doc_id of each component, one row of each; texts without words all stay."""
+    found = cut(JaccardJoin(docs, width, percent).classes().where("n_shingles > 0").select(F.col("doc_id").alias("id"), "raw", place().eqNullSafe(F.col("first")).alias("stays")), "classes")
+    repeated = found.where("stays").groupBy("id", "raw").count().where("count > 1")
+    return one_row_each(without(docs, found.where("not stays")), repeated)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, partitions, texts
+from skein.llm.common import cut, tasks_for, texts, tidy
 from skein.llm.textops import by_size, mix, text_bytes
 
 BROADCAST_LINES = 500_000  # places of lines that may be broadcast
@@ -212,7 +212,7 @@ def _dropped(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     # rows that repeat doc_id and text bring the same lines again
     lines = met.mapInArrow(_asked, "h1 long, doc long, row long, line_no int, line string").dropDuplicates(["h1"])
     lines = cut(lines, "near")
-    n = max(partitions(docs.sparkSession), size[1] // ENTRIES)
+    n = tasks_for(docs.sparkSession, size[1], ENTRIES)
     pairs = lines.mapInArrow(_variants(4 * n), "bucket int, block binary").repartition(n, "bucket").mapInArrow(_partners, "line long, earlier long").distinct()
     mine = lines.select(F.col("h1").alias("line"), F.col("line").alias("x"))
     theirs = lines.select(F.col("h1").alias("earlier"), F.col("line").alias("y"))
@@ -233,12 +233,14 @@ def decisions(docs: DataFrame) -> DataFrame:
     return met.select("row", "doc_id", "line_no", kept.alias("kept"))
 
 
+@tidy
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept and the numbers of the dropped lines (from 0, comma-joined) of every row."""
     found = decisions(docs).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"), F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))).alias("out"))
     return found.select("doc_id", "n_lines", "n_kept", F.array_join(F.col("out").cast("array<string>"), ",").alias("dropped_lines"))
 
 
+@tidy
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id and text of every row with dropped lines left out (a text of dropped lines only becomes empty)."""
     source = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "source")

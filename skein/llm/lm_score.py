@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import gru
-from skein.llm.common import bounded_batches, cut, partitions, texts
+from skein.llm.common import bounded_batches, cut, partitions, texts, tidy
 from skein.llm.hashed import remainder
 from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, word_spans
 
@@ -228,6 +228,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(rows), pa.array(np.bincount(at, np.log10(c + 1.0), len(rows))), pa.array(np.bincount(at, c > 0, len(rows)).astype(np.int64))], ["row", "more", "k"])
 
 
+@tidy
 def lm_scores(docs: DataFrame, epochs: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession

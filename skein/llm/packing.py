@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, texts
+from skein.llm.common import cut, texts, tidy
 from skein.llm.textops import by_size, hash_spans, lowered, text_bytes, word_spans
 
 LIMIT = 4096
@@ -229,6 +229,7 @@ def _place(slots: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
     """One row per piece with its place: sequence_id and offset."""
     pieces = cut(token_pieces(docs, tokenizer, limit, end), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
@@ -238,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) ->
     parts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")  # rows that tie in all are alike
     ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(parts, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("own")).cast("long").alias("rank"))
     return ranked.mapInArrow(_place(slots), PIECES + ", sequence_id long, offset long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import keep_rows, texts
+from skein.llm.common import keep_rows, texts, tidy
 from skein.llm.hashed import fetched, gram_ids, labelled_sample, padded_bytes, remainder, row_sums, word_ids
 from skein.llm.textops import by_size
 
@@ -151,12 +151,14 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
     return rows.mapInArrow(_score(model.projection, model.offset), "doc_id long, score double")
 
 
+@tidy
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     found = score(docs, fit(docs, labels))
     return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@tidy
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows, all columns, that the classifier accepts."""
     model = fit(docs, labels)

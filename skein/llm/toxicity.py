@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import texts
+from skein.llm.common import texts, tidy
 from skein.llm.hashed import distinct_rows, fetched, gram_ids, labelled_sample, padded_bytes, remainder, row_sums
 from skein.llm.textops import LOWER, SPACE, by_size
 
@@ -128,6 +128,7 @@ def score(docs: DataFrame, model: RatioModel) -> DataFrame:
     return rows.mapInArrow(_score(model.weights, model.bias), "doc_id long, score double")
 
 
+@tidy
 def classified(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     found = score(docs, fit(docs, labels))

@@ -142,10 +142,67 @@ def test_exact_dedup(spark):
     for i, t in rows:
         ids = [x for x in groups[low(t)] if x is not None]
         keep = max(ids) if ids else None
-        want[(i, keep, len(groups[low(t)]), i is not None and i == keep, hashlib.sha256(low(t).encode()).hexdigest())] += 1
+        want[(i, keep, len(groups[low(t)]), i == keep, hashlib.sha256(low(t).encode()).hexdigest())] += 1
     assert Counter(tuple(r) for r in got) == want
+
+
+def test_unique_documents(spark):
+    rows = ODD + [(k, "Same Text") for k in range(30)] + [(31, "same text"), (31, "same text"), (31, "SAME text"), (32, "É"), (33, "é")]
+    rows += [(None, "only without id"), (None, "without id"), (None, "Without id"), (None, "without id"), (None, "same text")]
     stay = exact_dedup.unique_documents(table(spark, rows))
-    assert stay.columns == table(spark, []).columns and sorted(r["doc_id"] for r in stay.collect() if r["text"] and low(r["text"]) == "same text") == [31, 31]
+    assert stay.columns == table(spark, []).columns
+    got = Counter(((r["text"] or "").translate(UPPER), r["doc_id"]) for r in stay.collect())
+    most = {}
+    for i, t in rows:
+        most[low(t)] = max(most.get(low(t), -1), -1 if i is None else i)
+    assert got == Counter((t, None if i < 0 else i) for t, i in most.items())
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from skein.llm.common import shared_dir
+
+    rows = near_copies(random.Random(1)) + ODD
+    folder = urlparse(shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    found = jaccard_join.near_duplicates(table(spark, rows))
+    left = set(os.listdir(folder)) - before
+    assert len(left) <= 2 and found.count() == len(rows)
+
+
+def test_changes_of_live_digests(spark):
+    rng = random.Random(4)
+    changes, live = [], set()
+    for seq in range(600):
+        i, t, gone = rng.choice([None, *range(40)]), rng.choice(["a", "A", "b", "c", "", None]), rng.random() < 0.45
+        changes.append((i, t, seq, gone if gone or rng.random() < 0.5 else None))
+        (live.discard if gone else live.add)((i, low(t)))
+    got = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.live_groups(spark.createDataFrame(changes, "doc_id long, text string, seq long, removed boolean").repartition(5)).collect()}
+    want = {}
+    for t in {t for _, t in live}:
+        ids = [i for i, x in live if x == t]
+        want[hashlib.sha256(t.encode()).hexdigest()] = (max((i for i in ids if i is not None), default=None), len(ids))
+    assert got == want
+
+
+def test_one_of_each(spark):
+    rng = random.Random(12)
+    base = prose(rng, 60, 10**6)
+    rows = [(5, base), (3, base + " end"), (3, base + " end"), (None, base + " other"), (None, "own words of a text without id"), (None, "own words of a text without id"), (None, "Own words of a text without id"), (8, "far away from all other texts"), (9, ""), (10, None), (11, "x"), (12, "X")]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(table(spark, rows)).collect())
+    left = got - Counter([(3, base + " end"), (8, "far away from all other texts"), (9, ""), (10, None), (11, "x")])
+    assert left.total() == 1 and got.total() == 6 and low(next(iter(left))[1]) == "own words of a text without id"
+
+
+def test_jaccard_without_ids(spark):
+    """Sets that only rows without doc_id hold link like any other."""
+    rng = random.Random(13)
+    base = prose(rng, 80, 10**6)
+    rows = [(1, base), (None, base + " a"), (None, base + " a b c d e f g"), (2, base + " a b c d e f g h i j k l m n o p")]
+    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(table(spark, rows), 4, 85).collect())
+    assert got == Counter([(1, 1), (None, 1), (None, 1), (2, 1)])
 
 
 def test_cuckoo_index():
