@@ -5,14 +5,17 @@ those whose crc32(doc_id as text) modulo 7 is not 2.
 
 * Counts: the exact count of every training word, over all training texts.
 * Base: sum of log10((c + 1) / (N + V + 1)) over a text's tokens.
-* Model: the recurrent network chooses a class (a group of the ``HEAD`` most
-  frequent words, or one of ``TAILS`` classes of other words by their ending),
-  then the word: by the network within a group, by its count within a tail
-  class, (c + 1) / (sum of c + 1 over the class, and 1 for unseen words).  Each
-  text is scored whole, with the state carried from window to window.
+* Model: the recurrent network chooses a class, and within the class a member, by
+  a softmax each.  Members are the ``HEAD`` most frequent words, and ``TAILS``
+  leaves that hold all other words: words of one class of leaves have an ending,
+  those of one leaf also a beginning in common (hashed).  A word of a leaf has the
+  leaf's probability times (c + 1) / (sum of c + 1 over the leaf, and 1 for unseen
+  words), so the probabilities of all words, known ones and an unseen one in each
+  leaf, sum to one.  Each text is scored whole, with the state carried from window
+  to window.
 
 Network weights are learned on all training texts.  They begin with what whole
-texts of a hashed sample (``SAMPLE_DOCS``, ``SAMPLE_TOKENS``) teach; then each of
+texts of a hashed sample (``warm_docs``, ``warm_tokens``) teach; then each of
 ``ROUNDS`` hashed shares of all texts is learned in its partitions, and the weights
 of the partitions are averaged by their tokens.  Counts of the
 ``FREQUENT`` most frequent words (12 bytes each) are broadcast, all others meet
@@ -33,16 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import gru
-from skein.llm.common import bounded_batches, cut, partitions, texts, tidy
+from skein.llm.common import bounded_batches, cut, tasks_for, texts, tidy
 from skein.llm.hashed import remainder
 from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, word_spans
 
 HEAD = 1024
-TAILS = 16
+TAILS = 512  # 16 classes by ending, 32 leaves each by beginning
 WIDTH = 24
 FREQUENT = 1 << 18
-SAMPLE_DOCS = 2000
-SAMPLE_TOKENS = 1_200_000
+WARM_DOCS = 2000
+WARM_TOKENS = 1_200_000
+MET = 2_000_000  # rare words that a task looks up
 ROUNDS = 2
 RATE = 0.003  # of the rounds
 STREAMS = 128
@@ -53,16 +57,19 @@ ENTRY = np.dtype([("word", "<u8"), ("row", "<i8")])
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and tail classes with an end behind each text, and the row pointer."""
+    """Word hashes and leaves of tail classes with an end behind each text, and the row pointer."""
     raw, offs = text_bytes(col)
     low = lowered(raw)
     s, e, ptr = word_spans(low, offs)
     h = hash_spans(low, s, e)
-    ending = np.zeros(len(s), np.uint64)
+    ending, start = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
     for k in (1, 2, 3):
         at = e - k
         ending = ending * np.uint64(257) + np.where(at >= s, low[np.maximum(at, 0)], 0).astype(np.uint64)
-    tail = (mix(ending) % np.uint64(TAILS)).astype(np.int64)
+    for k in (0, 1):
+        start = start * np.uint64(257) + np.where(s + k < e, low[s + k], 0).astype(np.uint64)
+    group = np.uint64(gru.GROUP)
+    tail = ((mix(ending) % np.uint64(TAILS // gru.GROUP)) * group + mix(start) % group).astype(np.int64)
     docs = len(ptr) - 1
     spot = np.arange(len(h)) + np.repeat(np.arange(docs), np.diff(ptr))
     out_ptr = ptr + np.arange(docs + 1)
@@ -229,11 +236,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @tidy
-def lm_scores(docs: DataFrame, epochs: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, epochs: int = 2, warm_docs: int = WARM_DOCS, warm_tokens: int = WARM_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions(spark)
     rows = texts(docs)
     training = rows.where(F.coalesce(remainder(7), F.lit(0)) != 2)
     counts = cut(training.select("text").mapInArrow(_count, "word long, tail int, c long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("c").alias("c")), "counts")
@@ -250,16 +256,19 @@ def lm_scores(docs: DataFrame, epochs: int = 2) -> DataFrame:
         mass[r["tail"]] += r["m"]
     np.subtract.at(mass, tail[:HEAD], c[:HEAD] + 1)
     lexicon = Lexicon(words, c, mass)
-    chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_docs)
     sample = training.join(F.broadcast(chosen), "doc_id").mapInArrow(_encode(lexicon), "doc_id long, ids array<int>")
-    sample = sample.where(F.size("ids") <= SAMPLE_TOKENS // 16).withColumn("spot", F.xxhash64("doc_id")).toArrow().sort_by([("spot", "ascending"), ("doc_id", "ascending")])
+    sample = sample.where(F.size("ids") <= warm_tokens // 16).withColumn("spot", F.xxhash64("doc_id")).toArrow().sort_by([("spot", "ascending"), ("doc_id", "ascending")])
     streams, held = [], 0
     for ids in sample["ids"]:
-        if held + len(ids.values) <= SAMPLE_TOKENS:
+        if held + len(ids.values) <= warm_tokens:
             streams.append(np.asarray(ids.values, np.int64))
             held += len(streams[-1])
-    model = gru.fit(gru.create(HEAD, TAILS, WIDTH), streams, epochs=epochs)
+    model = gru.fit(gru.create(HEAD + TAILS, 0, WIDTH), streams, epochs=epochs)
     model, _ = learned(training, lexicon, model)
+    # tokens that are none of the frequent words, in all texts, as training texts are six of seven
+    rare = int(size[0]) - int(c.sum()) + distinct
+    n = tasks_for(spark, rare * 7 // 6 + distinct, MET)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     unit = float(np.log10(total + distinct + 1))
     found = cut(numbered.mapInArrow(_score(lexicon, model, 4 * n, unit), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, block binary"), "scores")

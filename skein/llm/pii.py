@@ -1,7 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust a score.
 
 Base kinds and their patterns are fixed; further kinds (iban, ssn, key, secret,
-local_phone) come from the method and never replace a base span.  Offsets are
+local_phone) come from the method and never replace a base span.  Every span has
+a score: what its kind begins with (``PRIOR``), more where a word that goes with
+the kind stands near it, less where a word says that it is made up.  A span of a
+further kind counts from ``ACCEPT`` on, a base span always.  Offsets are
 code points, ends exclusive.  Null texts count as empty and give no spans.
 Repeated rows are scored alike; an empty table gives an empty result.
 """
@@ -36,13 +39,21 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-]
 _KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?i:password|passwd|secret|token|api_key|apikey)\x20?[=:]\x20?(\"?)([A-Za-z0-9_+/-]{8,128})\1")
 CONTEXT = {
-    "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
-    "ssn": ("ssn", "social security", "social"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
-    "key": ("key", "access", "aws"),
-    "secret": ("password", "passwd", "secret", "token", "api"),
+    "email": "mail email e-mail contact write",
+    "ip": "ip address host server client",
+    "card": "card visa mastercard amex credit debit payment",
+    "phone": "phone tel call mobile fax contact whatsapp",
+    "iban": "iban account bank konto cuenta compte transfer",
+    "ssn": "ssn social",
+    "local_phone": "phone tel call mobile fax contact",
+    "key": "key access aws credentials",
+    "secret": "password passwd secret token api login",
 }
-PRIOR = {"iban": 0.7, "ssn": 0.4, "local_phone": 0.4, "key": 0.8, "secret": 0.6}
+MADE_UP = "example sample dummy placeholder fake invalid test"
+PRIOR = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.7, "iban": 0.7, "ssn": 0.4, "local_phone": 0.4, "key": 0.7, "secret": 0.6}
+GAIN = 0.3
+#: Words near a span: letters alone, not parts of addresses or names.
+_WORD = re.compile(r"(?<![\w@.-])[a-z]+(?:-[a-z]+)?(?![\w@])")
 
 
 def luhn(digits: str) -> bool:
@@ -109,21 +120,33 @@ def ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _score(kind: str, text: str, start: int, end: int) -> float:
-    near = text[max(0, start - REACH) : start].lower() + " " + text[end : end + REACH].lower()
-    bonus = 0.3 if any(w in near for w in CONTEXT[kind]) else 0.0
-    return min(1.0, PRIOR[kind] + bonus)
+def score(kind: str, text: str, start: int, end: int, own: int | None = None) -> float:
+    """How likely a span is what its kind says, from the words within REACH on either side; what its pattern took from ``own`` on is no context."""
+    start = start if own is None else own
+    near = _WORD.findall(text[max(0, start - REACH) : start].lower()) + _WORD.findall(text[end : end + REACH].lower())
+    good, bad = _CONTEXT[kind].intersection(near), _MADE_UP.intersection(near)
+    return round(min(1.0, max(0.0, PRIOR[kind] + (GAIN if good else 0) - (GAIN if bad else 0))), 6)
+
+
+_CONTEXT = {kind: frozenset(ws.split()) for kind, ws in CONTEXT.items()}
+_MADE_UP = frozenset(MADE_UP.split())
 
 
 def more_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-    """Spans of further kinds with their scores; none overlaps a base span."""
+    """Spans of further kinds with their scores; none overlaps a base span or an accepted one before it."""
     found: list[tuple[str, int, int, float]] = []
-
-    def propose(kind: str, start: int, end: int) -> None:
-        if all(end <= s or e <= start for _, s, e in base) and all(end <= f[1] or f[2] <= start for f in found):
-            score = _score(kind, text, start, end)
-            if score >= ACCEPT:
-                found.append((kind, start, end, score))
+    taken = bytearray()  # by code point; made when something is proposed
+
+    def propose(kind: str, start: int, end: int, own: int | None = None) -> None:
+        if not taken:
+            taken.extend(bytes(len(text)))
+            for _, s, e in base:
+                taken[s:e] = b"\x01" * (e - s)
+        if taken.find(1, start, end) < 0:
+            p = score(kind, text, start, end, own)
+            if p >= ACCEPT:
+                found.append((kind, start, end, p))
+                taken[start:end] = b"\x01" * (end - start)
 
     if _DIGIT.search(text):
         for start, end in ibans(text):
@@ -139,7 +162,7 @@ def more_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
             if any(c.isdigit() for c in m.group(2)):
-                propose("secret", m.start(2), m.end(2))
+                propose("secret", m.start(2), m.end(2), m.start())
     return sorted(found, key=lambda f: (MORE.index(f[0]), f[1]))
 
 
@@ -150,7 +173,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column(1).to_pylist():
             base = base_spans(text) if text else []
             more = more_spans(text, base) if text else []
-            rows.append([{"kind": k, "start": s, "end": e, "score": 1.0} for k, s, e in base] + [{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in more])
+            rows.append([{"kind": k, "start": s, "end": e, "score": score(k, text, s, e)} for k, s, e in base] + [{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in more])
         yield pa.record_batch([b.column(0), pa.array(rows, kinds)], ["doc_id", "found"])
 
 
@@ -172,4 +195,5 @@ def pii_digest(found: DataFrame) -> DataFrame:
         F.sha2(joined(F.filter("found", is_base)), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
         F.size(F.filter("found", lambda s: ~is_base(s))).cast("long").alias("n_more"),
+        F.size("found").cast("long").alias("n_spans"),
     )
