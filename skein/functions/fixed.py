@@ -46,30 +46,9 @@ FINGERPRINT = (
     (r"\b\d+(?:\.\d+)?\b", "<num>"),
 )
 
-FAILURE = (
-    r"^Error:\s",
-    r"^error(?:\[[A-Z]\d+\])?:",
-    r"^fatal:\s",
-    r"^npm ERR!(?:\s|$)",
-    r"^FAIL(?:ED)?\b",
-    r"(?<!0 )\bFAILED\b",
-    r"\bpanicked at\b",
-    r"\bAssertionError(?::|\b)",
-    r"\b[1-9]\d*\s+(?:[Ff][Aa][Ii][Ll][Ee][Dd]|[Ee][Rr][Rr][Oo][Rr][Ss]?)\b",
-)
+FAILURE = r"(?m)(?:^Error:\s|^error(?:\[[A-Z]\d+\])?:|^fatal:\s|^npm ERR!(?:\s|$)|^FAIL(?:ED)?\b|(?<!0 )\bFAILED\b|\bpanicked at\b|\bAssertionError(?::|\b)|\b[1-9]\d*\s+(?:[Ff][Aa][Ii][Ll][Ee][Dd]|[Ee][Rr][Rr][Oo][Rr][Ss]?)\b)"
 
-TEST_SIGNAL = (
-    r"^(?:PASS|FAIL)\s+\S+",
-    r"^ok\s+\d",
-    r"^not ok\s",
-    r"^\d+ passing\b",
-    r"^Test Suites:",
-    r"^Test Files\s",
-    r"^test result:",
-    r"^=+ .* (?:passed|failed).* =+$",
-    r"^(?:PASSED|FAILED|ERROR)\s*:",
-    r"^.*::\S+\s+(?:PASSED|FAILED|ERROR|SKIPPED)\s*$",
-)
+TEST_SIGNAL = r"(?:^(?:PASS|FAIL)\s+\S+|^ok\s+\d|^not ok\s|^\d+ passing\b|^Test Suites:|^Test Files\s|^test result:|^=+ .* (?:passed|failed).* =+$|^(?:PASSED|FAILED|ERROR)\s*:|^.*::\S+\s+(?:PASSED|FAILED|ERROR|SKIPPED)\s*$)"
 TEST_SUMMARY = r"^(?:Test Suites:|Test Files\s|Tests\s+|Duration\b|test result:|=+ .* (?:passed|failed).* =+$|\d+\s+(?:passed|failed|skipped|error|errors|failures?)\b)"
 SUMMARY_KEPT = r"(?i)(?:\b\d+\s+(?:failed|passed|skipped|error|errors|failures?|tests?|test files?)\b|Test Files|Tests|Duration|test result:|^ok\s+|^FAIL\b|^PASS\b|compiled with|Finished\b)"
 FAIL_LINE = r"\b(?:FAILED|FAIL|failed|panicked|panic|AssertionError|Error:|Exception:)\b"

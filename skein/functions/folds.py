@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +19,7 @@ _FINGERPRINT = [(re.compile(p, re.A), r) for p, r in K.FINGERPRINT]
 _WORDS = re.compile(r"\w+")
 _SUMMARY, _FAIL, _PASS = (re.compile(p, re.A) for p in (K.SUMMARY_KEPT, K.FAIL_LINE, K.PASS_WORD))
 _BANNER, _RESULT, _FAIL_HEAD = (re.compile(p, re.A) for p in (K.FAILURES_BANNER, K.RESULT_BANNER, K.FAIL_HEAD))
+_HEADING, _TSC, _TSC_RULE, _STYLISH, _CONCISE = (re.compile(p, re.A) for p in (K.LINT_HEADING, K.LINT_TSC, K.LINT_TSC_RULE, K.LINT_STYLISH, K.LINT_CONCISE))
 _TRACE_START, _TRACE_END, _FRAME, _BODY = (re.compile(p, re.A) for p in (K.TRACE_START, K.TRACE_END, K.FRAME, K.FRAME_BODY))
 
 
@@ -168,37 +171,56 @@ def diff_context(text: str) -> str:
     return "\n".join(out)
 
 
+class Diagnostic(NamedTuple):
+    """A linter's report on one place, with the heading it stands under."""
+
+    heading: str
+    owner: str
+    rule: str
+    message: str
+    line: str
+
+    @property
+    def kind(self) -> tuple[str, str, str]:
+        return self.owner, self.rule, self.message
+
+
+def diagnostics(text: str) -> Iterator[Diagnostic]:
+    """All diagnostics of a linter's output in order, whichever of three forms each has."""
+    heading = ""
+    for line in filter(str.strip, text.split("\n")):
+        if _HEADING.search(line):
+            heading = line
+        elif m := _TSC.search(line):
+            code = _TSC_RULE.search(m[4])
+            yield Diagnostic(heading, m[1], code[1] if code else "diagnostic", m[4], line)
+        elif m := _STYLISH.search(line):
+            yield Diagnostic(heading, heading, m[4], m[3], line)
+        elif m := _CONCISE.search(line):
+            yield Diagnostic(heading, m[1], m[4], m[5], line)
+
+
 def lint_summary(text: str) -> str | None:
-    """Diagnostics, three of each kind, under their file headings, with counts of the rest."""
-    heading, tsc, rule_of, stylish, concise = (re.compile(p, re.A) for p in (K.LINT_HEADING, K.LINT_TSC, K.LINT_TSC_RULE, K.LINT_STYLISH, K.LINT_CONCISE))
-    ls = [x for x in text.split("\n") if x.strip()]
-    file = shown = ""
-    seen: dict[tuple[str, str, str], list] = {}
+    """Diagnostics, the first few of each kind, under their file headings, with counts of the rest."""
+    found = list(diagnostics(text))
+    nth: Counter[tuple[str, str, str]] = Counter()
+    shown = []
+    for d in found:
+        nth[d.kind] += 1
+        if nth[d.kind] <= K.DIAGNOSTIC_SHOWN:
+            shown.append(d)
     out: list[str] = []
-    for line in ls:
-        if heading.search(line):
-            file = line
-            continue
-        if m := tsc.search(line):
-            named = rule_of.search(m[4])
-            key = (m[1], named[1] if named else "diagnostic", m[4])
-        elif m := stylish.search(line):
-            key = (file, m[4], m[3])
-        elif m := concise.search(line):
-            key = (m[1], m[4], m[5])
-        else:
-            continue
-        entry = seen.setdefault(key, [0, file])
-        entry[0] += 1
-        if entry[0] <= K.DIAGNOSTIC_SHOWN:
-            if file and shown != file:
-                out.append(file)
-                shown = file
-            out.append(line)
-    for (_, rule, _), (n, at) in seen.items():
-        if n > K.DIAGNOSTIC_SHOWN:
-            out.append(f"... {K.MARK} {n - K.DIAGNOSTIC_SHOWN} identical diagnostics omitted{f' for {at}' if at else ''}{f' ({rule})' if rule else ''}]")
-    return "\n".join(out) if out else None
+    last = ""
+    for heading, same in groupby(shown, key=lambda d: d.heading):
+        out += [heading] if heading and heading != last else []
+        last = heading or last
+        out += [d.line for d in same]
+    first = {d.kind: d for d in reversed(found)}
+    for kind in dict.fromkeys(d.kind for d in found):
+        if (more := nth[kind] - K.DIAGNOSTIC_SHOWN) > 0:
+            where = f" for {first[kind].heading}" if first[kind].heading else ""
+            out.append(f"... {K.MARK} {more} identical diagnostics omitted{where} ({kind[1]})]")
+    return "\n".join(out) or None
 
 
 def text_udf(fold: Callable[[str], str | None]) -> Callable[[Column], Column]:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 from skein.functions import fixed as K
 from skein.functions.folds import text_udf
 
@@ -41,8 +45,8 @@ def _object(pairs: list[tuple[str, object]]) -> dict[str, object]:
     out: dict[str, object] = {}
     for k, v in pairs:
         out[k] = v
-    index = [k for k in out if re.fullmatch(r"0|[1-9]\d{0,9}", k) and int(k) < 2**32 - 1]
-    return {k: out[k] for k in [*sorted(index, key=int), *(k for k in out if k not in set(index))]}
+    index = {k for k in out if re.fullmatch(r"0|[1-9]\d{0,9}", k, re.A) and int(k) < 2**32 - 1}
+    return {k: out[k] for k in [*sorted(index, key=int), *(k for k in out if k not in index)]} if index else out
 
 
 def _dump(x: object) -> str:
@@ -77,6 +81,44 @@ def minified(text: str, fold_arrays: bool = False) -> str | None:
     return _dump(value)
 
 
+def with_text(response: str | None, shape: str | None, text: str | None) -> str | None:
+    """A JSON response with the text of its ``shape`` put in place of the old one; all other members stay as they are."""
+    if response is None or shape is None or text is None:
+        return None
+    if shape == "plain":
+        return text
+    root = json.loads(response, object_pairs_hook=_object)
+    if shape == "string":
+        root = text
+    elif shape == "blocks":
+        next(b for b in root if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str))["text"] = text
+    elif shape == "file":
+        root["file"] |= {"content": text, "numLines": text.count("\n") + 1}
+    elif shape == "grep":
+        root |= {"content": text, "numLines": text.count("\n") + 1}
+    else:
+        root[shape] = text
+    return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
+
+
+@F.pandas_udf(StringType())
+def write_back(response: pd.Series, shape: pd.Series, text: pd.Series) -> pd.Series:
+    """Responses with new texts, by the shapes that ``located_text`` found; null where one is missing."""
+    return pd.Series([with_text(*row) for row in zip(response, shape, text)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def with_names(response: pd.Series, names: pd.Series) -> pd.Series:
+    """JSON file listings with other names; null where one is missing."""
+
+    def put(r: str | None, own: object) -> str | None:
+        if r is None or own is None:
+            return None
+        return json.dumps(json.loads(r, object_pairs_hook=_object) | {"filenames": list(own)}, ensure_ascii=False, separators=(",", ":"))
+
+    return pd.Series([put(r, n) for r, n in zip(response, names)], dtype=object)
+
+
 def _short(m: re.Match[str]) -> str:
     return f"{m.group()[: K.BASE64_SHOWN]}{K.MARK} {len(m.group()) - K.BASE64_SHOWN} base64 chars omitted]"
 

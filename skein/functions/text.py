@@ -74,12 +74,12 @@ def fingerprint(line: Column) -> Column:
 
 def has_failure(text: Column) -> Column:
     shown = strip_ansi(F.coalesce(text, F.lit("")))
-    return any_of(shown, tuple("(?m)" + p for p in K.FAILURE))
+    return shown.rlike(K.FAILURE)
 
 
 def is_test_output(text: Column) -> Column:
     ls = lines(unix_newlines(text))
-    signals = F.size(F.array_distinct(F.filter(ls, lambda x: any_of(x, K.TEST_SIGNAL))))
+    signals = F.size(F.array_distinct(F.filter(ls, lambda x: x.rlike(K.TEST_SIGNAL))))
     return (signals >= 2) | ((signals == 1) & F.exists(ls, lambda x: x.rlike(K.TEST_SUMMARY)))
 
 

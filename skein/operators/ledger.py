@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,7 @@ def by_tool(facts: DataFrame, *keys: str) -> DataFrame:
 
 def session_summary(facts: DataFrame) -> DataFrame:
     """By session and tool, and in total (tool null), with tokens and cost; one pass by rollup."""
-    out = facts.groupBy("session_id", "tool").agg(*_sums())
-    total = out.groupBy("session_id").agg(*_sums()).withColumn("tool", F.lit(None).cast("string"))
-    both = out.unionByName(total.select(*out.columns)).withColumn("bytes_saved", saved())
+    both = facts.rollup("session_id", "tool").agg(*_sums(), F.grouping_id().alias("level")).where("level < 3").drop("level").withColumn("bytes_saved", saved())
     return both.withColumn("est_tokens", T.est_tokens(F.col("bytes_saved"))).withColumn("est_usd", T.cost_usd(F.col("est_tokens")))
 
 
@@ -46,7 +45,8 @@ def in_period(day: Column, period: str, as_of: dt.date) -> Column:
     if period == "weekly":
         return day >= F.lit(as_of - dt.timedelta(days=6))
     if period == "monthly":
-        return F.date_trunc("month", day) == F.lit(dt.datetime(as_of.year, as_of.month, 1))
+        first = as_of.replace(day=1)  # as a range of plain dates it reaches the scan
+        return (day >= F.lit(first)) & (day < F.lit((first + dt.timedelta(days=31)).replace(day=1)))
     return F.lit(True)
 
 
@@ -109,7 +109,7 @@ def status_line(facts: DataFrame) -> DataFrame:
     return total.select("session_id", parts.alias("line"))
 
 
-def recovery_rows(results: DataFrame, max_files: int, mode: str = "always") -> DataFrame:
+def recovery_rows(results: DataFrame, max_files: int, mode: str = "lossy") -> DataFrame:
     """Originals that are worth keeping, the newest ``max_files`` of each session.
 
     ``results``: session_id, use_id, seq, original, lossy, failed.
@@ -123,12 +123,25 @@ def recovery_rows(results: DataFrame, max_files: int, mode: str = "always") -> D
 
 
 def recovery_path(session: Column, use: Column) -> Column:
-    """Percent-encoded path of a kept original."""
-    enc = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("."), F.lit("%2E"))
-    return F.concat(enc(session), F.lit("/"), enc(use), F.lit(".txt"))
+    """Percent-encoded path of a kept original: as in URI components, and dots too."""
+    changes = (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"), (".", "%2E"))
+    enc = lambda c: reduce(lambda x, change: F.replace(x, F.lit(change[0]), F.lit(change[1])), changes, F.url_encode(c))
+    return F.concat(enc(session), F.lit("/"), enc(use), F.lit(".log"))
 
 
 def csv_rows(days: DataFrame) -> DataFrame:
     """Rows of the day report as CSV lines, with a header that sorts first."""
     line = F.concat_ws(",", F.col("day").cast("string"), "bytes_in", "bytes_out", "bytes_saved", "events")
     return days.select(F.col("day").cast("string").alias("at"), line.alias("line"))
+
+
+def diagnostics_listing(counts: DataFrame) -> DataFrame:
+    """(tool, event, line): the counters of each tool and event as one line, to be shown in the order of tool and event."""
+    some = counts.where("n > 0").groupBy("tool", "event").agg(F.array_sort(F.collect_list(F.struct("outcome", "n"))).alias("all"))
+    values = F.array_join(F.transform("all", lambda x: F.concat(x["outcome"], F.lit(" "), x["n"].cast("string"))), ", ")
+    return some.select("tool", "event", F.concat(F.lit("  "), F.rpad("tool", F.greatest(F.lit(6), F.length("tool")), F.lit(" ")), F.lit(" "), F.rpad("event", F.greatest(F.lit(18), F.length("event")), F.lit(" ")), F.lit(" "), values).alias("line")).orderBy("tool", "event")
+
+
+def named_session(facts: DataFrame, name: str) -> DataFrame:
+    """Facts of one session, by a name that may hold more than an id can."""
+    return facts.where(F.col("session_id") == F.regexp_replace(F.lit(name), "[^A-Za-z0-9_-]", ""))

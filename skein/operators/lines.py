@@ -58,15 +58,26 @@ def collapse_matches(rows: DataFrame) -> DataFrame:
     return joined(shown.unionByName(folded.select("id", "pos", F.lit(1).alias("part"), "line")).unionByName(last), ("pos", "part"))
 
 
-def glob_groups(names: DataFrame) -> DataFrame:
-    """(id, n_dirs, text) from rows (id, pos, name): names by directory, in order of first sight."""
+def _folders(names: DataFrame) -> DataFrame:
+    """(id, pos, line) of each folder, from rows (id, pos, name)."""
     rows = names.select("id", "pos", T.dirname(F.col("name")).alias("dir"), T.basename(F.col("name")).alias("base"))
     files = F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"])
     by_dir = rows.groupBy("id", "dir").agg(F.min("pos").alias("pos"), files.alias("files"))
     more = F.size("files") - K.GLOB_SHOWN
     tail = F.when(more > 0, F.concat(F.lit(", ... "), T.mark(more, " more"))).otherwise(F.lit(""))
     line = F.concat("dir", F.lit("/ ("), F.size("files").cast("string"), F.lit(" files: "), F.array_join(F.slice("files", 1, K.GLOB_SHOWN), ", "), tail, F.lit(")"))
-    return joined(by_dir.select("id", "pos", line.alias("line")))
+    return by_dir.select("id", "pos", line.alias("line"))
+
+
+def glob_groups(names: DataFrame) -> DataFrame:
+    """(id, text) from rows (id, pos, name): names by directory, in order of first sight."""
+    return joined(_folders(names))
+
+
+def glob_lines(names: DataFrame) -> DataFrame:
+    """(id, lines): the same as an array."""
+    items = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    return _folders(names).groupBy("id").agg(F.transform(items, lambda x: x["line"]).alias("lines"))
 
 
 def exact_runs(rows: DataFrame) -> DataFrame:

@@ -45,20 +45,26 @@ def read_cache(events: DataFrame, config: Config = Config()) -> DataFrame:
     return df.withColumn("outcome", outcome)
 
 
-def stubs(cached: DataFrame) -> DataFrame:
-    """(session_id, path, seq, bucket, stub, bytes_in, bytes_out) of each hit."""
+def with_stub(cached: DataFrame) -> DataFrame:
+    """Adds the stub that stands for a hit's text, and the bucket its saving goes to."""
     edited = F.col("source").isin("Edit", "Write")
     since = F.when(edited, F.lit("your last Edit/Write")).otherwise(F.lit("previous read"))
     stub = F.concat(F.lit(K.MARK), F.lit(" "), F.col("path"), F.lit(" unchanged since "), since, F.lit(" in this session ("), F.col("header_lines").cast("string"), F.lit(" lines, sha256:"), F.substring("hash", 1, 12), F.lit("); read with offset/limit for the content]"))
-    found = cached.where("hit").withColumn("stub", stub)
-    return found.select("session_id", "path", "seq", F.when(edited, "Edit").otherwise("Read").alias("bucket"), "stub", F.octet_length("content").cast("long").alias("bytes_in"), F.octet_length("stub").cast("long").alias("bytes_out"))
+    return cached.withColumn("stub", stub).withColumn("bucket", F.when(edited, "Edit").otherwise("Read"))
+
+
+def stubs(cached: DataFrame) -> DataFrame:
+    """(session_id, path, seq, bucket, stub, bytes_in, bytes_out) of each hit."""
+    found = with_stub(cached.where("hit"))
+    return found.select("session_id", "path", "seq", "bucket", "stub", F.octet_length("content").cast("long").alias("bytes_in"), F.octet_length("stub").cast("long").alias("bytes_out"))
 
 
 def read_guard(files: DataFrame, config: Config = Config()) -> DataFrame:
     """Advice on unbounded reads of long files: (path, text), with size, lines, capped and tokens."""
     size = F.octet_length("text")
     head = F.substring(F.encode("text", "UTF-8"), 1, K.COUNT_CAP_BYTES)
-    n = F.regexp_count(F.decode(head, "UTF-8"), F.lit("\n")) + 1
+    # counted on bytes (one character each in this character set), as the cut may fall inside a character
+    n = F.regexp_count(F.decode(head, "ISO-8859-1"), F.lit("\n")) + 1
     df = files.withColumn("size", size.cast("long")).withColumn("n_lines", n).withColumn("capped", size > K.COUNT_CAP_BYTES)
     df = df.withColumn("tokens", T.half_up(F.col("size") / F.lit(K.CHARS_PER_TOKEN))).where(F.col("capped") | (F.col("n_lines") > config.read_guard_lines))
     shown = F.concat(F.when(F.col("capped"), F.lit(">")).otherwise(F.lit("")), F.col("n_lines").cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -60,3 +60,27 @@ def largest(texts: DataFrame) -> DataFrame:
 def missing_scripts(wired: DataFrame, present: DataFrame) -> DataFrame:
     """Wired scripts that aren't there."""
     return wired.join(present, "script", "left_anti").select("script").distinct()
+
+
+def savings_text(by_tool: DataFrame, title: str) -> DataFrame:
+    """(part, pos, line): the report on savings as lines, tools by what they saved; one row for each tool, so the window is small."""
+    size = T.human_size
+    percent = F.when(F.col("bytes_in") == 0, F.lit(0).cast("long")).otherwise(T.half_up(F.col("bytes_saved") / F.col("bytes_in") * 100))
+    wide = lambda x, n, pad: pad(x, F.greatest(F.lit(n), F.length(x)), F.lit(" "))
+    line = F.concat(F.lit("  "), wide(F.col("tool"), 12, F.rpad), F.lit(" "), wide(F.col("events").cast("string"), 4, F.lpad), F.lit(" calls  "), size(F.col("bytes_in")), F.lit(" -> "), size(F.col("bytes_out")), F.lit("  ("), percent.cast("string"), F.lit("% smaller)"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("bytes_saved"), "tool")).cast("long")
+    tools = by_tool.select(F.lit(1).alias("part"), place.alias("pos"), line.alias("line"))
+    sums = by_tool.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes_in", "bytes_out", "bytes_saved")))
+    total = sums.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("  total  "), size(F.col("bytes_in")), F.lit(" -> "), size(F.col("bytes_out")), F.lit(" | ~"), F.format_number(T.est_tokens(F.col("bytes_saved")), 0), F.lit(" tokens saved")).alias("line"))
+    head = sums.select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), F.lit(f"skein {title}:").alias("line"))
+    return head.unionByName(tools).unionByName(total)
+
+
+def padded_rows(df: DataFrame, right: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a small report as lines of aligned columns under their names; ``right`` names the columns aligned right."""
+    cells = df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
+    widths = cells.agg(*(F.greatest(F.lit(len(c)), F.max(F.length(c))).alias(c) for c in df.columns)).first()  # one row
+    width = {c: int(widths[c] or len(c)) for c in df.columns}
+    padded = [(F.lpad if c in right else F.rpad)(F.col(c), width[c], " ") for c in df.columns]
+    heads = df.sparkSession.createDataFrame([tuple(df.columns)], cells.schema)
+    return heads.unionByName(cells).select(F.rtrim(F.concat_ws("  ", *padded)).alias("line"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,14 +16,16 @@ from skein.functions import text as T
 from skein.functions.commands import described
 
 
-def _text(x: object) -> str:
-    if isinstance(x, str):
-        return x
-    if isinstance(x, list):
-        return "".join(map(_text, x))
-    if isinstance(x, dict):
-        return next((x[k] for k in ("text", "content") if isinstance(x.get(k), str)), "")
-    return ""
+def _pieces(node: object) -> Iterator[str]:
+    """Texts of a result's content: a string, a block's text or content, or those of a list in turn."""
+    match node:
+        case str():
+            yield node
+        case list():
+            for part in node:
+                yield from _pieces(part)
+        case {"text": str(own)} | {"content": str(own)}:
+            yield own
 
 
 def _blocks(root: object) -> list[tuple[str, str | None, str | None, str | None]]:
@@ -43,7 +46,7 @@ def _blocks(root: object) -> list[tuple[str, str | None, str | None, str | None]
                 out.append(("use", node.get("id") or node.get("tool_use_id"), command if isinstance(command, str) else None, None))
         elif kind == "tool_result":
             body = node.get("content") if node.get("content") is not None else node.get("output")
-            out.append(("result", node.get("tool_use_id") or node.get("id"), None, _text(body)))
+            out.append(("result", node.get("tool_use_id") or node.get("id"), None, "".join(_pieces(body))))
         else:
             todo += reversed(list(node.values()))
     return out

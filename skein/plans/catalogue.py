@@ -20,14 +20,16 @@ from skein.operators import pipeline as P
 from skein.operators import reads as D
 from skein.operators import transcripts as X
 from skein.plans import adapters as A
-from skein.plans.oracles import ORACLES
+from skein.plans import tool_queries
+from skein.plans.oracles import ORACLES as _ORACLES
 from skein.sources.tables import scratch, table
 from skein.streaming.state import read_cache_stream, run_to_table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 AS_OF = dt.date(2024, 1, 30)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tool_queries.QUERIES)
+ORACLES: dict[str, str] = {**_ORACLES, **tool_queries.ORACLES}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -32,6 +32,10 @@ ARRAYS = """ja AS (SELECT 's' || l_suppkey AS id, l_orderkey AS a, l_linenumber
  '{"order":' || l_orderkey || ',"line":' || l_linenumber || ',"flag":"' || l_returnflag || '"}' AS small FROM lineitem
  UNION ALL SELECT 'c' || o_custkey, o_orderkey, 0, '{"order": ' || o_orderkey || '}', '{"order":' || o_orderkey || '}' FROM orders),
 jt AS (SELECT id, count(*) AS n, list(small ORDER BY a, b, line) AS smalls FROM ja GROUP BY id)"""
+CHAIN = LOGS + """, isl AS (SELECT *, event_type = 'error' AS skip, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) AS pos, row_number() OVER (PARTITION BY id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY id, event_type = 'error' ORDER BY ts, event_id) AS g FROM er),
+cl AS (SELECT *, count(*) OVER (PARTITION BY id, skip, g) AS n, row_number() OVER (PARTITION BY id, skip, g ORDER BY pos) AS nth FROM isl),
+sm AS (SELECT id, string_agg(CASE WHEN n >= 4 AND nth = 2 THEN '[skein: ' || (n - 1) || ' more similar lines collapsed]' ELSE line END, chr(10) ORDER BY pos) AS small FROM cl WHERE n < 4 OR nth <= 2 GROUP BY id),
+chained AS (SELECT id, text, replace(text, 'worker', chr(27) || '[32mworker' || chr(27) || '[0m') AS whole, small, strlen(small) * 10 < strlen(replace(text, 'worker', chr(27) || '[32mworker' || chr(27) || '[0m')) AS restored FROM logs JOIN sm USING (id))"""
 PARTS = "p AS (SELECT p_partkey AS key FROM part)"
 RUNNER = PARTS + """, rl AS (SELECT key % 30 AS id, key, CASE WHEN key % 5 = 0 THEN 'PASS src/t' || key WHEN key % 47 = 3 THEN 'Tests  ' || key || ' passed' ELSE 'running case ' || key END AS line FROM p),
 rx AS (SELECT id, string_agg(line, chr(10) ORDER BY key) AS text FROM rl GROUP BY id)"""
@@ -90,6 +94,14 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT id + 100000, false FROM logs""",
     "test_summary_pass": f"""WITH {RUNNER}, z AS (SELECT id, string_agg(line, chr(10) ORDER BY key) FILTER (WHERE line LIKE 'Tests %') AS kept, count(*) - count(*) FILTER (WHERE line LIKE 'Tests %') AS gone, string_agg(line, chr(10) ORDER BY key) AS text FROM rl GROUP BY id)
         SELECT id, CASE WHEN kept IS NULL THEN text ELSE kept || CASE WHEN gone > 0 THEN chr(10) || '[skein: ' || gone || ' passing test lines omitted]' ELSE '' END END AS text FROM z""",
+    "test_summary_fail": f"""WITH {PARTS}, {FAILING}, k AS (SELECT *, lag(line) OVER (PARTITION BY id ORDER BY key) AS before FROM fl),
+    m AS (SELECT *, line LIKE 'FAIL %' OR line LIKE 'Tests %' OR (line LIKE '    expected%' AND coalesce(before LIKE 'FAIL %', false)) AS kept FROM k),
+    j AS (SELECT id, string_agg(line, chr(10) ORDER BY key) FILTER (WHERE kept) AS text, string_agg(line, chr(10) ORDER BY key) AS whole, count(*) FILTER (WHERE NOT kept) AS gone FROM m GROUP BY id)
+    SELECT id, coalesce(text || chr(10), '') || CASE WHEN gone > 0 THEN '[skein: ' || gone || ' test runner lines omitted]' ELSE '' END AS text FROM j""",
+    "stacktrace_dedup": f"""WITH {LOGS}, n AS (SELECT *, row_number() OVER (PARTITION BY id, event_type, CASE WHEN event_type = 'error' THEN k % 2 END ORDER BY ts, event_id) AS nth, count(*) OVER (PARTITION BY id, event_type, CASE WHEN event_type = 'error' THEN k % 2 END) AS total FROM er)
+        SELECT id, string_agg(CASE WHEN event_type = 'error' THEN 'Traceback (most recent call last):' || chr(10) || '  File "a' || (k % 2) || '.py", line 3' || chr(10) || '    run()' || chr(10) || '[skein: 2 repeated frames]' || chr(10) || 'ValueError: bad ' || (k % 2) || CASE WHEN total > 1 THEN chr(10) || '[skein: stack trace repeated ' || total || ' times]' ELSE '' END ELSE line END, chr(10) ORDER BY ts, event_id) AS text
+        FROM n WHERE event_type <> 'error' OR nth = 1 GROUP BY id""",
+    "generic_chain": f"""WITH {CHAIN} SELECT id, CASE WHEN restored THEN whole ELSE small END AS reduced, CASE WHEN restored THEN '' WHEN small <> text THEN 'stripAnsi,collapseRepeatedLines' ELSE 'stripAnsi' END AS rules FROM chained""",
     "grep_dedup": f"WITH {GREP} SELECT id, count(*) FILTER (WHERE kept) AS n_kept, count(*) FILTER (WHERE NOT kept) AS n_omitted FROM gk GROUP BY id",
     "grep_match_collapse": f"""WITH {GREP}, s AS (SELECT id, pos, line, CASE WHEN line <> '--' THEN string_split(line, ':')[1] END AS path, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM gk WHERE kept),
         i AS (SELECT *, rn - row_number() OVER (PARTITION BY id, path ORDER BY pos) AS g FROM s),
@@ -162,7 +174,7 @@ ORACLES: dict[str, str] = {
     "status_line": f"""WITH {FACTS}, s AS (SELECT session_id, max(CASE WHEN event_id % 2 = 0 THEN event_id % 97 END) AS ctx, greatest(0, floor(sum(bytes_in - bytes_out) / 3 + 0.5))::BIGINT AS t FROM fa GROUP BY session_id)
         SELECT session_id, concat_ws(' | ', CASE WHEN session_id <> 's1' THEN 'm1' END, CASE WHEN ctx IS NOT NULL THEN 'ctx ' || ctx || '%' END, CASE WHEN t > 0 THEN 'skein -' || CASE WHEN t >= 1000 THEN printf('%.1fk', t / 1000) ELSE t::VARCHAR END || ' tok' END) AS line FROM s""",
     "tee_retention": f"""WITH {FACTS}, r AS (SELECT session_id, 'u' || event_id AS use_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) AS nth FROM fa WHERE event_id % 5 <> 0 AND event_id % 3 > 0)
-        SELECT session_id, use_id, nth, session_id || '/' || use_id || '%2Ea%20b.txt' AS path FROM r WHERE nth <= 4""",
+        SELECT session_id, use_id, nth, session_id || '/' || use_id || '%2Ea%20b.log' AS path FROM r WHERE nth <= 4""",
     "transcript_pairs": f"WITH {TALK} SELECT file, line_no, use_id, command, bytes FROM pr",
     "discover_families": _section(""),
     "discover_sinks": _section(""),

@@ -6,12 +6,17 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.functions.commands import described
 
 EVENT_SCHEMA = "hook_event_name string, session_id string, tool_use_id string, turn_id string, cwd string, tool_name string, tool_input string, tool_response string, seq long, _corrupt_record string"
+#: What Spark says of a missing folder and of files that are no whole Parquet files.
+NO_HISTORY = ("PATH_NOT_FOUND", "is not a Parquet file", "PARQUET_COLUMN_DATA_TYPE_MISMATCH", "CANNOT_READ_FILE_FOOTER")
 HISTORY_SCHEMA = "day date, dim string, key string, events long, bytes_in long, bytes_out long"
 
 
@@ -20,8 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "skein-checkpoints")
+    """A fresh path in the shared folder of spark.checkpoint.dir; where that is unset, a local one for a session on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "skein-checkpoints")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -33,59 +42,63 @@ def tool_events(spark: SparkSession, path: str) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, text) of whole files under a folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def transcript_lines(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
-    """(file, line_no, raw) of all *.jsonl under a folder.
+    """(file, line_no, raw) of all *.jsonl under a folder; files are split, only the numbering shuffles their lines.
 
     ``project`` selects the folder named by its slug, or else all whose path
     contains the slug in any case; only matching files reach the parser.
     """
-    files = text_files(spark, root, "*.jsonl")
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
     if project is not None:
         slug = T.project_slug(F.lit(project))
-        exact = F.element_at(F.split("path", "/"), -2) == slug
-        files = files.withColumn("_exact", exact).withColumn("_near", F.contains(F.lower("path"), F.lower(slug)))
-        some = files.where("_exact").limit(1).count() > 0
-        files = files.where("_exact" if some else "_near").drop("_exact", "_near")
-    return files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\r?\n")).alias("line_no", "raw")).where(T.bare(F.col("raw")) != "")
+        rows = rows.withColumn("exact", F.element_at(F.split("file", "/"), -2) == slug)
+        some = rows.where("exact").limit(1).count() > 0  # a line at most reaches the driver
+        rows = rows.where(F.col("exact") if some else F.contains(F.lower("file"), F.lower(slug))).drop("exact")
+    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
+    return rows.select("file", number.alias("line_no"), "raw").where(T.bare(F.col("raw")) != "")
 
 
-def located_text(response: str = "tool_response") -> tuple[Column, Column]:
-    """(text, shape) of a JSON response: string, one text block, file.content, content, output or text."""
+def located_text(response: str = "tool_response", listing: bool = False) -> tuple[Column, Column]:
+    """(text, shape) of a response: plain text, or JSON that is a string, holds one text block, or an object.
+
+    Objects give file.content, content, output or text, the first that is a string.  A search listing (``listing``)
+    gives the content of its content mode first (shape grep) and has no file.
+    """
     raw = F.col(response)
     v = F.try_parse_json(raw)
-    get = lambda p: F.try_variant_get(v, p, "string")
     kind = F.schema_of_variant(v)
-    blocks = F.from_json(raw, "array<struct<type: string, text: string>>")
-    own = F.filter(blocks, lambda b: b["type"] == "text")
-    text = (
-        F.when(v.isNull(), raw)
-        .when(kind == "STRING", get("$"))
-        .when(kind.startswith("ARRAY"), F.when(F.size(own) == 1, F.element_at(own, 1)["text"]))
-        .otherwise(F.coalesce(get("$.file.content"), get("$.content"), get("$.output"), get("$.text")))
-    )
-    shape = (
-        F.when(v.isNull() | (kind == "STRING"), "string")
-        .when(kind.startswith("ARRAY"), F.when(F.size(own) == 1, "blocks"))
-        .when(get("$.file.content").isNotNull(), "file")
-        .when(get("$.content").isNotNull(), "content")
-        .when(get("$.output").isNotNull(), "output")
-        .when(get("$.text").isNotNull(), "text")
-    )
+    blocks = F.filter(F.from_json(raw, "array<struct<type: string, text: string>>"), lambda b: (b["type"] == "text") & b["text"].isNotNull())
+    held = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+    got = lambda path: F.try_variant_get(v, path, "string")
+    is_object, mode = kind.startswith("OBJECT"), F.coalesce(got("$.mode") == "content", F.lit(False))
+    shape = F.when(raw.isNotNull() & v.isNull(), "plain").when(kind == "STRING", "string").when(kind.startswith("ARRAY") & (F.size(blocks) == 1), "blocks")
+    text = F.when(shape == "plain", raw).when(shape == "string", got("$")).when(shape == "blocks", F.try_element_at(blocks, F.lit(1))["text"])
+    places = [("grep", "$.content", mode)] if listing else [("file", "$.file.content", F.lit(True))]
+    for name, path, more in (*places, *((k, f"$.{k}", F.lit(True)) for k in ("content", "output", "text"))):
+        here = is_object & more & F.coalesce(held(path), F.lit(False))
+        shape, text = shape.when(here, name), text.when(here, got(path))
     return text, shape
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """Daily marginals; an unreadable history counts as empty."""
+    """Daily marginals, with command keys reduced to their families; a missing or damaged history counts as empty.
+
+    Any other failure, such as a refused or a lost read, is raised: a history taken for empty would be written over.
+    """
     try:
         rows = spark.read.schema(HISTORY_SCHEMA).parquet(path)
-        rows.limit(1).count()
-        return rows
-    except Exception:
+        rows.agg(*(F.count(c) for c in rows.columns)).collect()
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(sign in str(e) for sign in NO_HISTORY):
+            raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
+    commands = described(rows.where("dim = 'command'"), "key").withColumn("key", F.col("about.family")).drop("about")
+    return merge_history(rows.where("dim <> 'command'"), commands)
 
 
 def merge_history(history: DataFrame, more: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,34 +11,53 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.config import Config
+from skein.operators.ledger import retained
 from skein.operators.reads import with_facts
 from skein.sources.tables import HISTORY_SCHEMA, merge_history
 
 OUT = "session_id string, path string, seq long, op string, hit boolean, source string, header_lines int"
-STATE = "hash string, header_lines int, source string"
-
-
-def _follow(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one (session, path) in the order of seq; the state is the last setter."""
-    held = state.get if state.exists else None
-    rows = []
-    for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-        touches = e.can_touch and (e.op != "Edit" or held is not None)
-        hit = bool(touches and e.op == "Read" and held is not None and held[0] == e.hash)
-        rows.append((key[0], key[1], e.seq, e.op, hit, held[2] if held else None, held[1] if held else None))
-        if touches and not hit:
-            held = (e.hash, int(e.n_lines), e.op)
-    if held is not None:
-        state.update(held)
-    frame = pd.DataFrame(rows, columns=["session_id", "path", "seq", "op", "hit", "source", "header_lines"])
-    frame["header_lines"] = frame["header_lines"].astype("Int32")
-    yield frame
-
-
-def read_cache_stream(events: DataFrame, config: Config = Config()) -> DataFrame:
+STATE = "version int, hash string, header_lines int, source string"
+VERSION = 1
+
+
+def _valid(held: tuple) -> bool:
+    """Whether a state is of this version and whole; any other counts as none."""
+    return len(held) == 4 and held[0] == VERSION and isinstance(held[1], str) and held[3] in ("Read", "Edit", "Write")
+
+
+def follower(keep_ms: int = 0):
+    """Events of one (session, path) in the order of seq; the state is the last setter, dropped ``keep_ms`` after the last event (0: never)."""
+
+    def follow(key: tuple[str, str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists and _valid(tuple(state.get)) else None
+        rows = []
+        for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
+            touches = e.can_touch and (e.op != "Edit" or held is not None)
+            hit = bool(touches and e.op == "Read" and held is not None and held[1] == e.hash)
+            rows.append((key[0], key[1], e.seq, e.op, hit, held[3] if held else None, held[2] if held else None))
+            if touches and not hit:
+                held = (VERSION, e.hash, int(e.n_lines), e.op)
+        if held is not None:
+            state.update(tuple(held))
+            if keep_ms:
+                state.setTimeoutDuration(keep_ms)
+        elif state.exists:
+            state.remove()
+        frame = pd.DataFrame(rows, columns=["session_id", "path", "seq", "op", "hit", "source", "header_lines"])
+        frame["header_lines"] = frame["header_lines"].astype("Int32")
+        yield frame
+
+    return follow
+
+
+def read_cache_stream(events: DataFrame, config: Config = Config(), keep_ms: int = 0) -> DataFrame:
     """The read cache over an unbounded stream of events; one small state for each (session, path)."""
     facts = with_facts(events, config).select("session_id", "path", "seq", "op", "hash", "n_lines", "can_touch")
-    return facts.groupBy("session_id", "path").applyInPandasWithState(_follow, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout
+    return facts.groupBy("session_id", "path").applyInPandasWithState(follower(keep_ms), OUT, STATE, "append", timeout)
 
 
 def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -45,17 +65,45 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def ledger_merge(spark: SparkSession, folder: str):
-    """A foreachBatch sink that adds daily marginals; a batch that comes again writes the same file again."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    def read() -> DataFrame:
-        rows = spark.read.option("recursiveFileLookup", True).schema(HISTORY_SCHEMA).parquet(folder)
-        return merge_history(rows, rows.limit(0))
-
-    return write, read
+class LedgerMerge:
+    """A foreachBatch sink that adds daily marginals; a batch that comes again writes the same folder again.
+
+    ``compact`` folds the batches so far into one base, which ``read`` and later compactions go on from.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+    def _folders(self) -> tuple[int, list[int]]:
+        """(number of the last whole base or -1, numbers of the whole batches behind it)."""
+        here = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath() for s in files.listStatus(here)] if files.exists(here) else []
+        whole = [p.getName() for p in names if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        base = max((int(n[5:]) for n in whole if n.startswith("base=")), default=-1)
+        return base, sorted(k for k in (int(n[6:]) for n in whole if n.startswith("batch=")) if k > base)
+
+    def read(self) -> DataFrame:
+        """The marginals so far; none before the first batch."""
+        base, batches = self._folders()
+        paths = [f"{self.folder}/base={base}"] * (base >= 0) + [f"{self.folder}/batch={k}" for k in batches]
+        empty = self.spark.createDataFrame([], HISTORY_SCHEMA)
+        return merge_history(self.spark.read.schema(HISTORY_SCHEMA).parquet(*paths), empty) if paths else empty
+
+    def compact(self, as_of: dt.date | None = None) -> None:
+        """Writes a new base, of the days that are still kept at ``as_of``; what it replaces is deleted after it stands whole."""
+        base, batches = self._folders()
+        if not batches:
+            return
+        rows = self.read()
+        (rows if as_of is None else retained(rows, as_of)).write.mode("overwrite").parquet(f"{self.folder}/base={batches[-1]}")
+        old = [f"base={base}"] * (base >= 0) + [f"batch={k}" for k in batches]
+        for name in old:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def daily_windows(facts: DataFrame, late: str = "1 day") -> DataFrame:

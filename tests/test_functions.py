@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.config import Config, Filter, RewriteOptions, load, overlay, safe_pattern
+from skein.config import Config, Filter, RewriteOptions, TeeOptions, load, overlay, safe_pattern
 from skein.functions import commands, folds, jsontext
 from skein.functions import fixed as K
 from skein.functions import text as T
@@ -158,12 +158,33 @@ def test_config_layers(tmp_path):
     bad.write_text("{")
     big.write_text(" " * (K.MAX_CONFIG_BYTES + 1))
     config, notes = load(str(good), str(bad), str(big), env={"SKEIN_DISABLE": "Bash, all "})
-    assert config.min_chars == 10 and len(config.filters) == 50 and config.tee.mode == "never" and config.tee.max_files == 50
+    assert config.min_chars == 10 and len(config.filters) == 50 and config.tee.mode == "never" and config.tee.max_files == 20
     assert notes == ["malformedConfig", "oversizedConfig"] and config.disabled("read")
-    assert overlay(Config(), {"minChars": "x"}) == Config()
+    assert overlay(Config(), {"minChars": "x", "disable": ["a", 1], "tee": {"mode": "always"}}) == Config()
+    assert overlay(Config(), {"tee": {"mode": "failures", "maxFiles": 3}}).tee == TeeOptions(True, "failures", 3)
 
 
-@pytest.mark.parametrize(("source", "ok"), [("^a+$", True), ("(a+)+", False), ("(a|b)*", False), (r"(a)\1", False), ("(", False), ("", False), ("x" * 300, False)])
+def test_environment_is_the_last_layer(tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"disable": ["rewrite"], "rewrite": {"enabled": True, "dockerBuild": True}}))
+    env = {"SKEIN_DISABLE": "Grep", "SKEIN_MIN_CHARS": "7", "SKEIN_READ_GUARD_LINES": "-1", "SKEIN_READ_DEFAULT_LINES": "12", "SKEIN_REWRITE_EXCLUDE": "git status, npm ", "SKEIN_REWRITE_DOCKER_BUILD": "FALSE"}
+    config, notes = load(str(tmp_path / "a.json"), env=env)
+    assert notes == [] and config.min_chars == 7 and config.read_guard_lines == K.READ_LINE_LIMIT and config.read_default_lines == 12
+    assert config.rewrite == RewriteOptions(True, ("git status", "npm"), False)
+    assert config.disabled("grep") and not config.disabled("rewrite") and config.rewrites_off()  # a file says so
+    assert load(env={"SKEIN_REWRITE_ENABLED": "false"})[0].rewrites_off() and not load(env={})[0].rewrites_off()
+    assert Config().tee == TeeOptions(True, "lossy", 20) and Config().keeps_originals()
+    assert not load(env={"SKEIN_DISABLE": "tee"})[0].keeps_originals()
+
+
+def test_long_objects_are_ordered_in_linear_time():
+    import time
+
+    began = time.time()
+    text = json.dumps({str(k): k for k in range(60000, 0, -1)})
+    assert jsontext.minified(text).startswith('{"1":1,"2":2') and time.time() - began < 5
+
+
+@pytest.mark.parametrize(("source", "ok"), [("^a+$", True), ("(a+)+", False), ("(a|b)*", False), ("((a+)b)*", False), (r"\(a+\)+", True), ("[(a+)]+", True), ("(ab)+c|d", True), ("(a{2,3})+", False), ("(a?)+", True), (r"(a)\1", False), ("(", False), ("", False), ("x" * 300, False)])
 def test_safe_patterns(source, ok):
     assert (safe_pattern(source) is not None) is ok
 

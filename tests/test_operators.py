@@ -15,7 +15,7 @@ from skein.operators import pipeline as P
 from skein.operators import reads as D
 from skein.operators import transcripts as X
 from skein.sources import tables as S
-from skein.streaming.state import ledger_merge, read_cache_stream, run_to_table
+from skein.streaming.state import LedgerMerge, daily_windows, read_cache_stream, run_to_table
 
 
 def rows(spark, *lines, id=1):
@@ -181,12 +181,130 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_ledger_merge_is_idempotent(spark, tmp_path):
-    write, read = ledger_merge(spark, str(tmp_path / "ledger"))
-    batch = spark.createDataFrame([(dt.date(2024, 1, 1), "tool", "Bash", 1, 10, 5)], S.HISTORY_SCHEMA)
+    ledger = LedgerMerge(spark, str(tmp_path / "ledger"))
+    assert ledger.read().count() == 0
+    batch = spark.createDataFrame([(dt.date(2024, 1, 1), "tool", "Bash", 1, 10, 5), (dt.date(2023, 1, 1), "tool", "Bash", 1, 10, 5)], S.HISTORY_SCHEMA)
     for batch_id in (0, 1, 1):
-        write(batch, batch_id)
-    assert read().first()["events"] == 2
+        ledger.write(batch, batch_id)
+    assert [r["events"] for r in ledger.read().collect()] == [2, 2]
+    ledger.compact()
+    ledger.write(batch, 2)
+    assert [r["events"] for r in ledger.read().collect()] == [3, 3]
+    ledger.compact(dt.date(2024, 2, 1))
+    assert [(r["day"], r["events"]) for r in ledger.read().collect()] == [(dt.date(2024, 1, 1), 3)]
+
+
+def test_history_is_loaded_or_refused(spark, tmp_path):
     assert S.load_history(spark, str(tmp_path / "nothing")).count() == 0
+    day = dt.date(2024, 1, 1)
+    rows = [(day, "command", "git push https://me:secret@host", 1, 10, 5), (day, "command", "git push", 2, 20, 5), (day, "tool", "git x y", 1, 1, 1)]
+    spark.createDataFrame(rows, S.HISTORY_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "h"))
+    got = {(r["dim"], r["key"]): r["events"] for r in S.load_history(spark, str(tmp_path / "h")).collect()}
+    assert got == {("command", "git push"): 3, ("tool", "git x y"): 1}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.parquet").write_text("no parquet file at all")
+    assert S.load_history(spark, str(tmp_path / "bad")).count() == 0
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "h.parquet").write_bytes(b"")
+
+
+def test_stream_state_of_another_version_counts_as_none():
+    from skein.streaming import state
+
+    assert state._valid((1, "h", 3, "Read"))
+    assert not any(state._valid(x) for x in ((0, "h", 3, "Read"), (1, None, 3, "Read"), (1, "h", 3, "Other"), ("h", 3, "Read")))
+
+
+def test_daily_windows(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1, 23, 59)
+    facts = spark.createDataFrame([(at, "Bash", 10, 5), (at + dt.timedelta(minutes=2), "Bash", 1, 1), (at, "Read", 7, 2), (at, "Bash", 10, 5)], "ts timestamp, tool string, bytes_in long, bytes_out long")
+    facts.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(facts.schema).parquet(str(tmp_path / "in"))
+    daily_windows(stream).writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = {(str(r["day"]), r["tool"]): (r["events"], r["bytes_in"]) for r in spark.table("days").collect()}
+    assert got == {("2024-01-01", "Bash"): (2, 20), ("2024-01-02", "Bash"): (1, 1), ("2024-01-01", "Read"): (1, 7)}
+
+
+def test_reports_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01", 10, 5)], "day string, bytes_in long, bytes_out long")
+    S.write_report(rows, str(tmp_path / "csv"))
+    S.write_report(rows, str(tmp_path / "json"), "json")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["bytes_out"] == "5"
+    assert spark.read.json(str(tmp_path / "json")).first()["bytes_in"] == 10
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("one\ntwo\n")
+    assert [r["text"] for r in S.text_files(spark, str(tmp_path / "t"), "*.txt").collect()] == ["one\ntwo\n"]
+
+
+def test_period_of_a_month(spark):
+    days = [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 1, 31), dt.date(2024, 2, 1)]
+    df = spark.createDataFrame([(d,) for d in days], "day date")
+    assert [r["day"] for r in df.where(L.in_period(F.col("day"), "monthly", dt.date(2024, 1, 15))).collect()] == days[1:3]
+
+
+def test_recovery_path_keeps_what_components_keep(spark):
+    got = spark.createDataFrame([("s.1", "a b~!'()*/é%")], "s string, u string").select(L.recovery_path(F.col("s"), F.col("u")).alias("p")).first()["p"]
+    assert got == "s%2E1/a%20b~!'()*%2F%C3%A9%25.log"
+
+
+def test_read_guard_cuts_inside_a_character(spark):
+    text = "é" * (5 * 1024 * 1024 // 2 - 1) + "\n" + "é" * 10  # byte 5 MiB is the first of a character
+    got = D.read_guard(spark.createDataFrame([("a", "x" + text)], "path string, text string"), Config(read_guard_lines=1)).first()
+    assert got["capped"] and got["n_lines"] == 2
+
+
+GREP = "\n".join([f"src/a.py:{k}:match number {k} of this file" for k in range(40)] + ["src/a.py:3:match number 3 of this file", "--", "src/b.py:1:other"])
+NAMES = [f"src/d{k % 3}/file{k}.py" for k in range(150)]
+
+
+def test_tool_results(spark):
+    from skein.operators import tools
+
+    grep = lambda **r: json.dumps({"mode": "content", "numFiles": 2, "filenames": [], "content": GREP, "numLines": 43} | r)
+    rows = [("a", grep()), ("b", grep(content="short")), ("c", json.dumps({"filenames": ["a"]})), ("d", json.dumps("\n".join(f"line {k} alone" for k in range(60)))), ("e", grep(mode="count", content=7)), ("f", None), ("g", GREP)]
+    got = {r["id"]: r for r in tools.grep_results(spark.createDataFrame(rows, "id string, tool_response string")).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"a": "compressed", "b": "skippedBelowThreshold", "c": "unsupportedShape", "d": "skippedPoorRatio", "e": "unsupportedShape", "f": "unsupportedShape", "g": "compressed"}
+    record = json.loads(got["a"]["record"])
+    assert list(record) == ["mode", "numFiles", "filenames", "content", "numLines"] and record["numLines"] == record["content"].count("\n") + 1 == 7
+    assert record["content"].endswith("... [skein: 1 duplicate match lines omitted]") and got["g"]["record"] == record["content"]
+    assert got["a"]["size_in"] == len(GREP) and got["a"]["size_out"] == len(record["content"]) and got["d"]["record"] is None
+    off = tools.grep_results(spark.createDataFrame(rows[:1], "id string, tool_response string"), Config(disable=("grep",))).first()
+    assert off["outcome"] == "disabled"
+
+    files = [("a", json.dumps({"filenames": NAMES, "durationMs": 3, "truncated": False})), ("b", json.dumps({"filenames": NAMES[:100]})), ("c", '{"filenames":"x"}'), ("d", json.dumps({"filenames": [f"d{k}/f" for k in range(101)]})), ("e", None), ("f", json.dumps({"filenames": ["a"] * 101}))]
+    got = {r["id"]: r for r in tools.glob_results(spark.createDataFrame(files, "id string, tool_response string")).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"a": "compressed", "b": "skippedBelowThreshold", "c": "unsupportedShape", "d": "skippedPoorRatio", "e": "unsupportedShape", "f": "skippedBelowThreshold"}
+    record = json.loads(got["a"]["record"])
+    assert record["durationMs"] == 3 and len(record["filenames"]) == 3 and record["filenames"][1].startswith("src/d1/ (50 files: file1.py, file4.py")
+    assert got["a"]["size_in"] == len(json.dumps(NAMES, separators=(",", ":")))
+
+    pretty = json.dumps([{"k": k, "name": "n"} for k in range(60)], indent=4)
+    rows = [("a", json.dumps({"content": pretty, "extra": "kept"})), ("b", json.dumps({"content": "word " * 200})), ("c", "{}"), ("d", json.dumps([{"type": "image"}, {"type": "text", "text": pretty}]))]
+    got = {r["id"]: r for r in tools.json_results(spark.createDataFrame(rows, "id string, tool_response string"), Config(fold_arrays=True)).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"a": "compressed", "b": "skippedPoorRatio", "c": "unsupportedShape", "d": "compressed"}
+    assert json.loads(got["a"]["record"])["extra"] == "kept" and len(json.loads(json.loads(got["d"]["record"])[1]["text"])) == 11
+
+
+def test_file_results(spark):
+    from skein.operators import tools
+
+    big, other = "x\n" * 300, "y\n" * 300
+    read = lambda text, **given: ("Read", json.dumps({"file_path": "f"} | given), json.dumps({"type": "text", "file": {"filePath": "f", "content": text, "numLines": 301, "startLine": 1}}), None, False)
+    change = lambda tool, text, path="f", back='{"ok":true}', error=False: (tool, json.dumps({"file_path": path} if path else {}), back, text, error)
+    steps = [
+        (read(big), "skippedFirstRead"), (read(big), "deduped"), (read(big, offset=3), "skippedFirstRead"), (read("tiny"), "skippedBelowThreshold"), (("Read", "{}", '{"x":1}', None, False), "unsupportedShape"),
+        (change("Edit", other), "updated"), (read(other), "deduped"), (change("Edit", big, error=True), "toolFailed"), (change("Write", big, back='{"error":"no"}'), "toolFailed"), (read(other), "deduped"),
+        (change("Edit", big, path="g"), "skippedNoPriorRead"), (change("Write", "z\n" * 3000), "skippedOversized"), (change("Edit", big, path=None), "missingPath"), (change("Move", big), "unsupportedTool"), (change("Write", None), "failedOpen"),
+        (change("Write", big), "updated"), (read(big), "deduped"),
+    ]
+    rows = [(str(k), "s", k, *step) for k, (step, _) in enumerate(steps)]
+    events = spark.createDataFrame(rows, "id string, session_id string, seq long, tool_name string, tool_input string, tool_response string, content_after string, is_error boolean")
+    got = {int(r["id"]): r for r in tools.file_results(events).collect()}
+    assert [got[k]["outcome"] for k in range(len(steps))] == [want for _, want in steps]
+    assert [got[k]["bucket"] for k in (1, 6, 16)] == ["Read", "Edit", "Edit"]
+    record = json.loads(got[1]["record"])["file"]
+    assert record["content"].startswith("[skein: f unchanged since previous read") and record["numLines"] == 1 and record["startLine"] == 1
+    assert tools.file_results(events, Config(disable=("all",))).where("outcome <> 'disabled'").count() == 0
 
 
 def test_read_guard(spark):
@@ -195,7 +313,7 @@ def test_read_guard(spark):
 
 
 def test_located_text(spark):
-    cases = {'"plain"': ("plain", "string"), "raw text": ("raw text", "string"), '{"file":{"content":"c"}}': ("c", "file"), '{"output":"o"}': ("o", "output"), '[{"type":"text","text":"t"}]': ("t", "blocks"), '[{"type":"text","text":"t"},{"type":"text","text":"u"}]': (None, None), '{"x":1}': (None, None)}
+    cases = {'"plain"': ("plain", "string"), "raw text": ("raw text", "plain"), '{"file":{"content":"c"}}': ("c", "file"), '{"output":"o"}': ("o", "output"), '[{"type":"text","text":"t"}]': ("t", "blocks"), '[{"type":"text","text":"t"},{"type":"text","text":"u"}]': (None, None), '{"x":1}': (None, None)}
     text, shape = S.located_text("r")
     got = {r["r"]: (r["t"], r["s"]) for r in spark.createDataFrame([(k,) for k in cases], "r string").select("r", text.alias("t"), shape.alias("s")).collect()}
     assert got == cases
