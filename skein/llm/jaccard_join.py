@@ -11,12 +11,17 @@ and post only their prefix, so that any linked pair meets in some index list.
   whole, and a pair of entries is checked by size and position before it counts.
 * Sets in long lists are posted a second time among themselves, in the order of
   their own shingles' frequency, so that what a group shares comes last.
-* Answer level: in a list that is still long each set is first compared with the
-  most typical set only.  The links found make families of highly similar sets, and
-  the answers within a family follow from them; the list is then joined only
-  between families, since a link inside one can't change the components.
-All candidate pairs are verified on whole sets, so components are exact (up to
-64-bit hashes of shingles and sets: about n * n / 4e19 odds for n sets).
+* Answer level: each set's candidates name a representative, the one with the most
+  partners, and the set is compared with it on whole sets.  What either has more is
+  kept.  The answers of all sets that are similar to one representative are then
+  derived from these few differences: the intersection of two of them is the
+  representative's size, less what either lacks, and what both lack or both add once
+  more.  Whole sets meet only where two have no representative in common.
+* In a list that is still long each set is first compared with the most typical set
+  only.  The links found make families of highly similar sets; the list is then
+  joined only between families, since a link inside one can't change the components.
+All candidate pairs are decided exactly, so components are exact (up to 64-bit
+hashes of shingles and sets: about n * n / 4e19 odds for n sets).
 
 Counts of all shingles are taken; the ``FREQUENT`` most frequent (8 bytes each)
 are broadcast and steer the order, and any order is right.  Null texts count as empty; repeated rows
@@ -353,16 +358,68 @@ def _possible(percent: int):
     return run
 
 
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Number of elements of two sets of distinct elements that both hold."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def linked(inter: int, n: int, m: int, percent: int) -> bool:
+    """Whether sets of sizes n and m with such an intersection link."""
+    return 100 * inter >= percent * (n + m - inter)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(p) + len(q) - inter))
+                keep.append(linked(shared(p, q), len(p), len(q), percent))
+            ok = pa.array(keep, pa.bool_())
+            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    return run
+
+
+DIFFERENCES = "node long, rep long, n long, less binary, more binary"
+
+
+def _differences(percent: int):
+    """(node, rep, size of rep, what rep has more, what the node has more) of nodes that link with their representative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, size, less, more = [], [], [], []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                own, rep = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                gone, new = np.setdiff1d(rep, own, True), np.setdiff1d(own, rep, True)
+                keep.append(linked(len(rep) - len(gone), len(own), len(rep), percent))
+                size.append(len(rep))
+                less.append(gone.tobytes())
+                more.append(new.tobytes())
+            found = pa.record_batch([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(less, pa.binary()), pa.array(more, pa.binary())], ["node", "rep", "n", "less", "more"])
+            yield found.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def derived(n: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int]:
+    """(intersection, size, size) of two sets from what each lacks and adds to a third one of size n."""
+    inter = n - len(a[0]) - len(b[0]) + shared(a[0], b[0]) + shared(a[1], b[1])
+    return inter, n - len(a[0]) + len(a[1]), n - len(b[0]) + len(b[1])
+
+
+def _derive(percent: int):
+    """Pairs (a, b) that link, by their differences from a common representative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, *parts in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
+                one, two, three, four = (np.frombuffer(x, "<u8") for x in parts)
+                keep.append(linked(*derived(n, (one, two), (three, four)), percent))
             ok = pa.array(keep, pa.bool_())
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
@@ -416,12 +473,34 @@ class JaccardJoin:
         two = known.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
         met = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "n", "m", "x", "y")
         pairs = cut(met.mapInArrow(_possible(self.percent), "a long, b long"), "pairs")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut(self._texts(nodes).mapInArrow(_set_blocks(self.width), "node long, block binary"), "blocks")
+        reps = self._representatives(pairs)
+        sets = cut(self._texts(reps.select("node")).mapInArrow(_set_blocks(self.width), "node long, block binary").dropDuplicates(["node"]), "blocks")
         left = sets.select(F.col("node").alias("a"), F.col("block").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("block").alias("y"))
-        both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
-        return cut(both.mapInArrow(_verify(self.percent), "a long, b long"), what)
+        star = reps.where("rep <> node").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        near = cut(star.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_differences(self.percent), DIFFERENCES), "stars")
+        # a representative differs from itself in nothing; its size is known from the differences of the others
+        size = near.groupBy("rep").agg(F.first("n").alias("n"))
+        none = F.lit(b"")
+        own = reps.where("rep = node").join(size, "rep").select("node", "rep", "n", none.alias("less"), none.alias("more"))
+        known = cut(reps.join(near.unionByName(own).drop("rep"), "node", "left"), "known")
+        name = lambda side: known.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "n", "less", "more")))
+        rest = pairs.join(name("a").hint("merge"), "a").join(name("b").hint("merge"), "b").where("rep_a <> b and rep_b <> a")
+        rest = rest.withColumn("same", (F.col("rep_a") == F.col("rep_b")) & F.col("n_a").isNotNull() & F.col("n_b").isNotNull())
+        rest = cut(rest.select("a", "b", "same", F.when(F.col("same"), F.col("n_a")).alias("n"), *(F.when(F.col("same"), F.col(c)).alias(c) for c in ("less_a", "more_a", "less_b", "more_b"))), "rest")
+        answers = rest.where("same").select("a", "b", "n", "less_a", "more_a", "less_b", "more_b").mapInArrow(_derive(self.percent), "a long, b long")
+        far = rest.where("not same").select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+        direct = far.mapInArrow(_verify(self.percent), "a long, b long")
+        stars = near.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
+        return cut(stars.unionByName(answers).unionByName(direct), what)
+
+    def _representatives(self, pairs: DataFrame) -> DataFrame:
+        """(node, rep): for each set of a pair the one among itself and its partners that has the most partners."""
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.node", "e.other")
+        degree = cut(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+        rank = lambda node: F.struct("degree", F.bitwise_not(F.col(node)).alias("low"))  # noqa: E731  # ties: the least id
+        others = ends.join(degree.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.max(rank("other")).alias("best"))
+        return cut(degree.join(others, "node").select("node", F.bitwise_not(F.greatest(rank("node"), F.col("best"))["low"]).alias("rep")), "reps")
 
     def links(self) -> DataFrame:
         """Verified links (a, b) of sets that give all components."""

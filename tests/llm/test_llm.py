@@ -118,6 +118,47 @@ def test_jaccard_lists_dealt_out(spark, monkeypatch, salted, short):
     assert got == brute_components(rows, 5, 80)
 
 
+@given(st.sets(st.integers(0, 30)), st.sets(st.integers(0, 30)), st.sets(st.integers(0, 30)))
+@settings(max_examples=200, deadline=None)
+def test_answers_derived_from_a_third_set(r, a, b):
+    arr = lambda x: np.array(sorted(x), np.uint64)
+    got = jaccard_join.derived(len(r), (arr(r - a), arr(a - r)), (arr(r - b), arr(b - r)))
+    assert got == (len(a & b), len(a), len(b))
+
+
+def test_answers_are_derived_in_groups(spark, monkeypatch):
+    """In groups of near copies most pairs are decided without their whole sets, and rightly."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(12):
+        text = prose(rng, 400, 10**6).split()
+        for k in range(10):
+            own = text[:]
+            for _ in range(rng.randrange(9)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(own)))
+    tables = {}
+    plain = jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, what="step": tables.setdefault(what, []).append(plain(df, what)) or tables[what][-1])
+    join = jaccard_join.JaccardJoin(table(spark, rows), 4, 85)
+    found = {(r["a"], r["b"]) for r in join.links().collect()}
+    rest = [x for t in tables["rest"] for x in t.collect()]
+    assert 2 * sum(x["same"] for x in rest) > len(rest) > 200 and any(x["same"] and (x["a"], x["b"]) in found for x in rest) and any(x["same"] and (x["a"], x["b"]) not in found for x in rest)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join.classes().collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
+HEADER = [(k, "license text of every file here " * 3 + prose(random.Random(k), 60, 10**6)) for k in range(3000)] + [(10000 + k, "license text of every file here " * 3 + f"own{k}") for k in range(8)]
+
+
+@pytest.mark.parametrize("salted", [4096, 8])
+def test_jaccard_of_a_common_header(spark, monkeypatch, salted):
+    monkeypatch.setattr(jaccard_join, "SALTED", salted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(table(spark, HEADER), 4, 80).collect()}
+    small = brute_components(HEADER[-8:], 4, 80)
+    assert {k: got[k] for k in small} == {k: c for k, (_, c) in small.items()} and all(got[k] == k for k in range(3000))
+
+
 def test_block_pairs_lose_nothing():
     rng = np.random.default_rng(4)
     n, pos = rng.integers(20, 60, 300), rng.integers(0, 12, 300)
