@@ -55,24 +55,34 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Deletes the tables that an operator wrote on its way and its result doesn't read.
+def written() -> int:
+    """A mark for ``sweep``: how many tables stand by now."""
+    return len(_written)
+
+
+def sweep(result: DataFrame, since: int) -> None:
+    """Deletes the tables written since a mark, but for those that ``result`` reads.
 
-    What the result reads has been written whole by then, so nothing that is
-    deleted would be needed again if an executor were lost.
+    What it reads has been written whole by then, so nothing that is deleted
+    would be needed again if an executor were lost.
     """
+    own, _written[since:] = _written[since:], []
+    read = {part for file in result.inputFiles() for part in file.split("/")} if own else set()
+    for path in own:
+        if path.rsplit("/", 1)[1] in read:
+            _written.append(path)
+        else:
+            delete(result.sparkSession, path)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Deletes the tables that an operator wrote on its way and its result doesn't read."""
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
-        before = len(_written)
+        since = written()
         result = operator(*args, **kwargs)
-        own, _written[before:] = _written[before:], []
-        read = {part for file in result.inputFiles() for part in file.split("/")} if own else set()
-        for path in own:
-            if path.rsplit("/", 1)[1] in read:
-                _written.append(path)
-            else:
-                delete(result.sparkSession, path)
+        sweep(result, since)
         return result
 
     return run
