@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import cut, table
+from skein.llm.common import cut, sweep, table, written
 from skein.llm.decontaminate import clean
 from skein.llm.exact_dedup import unique_documents
 from skein.llm.jaccard_join import one_of_each
@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        sweep(docs, since)  # what this stage no longer needs, the output of the one before included
     return STAGES[-1][1](spark, docs, sf_dir)
