@@ -11,7 +11,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructType
 
 from skein.functions import fixed as K
 
@@ -20,6 +20,7 @@ _WORDS = re.compile(r"\w+")
 _SUMMARY, _FAIL, _PASS = (re.compile(p, re.A) for p in (K.SUMMARY_KEPT, K.FAIL_LINE, K.PASS_WORD))
 _BANNER, _RESULT, _FAIL_HEAD = (re.compile(p, re.A) for p in (K.FAILURES_BANNER, K.RESULT_BANNER, K.FAIL_HEAD))
 _HEADING, _TSC, _TSC_RULE, _STYLISH, _CONCISE = (re.compile(p, re.A) for p in (K.LINT_HEADING, K.LINT_TSC, K.LINT_TSC_RULE, K.LINT_STYLISH, K.LINT_CONCISE))
+_SIGNAL, _RUN_SUMMARY = (re.compile(p, re.A) for p in (K.TEST_SIGNAL, K.TEST_SUMMARY))
 _TRACE_START, _TRACE_END, _FRAME, _BODY = (re.compile(p, re.A) for p in (K.TRACE_START, K.TRACE_END, K.FRAME, K.FRAME_BODY))
 
 
@@ -223,6 +224,37 @@ def lint_summary(text: str) -> str | None:
     return "\n".join(out) or None
 
 
+def passing_summary(ls: list[str]) -> str | None:
+    """Summary lines of a passing test run with a count of the rest; None without any."""
+    kept = [x for x in ls if _SUMMARY.search(x) and not (_PASS.search(x) and not _FAIL.search(x))]
+    more = len(ls) - len(kept)
+    return "\n".join([*kept, f"{K.MARK} {more} passing test lines omitted]"] if more else kept).rstrip("\n") or None if kept else None
+
+
+def is_test_output(ls: list[str]) -> bool:
+    signals = {x for x in ls if _SIGNAL.search(x)}
+    return len(signals) > 1 or bool(signals) and any(_RUN_SUMMARY.search(x) for x in ls)
+
+
+def chain(text: str) -> tuple[str, bool, bool, bool]:
+    """(text, whether runs were collapsed, a test run was summarised, traces were folded): the folds in their order, in one pass to Python."""
+    collapsed = collapse_runs(text)
+    summed = collapsed
+    ls = collapsed.replace("\r\n", "\n").split("\n")
+    if is_test_output(ls):
+        summed = failing_summary(collapsed) if any(map(_FAIL.search, ls)) else passing_summary(ls) or collapsed
+    out = dedup_traces(summed)
+    # a summary of a test run that dropped the folded runs takes their rule with it
+    gone = summed != collapsed and "more similar lines collapsed]" not in summed
+    return out, collapsed != text and not gone, summed != collapsed, out != summed
+
+
+@F.pandas_udf(StructType().add("text", StringType()).add("collapsed", BooleanType()).add("summed", BooleanType()).add("traced", BooleanType()))
+def chained(batch: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None, None) if x is None else chain(x) for x in batch]
+    return pd.DataFrame({name: pd.Series([r[k] for r in rows], dtype=object) for k, name in enumerate(("text", "collapsed", "summed", "traced"))})
+
+
 def text_udf(fold: Callable[[str], str | None]) -> Callable[[Column], Column]:
     """An Arrow-batched string expression of a fold; null stays null."""
 

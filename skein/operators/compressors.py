@@ -56,19 +56,19 @@ def git_log(text: Column, tokens: Column) -> Column:
     return F.when(~asked & (F.size(out) > 0), _result(F.array_join(out, "\n"), "gitLog"))
 
 
-def git_diff(text: Column) -> Column:
+def git_diff(text: Column, asked: Column) -> Column:
     """A diff with metadata and long context out; null unless a tenth is saved."""
     source = T.chomp(T.unix_newlines(text))
-    out = _diff(text)
+    out = _diff(F.when(asked, text))
     is_diff = F.exists(T.lines(source), lambda x: x.startswith("diff --git "))
-    return F.when(is_diff & (T.units(out) * 10 < T.units(source) * 9), _result(out, "gitDiff"))
+    return F.when(asked & is_diff & (T.units(out) * 10 < T.units(source) * 9), _result(out, "gitDiff"))
 
 
 def git(text: Column, about: Column) -> Column:
     sub = about["subcommand"]
     whole = T.chomp(T.unix_newlines(text))
     pulled = F.when(whole != "", _result(F.concat(F.lit("ok git pull:\n"), whole), "gitOperation"))
-    chosen = F.when((sub == "status") & text.rlike(r"(?m)^(?:## |[ MADRCU?!]{2}\s)"), git_status(text)).when(sub == "log", git_log(text, about["tokens"])).when(sub == "diff", git_diff(text)).when(sub == "pull", pulled)
+    chosen = F.when((sub == "status") & text.rlike(r"(?m)^(?:## |[ MADRCU?!]{2}\s)"), git_status(text)).when(sub == "log", git_log(text, about["tokens"])).when(sub == "diff", git_diff(text, (about["binary"] == "git") & (sub == "diff"))).when(sub == "pull", pulled)
     return F.when(about["binary"] == "git", chosen)
 
 
@@ -109,7 +109,7 @@ def tests(text: Column, about: Column) -> Column:
 
 
 def linters(text: Column, about: Column) -> Column:
-    out = _lint(T.chomp(T.unix_newlines(T.strip_ansi(text))))
+    out = _lint(F.when(_is(about, K.LINTERS), T.chomp(T.unix_newlines(T.strip_ansi(text)))))  # no text of another tool goes to Python
     good = F.filter(T.solid_lines(text), lambda x: x.rlike(K.LINT_SUCCESS))
     clean = F.when(F.size(good) > 0, _result(F.array_join(good, "\n"), "linterSummary"))
     return F.when(_is(about, K.LINTERS), F.coalesce(F.when(out.isNotNull(), _result(out, "linterDiagnostics")), clean))

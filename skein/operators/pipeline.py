@@ -14,11 +14,6 @@ from skein.functions import text as T
 from skein.functions.commands import described
 from skein.operators.compressors import compress
 
-_collapse = folds.text_udf(folds.collapse_runs)
-_failing = folds.text_udf(folds.failing_summary)
-_traces = folds.text_udf(folds.dedup_traces)
-
-
 def settled(df: DataFrame) -> DataFrame:
     """A metrics node: what is computed up to here is computed once, the optimiser doesn't copy it into later uses."""
     return df.observe(f"settled-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
@@ -26,26 +21,21 @@ def settled(df: DataFrame) -> DataFrame:
 
 def generic_chain(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``reduced`` and ``rules``: escapes, progress, similar runs, test runs, traces, long texts; ends with the near-empty guard."""
-    steps = [("stripAnsi", T.strip_ansi), ("stripProgressNoise", T.strip_progress), ("collapseRepeatedLines", _collapse)]
-    df = df.withColumn("_0", F.coalesce(F.col(text), F.lit("")))
-    for k, (_, step) in enumerate(steps):
-        df = df.withColumn(f"_{k + 1}", step(F.col(f"_{k}")))
-    runner, bad = T.is_test_output(F.col("_3")), T.has_fail_line(F.col("_3"))
-    df = settled(settled(df).withColumn("_runner", runner).withColumn("_bad", bad)).withColumn("_f", _failing(F.when(F.col("_runner") & F.col("_bad"), F.col("_3"))))
-    df = df.withColumn("_4", F.when(~F.col("_runner"), F.col("_3")).when(F.col("_bad"), F.col("_f")).otherwise(T.passing_summary(F.col("_3"))))
-    df = settled(df)
-    df = df.withColumn("_5", _traces(F.col("_4"))).withColumn("_6", T.head_tail(F.col("_5")))
+    df = df.withColumn("_0", F.coalesce(F.col(text), F.lit(""))).withColumn("_1", T.strip_ansi(F.col("_0")))
+    df = settled(df.withColumn("_2", T.strip_progress(F.col("_1"))))
+    # texts that a gate or a summary took are null and cost the fold nothing
+    df = settled(df.withColumn("_f", folds.chained(F.when(F.col(text).isNotNull(), F.col("_2")))))
+    df = df.withColumn("_5", F.coalesce(F.col("_f.text"), F.col("_2"))).withColumn("_6", T.head_tail(F.col("_5")))
     df = settled(df)
-    names = [n for n, _ in steps] + ["summarizeTestRunners", "dedupStackTraces", "headTailTruncate"]
-    changed = [F.col(f"_{k}") != F.col(f"_{k + 1}") for k in range(6)]
-    # a summary of a test run that dropped the folded runs takes their rule with it
-    changed[2] = changed[2] & ~((F.col("_3") != F.col("_4")) & ~F.col("_4").contains("more similar lines collapsed]"))
-    rules = F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, n in zip(changed, names))))
+    done = lambda name: F.coalesce(F.col(f"_f.{name}"), F.lit(False))
+    steps = [("stripAnsi", F.col("_0") != F.col("_1")), ("stripProgressNoise", F.col("_1") != F.col("_2")), ("collapseRepeatedLines", done("collapsed")), ("summarizeTestRunners", done("summed")), ("dedupStackTraces", done("traced")), ("headTailTruncate", F.col("_5") != F.col("_6"))]
+    rules = F.array_compact(F.array(*(F.when(changed, F.lit(name)) for name, changed in steps)))
     n_in, n_out = F.octet_length("_0"), F.octet_length("_6")
-    restored = (F.col("_0") != "") & ((F.col("_6") == "") | (~T.is_test_output(F.col("_0")) & (n_out * 10 < n_in)))
-    df = df.withColumn("reduced", F.when(restored, F.col("_0")).otherwise(F.col("_6")))
-    df = df.withColumn("rules", F.when(restored, F.array().cast("array<string>")).otherwise(rules))
-    return df.drop("_runner", "_bad", "_f", *(f"_{k}" for k in range(7)))
+    restored = (F.col("_0") != "") & ((F.col("_6") == "") | ((n_out * 10 < n_in) & ~T.is_test_output(F.col("_0"))))
+    df = settled(df.withColumn("_restored", restored))
+    df = df.withColumn("reduced", F.when(F.col("_restored"), F.col("_0")).otherwise(F.col("_6")))
+    df = df.withColumn("rules", F.when(F.col("_restored"), F.array().cast("array<string>")).otherwise(rules))
+    return df.drop("_restored", "_f", "_0", "_1", "_2", "_5", "_6")
 
 
 def with_marker(text: Column, rules: Column) -> Column:
