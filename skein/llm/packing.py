@@ -13,6 +13,7 @@ ignored.  Each id lies in exactly one piece.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ from skein.llm.textops import by_size, hash_spans, lowered, text_bytes, word_spa
 LIMIT = 4096
 END = 2
 SALTS = 512  # parts of one length in which ranks are counted apart
-TOGETHER = 20_000  # words that the tokenizer reads at once
-CACHE = 350_000  # words whose ids a worker keeps
+TOGETHER = 10_000  # words that the tokenizer reads at once
+CACHE = 250_000  # words whose ids a worker keeps
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -42,6 +43,8 @@ class WordIds:
     """
 
     def __init__(self, path: str) -> None:
+        # workers share the machine already, and threads of a tokenizer keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
