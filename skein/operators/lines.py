@@ -38,24 +38,25 @@ def dedup_lines(lines: Column, exempt: str = "--") -> Column:
 def collapse_matches(rows: DataFrame) -> DataFrame:
     """(id, text): runs of more than three matches of one file folded into three and the other places.
 
-    ``rows`` are (id, pos, line); duplicates go first and are counted in a last line.
+    ``rows`` are (id, pos, line); duplicates go first and are counted in a last line.  Rows that stay and rows that go
+    are numbered apart in one window, each run becomes one row, and the runs of a text are joined.
     """
-    marked = first_occurrences(rows)
-    omitted = marked.groupBy("id").agg(F.count_if(~F.col("kept")).alias("omitted"))
     path = F.when(F.col("line").rlike(K.MATCH_PATH), F.regexp_extract("line", K.MATCH_PATH, 1))
-    w = Window.partitionBy("id").orderBy("pos")
-    kept = marked.where("kept").withColumn("path", path)
+    w = Window.partitionBy("id", "kept").orderBy("pos")
     new = F.coalesce(F.col("path").isNull() | ~F.lag("path").over(w).eqNullSafe(F.col("path")), F.lit(True))
-    kept = kept.withColumn("run", F.sum(new.cast("int")).over(w))
-    inside = Window.partitionBy("id", "run").orderBy("pos")
-    kept = kept.withColumn("nth", F.row_number().over(inside)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("id", "run")))
-    long = (F.col("size") > K.MATCH_RUN_SHOWN) & F.col("path").isNotNull()
-    shown = kept.where(~long | (F.col("nth") <= K.MATCH_RUN_SHOWN)).select("id", "pos", F.lit(0).alias("part"), "line")
-    rest = kept.where(long & (F.col("nth") > K.MATCH_RUN_SHOWN))
-    places = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.regexp_extract("line", K.MATCH_PLACE, 1).alias("place")))), lambda x: x["place"])
-    folded = rest.groupBy("id", "run").agg(F.min("pos").alias("pos"), F.concat(F.lit("... "), T.mark(F.count(F.lit(1)), " more at ", F.array_join(places, ", "))).alias("line"))
-    last = omitted.where("omitted > 0").select("id", F.lit(2**31 - 1).alias("pos"), F.lit(2).alias("part"), F.concat(F.lit("... "), T.mark(F.col("omitted"), " duplicate match lines omitted")).alias("line"))
-    return joined(shown.unionByName(folded.select("id", "pos", F.lit(1).alias("part"), "line")).unionByName(last), ("pos", "part"))
+    marked = first_occurrences(rows).withColumn("path", path).withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
+    each = marked.groupBy("id", "kept", "run").agg(F.min("pos").alias("pos"), F.first("path").alias("path"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("all"))
+    all_lines = F.transform("all", lambda x: x["line"])
+    rest = F.slice(all_lines, F.lit(K.MATCH_RUN_SHOWN + 1), F.size("all"))
+    places = F.array_join(F.transform(rest, lambda x: F.regexp_extract(x, K.MATCH_PLACE, 1)), ", ")
+    folded = F.concat(F.slice(all_lines, 1, K.MATCH_RUN_SHOWN), F.array(F.concat(F.lit("... "), T.mark(F.size(rest), " more at ", places))))
+    long = F.col("path").isNotNull() & (F.size("all") > K.MATCH_RUN_SHOWN)
+    runs = each.select("id", "kept", "pos", F.size("all").alias("size"), F.array_join(F.when(long, folded).otherwise(all_lines), "\n").alias("text"))
+    shown = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("pos", "text"))))
+    gone = F.sum(F.when(F.col("kept"), 0).otherwise(F.col("size")))
+    whole = runs.groupBy("id").agg(F.array_join(F.transform(shown, lambda x: x["text"]), "\n").alias("text"), gone.alias("gone"))
+    last = F.when(F.col("gone") > 0, F.concat(F.lit("\n... "), T.mark(F.col("gone"), " duplicate match lines omitted"))).otherwise("")
+    return whole.select("id", F.concat("text", last).alias("text"))
 
 
 def _folders(names: DataFrame) -> DataFrame:
