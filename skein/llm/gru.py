@@ -67,16 +67,21 @@ class Gru:
         y -= y.max(1, keepdims=True)
         k = self.class_of(ids)
         out = y[np.arange(len(ids)), k] - np.log(np.exp(y).sum(1))
-        inside = np.flatnonzero(ids < self.head)
+        order, _, y = self.members(one, ids, k)
+        y -= y.max(1, keepdims=True)
+        out[order] += y[np.arange(len(order)), ids[order] % GROUP] - np.log(np.exp(y).sum(1))
+        return out
+
+    def members(self, one: np.ndarray, ids: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows whose id is a word of a group, by group; where each group begins and the last ends; word layer of their groups)."""
+        inside = np.arange(len(ids)) if not self.tails else np.flatnonzero(ids < self.head)
         order = inside[np.argsort(k[inside], kind="stable")]
         edge = np.searchsorted(k[order], np.arange(self.groups + 1))
-        for c in range(self.groups):
-            own = order[edge[c] : edge[c + 1]]
-            if len(own):
-                y = one[own] @ self.words[c]
-                y -= y.max(1, keepdims=True)
-                out[own] += y[np.arange(len(own)), ids[own] % GROUP] - np.log(np.exp(y).sum(1))
-        return out
+        rows = one[order]
+        y = np.empty((len(order), GROUP), np.float32)
+        for c in np.flatnonzero(np.diff(edge)).tolist():
+            np.matmul(rows[edge[c] : edge[c + 1]], self.words[c], out=y[edge[c] : edge[c + 1]])
+        return order, edge, y
 
     def score(self, ids: np.ndarray, ptr: np.ndarray, streams: int = 256) -> np.ndarray:
         """Natural log probability of each whole document; every one starts from the empty state."""
@@ -172,36 +177,41 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
         h = np.zeros((streams, width), np.float32)
         for first in range(0, steps, WINDOW):
             adam.rate = rate * (1 - (epoch + first / steps) / epochs) + 1e-4
-            span = range(first, min(first + WINDOW, steps))
-            kept, states = [], []
-            for t in span:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-                states.append(h)
-                nxt, z, r, c = model.step(grid[t], h)
-                kept.append((h, z, r, c))
-                h = nxt
-            ids = grid[span.start : span.stop].reshape(-1)
-            top = np.stack(states).reshape(-1, width)
-            live = real[span.start : span.stop].reshape(-1)
+            span = slice(first, min(first + WINDOW, steps))
+            ids, begin = grid[span], fresh[span][:, :, None]
+            n = len(ids)
+            old, z, r, c = (np.empty((n, streams, width), np.float32) for _ in range(4))
+            for t in range(n):
+                h = np.where(begin[t], np.float32(0), h)
+                old[t] = h
+                h, z[t], r[t], c[t] = model.step(ids[t], h)
+            flat_ids, top = ids.reshape(-1), old.reshape(-1, width)
+            live = real[span].reshape(-1)
             back = np.zeros_like(top)
-            back[live], g_classes, g_words = _output_grad(model, top[live], ids[live])
             scale = np.float32(1 / streams / WINDOW)
-            back = (back * scale).reshape(len(span), streams, width)
-            g_entry, g_state = np.zeros_like(model.entry), np.zeros_like(model.state)
+            if live.all():
+                back, g_classes, g_words = _output_grad(model, top, flat_ids)
+            else:
+                back[live], g_classes, g_words = _output_grad(model, top[live], flat_ids[live])
+            back = (back * scale).reshape(n, streams, width)
+            gates, to_gates = model.state[:, : 2 * width].T.copy(), model.state[:, 2 * width :].T.copy()
+            to_z, to_c, to_r, reset = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), old * r * (1 - r), r * old
+            grad = np.empty((n, streams, 3 * width), np.float32)
             d_h = np.zeros((streams, width), np.float32)
-            for j in range(len(span) - 1, -1, -1):
-                t = span[j]
-                old, z, r, c = kept[j]
-                d_c = d_h * (1 - z) * (1 - c * c)
-                d_z = d_h * (old - c) * z * (1 - z)
-                d_rh = d_c @ model.state[:, 2 * width :].T
-                d_r = d_rh * old * r * (1 - r)
-                d_gate = np.concatenate([d_z, d_r, d_c], 1)
-                np.add.at(g_entry, grid[t], d_gate)
-                g_state[:, : 2 * width] += old.T @ d_gate[:, : 2 * width]
-                g_state[:, 2 * width :] += (r * old).T @ d_c
-                d_h = d_h * z + d_rh * r + d_gate[:, : 2 * width] @ model.state[:, : 2 * width].T
-                d_h = np.where(fresh[t][:, None], np.float32(0), d_h + back[j])
+            for t in range(n - 1, -1, -1):
+                g = grad[t]
+                np.multiply(d_h, to_z[t], out=g[:, 2 * width :])
+                np.multiply(d_h, to_c[t], out=g[:, :width])
+                d_rh = g[:, 2 * width :] @ to_gates
+                np.multiply(d_rh, to_r[t], out=g[:, width : 2 * width])
+                d_h = d_h * z[t] + d_rh * r[t] + g[:, : 2 * width] @ gates
+                d_h = np.where(begin[t], np.float32(0), d_h + back[t])
+            grad = grad.reshape(-1, 3 * width)
+            g_state = np.concatenate([top.T @ grad[:, : 2 * width], reset.reshape(-1, width).T @ grad[:, 2 * width :]], 1)
+            g_entry = np.zeros_like(model.entry)
+            order = np.argsort(flat_ids, kind="stable")
+            edge = np.flatnonzero(np.diff(flat_ids[order], prepend=-1))
+            g_entry[flat_ids[order[edge]]] = np.add.reduceat(grad[order], edge, axis=0)
             adam.step([g_entry, g_state, g_classes * scale, g_words * scale])
     return model
 
@@ -215,12 +225,14 @@ def _output_grad(model: Gru, top: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     y[np.arange(len(ids)), k] -= 1
     back = y @ model.classes.T
     g_words = np.zeros_like(model.words)
-    for c in np.unique(k[ids < model.head]).tolist():
-        own = np.flatnonzero(k == c)
-        p = one[own] @ model.words[c]
-        p = np.exp(p - p.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(own)), ids[own] % GROUP] -= 1
-        g_words[c] = one[own].T @ p
-        back[own] += p @ model.words[c].T
+    order, edge, p = model.members(one, ids, k)
+    p = np.exp(p - p.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(order)), ids[order] % GROUP] -= 1
+    rows, some = one[order], np.empty((len(order), one.shape[1]), np.float32)
+    for c in np.flatnonzero(np.diff(edge)).tolist():
+        part = slice(edge[c], edge[c + 1])
+        g_words[c] = rows[part].T @ p[part]
+        np.matmul(p[part], model.words[c].T, out=some[part])
+    back[order] += some
     return back[:, :-1], one.T @ y, g_words

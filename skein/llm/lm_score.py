@@ -126,6 +126,33 @@ def _encode(lexicon: Lexicon):
     return run
 
 
+def _warm(epochs: int):
+    """The weights that all texts of a partition teach a fresh network."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = [np.asarray(ids.values, np.int64) for b in batches for ids in b.column(0)]
+        yield pa.record_batch([pa.array([gru.fit(gru.create(HEAD + TAILS, 0, WIDTH), streams, epochs=epochs).packed().tobytes()], pa.binary())], ["block"])
+
+    return run
+
+
+def _warmed(training: DataFrame, lexicon: Lexicon, epochs: int, docs: int, most: int) -> gru.Gru:
+    """A network taught by at most ``docs`` texts and ``most`` tokens, chosen by a hash of the doc_id, in one task; only weights and sizes reach the driver."""
+    chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
+    one = training.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    sample = one.mapInArrow(_encode(lexicon), "doc_id long, ids array<int>").where(F.size("ids") <= most // 16)  # no text makes up the sample alone
+    sample = cut(sample.withColumn("spot", F.xxhash64("doc_id")), "warm")
+    sizes = sample.select("spot", "doc_id", F.size("ids").alias("n")).toArrow().sort_by([("spot", "ascending"), ("doc_id", "ascending")])
+    n = int((np.cumsum(sizes["n"].to_numpy()) <= most).sum())
+    if not n:
+        return gru.create(HEAD + TAILS, 0, WIDTH)
+    last = sizes.slice(n - 1, 1).to_pylist()[0]
+    place = F.struct(F.lit(last["spot"]).cast("long").alias("spot"), F.lit(last["doc_id"]).cast("long").alias("doc_id"))
+    rows = sample.where(F.struct("spot", "doc_id") <= place).coalesce(1).sortWithinPartitions("spot", "doc_id").select("ids")
+    block = rows.mapInArrow(_warm(epochs), "block binary").first()["block"]
+    return gru.create(HEAD + TAILS, 0, WIDTH).unpacked(np.frombuffer(block, "<f4"))
+
+
 def _learn(lexicon: Lexicon, model: gru.Gru):
     """(tokens, weights) of a partition that goes on from the given weights over all its texts."""
 
@@ -172,7 +199,7 @@ def _score(lexicon: Lexicon, model: gru.Gru, buckets: int, unit: float):
     schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 2 << 20):
+        for b in by_size(batches, "text", 6 << 20):
             w, t, ptr = tokens(b.column(2))
             count, ids = lexicon.find(w, t)
             doc = np.repeat(np.arange(b.num_rows), np.diff(ptr))
@@ -256,15 +283,7 @@ def lm_scores(docs: DataFrame, epochs: int = 2, warm_docs: int = WARM_DOCS, warm
         mass[r["tail"]] += r["m"]
     np.subtract.at(mass, tail[:HEAD], c[:HEAD] + 1)
     lexicon = Lexicon(words, c, mass)
-    chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(warm_docs)
-    sample = training.join(F.broadcast(chosen), "doc_id").mapInArrow(_encode(lexicon), "doc_id long, ids array<int>")
-    sample = sample.where(F.size("ids") <= warm_tokens // 16).withColumn("spot", F.xxhash64("doc_id")).toArrow().sort_by([("spot", "ascending"), ("doc_id", "ascending")])
-    streams, held = [], 0
-    for ids in sample["ids"]:
-        if held + len(ids.values) <= warm_tokens:
-            streams.append(np.asarray(ids.values, np.int64))
-            held += len(streams[-1])
-    model = gru.fit(gru.create(HEAD + TAILS, 0, WIDTH), streams, epochs=epochs)
+    model = _warmed(training, lexicon, epochs, warm_docs, warm_tokens)
     model, _ = learned(training, lexicon, model)
     # tokens that are none of the frequent words, in all texts, as training texts are six of seven
     rare = int(size[0]) - int(c.sum()) + distinct
