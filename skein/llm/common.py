@@ -100,8 +100,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
-    """Partitions of a shuffle whose tasks hold their rows: about ``most`` each, however many rows there are."""
-    return max(partitions(spark), -(-rows // most))
+    """Partitions of a shuffle whose tasks hold their rows: never over ``most`` each on average, however many rows there
+    are, and a tenth of that as long as so many smaller tasks stay in the thousands."""
+    each = min(most, max(most // 10, rows // 10_000))
+    return max(partitions(spark), -(-rows // each))
 
 
 def bounded_batches(spark: SparkSession) -> None:
