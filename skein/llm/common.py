@@ -133,6 +133,15 @@ def keep_rows(docs: DataFrame, mask: Callable[[pa.Array], np.ndarray], limit: in
     return docs.mapInArrow(run, docs.schema)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, most: int = BROADCAST_IDS, how: str = "left") -> DataFrame:
+    """Rows joined with a written table that has one row for each key.
+
+    A table of at most ``most`` rows is broadcast, so a key with very many rows goes nowhere.  Beyond it both sides are
+    plain exchanges, and adaptive execution splits the partition of such a key.
+    """
+    return rows.join(F.broadcast(table) if table.count() <= most else table.hint("merge"), key, how)
+
+
 NO_ID = -(2**63)  # stands for a null doc_id in joins
 
 

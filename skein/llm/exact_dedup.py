@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, cut, one_row_each, tasks_for, texts, tidy, without
+from skein.llm.common import bounded_batches, cut, looked_up, one_row_each, tasks_for, texts, tidy, without
 from skein.llm.textops import LOWER, by_size, text_bytes
 
 SLOTS = 4  # of a bucket
 KICKS = 128  # moves before the index counts as full
 LIVE = 250_000  # digests that a task holds
+BROADCAST_GROUPS = 200_000  # groups of equal texts that may be broadcast
 
 
 class CuckooIndex:
@@ -205,8 +206,11 @@ def groups(digested: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame) -> DataFrame:
     seen = cut(digests(docs), "digests")
-    # one digest may hold a third of the rows: both sides are plain exchanges, so that a skewed partition is split
-    return seen.join(groups(seen).hint("merge"), "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    shared = cut(groups(seen).where("group_size > 1"), "groups")  # any other text is its own group
+    met = looked_up(seen, shared, "digest", BROADCAST_GROUPS)
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    met = met.withColumn("keep_id", keep).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+    return met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 @tidy

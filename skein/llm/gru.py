@@ -16,6 +16,27 @@ GROUP = 32  # head words of a class
 WINDOW = 32  # steps through which gradients go back
 
 
+TOGETHER = 2048  # rows whose output is worked out at once
+SAFE = 60.0  # logits up to which exponentials stay far from the limits of a float
+
+
+def exponentials(y: np.ndarray) -> np.ndarray:
+    """Turns logits into exponentials, up to a factor for each row, and gives the sums of the rows."""
+    if y.size and max(y.max(), -y.min()) > SAFE:
+        y -= y.max(1, keepdims=True)
+    np.exp(y, out=y)
+    return y @ np.ones(y.shape[1], np.float32)
+
+
+def picked(y: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at its column k; the logits are used up."""
+    if y.size and max(y.max(), -y.min()) > SAFE:
+        y -= y.max(1, keepdims=True)
+    own = y[np.arange(len(k)), k]
+    np.exp(y, out=y)
+    return own - np.log(y @ np.ones(y.shape[1], np.float32))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -60,16 +81,24 @@ class Gru:
         c = np.tanh(g[:, 2 * n :] + (r * h) @ self.state[:, 2 * n :])
         return c + z * (h - c), z, r, c
 
+    def halved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights by which ``advance`` steps: gate columns halved, as sigmoid(x) is half of tanh(x / 2) and a half."""
+        n = self.state.shape[0]
+        entry = self.entry.copy()
+        entry[:, : 2 * n] *= np.float32(0.5)
+        return entry, self.state[:, : 2 * n] * np.float32(0.5), np.ascontiguousarray(self.state[:, 2 * n :])
+
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each id given the state before it."""
-        one = np.concatenate([states, np.ones((len(states), 1), np.float32)], 1)
-        y = one @ self.classes
-        y -= y.max(1, keepdims=True)
-        k = self.class_of(ids)
-        out = y[np.arange(len(ids)), k] - np.log(np.exp(y).sum(1))
-        order, _, y = self.members(one, ids, k)
-        y -= y.max(1, keepdims=True)
-        out[order] += y[np.arange(len(order)), ids[order] % GROUP] - np.log(np.exp(y).sum(1))
+        out = np.empty(len(ids), np.float32)
+        for first in range(0, len(ids), TOGETHER):  # as much as stays in a processor's own memory
+            rows, some = slice(first, first + TOGETHER), ids[first : first + TOGETHER]
+            one = np.concatenate([states[rows], np.ones((len(some), 1), np.float32)], 1)
+            k = self.class_of(some)
+            own = picked(one @ self.classes, k)
+            order, _, y = self.members(one, some, k)
+            own[order] += picked(y, some[order] % GROUP)
+            out[rows] = own
         return out
 
     def members(self, one: np.ndarray, ids: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,24 +142,45 @@ class Gru:
         busy = (load[by_lane][None, :] > np.arange(steps)[:, None]).sum(1)
         width = self.state.shape[0]
         total = np.zeros(docs)
-        h = np.zeros((streams, width), np.float32)
+        entry, to_gates, to_new = self.halved()
+        h, gate, new = np.zeros((streams, width), np.float32), np.empty((streams, 2 * width), np.float32), np.empty((streams, width), np.float32)
         lanes = where[col]
         at = np.argsort(row, kind="stable")
         cuts = np.searchsorted(row[at], np.arange(0, steps + WINDOW, WINDOW))
         for w, first in enumerate(range(0, steps, WINDOW)):  # the state h is carried from window to window
             last = min(first + WINDOW, steps)
-            before = np.empty((last - first, streams, width), np.float32)
+            wide = busy[first]
+            before = np.empty((last - first, wide, width), np.float32)
+            given = entry[grid[first:last, :wide]]
+            keep = ~fresh[first:last, :wide, None]
             for t in range(first, last):
-                n = busy[t]
-                h[:n][fresh[t, :n]] = 0
-                before[t - first] = h
-                h[:n] = self.step(grid[t, :n], h[:n])[0]
+                n, k = busy[t], t - first
+                own = before[k, :n]
+                np.multiply(h[:n], keep[k, :n], out=own)
+                advance(own, given[k, :n], to_gates, to_new, gate[:n], new[:n], h[:n])
             own = at[cuts[w] : cuts[w + 1]]
             lp = self.log_probs(before[row[own] - first, lanes[own]], ids[own])
             total += np.bincount(doc[own], lp, docs)
         return total
 
 
+def advance(h: np.ndarray, given: np.ndarray, to_gates: np.ndarray, to_new: np.ndarray, gate: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """One step of states ``h`` by the weights of ``halved``: z and r go to ``gate``, the candidate to ``new``, the next states to ``out``."""
+    n = h.shape[1]
+    np.matmul(h, to_gates, out=gate)
+    gate += given[:, : 2 * n]
+    np.tanh(gate, out=gate)
+    gate += np.float32(1)
+    gate *= np.float32(0.5)
+    np.multiply(gate[:, n:], h, out=out)
+    np.matmul(out, to_new, out=new)
+    new += given[:, 2 * n :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= gate[:, :n]
+    out += new
+
+
 def create(head: int, tails: int, width: int, seed: int = 5) -> Gru:
     """Fresh weights; ``head`` is a multiple of GROUP."""
     rng = np.random.default_rng(seed)
@@ -180,11 +230,14 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
             span = slice(first, min(first + WINDOW, steps))
             ids, begin = grid[span], fresh[span][:, :, None]
             n = len(ids)
-            old, z, r, c = (np.empty((n, streams, width), np.float32) for _ in range(4))
+            old, c = np.empty((n, streams, width), np.float32), np.empty((n, streams, width), np.float32)
+            gate = np.empty((n, streams, 2 * width), np.float32)
+            entry, to_gates, to_new = model.halved()
+            given, keep = entry[ids], ~begin
             for t in range(n):
-                h = np.where(begin[t], np.float32(0), h)
-                old[t] = h
-                h, z[t], r[t], c[t] = model.step(ids[t], h)
+                np.multiply(h, keep[t], out=old[t])
+                advance(old[t], given[t], to_gates, to_new, gate[t], c[t], h)
+            z, r = gate[:, :, :width], gate[:, :, width:]
             flat_ids, top = ids.reshape(-1), old.reshape(-1, width)
             live = real[span].reshape(-1)
             back = np.zeros_like(top)
@@ -194,7 +247,7 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
             else:
                 back[live], g_classes, g_words = _output_grad(model, top[live], flat_ids[live])
             back = (back * scale).reshape(n, streams, width)
-            gates, to_gates = model.state[:, : 2 * width].T.copy(), model.state[:, 2 * width :].T.copy()
+            gates, to_new = model.state[:, : 2 * width].T.copy(), model.state[:, 2 * width :].T.copy()
             to_z, to_c, to_r, reset = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), old * r * (1 - r), r * old
             grad = np.empty((n, streams, 3 * width), np.float32)
             d_h = np.zeros((streams, width), np.float32)
@@ -202,7 +255,7 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
                 g = grad[t]
                 np.multiply(d_h, to_z[t], out=g[:, 2 * width :])
                 np.multiply(d_h, to_c[t], out=g[:, :width])
-                d_rh = g[:, 2 * width :] @ to_gates
+                d_rh = g[:, 2 * width :] @ to_new
                 np.multiply(d_rh, to_r[t], out=g[:, width : 2 * width])
                 d_h = d_h * z[t] + d_rh * r[t] + g[:, : 2 * width] @ gates
                 d_h = np.where(begin[t], np.float32(0), d_h + back[t])
@@ -220,14 +273,12 @@ def _output_grad(model: Gru, top: np.ndarray, ids: np.ndarray) -> tuple[np.ndarr
     one = np.concatenate([top, np.ones((len(top), 1), np.float32)], 1)
     k = model.class_of(ids)
     y = one @ model.classes
-    y = np.exp(y - y.max(1, keepdims=True))
-    y /= y.sum(1, keepdims=True)
+    y *= (1 / exponentials(y))[:, None]
     y[np.arange(len(ids)), k] -= 1
     back = y @ model.classes.T
     g_words = np.zeros_like(model.words)
     order, edge, p = model.members(one, ids, k)
-    p = np.exp(p - p.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
+    p *= (1 / exponentials(p))[:, None]
     p[np.arange(len(order)), ids[order] % GROUP] -= 1
     rows, some = one[order], np.empty((len(order), one.shape[1]), np.float32)
     for c in np.flatnonzero(np.diff(edge)).tolist():

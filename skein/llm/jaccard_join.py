@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_IDS, NO_ID, cut, one_row_each, partitions, tasks_for, text_key, texts, tidy, without
+from skein.llm.common import BROADCAST_IDS, NO_ID, cut, looked_up, one_row_each, partitions, tasks_for, text_key, texts, tidy, without
 from skein.llm.components import components
 from skein.llm.textops import by_size, mix, shingles, words
 
@@ -513,12 +513,13 @@ class JaccardJoin:
         first = self._verified(early.where("kind = 0").select("a", "b").unionByName(found.where("kind = 0").select("a", "b")), "links")
         late = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), "n", "pos")
         family = components(first)
-        late = late.join(family.hint("merge"), "node", "left").withColumn("family", F.coalesce("component", "node"))
+        late = looked_up(late, cut(family, "families"), "node").withColumn("family", F.coalesce("component", "node"))
         late = cut(late.select("token", "node", "family", "n", "pos"), "late")
         each = late.groupBy("token", "family").agg(F.count(F.lit(1)).alias("k"))
         of = each.groupBy("token").agg(F.max_by("family", F.struct("k", "family")).alias("main"), F.count(F.lit(1)).alias("families"), F.sum("k").alias("all")).where("families > 1")
+        of = cut(of, "mixed")  # lists of more than one family
         parts = (F.ceil(F.col("all") / SALTED)).cast("int")
-        rows = late.join(of.hint("merge"), "token").withColumn("is_main", (F.col("family") == F.col("main")).cast("int"))
+        rows = looked_up(late, of, "token", how="inner").withColumn("is_main", (F.col("family") == F.col("main")).cast("int"))
         # the main family's entries are dealt over the parts; the few others go to each part
         spread = F.when(F.col("is_main") == 1, F.array(F.pmod(F.xxhash64("node"), parts.cast("long")))).otherwise(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))
         rows = rows.withColumn("part", F.explode(spread)).select("token", "part", "node", "family", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "is_main", (F.col("part") == 0).cast("int").alias("lead"))
@@ -528,13 +529,13 @@ class JaccardJoin:
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id, label, and xxhash64 of the text (raw) for every row."""
-        label = components(self.links())
-        rows = self.rows.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
-        rows = cut(rows, "labels")
-        # written first, so that the join below has plain exchanges and a label with very many rows can be split
-        least = cut(rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(place()).alias("first")), "least")
-        found = rows.join(least.hint("merge"), "label", "left")
-        return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "raw", "first")
+        label = cut(components(self.links()), "components")
+        rows = cut(looked_up(self.rows, label, "node").withColumn("label", F.coalesce("component", "node")), "labels")
+        of = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.min(place()).alias("first"), F.count(F.lit(1)).alias("size"))
+        shared = cut(of.where("size > 1").drop("size"), "least")  # any other row is its own component
+        found = looked_up(rows, shared, "label")
+        least = F.when((F.col("n") > 0) & F.col("first").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
+        return found.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"), "raw", F.coalesce("first", place()).alias("first"))
 
 
 def place() -> Column:

@@ -48,8 +48,8 @@ WARM_DOCS = 2000
 WARM_TOKENS = 1_200_000
 MET = 2_000_000  # rare words that a task looks up
 ROUNDS = 2
-RATE = 0.003  # of the rounds
-STREAMS = 128
+RATE = 0.005  # of the rounds
+STREAMS = 256
 SUMS = 8  # partial sums of weights that reach the driver
 END_KEY = np.uint64(1)
 COUNTED = 3_000_000  # tokens counted together in a worker
@@ -199,7 +199,7 @@ def _score(lexicon: Lexicon, model: gru.Gru, buckets: int, unit: float):
     schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 6 << 20):
+        for b in by_size(batches, "text", 8 << 20):
             w, t, ptr = tokens(b.column(2))
             count, ids = lexicon.find(w, t)
             doc = np.repeat(np.arange(b.num_rows), np.diff(ptr))
