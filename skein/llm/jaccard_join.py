@@ -451,7 +451,7 @@ class JaccardJoin:
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """Texts that have the given sets, one for each (rows that repeat doc_id and text bring it again, which changes no link)."""
         key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("raw").alias("raw"))
-        one = self.rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(key).alias("one")).select("one.id", "one.raw")
+        one = looked_up(self.rows, cut(nodes, "nodes"), "node", how="left_semi").groupBy("node").agg(F.min(key).alias("one")).select("one.id", "one.raw")
         one = cut(one, "ids")
         small = one.count() <= BROADCAST_IDS  # beyond it both sides are shuffled
         own, raw = text_key(self.docs)
