@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import text as T
 from skein.sources.tables import table
 
 COMMANDS = ["npm install", "git status", "pytest -q", "cargo build", "FOO=1 npx eslint src", "docker ps", "pip install x && ls", "make"]
@@ -49,7 +50,7 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(
-        _say("s", F.col("user_id")).alias("session_id"), F.to_date("ts").alias("day"), "ts", F.col("event_type").alias("tool"), _say("cmd", k % 7).alias("command"), _say("p", F.col("user_id") % 5).alias("project"),
+        _say("s", F.col("user_id")).alias("session_id"), T.utc_day(F.col("ts")).alias("day"), "ts", F.col("event_type").alias("tool"), _say("cmd", k % 7).alias("command"), _say("p", F.col("user_id") % 5).alias("project"),
         (k * 10 + 1000).alias("bytes_in"), (F.col("event_id") * 7 % 900 + 500).alias("bytes_out"), F.lit(1).cast("long").alias("events"), "event_id",
     )
 

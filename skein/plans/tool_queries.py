@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.config import Config, RewriteOptions
+from skein.config import Config, Filter, RewriteOptions
+from skein.functions import fixed as K
 from skein.functions import text as T
 from skein.functions.commands import described
 from skein.operators import compressors as C
@@ -161,14 +163,13 @@ def shape_write_back(spark, d):
 # ---- shell results with every gate ----
 
 
-@query(f"""WITH {LOGS}, b AS (SELECT id, text, id % 7 AS k FROM logs), g AS (SELECT *, CASE k WHEN 0 THEN 'skippedFailure' WHEN 1 THEN 'skippedFailure' WHEN 3 THEN 'skippedImage' WHEN 4 THEN 'skippedBelowThreshold' WHEN 5 THEN 'skippedFailure' END AS outcome FROM b)
-    SELECT id, outcome FROM g WHERE k IN (0, 1, 3, 4, 5)""")
+@query(f"WITH {LOGS} SELECT id, ['skippedFailure', 'skippedFailure', 'skippedBelowThreshold', 'skippedImage', 'skippedBelowThreshold', 'skippedFailure', 'skippedPoorRatio'][id % 7 + 1] AS outcome FROM logs")
 def shell_gates(spark, d):
-    """Exit codes, failure records on either stream, images and short texts."""
+    """Exit codes, failure records on either stream, images, short texts and texts with nothing to leave out."""
     k = F.col("id") % 7
-    rows = A.logs(spark, d).where(k.isin(0, 1, 3, 4, 5)).select(
+    rows = A.logs(spark, d).select(
         "id", F.when(k == 5, "make").otherwise("npx eslint x").alias("command"),
-        F.when(k == 4, "short").when(k == 5, F.concat(F.repeat(F.lit("fine line\n"), 60), F.lit("fatal: x"))).otherwise(F.concat("text", F.repeat(F.lit(" padding"), 100))).alias("stdout"),
+        F.when(k.isin(2, 4), "short").when(k == 5, F.concat(F.repeat(F.lit("fine line\n"), 60), F.lit("fatal: x"))).when(k == 6, F.repeat(F.lit("one line, "), 70)).otherwise(F.concat("text", F.repeat(F.lit(" padding"), 100))).alias("stdout"),
         F.when(k == 1, "npm ERR! x").otherwise("").alias("stderr"), F.when(k == 0, 2).cast("int").alias("exit_code"), (k == 3).alias("is_image"),
     )
     return P.bash_results(rows).select("id", "outcome")
@@ -176,11 +177,16 @@ def shell_gates(spark, d):
 
 _SUMMARIES = f"""
   st AS (SELECT 'status' || n_nationkey AS id, '## main...origin/' || lower(n_name) || coalesce(chr(10) || files, '') AS text FROM nation LEFT JOIN (SELECT s_nationkey AS id, string_agg([' M', '??', 'A ', 'MM'][s_suppkey % 4 + 1] || ' src/s' || s_suppkey, chr(10) ORDER BY s_suppkey) AS files FROM supplier GROUP BY 1) f ON f.id = n_nationkey),
-  pk AS (SELECT 'pkg' || (p_partkey % 25) AS id, string_agg(CASE WHEN p_partkey % 4 = 0 THEN 'npm warn deprecated x' || (p_partkey % 3) WHEN p_partkey % 50 = 49 THEN 'added ' || p_partkey || ' packages in 2s' ELSE 'timing step ' || p_partkey END, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_partkey % 25),
+  pl AS (SELECT p_partkey % 25 AS id, p_partkey AS key, CASE WHEN p_partkey % 4 = 0 THEN 'npm warn deprecated x' || (p_partkey % 3) WHEN p_partkey % 50 = 49 THEN 'added ' || p_partkey || ' packages in 2s' ELSE 'timing step ' || p_partkey END AS line, p_partkey % 4 = 0 AS sig FROM part),
+  pk AS (SELECT 'pkg' || id AS id, string_agg(line, chr(10) ORDER BY key) || chr(10) || 'added 5 packages in 1s' AS text FROM pl GROUP BY pl.id),
+  pd AS (SELECT id, line, min(key) AS k, count(*) AS n FROM pl WHERE sig GROUP BY id, line),
+  pw AS (SELECT id, string_agg(line, chr(10) ORDER BY k) AS ws, string_agg('... [skein: ' || (n - 1) || ' duplicate package warnings omitted]', chr(10) ORDER BY k) FILTER (WHERE n > 1) AS ds FROM pd GROUP BY id),
+  pc AS (SELECT id, count(*) FILTER (WHERE NOT sig) AS n FROM pl GROUP BY id),
+  ps AS (SELECT pc.id, 'npm install: added 5 packages in 1s' || coalesce(chr(10) || ws, '') || coalesce(chr(10) || ds, '') || CASE WHEN n > 0 THEN chr(10) || '... [skein: ' || n || ' package-manager lines omitted]' ELSE '' END AS text FROM pc LEFT JOIN pw ON pc.id = pw.id),
   lt AS (SELECT 'lint' || (p_partkey % 20) AS id, string_agg(CASE WHEN p_partkey % 17 = 0 THEN 'nothing to see' ELSE 'src/a' || (p_partkey % 3) || '.ts(' || p_partkey || ',1): error TS' || (p_partkey % 2 + 1000) || ': message ' || (p_partkey % 5) END, chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_partkey % 20),
   df AS (SELECT 'diff' || (o_custkey % 40) AS id, 'diff --git a/f' || (o_custkey % 40) || ' b/f' || (o_custkey % 40) || chr(10) || 'index 1..2 100644' || chr(10) || string_agg(CASE WHEN o_orderkey % 9 = 0 THEN '+added ' WHEN o_orderkey % 13 = 0 THEN '-removed ' ELSE ' context ' END || o_orderkey, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey % 40),
   tb AS (SELECT 'table' || r_regionkey AS id, 'NAME   STATUS    AGE' || string_agg(chr(10) || n_name || '   Running    ' || n_nationkey || 'd  ', '' ORDER BY n_nationkey) AS text FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey),
-  sp AS (SELECT 'status' || id AS id, text AS small, 'gitStatus' AS rule FROM ({_ORACLES["git_status_counts"]}) UNION ALL SELECT 'pkg' || id, text, 'packageManagerSummary' FROM ({_ORACLES["package_summary"]}) UNION ALL SELECT 'lint' || id, text, 'linterDiagnostics' FROM ({_ORACLES["linter_text"]})
+  sp AS (SELECT 'status' || id AS id, text AS small, 'gitStatus' AS rule FROM ({_ORACLES["git_status_counts"]}) UNION ALL SELECT 'pkg' || id, text, 'packageManagerSummary' FROM ps UNION ALL SELECT 'lint' || id, text, 'linterDiagnostics' FROM ({_ORACLES["linter_text"]})
     UNION ALL SELECT 'diff' || id, text, 'gitDiff' FROM ({_ORACLES["git_diff_context"]}) UNION ALL SELECT 'table' || id, text, 'kubectlTable' FROM ({_ORACLES["container_table"]})),
   al AS (SELECT * FROM st UNION ALL SELECT * FROM pk UNION ALL SELECT * FROM lt UNION ALL SELECT * FROM df UNION ALL SELECT * FROM tb),
   fm AS (SELECT al.id, al.text, small, rule, small || chr(10) || '[skein: ' || rule || ']' AS out FROM al JOIN sp ON al.id = sp.id WHERE small IS NOT NULL),
@@ -190,7 +196,10 @@ _SUMMARIES = f"""
 @query(f"""WITH {_SUMMARIES} SELECT id, CASE WHEN outcome = 'compressed' THEN out ELSE text END AS out_stdout, CASE WHEN outcome = 'compressed' THEN rule ELSE '' END AS rules, strlen(text) AS bytes_in, CASE WHEN outcome = 'compressed' THEN strlen(out) ELSE strlen(text) END AS bytes_out, outcome = 'compressed' AND small <> text AS lossy, outcome FROM oc""")
 def bash_summaries(spark, d):
     """Shell results whose commands have a summary of their own, through all gates."""
-    rows = A.shell_results(spark, d).where("id rlike '^(status|lint|diff|table)' or (id like 'pkg%' and contains(stdout, 'added '))")
+    packages = A.package_text(spark, d).withColumn("text", F.concat("text", F.lit("\nadded 5 packages in 1s")))
+    parts = [("status", "git status", A.status_text(spark, d)), ("pkg", "npm install", packages), ("lint", "npx tsc", R.joined(A.lint_rows(spark, d))), ("diff", "git diff", R.joined(A.diff_rows(spark, d))), ("table", "kubectl get pods", A.table_text(spark, d))]
+    texts = [frame.select(_say(name, F.col("id")).alias("id"), F.lit(command).alias("command"), F.col("text").alias("stdout")) for name, command, frame in parts]
+    rows = reduce(DataFrame.unionByName, texts).select("*", F.lit("").alias("stderr"), F.lit(None).cast("int").alias("exit_code"), F.lit(False).alias("is_image"))
     return P.bash_results(rows).select("id", "out_stdout", F.array_join("rules", ",").alias("rules"), "bytes_in", "bytes_out", "lossy", "outcome")
 
 
@@ -358,13 +367,12 @@ def names_and_paths(spark, d):
     return S.table(spark, d, "nation").select(name.alias("id"), T.project_slug(name).alias("slug"), L.recovery_path(_say("s.", key), name).alias("path"), T.session_id(name).alias("session"))
 
 
-@query("""SELECT s_suppkey AS path, true AS capped, s_suppkey % 5 + 2 AS n_lines FROM supplier WHERE s_suppkey <= 10""")
+@query("SELECT n_nationkey AS path, true AS capped, n_nationkey % 5 + 2 AS n_lines FROM nation")
 def read_guard_capped(spark, d):
     """Files of over 5 MiB whose cut falls inside a character."""
-    key = F.col("s_suppkey")
+    key = F.col("n_nationkey")
     text = F.concat(F.lit("x"), F.repeat(F.lit("\n"), (key % 5 + 1).cast("int")), F.repeat(F.lit("é"), 2621440), F.repeat(F.lit("\n"), 50))
-    files = S.table(spark, d, "supplier").where("s_suppkey <= 10").select(key.alias("path"), text.alias("text"))
-    return D.read_guard(files, Config(read_guard_lines=1)).select("path", "capped", "n_lines")
+    return D.read_guard(S.table(spark, d, "nation").select(key.alias("path"), text.alias("text")), Config(read_guard_lines=1)).select("path", "capped", "n_lines")
 
 
 # ---- ledger, streams, reports ----
@@ -447,3 +455,60 @@ def savings_text(spark, d):
     SELECT rtrim(rpad(a, x::INT, ' ') || '  ' || lpad(b, y::INT, ' ')) AS line FROM t, w""")
 def padded_table(spark, d):
     return O.padded_rows(S.table(spark, d, "nation").select(F.col("n_name").alias("Name"), F.col("n_nationkey").alias("Size")), right=("Size",))
+
+
+@query(f"WITH {FACTS} SELECT tool, sum(events)::BIGINT AS events, sum(bytes_in)::BIGINT AS bytes_in, sum(bytes_out)::BIGINT AS bytes_out, sum(bytes_in - bytes_out)::BIGINT AS bytes_saved FROM fa WHERE session_id = 's1' GROUP BY tool")
+def named_ledger(spark, d):
+    return L.by_tool(L.named_session(A.facts(spark, d), "../s 1!"))
+
+
+@query(f"{_GREP_OUT} SELECT 'Grep' AS tool, count(*) AS events, sum(length(text))::BIGINT AS bytes_in, sum(length(small))::BIGINT AS bytes_out, sum(length(text) - length(small))::BIGINT AS bytes_saved FROM o WHERE outcome = 'compressed'")
+def ledger_of_results(spark, d):
+    """Outcomes of events as facts of the ledger."""
+    done = tools.grep_results(_grep_events(spark, d)).where("outcome = 'compressed'")
+    return L.by_tool(done.select(F.col("bucket").alias("tool"), F.lit(1).cast("long").alias("events"), F.col("size_in").alias("bytes_in"), F.col("size_out").alias("bytes_out")))
+
+
+@query(f"{_GREP_OUT} SELECT 'Grep' AS tool, 'PostToolUse' AS event, outcome, count(*) AS n FROM (SELECT outcome FROM o UNION ALL SELECT 'attempted' FROM o) GROUP BY outcome")
+def outcomes_of_results(spark, d):
+    return L.diagnostics(tools.grep_results(_grep_events(spark, d)).select(F.lit("Grep").alias("tool"), F.lit("PostToolUse").alias("event"), "outcome"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'structured' WHEN 1 THEN 'context' WHEN 2 THEN 'context' WHEN 3 THEN 'structured' ELSE 'structured' END AS target, CASE WHEN s_suppkey % 5 IN (1, 2, 3, 4) THEN 'context' ELSE 'structured' END AS by_home FROM supplier")
+def runtime_targets(spark, d):
+    k = F.col("s_suppkey") % 5
+    forced, turn = F.when(k == 0, "structured").when(k == 1, "context").when(k == 3, "nonsense"), F.when(k.isin(0, 2), "t1").when(k == 4, "")
+    rows = S.table(spark, d, "supplier")
+    return rows.select(F.col("s_suppkey").alias("id"), O.target(forced, turn, {}).alias("target"), O.target(forced, turn, {"context_home": "x"}).alias("by_home"))
+
+
+@query("SELECT arg_max(doc_id, (strlen(text), doc_id::VARCHAR))::VARCHAR AS name FROM documents")
+def largest_text(spark, d):
+    return O.largest(S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("name"), "text"))
+
+
+@query("""SELECT n_name AS id, '{"hookSpecificOutput":{"hookEventName":"PreToolUse","additionalContext":"' || n_name || ' is long"}}' AS record FROM nation""")
+def advice_records(spark, d):
+    return S.table(spark, d, "nation").select(F.col("n_name").alias("id"), O.advice_record(F.lit("PreToolUse"), _say(F.col("n_name"), " is long")).alias("record"))
+
+
+@query("SELECT n_nationkey AS id, NULL::VARCHAR AS text FROM nation")
+def git_without_summary(spark, d):
+    """What git says of a push, fetch, add or commit is short and stays."""
+    sub = F.element_at(F.array(*map(F.lit, K.QUIET_GIT)), (F.col("n_nationkey") % len(K.QUIET_GIT) + 1).cast("int"))
+    about = F.struct(F.array(F.lit("git"), sub).alias("tokens"), F.lit("git").alias("binary"), sub.alias("subcommand"))
+    return S.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), C.git(_say("## done ", F.col("n_name")), about)["text"].alias("text"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'keep ' || c_custkey WHEN 1 THEN '' WHEN 2 THEN 'skip all' END AS text, CASE c_custkey % 4 WHEN 0 THEN 'custom:first' WHEN 1 THEN 'custom:second' WHEN 2 THEN 'custom:third' END AS rule FROM customer""")
+def filters_in_order(spark, d):
+    """The first filter that takes a command decides, its empty result included."""
+    config = Config(filters=(
+        Filter("^make a", "first", strip_ansi=True, strip_lines_matching="^skip", max_lines=1), Filter("^make", "second", strip_lines_matching=".", on_empty="drop"), Filter("(a+)+", "never"),
+        Filter("^npm", "third", strip_lines_matching=".", on_empty="keep"), Filter("^pip", "fourth", strip_lines_matching="."),
+    ))
+    key = F.col("c_custkey")
+    command = F.element_at(F.array(*map(F.lit, ("make all", "make x", "npm x", "pip x"))), (key % 4 + 1).cast("int"))
+    text = F.when(key % 4 == 0, _say("\x1b[1mkeep ", key, "\x1b[0m\nskip this\nmore")).otherwise("skip all")
+    made, _ = C.custom(text, command, config)
+    return S.table(spark, d, "customer").select(key.alias("id"), made["text"].alias("text"), made["rule"].alias("rule"))
