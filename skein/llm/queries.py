@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm.common import table
 from skein.llm.decontaminate import contaminated
@@ -66,9 +67,20 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_pii that SQL can state: counts and digest of the base spans."""
+    return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_lm_score that SQL can state: tokens, training counts and the base score."""
+    found = op10_lm_score(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity, op10_lm_score)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity, op10_lm_score, pii_base_spans, lm_base_scores)
     return {f.__name__: f for f in found}
 
 
@@ -115,6 +127,34 @@ ORACLES["op6_line_dedup"] = """
 """
 
 
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+ORACLES["pii_base_spans"] = f"""
+    WITH k(ord, kind, pat) AS (VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)'),
+        (3, 'card', '[0-9](?:[\\x20-]?[0-9])+'), (4, 'phone', '\\+[0-9][\\x20().0-9-]+[0-9]')),
+    m AS (SELECT doc_id, ord, kind, regexp_extract_all(text, pat) AS ms, string_split_regex(text, pat) AS ps FROM documents, k WHERE regexp_matches(text, pat)),
+    s AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+    p AS (SELECT doc_id, ord, kind, ms[i] AS v, (list_sum(list_transform(ps[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda z: length(z))), 0))::BIGINT AS st FROM s),
+    d AS (SELECT *, {_DIGITS} AS ds FROM p),
+    ok AS (SELECT doc_id, ord, kind, st, st + length(v) AS en FROM d WHERE CASE kind WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda z: length(ltrim(z, '0')) <= 3 AND coalesce(try_cast(ltrim(z, '0') AS INT), 0) <= 255))
+        WHEN 'card' THEN length(ds) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(ds) + 1), lambda j: CASE WHEN (length(ds) - j) % 2 = 0 THEN ds[j]::INT WHEN ds[j]::INT > 4 THEN ds[j]::INT * 2 - 9 ELSE ds[j]::INT * 2 END)) % 10 = 0
+        WHEN 'phone' THEN length(ds) BETWEEN 9 AND 15 ELSE true END),
+    g AS (SELECT doc_id, count(*) FILTER (WHERE ord = 1) AS e, count(*) FILTER (WHERE ord = 2) AS i, count(*) FILTER (WHERE ord = 3) AS c, count(*) FILTER (WHERE ord = 4) AS p, string_agg(kind || ':' || st || ':' || en, ',' ORDER BY ord, st) AS j FROM ok GROUP BY doc_id)
+    SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone, sha256(coalesce(j, '')) AS base_sha256 FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+#: crc32 of doc_id as text, byte by byte and bit by bit.
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+ORACLES["lm_base_scores"] = f"""
+    WITH w AS (SELECT doc_id, {CRC32} % 7 = 2 AS held_out, list_append(list_filter(string_split_regex({FOLDED}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), chr(10)) AS ws FROM documents),
+    t AS (SELECT doc_id, held_out, unnest(ws) AS word FROM w),
+    c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+    n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+    SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c.c > 0) AS n_known, any_value(n.n) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + v + 1))), 3) AS base_score
+    FROM t LEFT JOIN c USING (word), n GROUP BY doc_id, held_out
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return dict(ORACLES)
