@@ -106,6 +106,33 @@ def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
     return max(partitions(spark), -(-rows // each))
 
 
+def most_frequent(counts: DataFrame, column: str, most: int) -> DataFrame:
+    """Rows of a written table with the greatest counts, ``most`` at most: all above a bound that a histogram gives.
+
+    Counts go to some hundred classes of a like size each, and whole classes are taken; no task merges the
+    first rows of all others, as a sort with a limit would.
+    """
+    size = F.floor(F.log2(F.col(column).cast("double")) * 32)
+    found, left = None, most
+    for k, n in sorted(((r["k"], r["n"]) for r in counts.groupBy(size.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        found = k
+    return counts.where(F.lit(False)) if found is None else counts.where(size >= found)
+
+
+def first_by_hash(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows whose doc_id has the least hashes.
+
+    Of many rows those beyond a hash that some four times as many stay under go first, so the sort gets few from each partition.
+    """
+    n, key = rows.count(), F.xxhash64("doc_id")
+    if n > 8 * most:
+        rows = rows.where(key < int(-(2**63) + 2**64 * 4 * most / n))
+    return rows.orderBy(key, "doc_id").limit(most)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds the batches that go to Python by bytes, so that long texts don't add up in a worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, texts
+from skein.llm.common import cut, first_by_hash, texts
 from skein.llm.textops import SPACE, hash_spans, mix, text_bytes, word_spans
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,9 +119,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     The chosen ids, at most twice ``per_class``, are what is broadcast.  Of rows
     that share a doc_id one text is taken.
     """
-    rows = training_labels(labels, target)
+    rows = cut(training_labels(labels, target), "labels")
     share = rows.agg(F.avg("label")).first()[0]
-    picked = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
+    picked = [first_by_hash(rows.where(F.col("label") == k), per_class) for k in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
     met = texts(docs).join(F.broadcast(chosen), "doc_id")
     one = met.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))

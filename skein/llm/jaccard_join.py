@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import BROADCAST_IDS, NO_ID, cut, looked_up, one_row_each, partitions, tasks_for, text_key, texts, tidy, without
+from skein.llm.common import BROADCAST_IDS, NO_ID, cut, looked_up, most_frequent, one_row_each, partitions, tasks_for, text_key, texts, tidy, without
 from skein.llm.components import components
 from skein.llm.textops import by_size, mix, shingles, words
 
@@ -443,7 +443,7 @@ class JaccardJoin:
         n = tasks_for(self.spark, self.shingles, TOLD)
         blocks = some.mapInArrow(_shingle_blocks(self.width, 4 * n), "bucket int, block binary")
         counted = cut(blocks.repartition(n, "bucket").mapInArrow(_often, "x long, y long"), "often")
-        frame = counted.orderBy(F.desc("y"), "x").limit(FREQUENT).toArrow()
+        frame = most_frequent(counted, "y", FREQUENT).toArrow()
         keys, counts = frame["x"].to_numpy().astype(np.uint32), frame["y"].to_numpy()
         order = np.argsort(keys)
         return keys[order], counts[order]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import gru
-from skein.llm.common import bounded_batches, cut, tasks_for, texts, tidy
+from skein.llm.common import bounded_batches, cut, first_by_hash, most_frequent, tasks_for, texts, tidy
 from skein.llm.hashed import remainder
 from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, word_spans
 
@@ -52,7 +52,7 @@ RATE = 0.005  # of the rounds
 STREAMS = 256
 SUMS = 8  # partial sums of weights that reach the driver
 END_KEY = np.uint64(1)
-COUNTED = 3_000_000  # tokens counted together in a worker
+COUNTED = 5_000_000  # tokens counted together in a worker
 ENTRY = np.dtype([("word", "<u8"), ("row", "<i8")])
 
 
@@ -105,12 +105,21 @@ class Lexicon:
         ids[:HEAD] = np.arange(min(HEAD, len(words)))
         order = np.argsort(words)
         self.words, self.counts, self.ids, self.mass = words[order], counts[order], ids[order], mass
+        # hashes are even, so a few bits lead close to a word's place: cheaper than halving the whole table for each token
+        self.shift = np.uint64(64 - max(1, len(words).bit_length()))
+        self.first = np.searchsorted(self.words, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, w: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, or -1 if not among the frequent words; id) of each word."""
         if not len(self.words):
             return np.full(len(w), -1, np.int64), HEAD + tail
-        spot = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        last = len(self.words) - 1
+        spot = np.minimum(self.first[(w >> self.shift).view(np.int64)], last)
+        live = np.flatnonzero(self.words[spot] < w)
+        while len(live):
+            live = live[spot[live] < last]
+            spot[live] += 1
+            live = live[self.words[spot[live]] < w[live]]
         here = self.words[spot] == w
         ids = np.where(here, self.ids[spot], -1)
         return np.where(here, self.counts[spot], -1), np.where(ids >= 0, ids, HEAD + tail).astype(np.int64)
@@ -138,7 +147,7 @@ def _warm(epochs: int):
 
 def _warmed(training: DataFrame, lexicon: Lexicon, epochs: int, docs: int, most: int) -> gru.Gru:
     """A network taught by at most ``docs`` texts and ``most`` tokens, chosen by a hash of the doc_id, in one task; only weights and sizes reach the driver."""
-    chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs)
+    chosen = first_by_hash(training.select("doc_id").where("doc_id is not null").distinct(), docs)
     one = training.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     sample = one.mapInArrow(_encode(lexicon), "doc_id long, ids array<int>").where(F.size("ids") <= most // 16)  # no text makes up the sample alone
     sample = cut(sample.withColumn("spot", F.xxhash64("doc_id")), "warm")
@@ -272,7 +281,7 @@ def lm_scores(docs: DataFrame, epochs: int = 2, warm_docs: int = WARM_DOCS, warm
     counts = cut(training.select("text").mapInArrow(_count, "word long, tail int, c long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("c").alias("c")), "counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = int(size[0]), int(size[1])
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    top = most_frequent(counts, "c", FREQUENT).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     words, tail, c = top["word"].to_numpy().view(np.uint64), top["tail"].to_numpy(), top["c"].to_numpy()
     if len(words) and END_KEY not in words[:HEAD]:  # the end is always a head word
         k = np.flatnonzero(words == END_KEY)
