@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, exact_dedup, gru, hashed, html_text, jaccard_join, line_dedup, lm_score, packing, pii, quality, toxicity
+from skein.llm import common, decontaminate, exact_dedup, gru, hashed, html_text, jaccard_join, line_dedup, lm_score, packing, pii, quality, toxicity
 from skein.llm.components import components
 from skein.llm.textops import hash_spans, lowered, shingles, words
 
@@ -756,6 +756,33 @@ def test_gru_learns():
     assert after > 0.3 * start
 
 
+def test_frequent_rows_and_hashed_rows(spark):
+    rng = random.Random(9)
+    counts = spark.createDataFrame([(k, int(rng.paretovariate(1))) for k in range(3000)], "x long, y long")
+    rows = {r["x"]: r["y"] for r in counts.collect()}
+    for most in (1, 40, 2000, 5000):
+        got = {r["x"]: r["y"] for r in common.most_frequent(counts, "y", most).collect()}
+        assert len(got) <= most and all(y <= min(got.values(), default=1 << 60) for x, y in rows.items() if x not in got)
+        assert most < 5000 or got == rows
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    plain = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id")).limit(30).collect()]
+    assert [r["doc_id"] for r in common.first_by_hash(ids, 30).orderBy(F.xxhash64("doc_id")).collect()] == plain
+    assert common.first_by_hash(ids.limit(7), 30).count() == 7
+
+
+def test_tasks_follow_rows(spark):
+    n = common.partitions(spark)
+    assert common.tasks_for(spark, 0, 1000) == n and common.tasks_for(spark, 100 * n, 1000) == n
+    assert common.tasks_for(spark, 10**6, 1000) == 10**4 and common.tasks_for(spark, 10**12, 1000) == 10**9
+
+
+def test_looking_up_gives_the_same_either_way(spark):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(50)], "key long, v long")
+    table_ = spark.createDataFrame([(k, str(k)) for k in range(3)], "key long, name string")
+    few, many = (sorted(map(tuple, common.looked_up(rows, table_, "key", most).select("key", "v", "name").collect()), key=str) for most in (100, 1))
+    assert few == many and sum(r[2] is None for r in few) == 20
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
