@@ -22,7 +22,7 @@ from skein.operators import reports as O
 from skein.operators import tools
 from skein.operators import transcripts as X
 from skein.plans import adapters as A
-from skein.plans.oracles import ARRAYS, CHAIN, FACTS, GREP, HISTORY, LOGS
+from skein.plans.oracles import ARRAYS, CHAIN, FACTS, FAILING, GREP, HISTORY, LOGS, RUNNER
 from skein.plans.oracles import ORACLES as _ORACLES
 from skein.sources import tables as S
 from skein.streaming.state import LedgerMerge, daily_windows
@@ -512,3 +512,29 @@ def filters_in_order(spark, d):
     text = F.when(key % 4 == 0, _say("\x1b[1mkeep ", key, "\x1b[0m\nskip this\nmore")).otherwise("skip all")
     made, _ = C.custom(text, command, config)
     return S.table(spark, d, "customer").select(key.alias("id"), made["text"].alias("text"), made["rule"].alias("rule"))
+
+
+#: Shell results of all commands of ``adapters.shell_results``: each family with its own summary, or the chain written as islands of lines.
+BASH = f"""WITH {CHAIN}, {RUNNER}, {FAILING},
+  st AS (SELECT 'status' || n_nationkey AS id, '## main...origin/' || lower(n_name) || coalesce(chr(10) || files, '') AS text FROM nation LEFT JOIN (SELECT s_nationkey AS id, string_agg([' M', '??', 'A ', 'MM'][s_suppkey % 4 + 1] || ' src/s' || s_suppkey, chr(10) ORDER BY s_suppkey) AS files FROM supplier GROUP BY 1) f ON f.id = n_nationkey),
+  pk AS (SELECT 'pkg' || (key % 25) AS id, string_agg(CASE WHEN key % 4 = 0 THEN 'npm warn deprecated x' || (key % 3) WHEN key % 50 = 49 THEN 'added ' || key || ' packages in 2s' ELSE 'timing step ' || key END, chr(10) ORDER BY key) AS text FROM p GROUP BY key % 25),
+  lt AS (SELECT 'lint' || (key % 20) AS id, string_agg(CASE WHEN key % 17 = 0 THEN 'nothing to see' ELSE 'src/a' || (key % 3) || '.ts(' || key || ',1): error TS' || (key % 2 + 1000) || ': message ' || (key % 5) END, chr(10) ORDER BY key) AS text FROM p GROUP BY key % 20),
+  df AS (SELECT 'diff' || (o_custkey % 40) AS id, 'diff --git a/f' || (o_custkey % 40) || ' b/f' || (o_custkey % 40) || chr(10) || 'index 1..2 100644' || chr(10) || string_agg(CASE WHEN o_orderkey % 9 = 0 THEN '+added ' WHEN o_orderkey % 13 = 0 THEN '-removed ' ELSE ' context ' END || o_orderkey, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey % 40),
+  tb AS (SELECT 'table' || r_regionkey AS id, 'NAME   STATUS    AGE' || string_agg(chr(10) || n_name || '   Running    ' || n_nationkey || 'd  ', '' ORDER BY n_nationkey) AS text FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey),
+  te AS (SELECT *, row_number() OVER (PARTITION BY id, skip, CASE WHEN skip THEN k % 2 END ORDER BY ts, event_id) AS nth_e, count(*) OVER (PARTITION BY id, skip, CASE WHEN skip THEN k % 2 END) AS total_e,
+    'Traceback (most recent call last):' || chr(10) || '  File "a' || (k % 2) || '.py", line 3' || chr(10) || '    run()' AS head, chr(10) || 'ValueError: bad ' || (k % 2) AS tail FROM cl),
+  tp AS (SELECT *, CASE WHEN skip THEN head || chr(10) || '  File "a' || (k % 2) || '.py", line 3' || chr(10) || '    run()' || tail ELSE line END AS whole,
+    CASE WHEN skip AND nth_e = 1 THEN head || chr(10) || '[skein: 2 repeated frames]' || tail || CASE WHEN total_e > 1 THEN chr(10) || '[skein: stack trace repeated ' || total_e || ' times]' ELSE '' END WHEN skip THEN NULL WHEN n < 4 OR nth = 1 THEN line WHEN nth = 2 THEN '[skein: ' || (n - 1) || ' more similar lines collapsed]' END AS piece FROM te),
+  tt AS (SELECT 'trace' || id AS id, string_agg(whole, chr(10) ORDER BY ts, event_id) AS text, string_agg(piece, chr(10) ORDER BY ts, event_id) AS small, bool_or(NOT skip AND n >= 4) AS c, bool_or(skip) AS t FROM tp GROUP BY id),
+  tr AS (SELECT id, text, strlen(small) * 10 < strlen(text) AS restored, small, CASE WHEN c AND t THEN 'collapseRepeatedLines,dedupStackTraces' WHEN c THEN 'collapseRepeatedLines' WHEN t THEN 'dedupStackTraces' ELSE '' END AS rules FROM tt),
+  fx AS (SELECT 'fail' || id AS id, string_agg(line, chr(10) ORDER BY key) AS text, bool_or(line LIKE 'FAIL %' OR line LIKE 'Tests  1 failed%') AS bad FROM fl GROUP BY fl.id),
+  sp AS (SELECT 'status' || id AS id, text AS small, 'gitStatus' AS rule FROM ({_ORACLES["git_status_counts"]}) UNION ALL SELECT 'pkg' || id, text, 'packageManagerSummary' FROM ({_ORACLES["package_summary"]}) UNION ALL SELECT 'lint' || id, text, 'linterDiagnostics' FROM ({_ORACLES["linter_text"]})
+    UNION ALL SELECT 'diff' || id, text, 'gitDiff' FROM ({_ORACLES["git_diff_context"]}) UNION ALL SELECT 'table' || id, text, 'kubectlTable' FROM ({_ORACLES["container_table"]}) UNION ALL SELECT 'run' || id, text, 'testRunnerSummary' FROM ({_ORACLES["runner_summary"]})),
+  al AS (SELECT id, text, text AS kept, '' AS rules, false AS bad FROM (SELECT * FROM st UNION ALL SELECT * FROM pk UNION ALL SELECT * FROM lt UNION ALL SELECT * FROM df UNION ALL SELECT * FROM tb UNION ALL SELECT 'run' || id, text FROM rx)
+    UNION ALL SELECT id, text, text, '', bad FROM fx UNION ALL SELECT id, text, CASE WHEN restored THEN text ELSE small END, CASE WHEN restored THEN '' ELSE rules END, false FROM tr
+    UNION ALL SELECT 'log' || id, text, CASE WHEN strlen(small) * 10 < strlen(text) THEN text ELSE small END, CASE WHEN small <> text AND strlen(small) * 10 >= strlen(text) THEN 'collapseRepeatedLines' ELSE '' END, false FROM chained),
+  fm AS (SELECT al.id, al.text, bad, coalesce(sp.small, kept) AS small, CASE WHEN sp.small IS NOT NULL THEN rule ELSE rules END AS rules FROM al LEFT JOIN sp ON al.id = sp.id),
+  ou AS (SELECT *, small || CASE WHEN rules <> '' THEN chr(10) || '[skein: ' || replace(rules, ',', ', ') || ']' ELSE '' END AS out FROM fm),
+  oc AS (SELECT *, CASE WHEN length(text) < 500 THEN 'skippedBelowThreshold' WHEN bad THEN 'skippedFailure' WHEN strlen(out) * 10 > strlen(text) * 9 THEN 'skippedPoorRatio' ELSE 'compressed' END AS outcome FROM ou)
+  SELECT id, CASE WHEN outcome = 'compressed' THEN out ELSE text END AS out_stdout, CASE WHEN outcome = 'compressed' THEN rules ELSE '' END AS rules, strlen(text) AS bytes_in, CASE WHEN outcome = 'compressed' THEN strlen(out) ELSE strlen(text) END AS bytes_out, outcome = 'compressed' AND small <> text AS lossy, outcome FROM oc"""
+ORACLES["bash_end_to_end"] = BASH
