@@ -60,6 +60,17 @@ def written() -> int:
     return len(_written)
 
 
+def folders_read(df: DataFrame) -> Iterator[str]:
+    """The folders that the leaves of a plan read; their files, which may be a great many, stay unlisted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for k in range(leaves.size()):
+        if leaves.apply(k).getClass().getSimpleName() == "LogicalRelation":
+            relation = leaves.apply(k).relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                roots = relation.location().rootPaths()
+                yield from (roots.apply(j).toString().rstrip("/") for j in range(roots.size()))
+
+
 def sweep(result: DataFrame, since: int) -> None:
     """Deletes the tables written since a mark, but for those that ``result`` reads.
 
@@ -67,7 +78,7 @@ def sweep(result: DataFrame, since: int) -> None:
     would be needed again if an executor were lost.
     """
     own, _written[since:] = _written[since:], []
-    read = {part for file in result.inputFiles() for part in file.split("/")} if own else set()
+    read = {path.rsplit("/", 1)[-1] for path in folders_read(result)} if own else set()
     for path in own:
         if path.rsplit("/", 1)[1] in read:
             _written.append(path)
