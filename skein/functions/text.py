@@ -123,8 +123,26 @@ def cost_usd(tokens: Column) -> Column:
     return tokens / F.lit(1e6) * F.lit(K.USD_PER_MILLION_TOKENS)
 
 
+def one_decimal(n: Column, unit: int) -> Column:
+    """n / unit as C's %.1f writes it, for whole n >= 0: the nearest tenth of the double, of two as near the even one.
+
+    Java's %.1f rounds the shortest decimal form of the double instead, halves up.
+    """
+    n = n.cast("long")
+    rest = n % unit * 20
+    down = F.floor(n / F.lit(unit)) * 10 + F.floor(rest / F.lit(2 * unit))
+    half = rest % (2 * unit)
+    # on a half of the quotient the double may lie beside it: five times the double without rounding, less five times the half
+    x = n / F.lit(float(unit))
+    five = x * 4.0 + x
+    beside = (five - (down * 2 + 1) / F.lit(4.0)) + (x - (five - x * 4.0))
+    up = (half > unit) | ((half == unit) & ((beside > 0) | ((beside == 0) & (down % 2 == 1))))
+    tenths = down + up.cast("long")
+    return F.concat(F.floor(tenths / F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def human_size(n: Column) -> Column:
-    return F.when(n >= 1048576, F.format_string("%.1fMB", n / F.lit(1048576.0))).when(n >= 1024, F.format_string("%.1fKB", n / F.lit(1024.0))).otherwise(F.concat(n.cast("string"), F.lit("B")))
+    return F.when(n >= 1048576, F.concat(one_decimal(n, 1048576), F.lit("MB"))).when(n >= 1024, F.concat(one_decimal(n, 1024), F.lit("KB"))).otherwise(F.concat(n.cast("string"), F.lit("B")))
 
 
 def session_id(x: Column) -> Column:

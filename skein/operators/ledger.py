@@ -104,7 +104,7 @@ def status_line(facts: DataFrame) -> DataFrame:
     """(session_id, line): model, context share and saved tokens; parts without a value are left out."""
     total = facts.groupBy("session_id").agg(F.first("model").alias("model"), F.max("context_percent").alias("ctx"), F.sum(saved()).alias("s"))
     tokens = T.est_tokens(F.col("s"))
-    short = F.when(tokens >= 1000, F.concat(F.format_string("%.1f", tokens / F.lit(1000.0)), F.lit("k"))).otherwise(tokens.cast("string"))
+    short = F.when(tokens >= 1000, F.concat(T.one_decimal(tokens, 1000), F.lit("k"))).otherwise(tokens.cast("string"))
     parts = F.concat_ws(" | ", F.col("model"), F.when(F.col("ctx").isNotNull(), F.concat(F.lit("ctx "), F.col("ctx").cast("string"), F.lit("%"))), F.when(tokens > 0, F.concat(F.lit("skein -"), short, F.lit(" tok"))))
     return total.select("session_id", parts.alias("line"))
 

@@ -56,6 +56,16 @@ def test_half_up_and_sizes(spark):
     assert tuple(row) == (-2, 3, "1.5KB", "5B", "2.0MB")
 
 
+def test_one_decimal_is_that_of_the_double(spark):
+    # 12.35 lies below its half as a double, 1.55 above; 10.25 lies on it, and the even tenth is taken
+    known = {12350: "12.3", 11950: "11.9", 1550: "1.6", 10250: "10.2", 10750: "10.8", 1000: "1.0", 999950: "1000.0"}
+    values = [*known, *range(50, 400_000, 50), *range(10**12 + 50, 10**12 + 10**6, 100)]
+    got = spark.createDataFrame([(n,) for n in values], "n long").select("n", T.one_decimal(F.col("n"), 1000).alias("k"), T.one_decimal(F.col("n"), 1024).alias("kb")).collect()
+    assert [r for r in got if (r.k, r.kb) != (f"{r.n / 1000:.1f}", f"{r.n / 1024:.1f}")] == []
+    assert {r.n: r.k for r in got if r.n in known} == known
+    assert one(spark, T.human_size(F.length("t") * 256), t="x" * 5) == "1.2KB"
+
+
 @pytest.mark.parametrize(("path", "d", "b"), [("a/b/c", "a/b", "c"), ("c", ".", "c"), ("/c", "/", "c"), ("a/b/", "a", "b")])
 def test_paths(spark, path, d, b):
     assert one(spark, F.concat_ws("|", T.dirname(F.col("t")), T.basename(F.col("t"))), t=path) == f"{d}|{b}"
