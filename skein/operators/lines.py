@@ -124,8 +124,8 @@ def lint_dedup(rows: DataFrame) -> DataFrame:
 
 def log_subjects(rows: DataFrame) -> DataFrame:
     """(id, pos, hash, subject) of each commit: the next line that is neither author, date nor blank."""
-    solid = rows.where(T.bare(F.col("line")) != "")
-    ahead = Window.partitionBy("id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    subject = F.first(F.when(~F.col("line").rlike(K.AUTHOR_OR_DATE), T.bare(F.col("line"))), True).over(ahead)
-    found = solid.withColumn("subject", subject).where(F.col("line").rlike(K.COMMIT_LINE))
+    # without those lines it is the next row: a frame up to the last row would be read again for each
+    plain = rows.where((T.bare(F.col("line")) != "") & ~F.col("line").rlike(K.AUTHOR_OR_DATE))
+    subject = F.lead(T.bare(F.col("line"))).over(Window.partitionBy("id").orderBy("pos"))
+    found = plain.withColumn("subject", subject).where(F.col("line").rlike(K.COMMIT_LINE))
     return found.select("id", "pos", F.regexp_extract("line", K.COMMIT_LINE, 1).alias("hash"), "subject")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -325,3 +326,21 @@ def test_events_and_outputs(spark, tmp_path):
     r = spark.createDataFrame([("a", "o", "", "compressed", None, None), ("b", "o", "", "skippedFailure", None, None)], "id string, out_stdout string, out_stderr string, outcome string, interrupted boolean, is_image boolean")
     got = {x["id"]: x["record"] for x in S.replacement(r).collect()}
     assert json.loads(got["a"])["stdout"] == "o" and got["b"] is None
+
+
+def log_lines(n):
+    for k in range(n):
+        yield from (f"commit {k:07x}", "Author: a", "Date: today", "", *([f"    subject {k}"] if k % 11 else []))
+
+
+def log_subject(k, n):
+    return f"subject {k}" if k % 11 else f"commit {k + 1:07x}" if k + 1 < n else None
+
+
+def test_subjects_of_a_long_log_take_one_pass(spark):
+    n = 4000
+    lines = spark.createDataFrame([("a", k, x) for k, x in enumerate(log_lines(n))], "id string, pos long, line string")
+    began = time.time()
+    got = R.log_subjects(lines).orderBy("pos").select("hash", "subject").collect()
+    assert time.time() - began < 30
+    assert [tuple(r) for r in got] == [(f"{k:07x}", log_subject(k, n)) for k in range(n)]
