@@ -48,11 +48,10 @@ def git_log(text: Column, tokens: Column) -> Column:
     """Hash and subject of each commit; null where the log itself was asked for."""
     ls = T.solid_lines(text)
     asked = F.exists(F.coalesce(tokens, F.array().cast("array<string>")), lambda x: x.rlike(K.LOG_VERBATIM_FLAG)) | F.exists(ls, lambda x: x.rlike(K.ONE_LINE_LOG))
-    numbered = F.transform(ls, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    commits = F.filter(numbered, lambda x: x["line"].rlike(K.COMMIT_LINE))
-    plain = F.filter(numbered, lambda x: ~x["line"].rlike(K.AUTHOR_OR_DATE))
-    subject = lambda c: T.bare(F.try_element_at(F.filter(plain, lambda x: x["at"] > c["at"]), F.lit(1))["line"])
-    out = F.transform(commits, lambda c: F.concat_ws(" ", F.regexp_extract(c["line"], K.COMMIT_LINE, 1), subject(c)))
+    # a commit's subject is the next of these; a lambda over the array inside another would make it anew for each commit
+    plain = F.filter(ls, lambda x: ~x.rlike(K.AUTHOR_OR_DATE))
+    paired = F.zip_with(plain, F.slice(plain, F.lit(2), F.lit(1 << 30)), lambda x, after: F.when(x.rlike(K.COMMIT_LINE), F.concat_ws(" ", F.regexp_extract(x, K.COMMIT_LINE, 1), T.bare(after))))
+    out = F.array_compact(paired)
     return F.when(~asked & (F.size(out) > 0), _result(F.array_join(out, "\n"), "gitLog"))
 
 

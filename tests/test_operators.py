@@ -344,3 +344,14 @@ def test_subjects_of_a_long_log_take_one_pass(spark):
     got = R.log_subjects(lines).orderBy("pos").select("hash", "subject").collect()
     assert time.time() - began < 30
     assert [tuple(r) for r in got] == [(f"{k:07x}", log_subject(k, n)) for k in range(n)]
+
+
+def test_summary_of_a_long_log_takes_one_pass(spark):
+    n = 2399
+    df = spark.createDataFrame([("\n".join(log_lines(n)),)], "t string")
+    began = time.time()
+    got = df.select(C.git_log(F.col("t"), F.array(F.lit("git"), F.lit("log")))["text"]).first()[0]
+    assert time.time() - began < 30
+    assert got.split("\n") == [" ".join(filter(None, (f"{k:07x}", log_subject(k, n)))) for k in range(n)]
+    one = spark.sql("select 'Author: x\ncommit abcdef0\nDate: y' a, 'no log' b, cast(null as string) c")
+    assert tuple(one.select(*(C.git_log(F.col(x), F.array().cast("array<string>"))["text"] for x in "abc")).first()) == ("abcdef0", None, None)
