@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_IDS = 1_000_000  # ids of a list that may be broadcast; a longer one is shuffled
 BATCH_BYTES = 8 << 20  # of the rows that pass to Python at once
+HEAP_SHARE = 0.5  # of the driver's heap that may be taken before a step's garbage is collected
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,22 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Collects the driver's garbage once its heap has taken its share.
+
+    The plans, task metrics and shuffles behind a written table are garbage, but
+    a heap rather grows to its limit than collects them; collected, it shrinks
+    again, and Spark deletes the files of their shuffles.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def written() -> int:
     """A mark for ``sweep``: how many tables stand by now."""
     return len(_written)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import keep_rows, texts, tidy
 from skein.llm.hashed import fetched, gram_ids, labelled_sample, padded_bytes, remainder, row_sums, word_ids
-from skein.llm.textops import by_size
+from skein.llm.textops import by_size, release_memory
 
 BITS = 16  # of the ids of each kind of feature
 GRAMS = (3, 5)
@@ -124,7 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> SubwordM
     sample, share = labelled_sample(docs, labels, target, PER_CLASS)
     got = fetched(sample.mapInArrow(_features_batch, "doc_id long, label int, ids array<int>, share array<float>"), SAMPLE_BYTES)
     rows = [(np.asarray(i.values, np.int32), np.asarray(s.values, np.float32)) for i, s in zip(got["ids"], got["share"])]
-    return train(rows, got["label"].to_pylist(), share)
+    model = train(rows, got["label"].to_pylist(), share)
+    del rows, got
+    release_memory()  # the driver lives on
+    return model
 
 
 def scores(col: pa.Array, projection: np.ndarray, offset: float) -> np.ndarray:

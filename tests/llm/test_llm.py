@@ -799,3 +799,14 @@ def test_empty_tables(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert lm_score.lm_scores(docs).count() == 0
+
+
+def test_written_tables_leave_no_garbage_in_a_full_driver(spark, monkeypatch):
+    def whole_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in (beans.get(k) for k in range(beans.size())) if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    monkeypatch.setattr(common, "HEAP_SHARE", 0.0)  # any heap has taken its share
+    before = whole_collections()
+    assert common.cut(spark.range(3), "garbage").count() == 3
+    assert whole_collections() > before
