@@ -44,14 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []  # folders that cut() made and tidy() hasn't deleted
 
 
-def cut(df: DataFrame, what: str = "step") -> DataFrame:
+def cut(df: DataFrame, what: str = "step", **options: str) -> DataFrame:
     """Cuts the lineage: writes the rows as a table in the shared folder and reads them again.
 
-    A lost executor then costs a re-read of files that all machines see.
+    A lost executor then costs a re-read of files that all machines see.  ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path)

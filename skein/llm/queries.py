@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.byte_bpe import round_trip_digests
 from skein.llm.common import table
 from skein.llm.decontaminate import contaminated
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.jaccard_join import near_duplicates
+from skein.llm.lexical import ranked
 from skein.llm.line_dedup import line_report
 from skein.llm.lm_score import lm_scores
 from skein.llm.packing import pack
 from skein.llm.pii import find_pii, pii_digest
+from skein.llm.whitening import whitened_components
 from skein.llm import html_text, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +70,20 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op4_pii that SQL can state: counts and digest of the base spans."""
     return op4_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
@@ -78,9 +95,20 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
+def bpe_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op11_byte_bpe that SQL can state: what the ids decode to."""
+    return op11_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12_whitening that SQL can state: the fit list's size and the exact deviations, for each component."""
+    return op12_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def queries() -> dict[str, Query]:
     """Name to query, each over its whole table."""
-    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity, op10_lm_score, pii_base_spans, lm_base_scores)
+    found = (op1_ngram_jaccard, op2_exact_dedup, op3_decontamination, op4_pii, op5_quality, op6_line_dedup, op7_html_text, op8_packing, op9_toxicity, op10_lm_score)
+    found += (op11_byte_bpe, op12_whitening, op13_lexical_search, pii_base_spans, lm_base_scores, bpe_round_trips, whitening_deviations)
     return {f.__name__: f for f in found}
 
 
@@ -155,6 +183,33 @@ ORACLES["lm_base_scores"] = f"""
 """
 
 
+ORACLES["bpe_round_trips"] = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256 FROM documents"
+
+ORACLES["whitening_deviations"] = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x FROM embeddings
+               WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false)))),
+    f AS (SELECT DISTINCT x FROM v), n AS (SELECT count(*) AS n FROM f),
+    e AS (SELECT unnest(x) AS e, unnest(range(len(x))) AS k FROM f), s AS (SELECT k, sum(e)::BIGINT AS s FROM e GROUP BY k),
+    l AS (SELECT list(s ORDER BY k) AS ls FROM s),
+    d AS (SELECT vec_id, n, list_sum(list_transform(list_zip(x, ls), lambda p: (n * p[1] - p[2]) * (n * p[1] - p[2])))::BIGINT AS deviation, len(x) AS dim FROM v, n, l)
+    SELECT vec_id, unnest(range(1, least(16, dim) + 1))::INT AS component, n, deviation FROM d
+"""
+
+#: Terms are cut by a pattern; all but the weight is whole numbers.
+ORACLES["op13_lexical_search"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({FOLDED}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ts FROM documents),
+    a AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+    t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+    q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(string_split_regex({FOLDED}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY item_id, term),
+    w AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM t WHERE term IN (SELECT term FROM q) GROUP BY term), a),
+    m AS (SELECT r, doc_id, 75 + (25 * len(ts) * n) // l AS m FROM d, a),
+    s AS (SELECT item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+          FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY item_id, doc_id, r),
+    k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
     return dict(ORACLES)

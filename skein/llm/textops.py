@@ -49,10 +49,10 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def word_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the row pointer by text."""
+def word_spans(low: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the row pointer by text; ``space`` marks the bytes between words."""
     n = int(offs[-1])
-    gap = SPACE[low[:n]]
+    gap = space[low[:n]]
     solid = np.ones(n + 1, dtype=bool)
     solid[:n] = gap
     edge = np.zeros(n + 1, dtype=bool)
