@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import accumulate, dropwhile, groupby
+from itertools import chain as chain_
 from typing import NamedTuple
 
 import pandas as pd
@@ -21,6 +22,7 @@ _SUMMARY, _FAIL, _PASS = (re.compile(p, re.A) for p in (K.SUMMARY_KEPT, K.FAIL_L
 _BANNER, _RESULT, _FAIL_HEAD = (re.compile(p, re.A) for p in (K.FAILURES_BANNER, K.RESULT_BANNER, K.FAIL_HEAD))
 _HEADING, _TSC, _TSC_RULE, _STYLISH, _CONCISE = (re.compile(p, re.A) for p in (K.LINT_HEADING, K.LINT_TSC, K.LINT_TSC_RULE, K.LINT_STYLISH, K.LINT_CONCISE))
 _SIGNAL, _RUN_SUMMARY = (re.compile(p, re.A) for p in (K.TEST_SIGNAL, K.TEST_SUMMARY))
+_LIVE, _META = re.compile(K.DIFF_LIVE), re.compile(K.DIFF_META)
 _TRACE_START, _TRACE_END, _FRAME, _BODY = (re.compile(p, re.A) for p in (K.TRACE_START, K.TRACE_END, K.FRAME, K.FRAME_BODY))
 
 
@@ -71,29 +73,41 @@ def collapse_runs(text: str) -> str:
     return "\n".join(out).rstrip("\n")
 
 
+#: What a line's class does to the two things that outlast it: an open failures section, and an open failure's indented lines.
+SECTION = {"banner": True, "result": False}
+INSET = {"head": True, "blank": False, "plain": False}
+
+
+def line_class(line: str) -> str:
+    """banner, result or head by what a line says, else blank, inset or plain by how it begins."""
+    for name, pattern in (("banner", _BANNER), ("result", _RESULT), ("head", _FAIL_HEAD)):
+        if pattern.search(line):
+            return name
+    return "blank" if not line.strip() else "inset" if line[0].isspace() else "plain"
+
+
+def before(classes: list[str], sets: dict[str, bool], first: bool) -> list[bool]:
+    """For each place, and the end, what the last class before it that sets anything has set."""
+    return list(accumulate(classes, lambda on, c: sets.get(c, on), initial=first))
+
+
+def is_summary(line: str) -> bool:
+    return bool(_SUMMARY.search(line)) and not (_PASS.search(line) and not _FAIL.search(line))
+
+
+def failing_lines(ls: list[str], section: bool = False, inset: bool = False) -> list[str]:
+    """Lines of a failing test run that stay: failures and their sections, and summary lines."""
+    classes = [line_class(x) for x in ls]
+    opened = zip(ls, classes, before(classes, SECTION, section), before(classes, INSET, inset))
+    return [x for x, c, in_section, in_failure in opened if c in ("banner", "result", "head") or in_section or (in_failure and c in ("blank", "inset")) or is_summary(x)]
+
+
 def failing_summary(text: str) -> str:
     """Failure blocks and summary lines of a failing test run, with a count of the rest."""
     ls = text.replace("\r\n", "\n").split("\n")
-    block = indented = False
-    kept: list[str] = []
-    for line in ls:
-        blank = not line.strip()
-        if _BANNER.search(line):
-            block, keep = True, True
-        elif _RESULT.search(line):
-            block, keep = False, True
-        elif _FAIL_HEAD.search(line):
-            indented, keep = True, True
-        elif indented and (blank or line[:1].isspace()):
-            indented, keep = not blank, True
-        else:
-            indented = False
-            keep = block or bool(_SUMMARY.search(line) and not (_PASS.search(line) and not _FAIL.search(line)))
-        if keep:
-            kept.append(line)
-    omitted = len(ls) - len(kept)
-    if omitted:
-        kept.append(f"{K.MARK} {omitted} test runner lines omitted]")
+    kept = failing_lines(ls)
+    if len(kept) < len(ls):
+        kept.append(f"{K.MARK} {len(ls) - len(kept)} test runner lines omitted]")
     return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).rstrip("\n") or text
 
 
@@ -152,24 +166,18 @@ def dedup_traces(text: str) -> str:
     return "\n".join(out).rstrip("\n")
 
 
+def folded_context(run: list[str]) -> list[str]:
+    """A stretch of context with its middle counted where it is long."""
+    shown = K.CONTEXT_SHOWN
+    if len(run) <= 2 * shown:
+        return run
+    return [*run[:shown], f"... {K.MARK} {len(run) - 2 * shown} unchanged context lines omitted]", *run[-shown:]]
+
+
 def diff_context(text: str) -> str:
     """A diff without reproducible metadata and with long stretches of context folded."""
-    ls = text.replace("\r\n", "\n").rstrip("\n").split("\n")
-    live, meta = re.compile(K.DIFF_LIVE), re.compile(K.DIFF_META)
-    out: list[str] = []
-    k = 0
-    while k < len(ls):
-        if meta.search(ls[k]):
-            k += 1
-        elif live.search(ls[k]):
-            out.append(ls[k])
-            k += 1
-        else:
-            end = next((j for j in range(k, len(ls)) if live.search(ls[j])), len(ls))
-            run, k = ls[k:end], end
-            n = len(run) - 2 * K.CONTEXT_SHOWN
-            out += [*run[: K.CONTEXT_SHOWN], f"... {K.MARK} {n} unchanged context lines omitted]", *run[-K.CONTEXT_SHOWN :]] if n > 0 else run
-    return "\n".join(out)
+    stretches = groupby(text.replace("\r\n", "\n").rstrip("\n").split("\n"), key=lambda x: bool(_LIVE.search(x)))
+    return "\n".join(chain_.from_iterable(part if live else folded_context(list(dropwhile(_META.search, part))) for live, part in stretches))
 
 
 class Diagnostic(NamedTuple):
@@ -226,14 +234,22 @@ def lint_summary(text: str) -> str | None:
 
 def passing_summary(ls: list[str]) -> str | None:
     """Summary lines of a passing test run with a count of the rest; None without any."""
-    kept = [x for x in ls if _SUMMARY.search(x) and not (_PASS.search(x) and not _FAIL.search(x))]
+    kept = [x for x in ls if is_summary(x)]
     more = len(ls) - len(kept)
     return "\n".join([*kept, f"{K.MARK} {more} passing test lines omitted]"] if more else kept).rstrip("\n") or None if kept else None
 
 
+def _matches(pattern: re.Pattern) -> Callable[[str], bool]:
+    return lambda line: pattern.search(line) is not None
+
+
+is_signal, is_run_summary, is_failure, is_live, is_meta = map(_matches, (_SIGNAL, _RUN_SUMMARY, _FAIL, _LIVE, _META))
+starts_trace, ends_trace, is_frame, is_body = map(_matches, (_TRACE_START, _TRACE_END, _FRAME, _BODY))
+
+
 def is_test_output(ls: list[str]) -> bool:
-    signals = {x for x in ls if _SIGNAL.search(x)}
-    return len(signals) > 1 or bool(signals) and any(_RUN_SUMMARY.search(x) for x in ls)
+    signals = set(filter(is_signal, ls))
+    return len(signals) > 1 or bool(signals) and any(map(is_run_summary, ls))
 
 
 def chain(text: str) -> tuple[str, bool, bool, bool]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.config import Config
 from skein.functions import fixed as K
 from skein.functions import text as T
+from skein.sources.files import line_counts
 
 
 def with_facts(events: DataFrame, config: Config = Config()) -> DataFrame:
@@ -61,11 +62,20 @@ def stubs(cached: DataFrame) -> DataFrame:
 
 def read_guard(files: DataFrame, config: Config = Config()) -> DataFrame:
     """Advice on unbounded reads of long files: (path, text), with size, lines, capped and tokens."""
-    size = F.octet_length("text")
     head = F.substring(F.encode("text", "UTF-8"), 1, K.COUNT_CAP_BYTES)
     # counted on bytes (one character each in this character set), as the cut may fall inside a character
     n = F.regexp_count(F.decode(head, "ISO-8859-1"), F.lit("\n")) + 1
-    df = files.withColumn("size", size.cast("long")).withColumn("n_lines", n).withColumn("capped", size > K.COUNT_CAP_BYTES)
+    return guard_advice(files.withColumn("size", F.octet_length("text").cast("long")).withColumn("n_lines", n), config).drop("text")
+
+
+def read_guard_files(spark: SparkSession, path: str, pattern: str = "*", config: Config = Config()) -> DataFrame:
+    """The same for the files of a folder, of each of which the first 5 MiB at most are read."""
+    return guard_advice(line_counts(spark, path, pattern).drop("bytes_read"), config)
+
+
+def guard_advice(facts: DataFrame, config: Config = Config()) -> DataFrame:
+    """Advice from (path, size, n_lines), where n_lines counts the first 5 MiB only."""
+    df = facts.withColumn("capped", F.col("size") > K.COUNT_CAP_BYTES)
     df = df.withColumn("tokens", T.half_up(F.col("size") / F.lit(K.CHARS_PER_TOKEN))).where(F.col("capped") | (F.col("n_lines") > config.read_guard_lines))
     shown = F.concat(F.when(F.col("capped"), F.lit(">")).otherwise(F.lit("")), F.col("n_lines").cast("string"))
-    return df.withColumn("advice", F.concat(F.lit(K.MARK + " "), F.col("path"), F.lit(" is "), shown, F.lit(" lines (~"), F.col("tokens").cast("string"), F.lit(" tokens); read it with offset/limit]"))).drop("text")
+    return df.withColumn("advice", F.concat(F.lit(K.MARK + " "), F.col("path"), F.lit(" is "), shown, F.lit(" lines (~"), F.col("tokens").cast("string"), F.lit(" tokens); read it with offset/limit]")))

@@ -18,10 +18,12 @@ from skein.operators import ledger as L
 from skein.operators import lines as R
 from skein.operators import pipeline as P
 from skein.operators import reads as D
+from skein.operators import segments as G
 from skein.operators import transcripts as X
 from skein.plans import adapters as A
 from skein.plans import tool_queries
 from skein.plans.oracles import ORACLES as _ORACLES
+from skein.sources.files import file_blocks
 from skein.sources.tables import scratch, table
 from skein.streaming.state import read_cache_stream, run_to_table
 
@@ -177,6 +179,55 @@ def stacktrace_dedup(spark, d):
     return A.trace_text(spark, d).select("id", folds.text_udf(folds.dedup_traces)(F.col("text")).alias("text"))
 
 
+def _in_blocks(fold, texts):
+    """A fold over blocks of ten lines, which gives what the fold over whole texts gives."""
+    return G.whole(fold(G.blocks(texts, 10)))
+
+
+@query
+def similar_run_blocks(spark, d):
+    return _in_blocks(G.collapsed_blocks, A.logs(spark, d))
+
+
+@query
+def test_summary_blocks(spark, d):
+    return _in_blocks(G.failing_blocks, A.failing_text(spark, d))
+
+
+@query
+def stacktrace_blocks(spark, d):
+    return _in_blocks(G.trace_blocks, A.trace_text(spark, d))
+
+
+for _blocks, _texts in (("similar_run_blocks", "similar_run_collapse"), ("test_summary_blocks", "test_summary_fail"), ("stacktrace_blocks", "stacktrace_dedup")):
+    ORACLES[_blocks] = ORACLES[_texts]
+ORACLES["file_block_lines"] = """WITH l AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+    SELECT lang, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l GROUP BY lang"""
+ORACLES["read_guard_folder"] = """WITH s AS (SELECT doc_id % 7 AS part, sum(strlen(text) + 1)::BIGINT AS size, sum(len(string_split(text, chr(10))))::BIGINT + 1 AS n FROM documents WHERE text IS NOT NULL GROUP BY 1)
+    SELECT part, size, CASE WHEN size <= 5242880 THEN n END AS n_lines, size > 5242880 AS capped, floor(size / 3 + 0.5)::BIGINT AS tokens FROM s WHERE n > 12 OR size > 5242880"""
+
+
+@query
+def file_block_lines(spark, d):
+    """Text files of documents read by ranges of a few kB: lines and characters by language."""
+    base = scratch(spark, "files")
+    table(spark, d, "documents").where("text is not null").select(F.col("lang"), "text").write.partitionBy("lang").text(base, lineSep="\n")
+    lang = F.regexp_extract("id", "lang=([^/]*)/", 1)
+    rows = file_blocks(spark, base, "*.txt", 5000).select(lang.alias("lang"), F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)).alias("line"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query
+def read_guard_folder(spark, d):
+    """Advice on files in a folder, of which only the first 5 MiB are read: one file for each source of documents."""
+    base = scratch(spark, "guarded")
+    rows = table(spark, d, "documents").where("text is not null").withColumn("part", F.col("doc_id") % 7)
+    rows.select("part", "text").repartition(1, "part").write.partitionBy("part").text(base, lineSep="\n")
+    found = D.read_guard_files(spark, base, "*.txt", Config(read_guard_lines=12))
+    part = F.regexp_extract("path", "part=([^/]*)/", 1).cast("long")
+    return found.select(part.alias("part"), "size", F.when(~F.col("capped"), F.col("n_lines")).alias("n_lines"), "capped", "tokens")
+
+
 @query
 def generic_chain(spark, d):
     out = P.generic_chain(A.ansi_logs(spark, d))

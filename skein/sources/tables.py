@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,6 +35,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows written to a fresh path of the shared folder and read again: what follows reads them, and doesn't make them anew."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the batches that pass to Python by bytes, where the session doesn't yet."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def tool_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines tool events; lines that aren't JSON objects are left out."""
     rows = spark.read.schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
@@ -50,15 +66,16 @@ def transcript_lines(spark: SparkSession, root: str, project: str | None = None)
     """(file, line_no, raw) of all *.jsonl under a folder; files are split, only the numbering shuffles their lines.
 
     ``project`` selects the folder named by its slug, or else all whose path
-    contains the slug in any case; only matching files reach the parser.
+    contains the slug in any case; the scan lists only matching files, as the
+    condition is on their path and stands below the numbering.
     """
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
     if project is not None:
-        slug = T.project_slug(F.lit(project))
-        rows = rows.withColumn("exact", F.element_at(F.split("file", "/"), -2) == slug)
-        some = rows.where("exact").limit(1).count() > 0  # a line at most reaches the driver
-        rows = rows.where(F.col("exact") if some else F.contains(F.lower("file"), F.lower(slug))).drop("exact")
+        slug, path = re.sub("[^A-Za-z0-9]", "-", project), F.col("_metadata.file_path")
+        exact = path.rlike(f"/{slug}/[^/]*$")
+        some = rows.where(exact).limit(1).count() > 0  # a line at most reaches the driver
+        rows = rows.where(exact if some else F.lower(path).contains(slug.lower()))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
     number = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
     return rows.select("file", number.alias("line_no"), "raw").where(T.bare(F.col("raw")) != "")
 
