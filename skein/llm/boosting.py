@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BINS = 32
-TREES = 60
+TREES = 90
 DEPTH = 4
 SHRINK = 0.2
 RIDGE = 1.0

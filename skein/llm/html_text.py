@@ -43,7 +43,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BARRIER = frozenset("ul ol dl table article main section div body aside nav header footer form blockquote td th".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|aria-label)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*+(?:=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")  # one attribute; its name counts whole
 _TOKEN = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
@@ -59,6 +59,9 @@ TOKENS = {
 _KIND = {w: k for k, (_, ws) in enumerate(TOKENS.items()) for w in ws}
 _TAGS = {t: k for k, ts in enumerate(("article main", "nav menu", "header hgroup", "footer address", "aside", "form fieldset", "ul ol dl", "li dt dd", "p pre blockquote", "h1 h2 h3 h4 h5 h6", "div section", "table tr td th tbody thead", "figure figcaption details dialog")) for t in ts.split()}
 N_TAGS = 13
+PROSE = 200  # characters of prose that make a page one with main text
+NEVER = frozenset("nav header footer aside form fieldset address menu dialog".split())
+FORCED = 30.0  # log odds of an element that has to be kept
 
 
 class Page:
@@ -74,6 +77,8 @@ class Page:
         kinds, hidden = [0] * len(TOKENS), 0
         for m in _ATTR.finditer(attrs):
             name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+            if tag == "body":  # what is said of the whole page tells no part from another
+                continue
             if name in ("hidden", "aria-hidden") and value != "false" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = 1
             elif name in ("class", "id", "role", "aria-label"):
@@ -229,14 +234,64 @@ class Page:
             above[k] = np.maximum(above[parent[k]], both[parent[k]])
         up = np.maximum(parent, 0)
         total = max(1.0, chars[0])
+        spoken = np.array([t in ("article", "main") for t in self.tag])  # does the page say where its main part is?
+        plain = chars - linked
+        most = np.zeros(n)  # the most text outside links that a sibling holds
+        second = np.zeros(n)
+        for k in range(1, n):
+            v = plain[k]
+            if v > most[parent[k]]:
+                most[parent[k]], second[parent[k]] = v, most[parent[k]]
+            elif v > second[parent[k]]:
+                second[parent[k]] = v
+        rival = np.where(plain == most[up], second[up], most[up])
+        alike = {}  # text outside links in elements of one tag under one parent
+        for k in range(1, n):
+            alike[parent[k], self.tag[k]] = alike.get((parent[k], self.tag[k]), 0.0) + plain[k]
+        kin = np.array([alike.get((parent[k], self.tag[k]), 0.0) for k in range(n)])
         return np.column_stack([
             one_hot, np.minimum(kinds, 2), np.minimum(above[:, : kinds.shape[1]], 1), above[:, kinds.shape[1] : kinds.shape[1] + 6],
             np.array(self.depth), np.array(self.hidden), np.log1p(own), np.log1p(chars), linked / np.maximum(1, chars), stops / np.maximum(1, chars),
             np.log1p(chars / tags), np.log1p(paragraphs), children, order, children[up], before / total,
+            chars / total, chars / np.maximum(1, chars[up]), plain / np.maximum(1, plain + rival), np.full(n, float(spoken.any())), np.full(n, np.log1p(total)), np.log1p(tags), children[up] - 1 - order, np.log1p(kin), kin / total,
         ])
 
     def decode(self, odds: np.ndarray) -> np.ndarray:
-        """The most likely labelling in which a kept element's parent is kept."""
+        """The most likely labelling in which a kept element's parent is kept.
+
+        Where that keeps no text and the page has ``PROSE`` characters of prose,
+        in blocks that aren't mostly links and stand in no element that is never
+        main by its tag, the most likely labelling that keeps such a block.
+        """
+        label = self._decode(odds)
+        if any(label[node] for node, _ in self.blocks):
+            return label
+        prose = self._prose()
+        if sum(n for _, n in prose) < PROSE:
+            return label
+        cost = np.minimum(odds, 0)
+        for k in range(1, len(cost)):
+            cost[k] += cost[self.parent[k]]
+        best = max((cost[node], n, -node) for node, n in prose)
+        node = -best[2]
+        forced = odds.copy()
+        while node >= 0:
+            forced[node] = max(forced[node], FORCED)
+            node = self.parent[node]
+        return self._decode(forced)
+
+    def _prose(self) -> list[tuple[int, int]]:
+        """(element, characters) of each that holds text of its own outside links, never-main tags and hidden parts."""
+        out = [False] * len(self.tag)
+        for k, tag in enumerate(self.tag):
+            out[k] = tag in NEVER or bool(self.hidden[k]) or (k > 0 and out[self.parent[k]])
+        size: dict[int, int] = {}
+        for node, text in self.blocks:
+            if not out[node] and self.linked[node] < 0.3 * self.chars[node]:
+                size[node] = size.get(node, 0) + len(text)
+        return list(size.items())
+
+    def _decode(self, odds: np.ndarray) -> np.ndarray:
         n = len(odds)
         keep_gain = -np.logaddexp(0, -odds)
         drop_gain = -np.logaddexp(0, odds)
@@ -269,6 +324,10 @@ def _words(rng: np.random.Generator, n: int) -> str:
     return (" ".join("".join(islice(parts, k)) + mark for k, mark in zip(sizes, marks))).capitalize() + "."
 
 
+#: Names of main parts in which words of other parts occur.
+_ODD_NAMES = tuple("related-work|single-column comments-open|has-sidebar wide|story share-enabled|review-article|top-story|legal-text|more-info|message-body|thread-safe|popular-science|footer-less|forum-post reply-enabled|navigation-systems|bio-chemistry|advert-free|header-large|cookie-recipes".split("|"))
+
+
 def compose_page(rng: np.random.Generator) -> str:
     """A page whose main text lies between the marks \\x01 and \\x02."""
     pick = lambda *a: a[rng.integers(len(a))]
@@ -314,6 +373,8 @@ def compose_page(rng: np.random.Generator) -> str:
 
     def footer() -> str:
         inner = pick("&copy; " + _words(rng, few(2, 40)), "&copy; " + _words(rng, few(2, 20)), f"<p>&copy; {_words(rng, few(2, 25))}</p>", f"<ul>{links(few(2, 6))}</ul><p>{_words(rng, few(3, 15))}</p>")
+        if rng.random() < 0.1:
+            inner = "".join(f"<p>{_words(rng, few(5, 60))}</p>" for _ in range(few(1, 5)))
         return pick(f"<footer>{inner}</footer>", f"<footer{attr('site-footer')}>{inner}</footer>", f"<div{marked('footer', 'copyright', 'site-footer')}>{inner}</div>")
 
     blocks = [f"<h{few(1, 2)}>\x01{_words(rng, few(2, 9))}\x02</h1>"] if rng.random() < 0.8 else []
@@ -329,19 +390,35 @@ def compose_page(rng: np.random.Generator) -> str:
         if rng.random() < 0.1:
             blocks.append(pick(advert, notice, form, side)())
     inside = "".join(blocks) + (pick(comments, side, form)() if rng.random() < 0.12 else "")
-    tag, names = pick(("article", ("", "post", "entry")), ("article", ("",)), ("article", ("",)), ("main", ("", "content")), ("div", ("content", "post", "article-body", "entry-content", "main", "story")))
-    name = pick(*names)
-    body = f"<{tag}{f' class={chr(34)}{name}{chr(34)}' if name else ''}>{inside}</{tag}>"
-    for _ in range(few(0, 2)):
-        body = pick(f"<div>{body}</div>", f'<div class="wrapper">{body}</div>', f"<section>{body}</section>", f"<main>{body}</main>")
     lead = [f() for f in (header, menu, advert, notice, form) if rng.random() < 0.55]
     tail = [f() for f in (comments, side, advert, notice, form, footer) if rng.random() < 0.5]
     rng.shuffle(lead)
+    plain = rng.random() < 0.5  # pages that name nothing, as many simple ones are
+    if plain:
+        lead = [f() for f in (header, menu) if rng.random() < 0.4]
+        tail = [f() for f in (comments, footer, side) if rng.random() < 0.3]
+        lead += [f"<div>{' '.join(f'<a href={chr(34)}/x{chr(34)}>{_words(rng, 1)}</a>' for _ in range(few(2, 6)))}</div>"] if rng.random() < 0.3 else []
+        tag, names = pick(("div", ("",)), ("section", ("",)), ("", ("",)), ("", ("",)), ("td", ("",)), ("article", ("",)), ("div", _ODD_NAMES))
+        if rng.random() < 0.1:
+            inside = f"<p>\x01{para(20, 200)}\x02</p>"
+    else:
+        tag, names = pick(("article", ("", "post", "entry")), ("article", ("",)), ("article", _ODD_NAMES), ("main", ("", "content")), ("main", _ODD_NAMES), ("div", ("content", "post", "article-body", "entry-content", "main", "story")))
+    if rng.random() < 0.06:  # nothing but other parts
+        tag, names, inside = "", ("",), ""
+    elif plain and rng.random() < 0.4:  # paragraphs alone, as many and as long as may be
+        inside = "".join(f"<p>\x01{para(*pick((3, 20), (10, 40), (20, 110)))}\x02</p>" for _ in range(few(1, 12)))
+        inside = inside.replace("<p>", "").replace("</p>", "") if rng.random() < 0.15 else pick("", f"<h{few(1, 2)}>\x01{_words(rng, few(2, 9))}\x02</h1>") + inside
+    name = pick(*names)
+    body = f"<{tag}{f' class={chr(34)}{name}{chr(34)}' if name else ''}>{inside}</{tag}>" if tag else inside
+    if tag == "td":
+        body = f"<table><tr>{body}</tr></table>"
+    for _ in range(few(0, 3) if tag else 0):
+        body = pick(f"<div>{body}</div>", f'<div class="wrapper">{body}</div>', f"<section>{body}</section>", f"<div>{body}</div>" if plain else f"<main>{body}</main>")
     return f"<!DOCTYPE html><html><head><title>{_words(rng, 4)}</title><style>p{{}}</style></head><body>{''.join(lead)}{body}{''.join(tail)}" + pick("</body></html>", "")
 
 
 @cache
-def trained(pages: int = 700, seed: int = 3) -> Boosted:
+def trained(pages: int = 1600, seed: int = 3) -> Boosted:
     """Trees trained on composed pages; an element is main when it holds main text."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
