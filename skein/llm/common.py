@@ -225,5 +225,7 @@ def one_row_each(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     some = docs.join(side, same, "left_semi")
     # each partition keeps one row of a key before rows meet
     columns = [F.first(some[c]).alias(c) for c in some.columns]
-    one = some.groupBy(*(k.alias(f"_key{i}") for i, k in enumerate(text_key(some)))).agg(*columns).drop("_key0", "_key1")
+    taken = {c.lower() for c in docs.columns}
+    free = [next(name for n in range(len(taken) + 1) if (name := f"_key{i}_{n}") not in taken) for i in (0, 1)]  # names that no column has
+    one = some.groupBy(*(k.alias(name) for name, k in zip(free, text_key(some)))).agg(*columns).drop(*free)
     return docs.join(side, same, "left_anti").unionByName(one.select(*(f"`{c}`" for c in docs.columns)))

@@ -44,6 +44,8 @@ from skein.llm.textops import by_size, hash_spans, lowered, mix, text_bytes, wor
 WALKS = 6
 KEYS = 4
 CHUNK = 1 << 15  # words from which walks are made together
+LISTED = 512  # windows of a text that are listed at once
+ITEMS_AT_ONCE = 256  # of a text with more of them
 BLOCK_ITEMS = 10_000
 BLOCK_BYTES = 4 << 20
 MIN_WORDS = 1
@@ -170,6 +172,12 @@ class ItemIndex:
             if z - a >= max(1, min_words):
                 found.setdefault(h[a:z].tobytes(), []).append(i)
         self.items = [(own, np.frombuffer(x, np.uint64)) for x, own in found.items()]
+        self.sizes = np.array([len(x) for _, x in self.items], np.int64)
+        self.most = self.sizes * (100 - percent) // 100
+        self.reach = int((self.sizes + self.most).max(initial=0)) + 1
+        self.vocabulary, self.spelled = np.unique(np.concatenate([x for _, x in self.items] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        self.spelled_at = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        self.by_item: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.sieves: dict[Shape, tuple[np.ndarray, np.uint64]] = {}
         self.tables: list[tuple[Shape, np.ndarray, np.ndarray, np.ndarray]] = []
         for shape in SHAPES:
@@ -196,10 +204,18 @@ class ItemIndex:
             self.sieves[shape] = out, shift
         return self.sieves[shape]
 
-    def candidates(self, h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """Rows (text, item, word at which the window begins) of windows that share a key with an item, sorted, without repeats."""
-        found = [np.zeros((0, 3), np.int64)]
-        for shape, keys, holder, offset in self.tables:
+    def _entries(self, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """A table's entries by item, and where each item's begin."""
+        if table not in self.by_item:
+            holder = self.tables[table][2]
+            order = np.argsort(holder, kind="stable")
+            self.by_item[table] = order, np.searchsorted(holder[order], np.arange(len(self.items) + 1))
+        return self.by_item[table]
+
+    def hits(self, h: np.ndarray) -> np.ndarray:
+        """Rows (place, table, first and last entry) of the walks that share a key with an item, by place; the entries stay unlisted."""
+        found = [np.zeros((0, 4), np.int32)]
+        for t, (shape, keys, _, _) in enumerate(self.tables):
             sieve, shift = self._sieve(shape, keys)
             for first in range(0, len(h), CHUNK):
                 last = min(first + CHUNK, len(h))
@@ -208,40 +224,108 @@ class ItemIndex:
                     if not len(some):
                         continue
                     lo, hi = np.searchsorted(keys, row[some], "left"), np.searchsorted(keys, row[some], "right")
-                    n = hi - lo
-                    spot = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                    walk = first + np.repeat(some, n)
-                    found.append(np.stack([np.searchsorted(ptr, walk, "right") - 1, holder[spot], walk - offset[spot]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+                    met = hi > lo
+                    found.append(np.stack([first + some[met], np.full(int(met.sum()), t), lo[met], hi[met]], 1).astype(np.int32))
+        out = np.concatenate(found)
+        return out[np.argsort(out[:, 0], kind="stable")]
+
+    def _missing(self, words: np.ndarray) -> np.ndarray:
+        """Words of each item, with repeats, that don't occur among these; no edit makes up for one of them."""
+        at = np.searchsorted(self.vocabulary, words)
+        inside = at < len(self.vocabulary)
+        at, words = at[inside], words[inside]
+        absent = np.ones(len(self.vocabulary), bool)
+        absent[at[self.vocabulary[at] == words]] = False
+        return np.add.reduceat(absent[self.spelled].astype(np.int32), self.spelled_at)
+
+    def windows(self, h: np.ndarray, hits: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows (item, word at which the window begins) for the hits of one text, sorted and without repeats.
+
+        A few are listed at once.  Where items share passages, hits times holders
+        would be many: the text falls into the stretches that the hits reach, items
+        that lack more words in a stretch than their bound are out, and the keys of
+        the others meet the hits item by item, in bounded pieces.
+        """
+        if int((hits[:, 3] - hits[:, 2]).sum()) <= LISTED:
+            parts = []
+            for t in np.unique(hits[:, 1]).tolist():
+                _, _, holder, offset = self.tables[t]
+                own = hits[hits[:, 1] == t].astype(np.int64)
+                n = own[:, 3] - own[:, 2]
+                spot = np.repeat(own[:, 2] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                parts.append(np.stack([holder[spot], np.repeat(own[:, 0], n) - offset[spot]], 1))
+            yield np.unique(np.concatenate(parts), axis=0)
+            return
+        place = hits[:, 0].astype(np.int64)
+        cut = np.flatnonzero(np.diff(place) > 2 * self.reach) + 1
+        inside: list[np.ndarray] = []
+        for own in np.split(hits, cut):
+            lo, hi = max(0, int(own[0, 0]) - self.reach), int(own[-1, 0]) + self.reach
+            allowed = np.flatnonzero(self._missing(np.unique(h[lo:hi])) <= self.most)
+            for first in range(0, len(allowed), ITEMS_AT_ONCE):
+                inside.append(self._met(own, allowed[first : first + ITEMS_AT_ONCE]))
+        rows = np.unique(np.concatenate(inside), axis=0) if inside else np.zeros((0, 2), np.int64)
+        yield rows
+
+    def _met(self, hits: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """The rows of ``windows`` for some items, by their own keys."""
+        parts = [np.zeros((0, 2), np.int64)]
+        for t in np.unique(hits[:, 1]).tolist():
+            _, _, holder, offset = self.tables[t]
+            order, at = self._entries(t)
+            entries = np.concatenate([order[a:z] for a, z in zip(at[allowed].tolist(), at[allowed + 1].tolist())])
+            own = hits[hits[:, 1] == t].astype(np.int64)
+            own = own[np.argsort(own[:, 2], kind="stable")]
+            start, first = np.unique(own[:, 2], return_index=True)  # ranges of equal keys don't overlap
+            upto = np.append(first[1:], len(own))
+            k = np.searchsorted(start, entries, "right") - 1
+            met = (k >= 0) & (entries < own[first[k], 3])
+            entries, k = entries[met], k[met]
+            n = upto[k] - first[k]
+            spot = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            parts.append(np.unique(np.stack([np.repeat(holder[entries], n), own[spot, 0] - np.repeat(offset[entries], n)], 1), axis=0))
+        return np.unique(np.concatenate(parts), axis=0)
 
     def matches(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item id, start, distance) of the best stretch for each item in each text of a column."""
         if not self.tables or not len(col):
             return []
         h, ptr = symbols(col)
-        met = self.candidates(h, ptr)
-        size = np.array([len(x) for _, x in self.items])[met[:, 1]]
-        most = size * (100 - self.percent) // 100
-        lo = np.maximum(met[:, 2] - most, ptr[met[:, 0]]).tolist()
-        hi = np.minimum(met[:, 2] + size + most, ptr[met[:, 0] + 1]).tolist()
-        pairs, most = list(map(tuple, met[:, :2].tolist())), most.tolist()
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        hits = self.hits(h)
+        edge = np.searchsorted(hits[:, 0], ptr)
+        out = []
+        for row in np.flatnonzero(np.diff(edge)).tolist():
+            a, z = int(ptr[row]), int(ptr[row + 1])
+            own = hits[edge[row] : edge[row + 1]].copy()
+            own[:, 0] -= a
+            for met in self.windows(h[a:z], own):
+                out += [(row, i, start, d) for item, start, d in self._verified(h[a:z], met) for i in self.items[item][0]]
+        return out
+
+    def _verified(self, text: np.ndarray, met: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, distance) of the best stretch of a text for each item that has one, from its windows."""
+        size, most = self.sizes[met[:, 0]], self.most[met[:, 0]]
+        lo, hi = np.maximum(met[:, 1] - most, 0).tolist(), np.minimum(met[:, 1] + size + most, len(text)).tolist()
+        items, most = met[:, 0].tolist(), most.tolist()
         k = 0
-        while k < len(pairs):
-            first, last, pair, bound_ = lo[k], hi[k], pairs[k], most[k]
-            k += 1
-            while k < len(pairs) and pairs[k] == pair and lo[k] <= last:  # windows that overlap are verified together
-                last = max(last, hi[k])
+        while k < len(items):
+            item, best = items[k], None
+            while k < len(items) and items[k] == item:
+                first, last, limit = lo[k], hi[k], most[k]
                 k += 1
-            stretch = best_stretch(self.items[pair[1]][1], h[first:last], bound_)
-            if stretch and (pair not in best or stretch[0] < best[pair][0]):
-                best[pair] = stretch[0], first + stretch[1] - int(ptr[pair[0]])
-        return [(row, i, start, d) for (row, item), (d, start) in best.items() for i in self.items[item][0]]
+                while k < len(items) and items[k] == item and lo[k] <= last:  # windows that overlap are verified together
+                    last = max(last, hi[k])
+                    k += 1
+                stretch = best_stretch(self.items[item][1], text[first:last], limit)
+                if stretch and (best is None or stretch[0] < best[0]):
+                    best = stretch[0], first + stretch[1]
+            if best:
+                yield item, best[1], best[0]
 
 
 def _scan(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 4 << 20):
+        for b in by_size(batches, "text", 2 << 20):
             rows = index.matches(b.column(1))
             if rows:
                 at = pa.array([r[0] for r in rows], pa.int64())

@@ -124,3 +124,11 @@ def test_stages_take_empty_tables(spark, tables, tmp_path):
     some = spark.createDataFrame([(1, "some text", "en", "s", 9)], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, some, str(tmp_path)).count() == 1, name
+
+
+def test_repeated_rows_beside_any_column_name(spark):
+    """The exact stage on rows with columns of the names that were used inside."""
+    from skein.llm.exact_dedup import unique_documents
+
+    rows = spark.createDataFrame([(1, "a b", 5, 6, 7)] * 3 + [(2, "c", 1, 2, 3)], "doc_id long, text string, _key0 int, _key1 int, _KEY0_0 int")
+    assert sorted(map(tuple, unique_documents(rows).collect())) == [(1, "a b", 5, 6, 7), (2, "c", 1, 2, 3)]
