@@ -176,3 +176,17 @@ def reduction_percent(n_in: Column, n_out: Column) -> Column:
 def poor_ratio(n_in: Column, n_out: Column) -> Column:
     """Whether less than a tenth is saved (integers only)."""
     return (n_in == 0) | (n_out * 10 > n_in * 9)
+
+
+def run_starts(items: Column, key: str) -> Column:
+    """(at, n) of each run of structs with equal ``key`` in an array, in one pass over it.
+
+    A null key stands alone.  Neighbours meet by zipping the array with itself,
+    as a look-up of the array inside a lambda would make it anew for each element.
+    """
+    none = F.transform(F.slice(items, F.lit(1), F.lit(1)), lambda x: F.lit(None).cast("string"))
+    last = F.concat(none, F.transform(F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0))), lambda x: x[key]))
+    new = F.zip_with(F.transform(items, lambda x, i: F.struct(i.alias("at"), x[key].alias("key"))), last, lambda a, b: F.when(a["key"].isNull() | (a["at"] == 0) | ~a["key"].eqNullSafe(b), a["at"]))
+    starts = F.array_compact(new)
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(items)))
+    return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"))), lambda r: r["at"].isNotNull())

@@ -71,19 +71,29 @@ def git(text: Column, about: Column) -> Column:
     return F.when(about["binary"] == "git", chosen)
 
 
+def _first_places(places: Column) -> Column:
+    """First place of each different line, from (line, at) sorted."""
+    none = F.transform(F.slice(places, F.lit(1), F.lit(1)), lambda x: F.lit(None).cast("string"))
+    last = F.concat(none, F.transform(F.slice(places, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0))), lambda x: x["line"]))
+    return F.array_compact(F.zip_with(places, last, lambda a, b: F.when(~a["line"].eqNullSafe(b), a["at"])))
+
+
 def packages(text: Column, about: Column) -> Column:
     """The last summary line, distinct warnings and counts of what is left out."""
     ls = T.solid_lines(text)
     summary = F.try_element_at(F.filter(ls, lambda x: x.rlike(K.PACKAGE_SUMMARY)), F.lit(-1))
     signals = F.filter(ls, lambda x: x.rlike(K.PACKAGE_SIGNAL))
     distinct = F.array_distinct(signals)
-    extra = F.filter(F.transform(distinct, lambda d: F.size(F.filter(signals, lambda x: x == d)) - 1), lambda n: n > 0)
-    repeats = F.transform(extra, lambda n: F.concat(F.lit("... "), T.mark(n, " duplicate package warnings omitted")))
+    # sorted, equal lines lie together with their first place in front; runs of several, by first place
+    places = F.array_sort(F.transform(signals, lambda x, i: F.struct(x.alias("line"), i.alias("at"))))
+    first = F.zip_with(T.run_starts(places, "line"), _first_places(places), lambda r, at: F.struct(at.alias("at"), (r["n"] - 1).alias("extra")))
+    extra = F.array_sort(F.filter(first, lambda x: x["extra"] > 0))
+    repeats = F.transform(extra, lambda x: F.concat(F.lit("... "), T.mark(x["extra"], " duplicate package warnings omitted")))
     omitted = F.size(ls) - 1 - (F.size(signals) - F.when(summary.rlike(K.PACKAGE_SIGNAL), 1).otherwise(0))
     none = F.array().cast("array<string>")
     last = F.when(omitted > 0, F.array(F.concat(F.lit("... "), T.mark(omitted, " package-manager lines omitted")))).otherwise(none)
     name = F.concat(about["binary"], F.lit(" "), F.when(about["subcommand"] == "", F.lit("command")).otherwise(about["subcommand"]), F.lit(": "), summary)
-    out = F.concat(F.array(name), F.filter(distinct, lambda x: x != summary), repeats, last)
+    out = F.concat(F.array(name), F.array_remove(distinct, summary), repeats, last)
     return F.when(_is(about, K.PACKAGE_MANAGERS) & summary.isNotNull(), _result(F.array_join(out, "\n"), "packageManagerSummary"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,17 @@ from skein.functions import fixed as K
 from skein.functions import text as T
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A metrics node: what is computed up to here is computed once, the optimiser doesn't copy it into later uses."""
+    return df.observe(f"settled-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if x.lower() not in taken)
+
+
 def explode_lines(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, pos, line) of every line; a null text has none."""
     return df.select(F.col(id_col).alias("id"), F.posexplode(T.lines(F.col(text_col))).alias("pos", "line"))
@@ -59,6 +72,43 @@ def collapse_matches(rows: DataFrame) -> DataFrame:
     return whole.select("id", F.concat("text", last).alias("text"))
 
 
+def with_collapsed_matches(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Adds the same for a text that is a column, without a shuffle; what is used several times is computed once."""
+    names = [free_name(df, f"{out}_{k}") for k in ("lines", "kept", "runs")]
+    ls, kept, runs = map(F.col, names)
+    df = settled(df.withColumn(names[0], T.lines(text)))
+    df = settled(df.withColumn(names[1], dedup_lines(ls)))
+    items = F.transform(kept, lambda x: F.struct(F.when(x.rlike(K.MATCH_PATH), F.regexp_extract(x, K.MATCH_PATH, 1)).alias("path")))
+    df = settled(df.withColumn(names[2], T.run_starts(items, "path")))
+
+    def shown(run: Column) -> Column:
+        places = F.transform(F.slice(kept, run["at"] + 1 + K.MATCH_RUN_SHOWN, run["n"] - K.MATCH_RUN_SHOWN), lambda x: F.regexp_extract(x, K.MATCH_PLACE, 1))
+        more = F.concat(F.lit("... "), T.mark(F.size(places), " more at ", F.array_join(places, ", ")))
+        folded = F.concat(F.slice(kept, run["at"] + 1, F.lit(K.MATCH_RUN_SHOWN)), F.array(more))
+        return F.when(run["n"] > K.MATCH_RUN_SHOWN, folded).otherwise(F.slice(kept, run["at"] + 1, run["n"]))
+
+    gone = F.size(ls) - F.size(kept)
+    last = F.when(gone > 0, F.concat(F.lit("\n... "), T.mark(gone, " duplicate match lines omitted"))).otherwise("")
+    return settled(df.withColumn(out, F.concat(F.array_join(F.flatten(F.transform(runs, shown)), "\n"), last))).drop(*names)
+
+
+def with_folder_lines(df: DataFrame, names: Column, out: str) -> DataFrame:
+    """Adds the lines of ``glob_lines`` for an array of names, without a shuffle."""
+    own = [free_name(df, f"{out}_{k}") for k in ("items", "runs")]
+    items, runs = map(F.col, own)
+    sorted_ = F.array_sort(F.transform(names, lambda x, i: F.struct(T.dirname(x).alias("dir"), i.alias("pos"), T.basename(x).alias("base"))))
+    df = settled(df.withColumn(own[0], sorted_))
+    df = settled(df.withColumn(own[1], T.run_starts(items, "dir")))
+
+    def line(run: Column) -> Column:
+        first, more = F.element_at(items, run["at"] + 1), run["n"] - K.GLOB_SHOWN
+        files = F.transform(F.slice(items, run["at"] + 1, F.least(run["n"], F.lit(K.GLOB_SHOWN))), lambda x: x["base"])
+        tail = F.when(more > 0, F.concat(F.lit(", ... "), T.mark(more, " more"))).otherwise(F.lit(""))
+        return F.struct(first["pos"].alias("pos"), F.concat(first["dir"], F.lit("/ ("), run["n"].cast("string"), F.lit(" files: "), F.array_join(files, ", "), tail, F.lit(")")).alias("line"))
+
+    return settled(df.withColumn(out, F.transform(F.array_sort(F.transform(runs, line)), lambda x: x["line"]))).drop(*own)
+
+
 def _folders(names: DataFrame) -> DataFrame:
     """(id, pos, line) of each folder, from rows (id, pos, name)."""
     rows = names.select("id", "pos", T.dirname(F.col("name")).alias("dir"), T.basename(F.col("name")).alias("base"))

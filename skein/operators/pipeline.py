@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +11,7 @@ from skein.functions import folds
 from skein.functions import text as T
 from skein.functions.commands import described
 from skein.operators.compressors import compress
-
-def settled(df: DataFrame) -> DataFrame:
-    """A metrics node: what is computed up to here is computed once, the optimiser doesn't copy it into later uses."""
-    return df.observe(f"settled-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+from skein.operators.lines import settled
 
 
 def generic_chain(df: DataFrame, text: str = "text") -> DataFrame:

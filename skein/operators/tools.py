@@ -17,7 +17,7 @@ from skein.functions import jsontext
 from skein.functions import text as T
 from skein.operators import lines as R
 from skein.operators import reads
-from skein.operators.pipeline import settled
+from skein.operators.lines import settled
 from skein.sources.tables import located_text
 
 
@@ -45,23 +45,26 @@ def grep_results(events: DataFrame, config: Config = Config()) -> DataFrame:
     """Search listings: equal lines once, long runs of one file folded."""
     text, shape = located_text("tool_response", listing=True)
     df = events.withColumn("text", text).withColumn("shape", shape).withColumn("gate", _gate("Grep", F.col("text"), config))
-    live = df.where(F.col("gate").isNull())
-    small = R.collapse_matches(R.explode_lines(live)).withColumnRenamed("text", "small")
-    return _finished(df.join(small, "id", "left"), "Grep", ["id"], (T.units(F.col("text")), T.units(F.col("small"))))
+    df = R.with_collapsed_matches(settled(df), F.when(F.col("gate").isNull(), F.col("text")), "small")
+    return _finished(df, "Grep", ["id"], (T.units(F.col("text")), T.units(F.col("small"))))
 
 
 def glob_results(events: DataFrame, config: Config = Config()) -> DataFrame:
-    """File listings of more than GLOB_MIN_NAMES names: one line for each folder in place of the names."""
+    """File listings of more than GLOB_MIN_NAMES names: one line for each folder in place of the names.
+
+    A response without an array of names has no outcome: it counts as attempted only.
+    """
+    missing = F.col("tool_response").isNull() | (F.col("tool_response") == "")
     names = F.from_json(F.try_variant_get(F.try_parse_json("tool_response"), "$.filenames", "string"), "array<string>")
     df = events.withColumn("names", names).withColumn("whole", F.to_json("names"))
     small = F.when(F.size("names") <= K.GLOB_MIN_NAMES, "skippedBelowThreshold")
-    df = settled(df.withColumn("gate", F.coalesce(F.when(F.lit(config.disabled("Grep")), "disabled"), F.when(F.col("names").isNull(), "unsupportedShape"), F.when(T.units(F.col("whole")) < config.min_chars, "skippedBelowThreshold"), small)))
-    live = df.where(F.col("gate").isNull()).select("id", F.posexplode("names").alias("pos", "name"))
-    df = df.join(R.glob_lines(live).withColumn("less", F.to_json("lines")), "id", "left")
+    df = settled(df.withColumn("gate", F.coalesce(F.when(F.lit(config.disabled("Grep")), "disabled"), F.when(missing, "unsupportedShape"), F.when(T.units(F.col("whole")) < config.min_chars, "skippedBelowThreshold"), small)))
+    df = R.with_folder_lines(df, F.when(F.col("gate").isNull(), F.col("names")), "lines")
+    df = settled(df.withColumn("less", F.to_json("lines")))
     n_in, n_out = T.units(F.col("whole")), T.units(F.col("less"))
-    outcome = F.coalesce("gate", F.when(_too_little(n_in, n_out), "skippedPoorRatio").otherwise("compressed"))
+    outcome = F.coalesce("gate", F.when(_too_little(n_in, n_out), "skippedPoorRatio").when(F.col("names").isNotNull(), "compressed"))
     df = settled(df.withColumn("outcome", outcome))
-    done = F.col("outcome") == "compressed"
+    done = F.coalesce(F.col("outcome") == "compressed", F.lit(False))
     return df.select("id", F.lit("Grep").alias("bucket"), "outcome", F.when(done, n_in).cast("long").alias("size_in"), F.when(done, n_out).cast("long").alias("size_out"), F.when(done, F.col("lines")).alias("filenames"), jsontext.with_names(F.when(done, F.col("tool_response")), F.col("lines")).alias("record"))
 
 
@@ -103,8 +106,11 @@ def file_events(events: DataFrame, config: Config = Config()) -> DataFrame:
 def file_results(events: DataFrame, config: Config = Config()) -> DataFrame:
     """Outcomes of reads, edits and writes; a repeated read gets a stub in place of the text it would show again."""
     df = file_events(events, config)
-    live = reads.read_cache(df.where(F.col("gate").isNull()).select("id", "session_id", "path", "seq", "op", "bounded", "failed", "content"), config)
-    stubs = reads.with_stub(live).select("id", F.col("outcome").alias("found"), F.when(F.col("hit"), F.col("stub")).alias("stub"), F.when(F.col("hit"), F.col("bucket")).alias("bucket"))
-    df = settled(df.join(stubs, "id", "left").withColumn("outcome", F.coalesce("gate", "found")))
+    # rows that a gate stops don't reach the cache; the others carry all they need through it, so no row is looked up by its id
+    keep = ["id", "session_id", "path", "seq", "op", "bounded", "failed", "content", "tool_name", "tool_response", "shape"]
+    live = reads.with_stub(reads.read_cache(df.where(F.col("gate").isNull()).select(*keep), config))
+    live = live.select(*keep, "outcome", F.when(F.col("hit"), F.col("stub")).alias("stub"), F.when(F.col("hit"), F.col("bucket")).alias("bucket"))
+    none = F.lit(None).cast("string")
+    df = settled(live.unionByName(df.where(F.col("gate").isNotNull()).select(*keep, F.col("gate").alias("outcome"), none.alias("stub"), none.alias("bucket"))))
     n_in, n_out = F.octet_length("content"), F.octet_length("stub")
     return df.select("id", "tool_name", "bucket", "outcome", F.when(F.col("stub").isNotNull(), n_in).cast("long").alias("size_in"), n_out.cast("long").alias("size_out"), jsontext.write_back(F.when(F.col("stub").isNotNull(), F.col("tool_response")), F.col("shape"), F.col("stub")).alias("record"))
