@@ -36,6 +36,7 @@ class TeeOptions:
     enabled: bool = True
     mode: str = "lossy"
     max_files: int = 20
+    min_bytes: float = K.TEE_MIN_BYTES
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,8 @@ def _listed(text: str) -> list[str]:
 
 
 def from_environment(base: Config, env: Mapping[str, str]) -> Config:
-    """The last layer: SKEIN_MIN_CHARS, _READ_GUARD_LINES, _READ_DEFAULT_LINES, _DISABLE, _REWRITE_ENABLED, _REWRITE_EXCLUDE, _REWRITE_DOCKER_BUILD.
+    """The last layer: SKEIN_MIN_CHARS, _READ_GUARD_LINES, _READ_DEFAULT_LINES, _DISABLE, _REWRITE_ENABLED, _REWRITE_EXCLUDE, _REWRITE_DOCKER_BUILD,
+    _TEE_MIN (least bytes of a text worth a recovery copy; what is no number of at least 0 doesn't count).
 
     _DISABLE stands in place of what the files disable, but rewrites heed both.
     """
@@ -177,6 +179,12 @@ def from_environment(base: Config, env: Mapping[str, str]) -> Config:
     if rewrite:
         layer["rewrite"] = rewrite
     out = overlay(base, layer)
+    try:
+        least = float(env.get("SKEIN_TEE_MIN", "nan").strip() or 0)
+    except ValueError:
+        least = math.nan
+    if math.isfinite(least) and least >= 0:
+        out = replace(out, tee=replace(out.tee, min_bytes=least))
     if "SKEIN_DISABLE" in env:
         flags = tuple(_listed(env["SKEIN_DISABLE"]))
         out = replace(out, disable=flags, disable_anywhere=(*base.disable, *flags))

@@ -109,14 +109,14 @@ def status_line(facts: DataFrame) -> DataFrame:
     return total.select("session_id", parts.alias("line"))
 
 
-def recovery_rows(results: DataFrame, max_files: int, mode: str = "lossy") -> DataFrame:
+def recovery_rows(results: DataFrame, max_files: int, mode: str = "lossy", min_bytes: float = K.TEE_MIN_BYTES) -> DataFrame:
     """Originals that are worth keeping, the newest ``max_files`` of each session.
 
     ``results``: session_id, use_id, seq, original, lossy, failed.
     """
     if mode == "never" or max_files <= 0:
         return results.limit(0)
-    worth = results.where(F.col("lossy") & (F.octet_length("original") >= K.TEE_MIN_BYTES))
+    worth = results.where(F.col("lossy") & (F.octet_length("original") >= min_bytes))
     worth = worth.where("failed") if mode == "failures" else worth
     w = Window.partitionBy("session_id").orderBy(F.desc("seq"), F.desc("use_id"))
     return worth.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_files)

@@ -231,3 +231,11 @@ def test_custom_filter_columns(spark):
     made, _ = custom(F.col("t"), F.col("c"), config)
     got = {r["c"]: r["x"] for r in df.select("c", made["text"].alias("x")).collect()}
     assert got == {"make x": "a\nb", "none": None, "keep": "a", "other": None}
+
+
+def test_least_size_of_a_recovery_copy():
+    from skein.config import Config, from_environment
+
+    sizes = {v: from_environment(Config(), {"SKEIN_TEE_MIN": v}).tee.min_bytes for v in ("100", " 7 ", "", "0", "-1", "x", "inf", "2.5")}
+    assert sizes == {"100": 100, " 7 ": 7, "": 0, "0": 0, "-1": 4096, "x": 4096, "inf": 4096, "2.5": 2.5}
+    assert from_environment(Config(), {}).tee.min_bytes == 4096
