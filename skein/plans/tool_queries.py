@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.config import Config, Filter, RewriteOptions
+from skein.config import Config, Filter, RewriteOptions, TeeOptions
 from skein.functions import fixed as K
 from skein.functions import text as T
 from skein.functions.commands import described
@@ -25,7 +25,9 @@ from skein.plans import adapters as A
 from skein.plans.oracles import ARRAYS, CHAIN, FACTS, FAILING, GREP, HISTORY, LOGS, RUNNER
 from skein.plans.oracles import ORACLES as _ORACLES
 from skein.sources import tables as S
-from skein.streaming.state import LedgerMerge, daily_windows
+from skein.sources.recovery import RecoveryStore
+from skein.streaming.history import History, ledger_stream
+from skein.streaming.state import LedgerMerge, daily_windows, latest_windows, windows_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -390,17 +392,52 @@ def ledger_stream_merge(spark, d):
     return ledger.read().withColumn("day", F.col("day").cast("string"))
 
 
+@query(f"WITH {HISTORY} SELECT * REPLACE (day::VARCHAR AS day) FROM hi")
+def ledger_stream_once(spark, d):
+    """A stream in which every event is delivered twice, into the history; a replay of all days, so any of them may come late."""
+    base = S.scratch(spark, "deliveries")
+    facts = A.facts(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        facts.write.mode("append").parquet(f"{base}/in")
+    days = facts.agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0] or 0
+    history = History(spark, f"{base}/history")
+    stream = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    ledger_stream(stream, history, f"{base}/checkpoint", f"{days + 1} days").awaitTermination()
+    return history.read().withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"WITH {HISTORY}, r AS (SELECT 1 AS version, * FROM hi UNION ALL SELECT 3, * REPLACE (events * 2 AS events, bytes_in * 2 AS bytes_in, bytes_out * 2 AS bytes_out) FROM hi WHERE day >= DATE '2024-01-20') SELECT version, day::VARCHAR AS day, dim, key, events, bytes_in, bytes_out FROM r")
+def history_versions(spark, d):
+    """What two readers of the history see, of which one began before its days were added to again and compacted."""
+    history = History(spark, S.scratch(spark, "history"))
+    rows = L.marginals(A.facts(spark, d))
+    history.add(rows)
+    before = history.read().withColumn("version", F.lit(1))
+    history.add(rows)
+    history.compact(dt.date(2024, 1, 20) + dt.timedelta(days=K.RETENTION_DAYS - 1))
+    now = history.read().withColumn("version", F.lit(max(history.versions())))
+    return before.unionByName(now).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""WITH {FACTS}, r AS (SELECT session_id, 'u' || event_id AS use_id, event_id AS seq, event_id % 3 * 4096 AS size, row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) AS nth FROM fa WHERE event_id % 5 <> 0 AND event_id % 3 > 0)
+    SELECT session_id, use_id, seq, session_id || '/' || use_id || '.log' AS path, size::INT AS size FROM r WHERE nth <= 4""")
+def recovery_store(spark, d):
+    """Originals kept on disk in two additions, the oldest of a session dropped beyond four."""
+    f = A.facts(spark, d)
+    r = f.select("session_id", _say("u", F.col("event_id")).alias("use_id"), F.col("event_id").alias("seq"), F.repeat(F.lit("x"), (F.col("event_id") % 3 * 4096).cast("int")).alias("original"), (F.col("event_id") % 5 != 0).alias("lossy"), F.lit(False).alias("failed"))
+    store = RecoveryStore(spark, S.scratch(spark, "recovery"), TeeOptions(max_files=4))
+    for half in (1, 0):
+        store.add(r.where(F.col("seq") % 2 == half))
+    return store.read().select("session_id", "use_id", "seq", "path", F.octet_length("original").alias("size"))
+
+
 @query(f"WITH {FACTS} SELECT day::VARCHAR AS day, tool, count(*) AS events, sum(bytes_in)::BIGINT AS bytes_in, sum(bytes_out)::BIGINT AS bytes_out FROM fa GROUP BY day, tool")
 def daily_window_stream(spark, d):
     base = S.scratch(spark, "days")
     A.facts(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "tool", "bytes_in", "bytes_out").write.parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    daily_windows(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out").withColumn("day", F.col("day").cast("string"))
+    windows_to_table(daily_windows(stream), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return latest_windows(spark, f"{base}/out").withColumn("day", F.col("day").cast("string"))
 
 
 @query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN '{"stdout":"out ' || s_suppkey || '","stderr":"err","interrupted":false,"isImage":false}' END AS structured, CASE WHEN s_suppkey % 2 = 0 THEN '{"stopReason":"output was reduced","additionalContext":"out ' || s_suppkey || '\\nerr"}' END AS context FROM supplier""")

@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.config import Config
-from skein.operators.ledger import retained
 from skein.operators.reads import with_facts
-from skein.sources.tables import HISTORY_SCHEMA, merge_history
+from skein.streaming.history import History
 
 OUT = "session_id string, path string, seq long, op string, hit boolean, source string, header_lines int"
 STATE = "version int, hash string, header_lines int, source string"
@@ -66,46 +66,42 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 class LedgerMerge:
-    """A foreachBatch sink that adds daily marginals; a batch that comes again writes the same folder again.
+    """A foreachBatch sink that adds daily marginals to a history; a batch that comes again adds nothing.
 
-    ``compact`` folds the batches so far into one base, which ``read`` and later compactions go on from.
+    ``compact`` folds the batches so far into one base; it deletes nothing, ``history.expire`` does.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.history = History(spark, folder)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-
-    def _folders(self) -> tuple[int, list[int]]:
-        """(number of the last whole base or -1, numbers of the whole batches behind it)."""
-        here = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        files = here.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath() for s in files.listStatus(here)] if files.exists(here) else []
-        whole = [p.getName() for p in names if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        base = max((int(n[5:]) for n in whole if n.startswith("base=")), default=-1)
-        return base, sorted(k for k in (int(n[6:]) for n in whole if n.startswith("batch=")) if k > base)
+        self.history.add(batch, "merge", batch_id)
 
     def read(self) -> DataFrame:
         """The marginals so far; none before the first batch."""
-        base, batches = self._folders()
-        paths = [f"{self.folder}/base={base}"] * (base >= 0) + [f"{self.folder}/batch={k}" for k in batches]
-        empty = self.spark.createDataFrame([], HISTORY_SCHEMA)
-        return merge_history(self.spark.read.schema(HISTORY_SCHEMA).parquet(*paths), empty) if paths else empty
+        return self.history.read()
 
     def compact(self, as_of: dt.date | None = None) -> None:
-        """Writes a new base, of the days that are still kept at ``as_of``; what it replaces is deleted after it stands whole."""
-        base, batches = self._folders()
-        if not batches:
-            return
-        rows = self.read()
-        (rows if as_of is None else retained(rows, as_of)).write.mode("overwrite").parquet(f"{self.folder}/base={batches[-1]}")
-        old = [f"base={base}"] * (base >= 0) + [f"batch={k}" for k in batches]
-        for name in old:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        """One base in place of the batches, of the days that are still kept at ``as_of``."""
+        self.history.compact(as_of)
 
 
 def daily_windows(facts: DataFrame, late: str = "1 day") -> DataFrame:
-    """Daily tumbling sums by tool over a stream with a ``ts``; the watermark only bounds the state."""
+    """Daily tumbling sums by tool over a stream with a ``ts``; in update or append mode days older than ``late`` leave the state."""
     return facts.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), "tool").agg(F.count(F.lit(1)).alias("events"), F.sum("bytes_in").alias("bytes_in"), F.sum("bytes_out").alias("bytes_out")).select(F.to_date("w.start").alias("day"), "tool", "events", "bytes_in", "bytes_out")
+
+
+def windows_to_table(windows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the sums that a batch changed to a folder of the batch; a batch that comes again writes it anew."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return windows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """The sums of each day and tool as the last batch that changed them left them."""
+    rows = spark.read.parquet(out)
+    sums = F.struct("events", "bytes_in", "bytes_out")
+    return rows.groupBy("day", "tool").agg(F.max_by(sums, "batch").alias("s")).select("day", "tool", "s.*")

@@ -16,7 +16,7 @@ from skein.operators import pipeline as P
 from skein.operators import reads as D
 from skein.operators import transcripts as X
 from skein.sources import tables as S
-from skein.streaming.state import LedgerMerge, daily_windows, read_cache_stream, run_to_table
+from skein.streaming.state import LedgerMerge, daily_windows, latest_windows, read_cache_stream, run_to_table, windows_to_table
 
 
 def rows(spark, *lines, id=1):
@@ -226,6 +226,19 @@ def test_daily_windows(spark, tmp_path):
     assert got == {("2024-01-01", "Bash"): (2, 20), ("2024-01-02", "Bash"): (1, 1), ("2024-01-01", "Read"): (1, 7)}
 
 
+def test_daily_windows_leave_the_state(spark, tmp_path):
+    schema = "ts timestamp, tool string, bytes_in long, bytes_out long"
+    for k in range(6):  # ten days a file
+        rows = [(dt.datetime(2024, 1, 1, 12) + dt.timedelta(days=10 * k + i), f"t{i % 2}", 1, 1) for i in range(10) for _ in range(2)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = windows_to_table(daily_windows(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) <= 22
+    got = latest_windows(spark, str(tmp_path / "out")).collect()
+    assert len(got) == 60 and {r["events"] for r in got} == {2}
+
+
 def test_reports_are_written(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01", 10, 5)], "day string, bytes_in long, bytes_out long")
     S.write_report(rows, str(tmp_path / "csv"))
