@@ -22,11 +22,12 @@ from skein.operators import reports as O
 from skein.operators import tools
 from skein.operators import transcripts as X
 from skein.plans import adapters as A
-from skein.plans.oracles import ARRAYS, CHAIN, FACTS, FAILING, GREP, HISTORY, LOGS, RUNNER
+from skein.plans.oracles import ARRAYS, CHAIN, FACTS, FAILING, GREP, HISTORY, LOGS, READS, RUNNER
 from skein.plans.oracles import ORACLES as _ORACLES
 from skein.sources import tables as S
 from skein.sources.recovery import RecoveryStore
 from skein.streaming.history import History, ledger_stream
+from skein.streaming.sessions import held_state, last_set, session_reads, session_reads_to_table
 from skein.streaming.state import LedgerMerge, daily_windows, latest_windows, windows_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,6 +432,34 @@ def recovery_store(spark, d):
     return store.read().select("session_id", "use_id", "seq", "path", F.octet_length("original").alias("size"))
 
 
+def _session_stream(spark, d, base):
+    """Reads of every second session streamed whole; of the others the first half gives, in batch, the state that the rest is streamed from."""
+    events = A.reads(spark, d).withColumn("early", (F.floor(F.col("seq") / 50) % 2 == 1) & (F.col("seq") % 50 < 25))
+    rest = events.where("not early").drop("early")
+    rest.write.parquet(f"{base}/in")
+    early = events.where("early").drop("early")
+    stream = session_reads(spark.readStream.schema(rest.schema).parquet(f"{base}/in"), seed=last_set(early))
+    session_reads_to_table(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return early
+
+
+@query(f"WITH {READS} SELECT session_id, path, seq, op, hit, source, coalesce(header_lines, 0) AS header_lines FROM rj")
+def read_cache_sessions(spark, d):
+    """The read cache as a map of paths for each session, seeded in batch for every second one."""
+    base = S.scratch(spark, "sessions")
+    early = D.read_cache(_session_stream(spark, d, base))
+    columns = ["session_id", "path", "seq", "op", "hit", "source", "header_lines"]
+    return early.select(columns).unionByName(spark.read.parquet(f"{base}/out").select(columns)).withColumn("header_lines", F.coalesce("header_lines", F.lit(0)))
+
+
+@query(f"WITH {READS} SELECT session_id, path, arg_max(hash, seq) AS hash, arg_max(n_lines, seq)::INT AS header_lines, arg_max(op, seq) AS source FROM rj WHERE touches AND NOT hit GROUP BY session_id, path")
+def session_state_table(spark, d):
+    """What the stream of sessions holds at its end, read from its checkpoint."""
+    base = S.scratch(spark, "sessions")
+    _session_stream(spark, d, base)
+    return held_state(spark, f"{base}/checkpoint")
+
+
 @query(f"WITH {FACTS} SELECT day::VARCHAR AS day, tool, count(*) AS events, sum(bytes_in)::BIGINT AS bytes_in, sum(bytes_out)::BIGINT AS bytes_out FROM fa GROUP BY day, tool")
 def daily_window_stream(spark, d):
     base = S.scratch(spark, "days")

@@ -20,7 +20,7 @@ STATE = "version int, hash string, header_lines int, source string"
 VERSION = 1
 
 
-def _valid(held: tuple) -> bool:
+def valid(held: tuple) -> bool:
     """Whether a state is of this version and whole; any other counts as none."""
     return len(held) == 4 and held[0] == VERSION and isinstance(held[1], str) and held[3] in ("Read", "Edit", "Write")
 
@@ -32,7 +32,7 @@ def follower(keep_ms: int = 0):
         if state.hasTimedOut:
             state.remove()
             return
-        held = state.get if state.exists and _valid(tuple(state.get)) else None
+        held = state.get if state.exists and valid(tuple(state.get)) else None
         rows = []
         for e in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
             touches = e.can_touch and (e.op != "Edit" or held is not None)

@@ -212,8 +212,8 @@ def test_history_is_loaded_or_refused(spark, tmp_path):
 def test_stream_state_of_another_version_counts_as_none():
     from skein.streaming import state
 
-    assert state._valid((1, "h", 3, "Read"))
-    assert not any(state._valid(x) for x in ((0, "h", 3, "Read"), (1, None, 3, "Read"), (1, "h", 3, "Other"), ("h", 3, "Read")))
+    assert state.valid((1, "h", 3, "Read"))
+    assert not any(state.valid(x) for x in ((0, "h", 3, "Read"), (1, None, 3, "Read"), (1, "h", 3, "Other"), ("h", 3, "Read")))
 
 
 def test_daily_windows(spark, tmp_path):
