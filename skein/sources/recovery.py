@@ -10,18 +10,19 @@ from skein.operators.ledger import recovery_path, recovery_rows
 from skein.sources.tables import stored
 
 STORED = "session_id string, use_id string, seq long, original string, path string"
-PART = "session string"
+PART = "bucket int"
 
 
 class RecoveryStore:
-    """A table partitioned by session, of which an addition rewrites only the sessions that it touches.
+    """A table partitioned by buckets of sessions, of which an addition rewrites only the buckets that it touches.
 
-    One writer at a time.  The touched sessions are staged whole before they are put in place; a writer that was lost in
-    between is made good by the next one, from what it had staged.
+    One writer at a time.  The touched buckets are staged whole before they are put in place; a writer that was lost in
+    between is made good by the next one, from what it had staged.  ``buckets`` belongs to the table and can't be changed
+    later; a folder for each session would make as many small files as there are sessions.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, options: TeeOptions = TeeOptions()) -> None:
-        self.spark, self.folder, self.options = spark, folder.rstrip("/"), options
+    def __init__(self, spark: SparkSession, folder: str, options: TeeOptions = TeeOptions(), buckets: int = 64) -> None:
+        self.spark, self.folder, self.options, self.buckets = spark, folder.rstrip("/"), options, buckets
         self.staged = f"{self.folder}/_staged"
 
     def _there(self, path: str) -> bool:
@@ -36,13 +37,13 @@ class RecoveryStore:
         if not self._there(f"{self.staged}/_SUCCESS"):
             return
         rows = self._table(self.staged)
-        rows.repartition("session").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(self.folder)
+        rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
         where = self.spark._jvm.org.apache.hadoop.fs.Path(self.staged)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def read(self) -> DataFrame:
         """What is kept (columns of STORED); nothing before the first addition."""
-        return (self._table(self.folder) if self._there(self.folder) else self.spark.createDataFrame([], f"{STORED}, {PART}")).drop("session")
+        return (self._table(self.folder) if self._there(self.folder) else self.spark.createDataFrame([], f"{STORED}, {PART}")).drop("bucket")
 
     def add(self, results: DataFrame) -> DataFrame:
         """Keeps the originals worth it and drops a session's oldest beyond ``max_files``; (session_id, use_id, path) of the new ones that stay.
@@ -55,14 +56,14 @@ class RecoveryStore:
         named = results.where("session_id <> '' and use_id <> ''")
         worth = recovery_rows(named, t.max_files if t.enabled else 0, t.mode, t.min_bytes).drop("nth")
         path = recovery_path(F.col("session_id"), F.col("use_id"))
-        new = worth.select("session_id", "use_id", "seq", "original", path.alias("path"), F.regexp_extract(path, "^[^/]*", 0).alias("session"), F.lit(True).alias("fresh"))
+        new = worth.select("session_id", "use_id", "seq", "original", path.alias("path"), F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int").alias("bucket"), F.lit(True).alias("fresh"))
         if not self._there(self.folder):
             both = new
         else:
-            touched = new.select("session").distinct()
-            both = new.unionByName(self._table(self.folder).join(touched, "session", "left_semi").withColumn("fresh", F.lit(False)))
-        last = Window.partitionBy("session", "path").orderBy(F.desc("seq"), F.desc("fresh"))
-        newest = Window.partitionBy("session").orderBy(F.desc("seq"), F.desc("use_id"))
+            touched = F.broadcast(new.select("bucket").distinct())  # at most ``buckets`` rows
+            both = new.unionByName(self._table(self.folder).join(touched, "bucket", "left_semi").withColumn("fresh", F.lit(False)))
+        last = Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("fresh"))
+        newest = Window.partitionBy("session_id").orderBy(F.desc("seq"), F.desc("use_id"))
         one = both.withColumn("nth", F.row_number().over(last)).where("nth = 1")
         kept = one.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= t.max_files).drop("nth")
         kept.write.mode("overwrite").parquet(self.staged)
