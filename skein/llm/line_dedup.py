@@ -247,5 +247,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     out = decisions(source).where("not kept").groupBy("row").agg(F.collect_set("line_no").alias("out"))
     numbered = source.withColumn("row", F.monotonically_increasing_id()).join(out, "row", "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("out").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("out", i), x)), lambda x: x.isNotNull()), "\n"))
+    # the numbers that stay by a hash set, and the lines cut once for all of them: work grows with the lines of a text
+    both = F.array(F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "out").alias("stay")))
+    left = F.transform(both, lambda b: F.array_join(F.transform(b["stay"], lambda i: b["lines"][i]), "\n"))[0]
+    kept = F.when(F.col("out").isNull(), F.col("text")).otherwise(left)
     return numbered.select("doc_id", kept.alias("text"))

@@ -569,6 +569,14 @@ def test_line_dedup(spark):
         assert clean[i] == (t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
 
 
+def test_many_dropped_lines_of_one_text(spark):
+    rows = [(1, "some line\nsome other"), (2, "some line\n" * 100_000 + "a new one"), (3, "\n".join(["some other"] * 1000))]
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(table(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "a new one", 3: ""}
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_line_dedup_of_shared_ids(spark, monkeypatch, broadcast):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
