@@ -88,7 +88,8 @@ def session_reads(events: DataFrame, config: Config = Config(), keep_ms: int = 0
     """The read cache over a stream of events, from the state ``seed`` (columns of HELD) on.
 
     Events of a path must come in the order of seq from batch to batch; within a batch any order will do.
-    ``slots`` belongs to the checkpoint and can't be changed later.
+    ``slots`` belongs to the checkpoint and can't be changed later.  The facts of a slot in one batch are sorted in memory:
+    bound the batches (maxFilesPerTrigger, maxBytesPerTrigger) where a session is busy.
     """
     facts = with_facts(events, config).select("session_id", _slot(slots), "path", "seq", "op", "hash", "n_lines", "can_touch")
     first = None if seed is None else seed.select("session_id", _slot(slots), "path", "hash", "header_lines", "source").groupBy("session_id", "slot")
