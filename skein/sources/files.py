@@ -1,8 +1,8 @@
 """A Python data source that reads files by ranges of bytes.
 
 ``skein_line_counts`` counts the newlines of each file's first bytes and stops
-there; ``skein_blocks`` gives a file as blocks of whole lines, of any size, each
-range of bytes read by a task of its own.  Files are found through pyarrow's file
+there; ``skein_blocks`` gives a file as blocks of whole lines, of any size: large
+ranges of bytes are read by a task of their own, small ones many to a task.  Files are found through pyarrow's file
 systems (local, HDFS, S3, GCS by URI); a list of paths, not the files, passes
 through the driver.  Register them with ``register(spark)``.
 """
@@ -25,6 +25,8 @@ STEP = 64 * 1024  # bytes read at once
 TASK_BYTES = 64 << 20  # that the files of one task may take; a file is read by one task at most this far
 TASK_FILES = 1000
 BLOCK_BYTES = 16 << 20
+TASKS = 64  # at least, where ranges are read many to a task and there are as many
+TOGETHER = 1 << 20  # bytes of blocks that leave a task together
 
 
 def file_system(path: str):
@@ -51,12 +53,16 @@ def listed(path: str, pattern: str) -> list[tuple[str, int]]:
 
 @dataclass
 class Files(InputPartition):
-    """Files, or one range of a file (``first`` to ``last``, the range's number in it), for a task."""
+    """Files for a task."""
 
     files: list[tuple[str, int]]
-    first: int = 0
-    last: int = 0
-    number: int = 0
+
+
+@dataclass
+class Ranges(InputPartition):
+    """(path, size, first, end) for a task: ranges of a file by their numbers, ``end`` left out."""
+
+    files: list[tuple[str, int, int, int]]
 
 
 class _Reader(DataSourceReader):
@@ -106,40 +112,69 @@ class _Blocks(_Reader):
         super().__init__(options)
         self.size = max(1, int(options.get("blockbytes", BLOCK_BYTES)))
 
-    def partitions(self) -> list[Files]:
-        out = []
-        for path, size in self.files():
-            out += [Files([(path, size)], k * self.size, min(size, (k + 1) * self.size), k) for k in range(-(-size // self.size))]
-        return out or [Files([])]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[Ranges]:
+        """As many ranges to a task as make up a large block, fewer where that leaves few tasks."""
+        files = self.files()
+        each = max(1, min(BLOCK_BYTES, sum(n for _, n in files) // TASKS) // self.size)
+        out: list[Ranges] = []
+        room = 0
+        for path, size in files:
+            n, at = -(-size // self.size), 0
+            while at < n:
+                if not room:
+                    out.append(Ranges([]))
+                    room = each
+                end = min(n, at + room)
+                out[-1].files.append((path, size, at, end))
+                room -= end - at
+                at = end
+        return out or [Ranges([])]
+
+    def block(self, f, first: int, last: int) -> bytearray | None:
         """The lines that begin in the range: from behind its first newline (that of the byte before counts) to the end of its last line."""
-        for path, size in partition.files:
-            where, _ = file_system(self.path)
+        at = max(0, first - 1)
+        f.seek(at)
+        got = bytearray()
+        while at + len(got) < last:
+            more = f.read(min(STEP, last - at - len(got)))
+            if not more:
+                break
+            got += more
+        start = got.find(b"\n", 0, last - 1 - at) + 1 if first else 0
+        if first and not start:  # no line begins in the range
+            return None
+        while not got.endswith(b"\n"):  # the last line may end in a later range
+            more = f.read(STEP)
+            if not more:
+                got += b"\n"  # the file's end ends its last line
+                break
+            stop = more.find(b"\n")
+            got += more if stop < 0 else more[: stop + 1]
+            if stop >= 0:
+                break
+        return got[start:]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        where, _ = file_system(self.path)
+        rows: list[tuple[str, int, str]] = []
+        held = 0
+        for path, size, begin, end in partition.files:
             with where.open_input_file(path) as f:
-                at = max(0, partition.first - 1)
-                f.seek(at)
-                got = bytearray()
-                while at + len(got) < partition.last:
-                    more = f.read(min(STEP, partition.last - at - len(got)))
-                    if not more:
-                        break
-                    got += more
-                while not got.endswith(b"\n"):  # the last line may end in a later range
-                    more = f.read(STEP)
-                    if not more:
-                        got += b"\n"  # the file's end ends its last line
-                        break
-                    stop = more.find(b"\n")
-                    got += more if stop < 0 else more[: stop + 1]
-                    if stop >= 0:
-                        break
-            if partition.first:
-                start = got.find(b"\n") + 1
-                if at + start >= partition.last:  # no line begins in the range
-                    continue
-                got = got[start:]
-            yield pa.record_batch([pa.array([path]), pa.array([partition.number], pa.int64()), pa.array([got.decode("utf-8", "replace")])], ["id", "seq", "text"])
+                for k in range(begin, end):
+                    got = self.block(f, k * self.size, min(size, (k + 1) * self.size))
+                    if got is None:
+                        continue
+                    rows.append((path, k, got.decode("utf-8", "replace")))
+                    held += len(got)
+                    if held >= TOGETHER:
+                        yield _batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], ["id", "seq", "text"])
 
 
 class LineCounts(DataSource):

@@ -59,6 +59,21 @@ def test_blocks_are_the_file(spark, tmp_path):
     assert joined([tuple(r) for r in files.file_blocks(spark, str(tmp_path), "*.log", 2000).collect()]) == want
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    lines = [f"line {k} " + "é" * (k % 40) for k in range(20000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines))
+    (tmp_path / "b.txt").write_text("x\n" * 50)
+    size = 100
+    parts = files._Blocks({"path": str(tmp_path), "blockbytes": str(size)}).partitions()
+    ranges = [(p, k) for part in parts for p, _, first, end in part.files for k in range(first, end)]
+    assert len(ranges) == len(set(ranges)) > 5000 and len(parts) <= 2 * files.TASKS
+    rows = files.file_blocks(spark, str(tmp_path), "*.txt", size)
+    assert rows.rdd.getNumPartitions() == len(parts)
+    a = sorted((r["seq"], r["text"]) for r in rows.collect() if r["id"].endswith("a.txt"))
+    assert len(a) > 1000 and "".join(t for _, t in a) == "\n".join(lines) + "\n"
+    assert [len(p.files) for p in files._Blocks({"path": str(tmp_path / "a.txt"), "blockbytes": str(200000)}).partitions()] == [1] * -(-(tmp_path / "a.txt").stat().st_size // 200000)
+
+
 def test_a_log_folds_by_its_blocks(spark, tmp_path):
     rng = random.Random(1)
     text = "\n".join(rng.choice(["compiling unit 7 of 90", "compiling unit 8 of 90", "linked", "", f"warning {rng.random()}"]) for _ in range(5000))
