@@ -128,9 +128,9 @@ class Gru:
             lane[d], begin[d] = s, load[s]
             load[s] += size[d]
         steps = int(load.max())
-        doc = np.repeat(np.arange(docs), size)
-        row, col = begin[doc] + np.arange(len(doc)) - ptr[:-1][doc], lane[doc]
-        grid = np.zeros((steps, streams), np.int64)
+        doc = np.repeat(np.arange(docs, dtype=np.int32), size)
+        row, col = np.arange(len(doc), dtype=np.int32) + np.repeat((begin - ptr[:-1]).astype(np.int32), size), lane[doc].astype(np.int32)
+        grid = np.zeros((steps, streams), np.int32)
         grid[row, col] = ids
         fresh = np.zeros((steps, streams), bool)
         live = size > 0

@@ -53,6 +53,8 @@ STREAMS = 256
 SUMS = 8  # partial sums of weights that reach the driver
 END_KEY = np.uint64(1)
 COUNTED = 5_000_000  # tokens counted together in a worker
+LEARNED = 340_000  # tokens learned together in a worker
+SCORED = 3_000_000  # tokens scored together in a worker
 ENTRY = np.dtype([("word", "<u8"), ("row", "<i8")])
 
 
@@ -162,14 +164,19 @@ def _warmed(training: DataFrame, lexicon: Lexicon, epochs: int, docs: int, most:
     return gru.create(HEAD + TAILS, 0, WIDTH).unpacked(np.frombuffer(block, "<f4"))
 
 
-def _learn(lexicon: Lexicon, model: gru.Gru):
+def _ids(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of packed ones, and the row pointer."""
+    raw, offs = text_bytes(col)
+    return raw.view("<u2").astype(np.int32), offs // 2
+
+
+def _learn(model: gru.Gru):
     """(tokens, weights) of a partition that goes on from the given weights over all its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = model.unpacked(model.packed()), 0
-        for b in by_size(batches, "text", 2 << 20):
-            w, t, ptr = tokens(b.column(0))
-            _, ids = lexicon.find(w, t)
+        for b in by_size(batches, "ids", 2 * LEARNED):
+            ids, ptr = _ids(b.column(0))
             gru.fit(own, np.split(ids, ptr[1:-1]), streams=STREAMS, epochs=1, rate=RATE)
             n += len(ids)
         if n:
@@ -190,11 +197,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(training: DataFrame, lexicon: Lexicon, model: gru.Gru) -> tuple[gru.Gru, int]:
-    """The model after all training texts, each once, and how many tokens it has learned from."""
+    """The model after all training texts (share, ids of ``lexicon``), each once, and how many tokens it has learned from."""
     seen = 0
     for r in range(ROUNDS):
-        share = training.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r).select("text")
-        parts = cut(share.mapInArrow(_learn(lexicon, model), "n long, block binary"), "weights")
+        share = training.where(F.col("share") == r).select("ids")
+        parts = cut(share.mapInArrow(_learn(model), "n long, block binary"), "weights")
         sums = parts.coalesce(SUMS).mapInArrow(_sums, "n long, block binary").toArrow()
         n = sum(sums["n"].to_pylist())
         if n:
@@ -203,13 +210,13 @@ def learned(training: DataFrame, lexicon: Lexicon, model: gru.Gru) -> tuple[gru.
     return model, seen
 
 
-def _score(lexicon: Lexicon, model: gru.Gru, buckets: int, unit: float):
-    """Rows (0, row, doc_id, tokens, known, base, score) with all but rare words, and blocks of rare words (1, bucket, ...)."""
-    schema = ["kind", "row", "doc_id", "n_tokens", "n_known", "base", "score", "block"]
+def _encoded(lexicon: Lexicon, buckets: int, unit: float):
+    """Rows (0, row, doc_id, share, tokens, known, base, the part of the score that no network gives, ids) with all but rare words, and blocks of rare words (1, bucket, ...)."""
+    schema = ["kind", "row", "doc_id", "share", "n_tokens", "n_known", "base", "rest", "ids", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_size(batches, "text", 8 << 20):
-            w, t, ptr = tokens(b.column(2))
+        for b in by_size(batches, "text", 4 << 20):
+            w, t, ptr = tokens(b.column(3))
             count, ids = lexicon.find(w, t)
             doc = np.repeat(np.arange(b.num_rows), np.diff(ptr))
             seen = count >= 0
@@ -217,9 +224,10 @@ def _score(lexicon: Lexicon, model: gru.Gru, buckets: int, unit: float):
             base = np.bincount(doc, known, b.num_rows) - np.diff(ptr) * unit
             in_tail = ids >= HEAD
             tail_part = np.where(in_tail, known - np.log10(lexicon.mass[np.where(in_tail, ids - HEAD, 0)]), 0.0)
-            score = model.score(ids, ptr) / np.log(10) + np.bincount(doc, tail_part, b.num_rows)
             n = b.num_rows
-            yield pa.record_batch([pa.array(np.zeros(n, np.int32)), b.column(0), b.column(1), pa.array(np.diff(ptr)), pa.array(np.bincount(doc, seen, n).astype(np.int64)), pa.array(base), pa.array(score), pa.nulls(n, pa.binary())], schema)
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ptr * 2).astype("<i4")), pa.py_buffer(ids.astype("<u2"))])
+            facts = [pa.array(np.diff(ptr)), pa.array(np.bincount(doc, seen, n).astype(np.int64)), pa.array(base), pa.array(np.bincount(doc, tail_part, n))]
+            yield pa.record_batch([pa.array(np.zeros(n, np.int32)), b.column(0), b.column(1), b.column(2), *facts, packed, pa.nulls(n, pa.binary())], schema)
             rare = np.flatnonzero(~seen)
             if len(rare):
                 e = np.empty(len(rare), ENTRY)
@@ -230,8 +238,19 @@ def _score(lexicon: Lexicon, model: gru.Gru, buckets: int, unit: float):
                 edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 ends = [*edge[1:].tolist(), len(bucket)]
                 k = len(edge)
-                none = pa.nulls(k, pa.int64())
-                yield pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(bucket[edge]), none, none, none, pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array([e[a:z].tobytes() for a, z in zip(edge.tolist(), ends)], pa.binary())], schema)
+                none, real = pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64())
+                yield pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(bucket[edge]), none, pa.nulls(k, pa.int32()), none, none, real, real, pa.nulls(k, pa.binary()), pa.array([e[a:z].tobytes() for a, z in zip(edge.tolist(), ends)], pa.binary())], schema)
+
+    return run
+
+
+def _score(model: gru.Gru):
+    """(row, doc_id, n_tokens, n_known, base, score) from encoded rows; many texts go together, as the longest one decides how many steps are taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_size(batches, "ids", 2 * SCORED):
+            score = model.score(*_ids(b.column(6))) / np.log(10) + b.column(5).to_numpy()
+            yield pa.record_batch([*b.columns[:5], pa.array(score)], [*b.schema.names[:5], "score"])
 
     return run
 
@@ -292,19 +311,23 @@ def lm_scores(docs: DataFrame, epochs: int = 2, warm_docs: int = WARM_DOCS, warm
         mass[r["tail"]] += r["m"]
     np.subtract.at(mass, tail[:HEAD], c[:HEAD] + 1)
     lexicon = Lexicon(words, c, mass)
-    model = _warmed(training, lexicon, epochs, warm_docs, warm_tokens)
-    model, _ = learned(training, lexicon, model)
     # tokens that are none of the frequent words, in all texts, as training texts are six of seven
     rare = int(size[0]) - int(c.sum()) + distinct
     n = tasks_for(spark, rare * 7 // 6 + distinct, MET)
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    share = F.when(F.coalesce(remainder(7), F.lit(0)) != 2, F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))).cast("int")  # null: held out
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", share.alias("share"), "text")
     unit = float(np.log10(total + distinct + 1))
-    found = cut(numbered.mapInArrow(_score(lexicon, model, 4 * n, unit), "kind int, row long, doc_id long, n_tokens long, n_known long, base double, score double, block binary"), "scores")
+    # texts are cut into words once for counts and once for all that follows
+    found = cut(numbered.mapInArrow(_encoded(lexicon, 4 * n, unit), "kind int, row long, doc_id long, share int, n_tokens long, n_known long, base double, rest double, ids binary, block binary"), "encoded")
+    model = _warmed(training, lexicon, epochs, warm_docs, warm_tokens)
+    model, _ = learned(found.where("kind = 0 and share is not null").select("share", "ids"), lexicon, model)
+    whole = found.where("kind = 0").select("row", "doc_id", "n_tokens", "n_known", "base", "rest", "ids")
+    scored = cut(whole.mapInArrow(_score(model), "row long, doc_id long, n_tokens long, n_known long, base double, score double"), "scores")
     asked = found.where("kind = 1").select("kind", F.col("row").alias("bucket"), "block")
     table = counts.select("word", "c").mapInArrow(_count_blocks(4 * n), "kind int, bucket long, block binary")
     met = asked.unionByName(table).repartition(n, "bucket").mapInArrow(_meet, "row long, more double, k long")
     met = met.groupBy("row").agg(F.sum("more").alias("more"), F.sum("k").alias("k"))
-    main = found.where("kind = 0").join(met, "row", "left")
+    main = scored.join(met, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return main.select(
         "doc_id",

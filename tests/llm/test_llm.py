@@ -713,6 +713,20 @@ def test_lm_learns_from_all_training_texts(spark, monkeypatch):
     assert sum(r["score"] for r in got) > sum(r["score"] for r in sample_only)
 
 
+def test_lm_learns_from_ids_of_all_training_texts(spark, monkeypatch):
+    rows = [(k, f"word{k % 7} é end{k} " * (k % 5)) for k in range(60)] + [(61, None), (61, None), (None, "no id")]
+    seen = []
+    monkeypatch.setattr(lm_score, "learned", lambda training, lexicon, model: (seen.append((lexicon, training.select("share", "ids").collect())), (model, 0))[1])
+    assert lm_score.lm_scores(table(spark, rows), warm_docs=1).count() == len(rows)
+    (lexicon, got), = seen
+    want = []
+    for k, text in rows:
+        if k is None or zlib.crc32(str(k).encode()) % 7 != 2:
+            w, leaf, _ = lm_score.tokens(pa.array([text], pa.string()))
+            want.append(lexicon.find(w, leaf)[1].astype("<u2").tobytes())
+    assert sorted(bytes(r["ids"]) for r in got) == sorted(want) and {r["share"] for r in got} == set(range(lm_score.ROUNDS))
+
+
 @pytest.mark.parametrize("head", [64, 1024])
 def test_lm_probabilities_of_all_words_sum_to_one(monkeypatch, head):
     """Head words, words of leaves and an unseen word of each leaf."""
