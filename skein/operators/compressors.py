@@ -55,19 +55,40 @@ def git_log(text: Column, tokens: Column) -> Column:
     return F.when(~asked & (F.size(out) > 0), _result(F.array_join(out, "\n"), "gitLog"))
 
 
-def git_diff(text: Column, asked: Column) -> Column:
-    """A diff with metadata and long context out; null unless a tenth is saved."""
+def _is_diff(about: Column) -> Column:
+    return (about["binary"] == "git") & (about["subcommand"] == "diff")
+
+
+def is_folded(about: Column) -> Column:
+    """Whether a text of the command goes through one of the two folds."""
+    return _is_diff(about) | _is(about, K.LINTERS)
+
+
+def _diff_fold(text: Column, about: Column) -> Column:
+    return _diff(F.when(_is_diff(about), text))
+
+
+def _lint_fold(text: Column, about: Column) -> Column:
+    return _lint(F.when(_is(about, K.LINTERS), T.chomp(T.unix_newlines(T.strip_ansi(text)))))  # no text of another tool goes to Python
+
+
+def fold(text: Column, about: Column) -> Column:
+    """What the fold of the command makes of a text; no command has both."""
+    return F.coalesce(_diff_fold(text, about), _lint_fold(text, about))
+
+
+def git_diff(text: Column, asked: Column, out: Column) -> Column:
+    """A diff with metadata and long context out (``out``); null unless a tenth is saved."""
     source = T.chomp(T.unix_newlines(text))
-    out = _diff(F.when(asked, text))
-    is_diff = F.exists(T.lines(source), lambda x: x.startswith("diff --git "))
+    is_diff = text.rlike(r"(?md)^diff --git ")
     return F.when(asked & is_diff & (T.units(out) * 10 < T.units(source) * 9), _result(out, "gitDiff"))
 
 
-def git(text: Column, about: Column) -> Column:
+def git(text: Column, about: Column, folded: Column | None = None) -> Column:
     sub = about["subcommand"]
     whole = T.chomp(T.unix_newlines(text))
     pulled = F.when(whole != "", _result(F.concat(F.lit("ok git pull:\n"), whole), "gitOperation"))
-    chosen = F.when((sub == "status") & text.rlike(r"(?m)^(?:## |[ MADRCU?!]{2}\s)"), git_status(text)).when(sub == "log", git_log(text, about["tokens"])).when(sub == "diff", git_diff(text, (about["binary"] == "git") & (sub == "diff"))).when(sub == "pull", pulled)
+    chosen = F.when((sub == "status") & text.rlike(r"(?m)^(?:## |[ MADRCU?!]{2}\s)"), git_status(text)).when(sub == "log", git_log(text, about["tokens"])).when(sub == "diff", git_diff(text, _is_diff(about), _diff_fold(text, about) if folded is None else folded)).when(sub == "pull", pulled)
     return F.when(about["binary"] == "git", chosen)
 
 
@@ -117,8 +138,8 @@ def tests(text: Column, about: Column) -> Column:
     return F.when(_is(about, K.TEST_BINARIES), F.when(is_go, go).otherwise(other))
 
 
-def linters(text: Column, about: Column) -> Column:
-    out = _lint(F.when(_is(about, K.LINTERS), T.chomp(T.unix_newlines(T.strip_ansi(text)))))  # no text of another tool goes to Python
+def linters(text: Column, about: Column, folded: Column | None = None) -> Column:
+    out = _lint_fold(text, about) if folded is None else folded
     good = F.filter(T.solid_lines(text), lambda x: x.rlike(K.LINT_SUCCESS))
     clean = F.when(F.size(good) > 0, _result(F.array_join(good, "\n"), "linterSummary"))
     return F.when(_is(about, K.LINTERS), F.coalesce(F.when(out.isNotNull(), _result(out, "linterDiagnostics")), clean))
@@ -162,13 +183,13 @@ def _without(text: Column, pattern: str) -> Column:
     return F.array_join(F.filter(T.lines(text), lambda x: ~x.rlike(pattern)), "\n")
 
 
-def compress(text: Column, about: Column, command: Column, failed: Column, config: Config = Config(), bad_text: Column | None = None) -> Column:
+def compress(text: Column, about: Column, command: Column, failed: Column, config: Config = Config(), bad_text: Column | None = None, folded: Column | None = None) -> Column:
     """The first summary that takes the command; null if none does or nothing may be summarised.
 
-    ``bad_text`` says whether the text holds failure records, where that is known already.
+    ``bad_text`` says whether the text holds failure records, and ``folded`` is its ``fold``, where that is known already.
     """
     filtered, _ = custom(text, command, config)
     failure = failed | (T.has_failure(text) if bad_text is None else bad_text)
-    chosen = F.coalesce(F.when(~failure, F.coalesce(git(text, about), packages(text, about), tests(text, about))), F.when(~failed, linters(text, about)), F.when(~failure, containers(text, about)))
+    chosen = F.coalesce(F.when(~failure, F.coalesce(git(text, about, folded), packages(text, about), tests(text, about))), F.when(~failed, linters(text, about, folded)), F.when(~failure, containers(text, about)))
     return F.when(about["binary"].isNotNull(), F.coalesce(filtered, chosen))
 

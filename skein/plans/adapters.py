@@ -6,7 +6,7 @@ second time in SQL in plans.oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -15,9 +15,17 @@ from skein.sources.tables import table
 COMMANDS = ["npm install", "git status", "pytest -q", "cargo build", "FOO=1 npx eslint src", "docker ps", "pip install x && ls", "make"]
 
 
+BLOCK = 1000  # lines joined at once
+
+
 def lines_text(rows: DataFrame, *order: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    return rows.groupBy("id").agg(F.array_join(F.transform(items, lambda x: x["line"]), "\n").alias("text"))
+    """(id, text): lines in order, in blocks first, as a million lines of a text in one list take many times its size."""
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(*order, "line")) - 1
+    items = F.array_sort(F.collect_list(F.struct("nth", "line")))
+    text = F.when(F.count("line") > 0, F.array_join(F.transform(items, lambda x: x["line"]), "\n"))
+    blocks = rows.select("id", "line", nth.alias("nth")).groupBy("id", F.floor(F.col("nth") / BLOCK).alias("block")).agg(text.alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "text")))
+    return blocks.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
 
 
 def _say(*parts: object) -> Column:

@@ -35,10 +35,14 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+#: Sizes looked at after every row, so that a few rows of many MB don't wait for the hundredth; they are read in such groups again.
+LONG_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def stored(df: DataFrame, what: str, options: dict[str, int] | None = None) -> DataFrame:
     """The rows written to a fresh path of the shared folder and read again: what follows reads them, and doesn't make them anew."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

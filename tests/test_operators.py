@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -368,3 +369,28 @@ def test_summary_of_a_long_log_takes_one_pass(spark):
     assert got.split("\n") == [" ".join(filter(None, (f"{k:07x}", log_subject(k, n)))) for k in range(n)]
     one = spark.sql("select 'Author: x\ncommit abcdef0\nDate: y' a, 'no log' b, cast(null as string) c")
     assert tuple(one.select(*(C.git_log(F.col(x), F.array().cast("array<string>"))["text"] for x in "abc")).first()) == ("abcdef0", None, None)
+
+
+def test_shell_results_hold_a_long_text_in_one_step(spark):
+    """No two Python steps, each of which holds whole rows, lie between two tables."""
+    diff = "\n".join(["diff --git a/x b/x", *(f"{'+' if k % 3 == 0 else ' '}line {k}" for k in range(200))])
+    lint = "\n".join(f"src/a.ts({k},1): error TS1000: message" for k in range(40))
+    runs = "\n".join(["go", *(f"worker {k} processed item {k} of the long queue" for k in range(14))])
+    df = spark.createDataFrame([("d", "git diff", diff, "", None, None), ("l", "npx tsc", lint, "", None, None), ("r", "node x", runs, "", None, None)], "id string, command string, stdout string, stderr string, exit_code int, is_image boolean")
+    out = P.bash_results(df)
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: (r["out_stdout"], list(r["rules"]), r["outcome"]) for r in out.collect()}
+    assert got["d"] == (diff, [], "skippedPoorRatio")
+    assert got["l"][1:] == (["linterDiagnostics"], "compressed") and got["r"][1:] == (["collapseRepeatedLines"], "compressed")
+    assert got["r"][0] == "go\nworker 0 processed item 0 of the long queue\n[skein: 13 more similar lines collapsed]\n[skein: collapseRepeatedLines]"
+
+
+def test_folds_cut_long_texts_in_stretches():
+    """A fold takes no list of all lines, which would be many times the text."""
+    text = "\n".join(f"{'+' if k % 5 == 0 else ' '}line {k}" for k in range(300_000))
+    for fold, most in ((folds.diff_context, 4), (folds.dedup_traces, 4)):
+        tracemalloc.start()
+        assert fold(text) == text
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text)
