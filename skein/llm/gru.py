@@ -17,7 +17,8 @@ WINDOW = 32  # steps through which gradients go back
 
 
 TOGETHER = 2048  # rows whose output is worked out at once
-SAFE = 60.0  # logits up to which exponentials stay far from the limits of a float
+HELD = 1 << 15  # states that wait for their output, so that those of one class are many
+SAFE = np.float32(60)  # logits up to which exponentials stay far from the limits of a float
 
 
 def exponentials(y: np.ndarray) -> np.ndarray:
@@ -37,6 +38,12 @@ def picked(y: np.ndarray, k: np.ndarray) -> np.ndarray:
     return own - np.log(y @ np.ones(y.shape[1], np.float32))
 
 
+def by_class(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of rows by a small number each, the numbers in that order); two bytes are sorted by their bits."""
+    order = np.argsort(k.astype(np.uint16) if k.size and k.max() < 1 << 16 else k, kind="stable")
+    return order, k[order]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -81,31 +88,36 @@ class Gru:
         c = np.tanh(g[:, 2 * n :] + (r * h) @ self.state[:, 2 * n :])
         return c + z * (h - c), z, r, c
 
-    def halved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Weights by which ``advance`` steps: gate columns halved, as sigmoid(x) is half of tanh(x / 2) and a half."""
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Weights by which ``advance`` steps (inputs to gates and candidate, state to both); those of gates negated, as sigmoid(x) is 1 / (1 + exp(-x))."""
         n = self.state.shape[0]
-        entry = self.entry.copy()
-        entry[:, : 2 * n] *= np.float32(0.5)
-        return entry, self.state[:, : 2 * n] * np.float32(0.5), np.ascontiguousarray(self.state[:, 2 * n :])
+        return -self.entry[:, : 2 * n], np.ascontiguousarray(self.entry[:, 2 * n :]), -self.state[:, : 2 * n], np.ascontiguousarray(self.state[:, 2 * n :])
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log probability of each id given the state before it."""
-        out = np.empty(len(ids), np.float32)
+        order, k = by_class(self.class_of(ids))
+        some = ids[order]
+        one = np.ones((len(ids), states.shape[1] + 1), np.float32)
+        one[:, :-1] = states[order]
+        own = np.empty(len(ids), np.float32)
         for first in range(0, len(ids), TOGETHER):  # as much as stays in a processor's own memory
-            rows, some = slice(first, first + TOGETHER), ids[first : first + TOGETHER]
-            one = np.concatenate([states[rows], np.ones((len(some), 1), np.float32)], 1)
-            k = self.class_of(some)
-            own = picked(one @ self.classes, k)
-            order, _, y = self.members(one, some, k)
-            own[order] += picked(y, some[order] % GROUP)
-            out[rows] = own
+            rows = slice(first, first + TOGETHER)
+            own[rows] = picked(one[rows] @ self.classes, k[rows])
+        edge = np.searchsorted(k, np.arange(self.groups + 1))
+        for c in np.flatnonzero(np.diff(edge)).tolist():
+            for first in range(edge[c], edge[c + 1], TOGETHER):
+                rows = slice(first, min(first + TOGETHER, edge[c + 1]))
+                own[rows] += picked(one[rows] @ self.words[c], some[rows] % GROUP)
+        out = np.empty(len(ids), np.float32)
+        out[order] = own
         return out
 
     def members(self, one: np.ndarray, ids: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows whose id is a word of a group, by group; where each group begins and the last ends; word layer of their groups)."""
         inside = np.arange(len(ids)) if not self.tails else np.flatnonzero(ids < self.head)
-        order = inside[np.argsort(k[inside], kind="stable")]
-        edge = np.searchsorted(k[order], np.arange(self.groups + 1))
+        order, k = by_class(k[inside])
+        order = inside[order]
+        edge = np.searchsorted(k, np.arange(self.groups + 1))
         rows = one[order]
         y = np.empty((len(order), GROUP), np.float32)
         for c in np.flatnonzero(np.diff(edge)).tolist():
@@ -142,39 +154,49 @@ class Gru:
         busy = (load[by_lane][None, :] > np.arange(steps)[:, None]).sum(1)
         width = self.state.shape[0]
         total = np.zeros(docs)
-        entry, to_gates, to_new = self.halved()
+        gates_of, new_of, to_gates, to_new = self.parts()
         h, gate, new = np.zeros((streams, width), np.float32), np.empty((streams, 2 * width), np.float32), np.empty((streams, width), np.float32)
         lanes = where[col]
         at = np.argsort(row, kind="stable")
         cuts = np.searchsorted(row[at], np.arange(0, steps + WINDOW, WINDOW))
+        begun, at_lane = np.nonzero(fresh)
+        news = np.searchsorted(begun, np.arange(steps + 1)).tolist()
+        held, waiting = [], 0
         for w, first in enumerate(range(0, steps, WINDOW)):  # the state h is carried from window to window
             last = min(first + WINDOW, steps)
             wide = busy[first]
             before = np.empty((last - first, wide, width), np.float32)
-            given = entry[grid[first:last, :wide]]
-            keep = ~fresh[first:last, :wide, None]
+            to_gate, to_cand = gates_of[grid[first:last, :wide]], new_of[grid[first:last, :wide]]
             for t in range(first, last):
                 n, k = busy[t], t - first
                 own = before[k, :n]
-                np.multiply(h[:n], keep[k, :n], out=own)
-                advance(own, given[k, :n], to_gates, to_new, gate[:n], new[:n], h[:n])
+                own[...] = h[:n]
+                if news[t] < news[t + 1]:
+                    own[at_lane[news[t] : news[t + 1]]] = 0
+                advance(own, to_gate[k, :n], to_cand[k, :n], to_gates, to_new, gate[:n], new[:n], h[:n])
             own = at[cuts[w] : cuts[w + 1]]
-            lp = self.log_probs(before[row[own] - first, lanes[own]], ids[own])
-            total += np.bincount(doc[own], lp, docs)
+            held.append((own, before[row[own] - first, lanes[own]]))
+            waiting += len(own)
+            if waiting > HELD or last == steps:
+                own = np.concatenate([x for x, _ in held])
+                lp = self.log_probs(np.concatenate([x for _, x in held]), ids[own])
+                total += np.bincount(doc[own], lp, docs)
+                held, waiting = [], 0
         return total
 
 
-def advance(h: np.ndarray, given: np.ndarray, to_gates: np.ndarray, to_new: np.ndarray, gate: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
-    """One step of states ``h`` by the weights of ``halved``: z and r go to ``gate``, the candidate to ``new``, the next states to ``out``."""
+def advance(h: np.ndarray, to_gate: np.ndarray, to_cand: np.ndarray, to_gates: np.ndarray, to_new: np.ndarray, gate: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """One step of states ``h`` by what inputs give to gates and candidate and the weights of ``parts``: z and r go to ``gate``, the candidate to ``new``, the next states to ``out``."""
     n = h.shape[1]
     np.matmul(h, to_gates, out=gate)
-    gate += given[:, : 2 * n]
-    np.tanh(gate, out=gate)
+    gate += to_gate
+    np.minimum(gate, SAFE, out=gate)
+    np.exp(gate, out=gate)
     gate += np.float32(1)
-    gate *= np.float32(0.5)
+    np.divide(np.float32(1), gate, out=gate)
     np.multiply(gate[:, n:], h, out=out)
     np.matmul(out, to_new, out=new)
-    new += given[:, 2 * n :]
+    new += to_cand
     np.tanh(new, out=new)
     np.subtract(h, new, out=out)
     out *= gate[:, :n]
@@ -228,16 +250,19 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
         for first in range(0, steps, WINDOW):
             adam.rate = rate * (1 - (epoch + first / steps) / epochs) + 1e-4
             span = slice(first, min(first + WINDOW, steps))
-            ids, begin = grid[span], fresh[span][:, :, None]
+            ids = grid[span]
             n = len(ids)
+            begun = [np.flatnonzero(x) for x in fresh[span]]
             old, c = np.empty((n, streams, width), np.float32), np.empty((n, streams, width), np.float32)
             gate = np.empty((n, streams, 2 * width), np.float32)
-            entry, to_gates, to_new = model.halved()
-            given, keep = entry[ids], ~begin
+            gates_of, new_of, to_gates, to_new = model.parts()
+            to_gate, to_cand = gates_of[ids], new_of[ids]
             for t in range(n):
-                np.multiply(h, keep[t], out=old[t])
-                advance(old[t], given[t], to_gates, to_new, gate[t], c[t], h)
-            z, r = gate[:, :, :width], gate[:, :, width:]
+                old[t] = h
+                if len(begun[t]):
+                    old[t, begun[t]] = 0
+                advance(old[t], to_gate[t], to_cand[t], to_gates, to_new, gate[t], c[t], h)
+            z, r = gate[:, :, :width].copy(), gate[:, :, width:].copy()
             flat_ids, top = ids.reshape(-1), old.reshape(-1, width)
             live = real[span].reshape(-1)
             back = np.zeros_like(top)
@@ -248,7 +273,12 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
                 back[live], g_classes, g_words = _output_grad(model, top[live], flat_ids[live])
             back = (back * scale).reshape(n, streams, width)
             gates, to_new = model.state[:, : 2 * width].T.copy(), model.state[:, 2 * width :].T.copy()
-            to_z, to_c, to_r, reset = (1 - z) * (1 - c * c), (old - c) * z * (1 - z), old * r * (1 - r), r * old
+            less, to_z, to_c, to_r, reset = 1 - z, c * c, old - c, 1 - r, r * old
+            np.subtract(1, to_z, out=to_z)
+            to_z *= less
+            to_c *= z
+            to_c *= less
+            to_r *= reset
             grad = np.empty((n, streams, 3 * width), np.float32)
             d_h = np.zeros((streams, width), np.float32)
             for t in range(n - 1, -1, -1):
@@ -257,14 +287,19 @@ def fit(model: Gru, docs: list[np.ndarray], streams: int = 64, epochs: int = 2,
                 np.multiply(d_h, to_c[t], out=g[:, :width])
                 d_rh = g[:, 2 * width :] @ to_new
                 np.multiply(d_rh, to_r[t], out=g[:, width : 2 * width])
-                d_h = d_h * z[t] + d_rh * r[t] + g[:, : 2 * width] @ gates
-                d_h = np.where(begin[t], np.float32(0), d_h + back[t])
+                d_h *= z[t]
+                d_rh *= r[t]
+                d_h += d_rh
+                d_h += g[:, : 2 * width] @ gates
+                d_h += back[t]
+                if len(begun[t]):
+                    d_h[begun[t]] = 0
             grad = grad.reshape(-1, 3 * width)
             g_state = np.concatenate([top.T @ grad[:, : 2 * width], reset.reshape(-1, width).T @ grad[:, 2 * width :]], 1)
             g_entry = np.zeros_like(model.entry)
-            order = np.argsort(flat_ids, kind="stable")
-            edge = np.flatnonzero(np.diff(flat_ids[order], prepend=-1))
-            g_entry[flat_ids[order[edge]]] = np.add.reduceat(grad[order], edge, axis=0)
+            order, sorted_ids = by_class(flat_ids)
+            edge = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+            g_entry[sorted_ids[edge]] = np.add.reduceat(grad[order], edge, axis=0)
             adam.step([g_entry, g_state, g_classes * scale, g_words * scale])
     return model
 

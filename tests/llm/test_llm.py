@@ -832,3 +832,19 @@ def test_written_tables_leave_no_garbage_in_a_full_driver(spark, monkeypatch):
     before = whole_collections()
     assert common.cut(spark.range(3), "garbage").count() == 3
     assert whole_collections() > before
+
+
+def test_outputs_of_windows_are_worked_out_together(monkeypatch):
+    """States of windows wait until many of a class are there; a text's probability doesn't depend on that."""
+    model = gru.create(64, 0, 8)
+    rng = np.random.default_rng(2)
+    size = np.array([300, 1, 70, 40, 5, 0, 64])
+    ids, ptr = rng.integers(0, 64, size.sum()).astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+    calls = []
+    plain = gru.Gru.log_probs
+    monkeypatch.setattr(gru.Gru, "log_probs", lambda self, states, some: (calls.append(len(some)), plain(self, states, some))[1])
+    got = model.score(ids, ptr, streams=3)
+    assert calls == [len(ids)]
+    monkeypatch.setattr(gru, "HELD", 0)
+    np.testing.assert_allclose(model.score(ids, ptr, streams=3), got, rtol=1e-5)
+    assert len(calls) > 2
